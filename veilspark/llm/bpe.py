@@ -36,7 +36,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     A null text is empty and has no ids.  Repeated rows, and rows with the same or no id, are encoded each.
     Further columns are left out; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path))  # bounded by the file
+    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())  # bounded by the file
     id_type = docs.schema[id_col].dataType.simpleString()
     source = only(docs, id_col, text_col)
 
@@ -49,7 +49,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
         import numpy as np
         from pyspark import TaskContext
 
-        codec = Codec.of(sent.value)
+        codec = Codec.of(VocabFile(*sent.value))
         block, words, rows, chars = TaskContext.get().partitionId() << 20, {}, [], 0
 
         def name() -> int:
@@ -84,7 +84,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        codec, last, ids = Codec.of(sent.value), None, b""
+        codec, last, ids = Codec.of(VocabFile(*sent.value)), None, b""
         for batch in batches:
             out = []
             for word in batch.column(0).to_pylist():
@@ -161,11 +161,11 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
 def decode(coded: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, data binary: the bytes of each row's ids, joined with the token-byte table.  Null ids are none;
     an id outside the vocabulary fails."""
-    sent = coded.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path))
+    sent = coded.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())
     id_type = coded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Codec.of(sent.value).token_bytes()
+        table = Codec.of(VocabFile(*sent.value)).token_bytes()
         for batch in batches:
             out = [b"".join(map(table.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ())) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "data"])
@@ -177,11 +177,11 @@ def round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode row by row, and digest both in passing,
     so that neither leaves its task.  Rows as for encode."""
     coded = encode(docs, vocab_path, id_col=id_col, text_col=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path))
+    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Codec.of(sent.value).token_bytes()
+        table = Codec.of(VocabFile(*sent.value)).token_bytes()
         names = [str(i).encode() for i in range(len(table))]
         for batch in batches:
             counts, of_ids, of_text = [], [], []

@@ -86,7 +86,7 @@ def pack(docs: DataFrame, vocab_path: str, *, window: int = 2048, end_id: int =
     number in the upper and a running number in the lower 32 bits: equal input splits give equal results, also
     when a lost task runs again.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path))  # bounded by the file
+    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())  # bounded by the file
     id_type = docs.schema[id_col].dataType.simpleString()
     columns = [id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
@@ -94,7 +94,7 @@ def pack(docs: DataFrame, vocab_path: str, *, window: int = 2048, end_id: int =
         import numpy as np
         from pyspark import TaskContext
 
-        codec = Codec.of(sent.value)
+        codec = Codec.of(VocabFile(*sent.value))
         base, given = TaskContext.get().partitionId() << 32, 0
         types = None
         full: list[tuple] = []  # whole windows

@@ -31,12 +31,12 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
     vocab = VocabFile.load(vocab_path)
     proved = whole_tokens(vocab)
     by_ranks = vocab.kind == "ranks" or ranks_are_merges(vocab)
-    sent = spark.sparkContext.broadcast((vocab, proved))  # bounded by the vocabulary file
+    sent = spark.sparkContext.broadcast((vocab.plain(), proved))  # bounded by the vocabulary file
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, whole = sent.value
-        codec = Codec.of(vocab)
+        plain, whole = sent.value
+        codec = Codec.of(VocabFile(*plain))
         known: dict[str, int] = {}
 
         def merged(word: str) -> int:

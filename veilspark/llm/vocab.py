@@ -26,7 +26,7 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 
 @dataclass(frozen=True)
 class VocabFile:
-    """The bytes of a vocabulary file with its kind; picklable, so it can be broadcast."""
+    """The bytes of a vocabulary file with its kind."""
 
     kind: str  # "json" or "ranks"
     data: bytes
@@ -40,6 +40,10 @@ class VocabFile:
             data = f.read()
         return cls("json" if path.endswith(".json") else "ranks", data, f"vocab-{zlib.crc32(data)}-{len(data)}")
 
+    def plain(self) -> tuple[str, bytes, str]:
+        """What a broadcast carries: executors need not have this class."""
+        return self.kind, self.data, self.key
+
 
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in .json vocabularies: printable bytes stand for themselves, the
