@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, fingerprint, packing, token_counts, toxicity
-from .common import read
+from . import bpe, chat, fingerprint, packing, pii, quality, sharding, token_counts, toxicity
+from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,14 +26,61 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Arrivals that the sharding query appends one after the other.
+ARRIVALS = 3
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in three parts; each is appended as small shards and compacted.  The result has a row
+    per document with the shard that holds it in the last version."""
+    docs = read(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, f"{shared_dir(spark)}/veilspark-shards-{uuid.uuid4().hex}")
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k), rows_per_file=4096)
+        store.compact()
+        store.vacuum()
+    store.files.deleteOnExit(store.java.Path(store.root))
+    return sharding.shard_of_rows(store, "doc_id", "n_chars")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    hard = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    back = chat.read_back(chat.format_chats(turns), keep=("formatted",))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join("learned", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
+#: The query's key; a user brings a secret one.
+PII_KEY = "example-key"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(read(spark, sf_dir, "documents"))
 
@@ -40,8 +88,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
+    "op5_chat": op5_chat,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
 }
 
