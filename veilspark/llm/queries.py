@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, fingerprint, packing, pii, quality, sharding, token_counts, toxicity
+from . import bpe, chat, fingerprint, jaccard, packing, pii, quality, sharding, token_counts, toxicity
 from .common import read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
     "op5_chat": op5_chat,
+    "op6_jaccard": op6_jaccard,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
