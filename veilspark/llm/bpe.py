@@ -2,9 +2,9 @@
 
 1. Every scan task splits its texts into pre-tokens, in blocks of bounded size.  A block keeps its documents as
    numbers of its distinct words in text order (the positions), and sends each distinct word once, with the
-   block's number and the word's number in it.
-2. The words are dealt by their own hash and sorted: a word is encoded once, and the ids go to each block that
-   asked.  A frequent word has as many rows as there are blocks, not occurrences.
+   block's and the word's number.  Words travel in packets: one for each block and bucket of word hashes.
+2. A bucket's owner encodes each distinct word once, whichever blocks ask for it, and answers each packet.  A
+   frequent word comes once a block, not once an occurrence.
 3. The answers meet the block's documents again (one partition, sorted, streamed), which are put together by
    position.
 
@@ -28,6 +28,18 @@ ship(__name__)
 #: Characters of text in a block, besides its last document, and distinct words at which a block ends.
 BLOCK_CHARS = 16_000_000
 BLOCK_WORDS = 400_000
+#: Buckets of word hashes, at least.
+BUCKETS = 512
+#: Sorts a block's documents behind the answers, whose number is that of their bucket.
+LAST = 2**31 - 1
+
+
+class Numbered(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
 
 
 def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -39,8 +51,9 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())  # bounded by the file
     id_type = docs.schema[id_col].dataType.simpleString()
     source = only(docs, id_col, text_col)
+    buckets = max(BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def blocks(batches: Iterator[pa.RecordBatch]):
+    def blocks(batches: Iterator[pa.RecordBatch], numbers: bool):
         """(block, {word: number}, [(id, numbers)]) again and again, the same for each run over a split.  A block's
         name also holds a stamp of its words: were splits dealt otherwise in another run, the block would find
         no answers and fail, not mix up words."""
@@ -50,48 +63,70 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
         from pyspark import TaskContext
 
         codec = Codec.of(VocabFile(*sent.value))
-        block, words, rows, chars = TaskContext.get().partitionId() << 20, {}, [], 0
+        block, words, rows, chars = TaskContext.get().partitionId() << 20, Numbered(), [], 0
 
         def name() -> int:
-            return block << 24 | zlib.crc32("".join([*words][:1000]).encode() + b"%d" % len(words)) & 0xFFFFFF
+            import itertools
+
+            return block << 24 | zlib.crc32("".join(itertools.islice(words, 1000)).encode() + b"%d" % len(words)) & 0xFFFFFF
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                pieces = codec.split(text)
-                for w in dict.fromkeys(pieces):
-                    if w not in words:
-                        words[w] = len(words)
-                rows.append((key.as_py(), np.fromiter(map(words.__getitem__, pieces), dtype="<u4", count=len(pieces))))
+                pieces = map(words.__getitem__, codec.split(text))
+                rows.append((key.as_py(), np.fromiter(pieces, dtype="<u4")) if numbers else all(n >= 0 for n in pieces))
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(words) >= BLOCK_WORDS:
                     yield name(), words, rows
-                    block, words, rows, chars = block + 1, {}, [], 0
+                    block, words, rows, chars = block + 1, Numbered(), [], 0
         if rows:
             yield name(), words, rows
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import itertools
+        import zlib
 
-        for block, words, _ in blocks(batches):
-            numbered = iter(words.items())
-            while some := list(itertools.islice(numbered, 20_000)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w.encode() for w, _ in some], pa.binary()), pa.array([block] * len(some), pa.int64()), pa.array([n for _, n in some], pa.int32())],
-                    names=["word", "block", "number"],
-                )
+        import numpy as np
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for block, words, _ in blocks(batches, False):
+            coded = [w.encode() for w in words]
+            bucket = np.fromiter((zlib.crc32(w) for w in coded), "u4", len(coded)) % np.uint32(buckets)
+            order = np.argsort(bucket, kind="stable")
+            names, starts = np.unique(bucket[order], return_index=True)
+            packets = []
+            for numbers in np.split(order, starts[1:]):
+                numbers = sorted(numbers.tolist(), key=coded.__getitem__)  # neighbours alike: they compress better
+                own = [coded[n] for n in numbers]
+                packets.append(squeeze(np.array([len(numbers), *numbers, *map(len, own)], "<u4").tobytes() + b"".join(own)))
+            for i in range(0, len(packets), 200):
+                some = packets[i : i + 200]
+                yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 200].astype("i4"), pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(some, pa.binary())], names=["bucket", "block", "packet"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import zstandard
 
-        codec, last, ids = Codec.of(VocabFile(*sent.value)), None, b""
+        squeeze, open_ = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+        codec, now, known = Codec.of(VocabFile(*sent.value)), None, {}
         for batch in batches:
             out = []
-            for word in batch.column(0).to_pylist():
-                if word != last:
-                    last, ids = word, np.array(codec.piece(word), dtype="<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["block", "number", "data"])
+            for bucket, packet in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if bucket != now or len(known) > BLOCK_WORDS:
+                    now, known = bucket, {}
+                raw = open_(packet.as_py())
+                n = int.from_bytes(raw[:4], "little")
+                numbers, sizes = np.frombuffer(raw, "<u4", n, 4), np.frombuffer(raw, "<u4", n, 4 + 4 * n)
+                ends = (4 + 8 * n + np.cumsum(sizes)).tolist()
+                ids, start = [], 4 + 8 * n
+                for end in ends:
+                    word, start = raw[start:end], end
+                    if word not in known:
+                        known[word] = codec.piece(word)
+                    ids.append(known[word])
+                flat = np.array([i for x in ids for i in x], "<u4")
+                out.append(squeeze(np.array([n], "<u4").tobytes() + planes(numbers) + planes(np.array([*map(len, ids)], "<u4")) + planes(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], names=["block", "number", "data"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents as numbers; they sort behind the answers of their block.  Compressed: a number has 10 bits
@@ -100,11 +135,11 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
         kind = pa.from_numpy_dtype("int32")
-        for block, _, rows in blocks(batches):
+        for block, _, rows in blocks(batches, True):
             for i in range(0, len(rows), 500):
                 some = rows[i : i + 500]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(some), pa.int64()), pa.array([2**31 - 1] * len(some), kind), pa.array([squeeze(planes(x)) for _, x in some], pa.binary()), pa.array([k for k, _ in some], batch_type)],
+                    [pa.array([block] * len(some), pa.int64()), pa.array([LAST] * len(some), kind), pa.array([squeeze(planes(x)) for _, x in some], pa.binary()), pa.array([k for k, _ in some], batch_type)],
                     names=["block", "number", "data", id_col],
                 )
 
@@ -112,32 +147,37 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
         """The four bytes of each number apart, low ones first: the high ones are mostly zero."""
         import numpy as np
 
-        return np.ascontiguousarray(numbers.view("u1").reshape(len(numbers), 4).T).tobytes()
+        return np.ascontiguousarray(np.ascontiguousarray(numbers).view("u1").reshape(len(numbers), 4).T).tobytes()
+
+    def whole(raw: bytes):
+        import numpy as np
+
+        return np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, len(raw) // 4).T).reshape(-1).view("<u4")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
-        now, words = None, {}
-        table: list[bytes] = []
+        now, table = None, {}
         for batch in batches:
-            keys, lists = [], []
-            for block, number, data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            keys, lists, size = [], [], 0
+            for block, number, data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 if block != now:
-                    now, words, table = block, {}, []
-                if number != 2**31 - 1:
-                    words[number] = data
+                    now, table = block, {}
+                raw = open_(data.as_py())
+                if number != LAST:
+                    n = int.from_bytes(raw[:4], "little")
+                    numbers, sizes = whole(raw[4 : 4 + 4 * n]).tolist(), whole(raw[4 + 4 * n : 4 + 8 * n])
+                    ids, ends = whole(raw[4 + 8 * n :]).tobytes(), (4 * np.cumsum(sizes)).tolist()
+                    table.update(zip(numbers, (ids[a:b] for a, b in zip([0, *ends], ends))))
                     continue
-                if words:
-                    table, words = [words[n] for n in range(len(words))], {}
-                raw = open_(data)
-                numbers = np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(4, len(raw) // 4).T).reshape(-1).view("<u4").tolist()
                 keys.append(key.as_py())
-                lists.append(np.frombuffer(b"".join(map(table.__getitem__, numbers)), "<i4"))
-                if sum(map(len, lists[-64:])) > 500_000 or len(lists) >= 2000:
+                lists.append(np.frombuffer(b"".join(map(table.__getitem__, whole(raw).tolist())), "<i4"))
+                size += len(lists[-1])
+                if size > 1_000_000:
                     yield listed(keys, lists)
-                    keys, lists = [], []
+                    keys, lists, size = [], [], 0
             if keys:
                 yield listed(keys, lists)
 
@@ -151,7 +191,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(docs.schema[id_col].dataType)
-    asked = source.mapInArrow(ask, "word binary, block long, number int").repartition("word").sortWithinPartitions("word")
+    asked = source.mapInArrow(ask, "bucket int, block long, packet binary").repartition("bucket").sortWithinPartitions("bucket")
     answered = asked.mapInArrow(answer, "block long, number int, data binary").withColumn(id_col, F.lit(None).cast(id_type))
     kept = source.mapInArrow(keep, f"block long, number int, data binary, `{id_col}` {id_type}")
     # The kept documents come first: the number of a union's task is then that of the split, as in the other pass.
