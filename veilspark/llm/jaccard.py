@@ -447,6 +447,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     then component_id is null.  Rows with the same id are documents of their own.  Further columns are left out;
     an empty table gives no rows.
     """
+    out = marked(docs, width, percent, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def marked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """id, key (hash of the text), n, component_id and stays: true for one document of each component, the one
+    with the smallest id, then key."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     buckets = max(BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -458,10 +465,33 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     clusters = components(candidate_links(tiles_of(table, percent, buckets), nodes, percent), "a", "b").withColumnRenamed("component", "cluster")
     wanted = write_once(clusters.join(nodes.select("node", "id", "key"), "node"), "wanted")
     found = write_once(exact_components(shingle_sets(rows, wanted, width), percent), "components")
-    ids = documents.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    ids = documents.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(place).alias("p"))
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    least = named.groupBy("component").agg(F.min("p").alias("least"))
     of_node = named.join(least, "component").select("node", "least")
     out = documents.join(of_node, "node", "left")
-    least = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least"))
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), least.alias("component_id"))
+    alone = F.col("node").isNull()
+    stays = alone | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key")))
+    return out.select("id", "key", "n", F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), stays.alias("stays"))
+
+
+def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all columns, without the documents of each component but one; of rows that repeat id and text
+    one stays.  Documents without words all stay."""
+    marks = write_once(marked(docs, width, percent, id_col, text_col), "marks")
+    gone = marks.where(~F.col("stays")).select("id", "key").distinct()
+    again = marks.where(F.col("stays") & (F.col("n") > 0)).groupBy("id", "key").count().where(F.col("count") > 1).select("id", "key")
+    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+    def joined(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
+        some = some.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"))
+        if some.count() <= BROADCAST_NODES:
+            some = F.broadcast(some)
+        return rows.join(some, (F.col("_key") == F.col("_gone_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")), how)
+
+    rows = joined(rows, gone, "left_anti")
+    if not again.isEmpty():
+        repeated = joined(rows, again, "left_semi").dropDuplicates([id_col, "_key"])
+        rows = joined(rows, again, "left_anti").unionByName(repeated)
+    return rows.drop("_key")

@@ -58,49 +58,66 @@ def repeated_words(words: Column) -> Column:
     return once(words, sized)
 
 
+#: The column that holds a row's measures while it is judged.
+HELD = "_quality_measures"
+
+
+def measured(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with a struct of the measures of each whole text."""
+    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    words = words_of(t)
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
+    again = once(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
+    of_words = once(words, lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("again")))
+    rows = docs.withColumns({HELD + "_l": again, HELD + "_w": of_words})
+    long = lambda c: c.cast("long")
+    held = {
+        "n_words": F.col(HELD + "_w.n"),
+        "word_chars": F.length(F.regexp_replace(t, SPACES, "")),
+        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_dup_lines": F.col(HELD + "_l.again"),
+        "n_repeat_words": F.col(HELD + "_w.again"),
+        "n_lines": F.col(HELD + "_l.all"),
+        "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
+        "n_shouts": F.length(t) - F.length(F.translate(t, "!", "")),
+        "n_stops": F.regexp_count(t, F.lit(r"[.?;:](?=\s|$)")),
+    }
+    return rows.withColumn(HELD, F.struct(*[long(c).alias(n) for n, c in held.items()])).drop(HELD + "_l", HELD + "_w")
+
+
 def measures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the measures of its whole text; one pass over the scan."""
-    t = F.col("_t")
-    rows = only(docs, id_col, text_col).select(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    rows = rows.withColumn("_w", words_of(t))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))
-    n_lines = once(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("again")))
-    rows = rows.select(
-        F.col(f"`{id_col}`"),
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        n_lines.alias("_l"),
-        repeated_words(F.col("_w")).cast("long").alias("n_repeat_words"),
-        F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
-        (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long").alias("n_shouts"),
-        F.regexp_count(t, F.lit(r"[.?;:](?=\s|$)")).cast("long").alias("n_stops"),
-    )
-    return rows.select("*", F.col("_l.all").cast("long").alias("n_lines"), F.col("_l.again").cast("long").alias("n_dup_lines")).drop("_l")
-
-
-def votes() -> dict[str, Column]:
+    return measured(only(docs, id_col, text_col), text_col).select(F.col(f"`{id_col}`"), f"{HELD}.*")
+
+
+def votes(held: str = "") -> dict[str, Column]:
     """A rule that looks for one kind of junk says nothing about the others: it votes bad or abstains.  Only
     well-formed sentences speak for a text."""
-    n, c = F.col("n_words"), F.col("word_chars")
+    m = measure(held)
+    n, c = m("n_words"), m("word_chars")
 
     def bad_if(bad: Column, good: Column | None = None) -> Column:
         vote = F.when(n == 0, ABSTAIN).when(bad, BAD)
         return (vote if good is None else vote.when(good, GOOD)).otherwise(ABSTAIN)
 
     return {
-        "case": bad_if(F.col("n_upper") * 10 > c * 3),
-        "shouts": bad_if(F.col("n_shouts") * 8 > n),
-        "symbols": bad_if(F.col("n_symbols") * 8 > n),
-        "lines": bad_if(F.col("n_dup_lines") * 5 > F.col("n_lines") * 2),
-        "repeats": bad_if(F.col("n_repeat_words") * 10 > n * 3),
+        "case": bad_if(m("n_upper") * 10 > c * 3),
+        "shouts": bad_if(m("n_shouts") * 8 > n),
+        "symbols": bad_if(m("n_symbols") * 8 > n),
+        "lines": bad_if(m("n_dup_lines") * 5 > m("n_lines") * 2),
+        "repeats": bad_if(m("n_repeat_words") * 10 > n * 3),
         "lengths": bad_if((c < n * 2) | (c > n * 14)),
-        "sentences": bad_if(F.lit(False), F.col("n_stops") * 60 >= n),
+        "sentences": bad_if(F.lit(False), m("n_stops") * 60 >= n),
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+def measure(held: str):
+    return lambda name: F.col(f"{held}.{name}" if held else name)
+
+
+def base_failed(held: str = "") -> Column:
+    m = measure(held)
+    return (m("n_words") < 50) | (m("n_repeat_words") * 100 > m("n_words") * 50)
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[int, ...], float]:
@@ -146,14 +163,31 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
     estimate.  The measures of each row, a few numbers, are written once to the shared folder, so that counting
     the patterns and judging read texts once.
     """
-    spark = docs.sparkSession
     rows = write_once(measures(docs, id_col=id_col, text_col=text_col), "quality")
-    voted = rows.select("*", base_failed().alias("base_failed"), *[v.cast("int").alias(f"_{k}") for k, v in votes().items()])
-    names = [f"_{k}" for k in RULES]
-    counted = voted.where(~F.col("base_failed")).groupBy(*names).count().collect()  # 3^rules rows at most
-    belief = estimate({tuple(r[n] for n in names): r["count"] for r in counted})
-    table = spark.createDataFrame([(*p, q) for p, q in sorted(belief.items())], ", ".join(f"{n} int" for n in names) + ", quality double")
-    out = voted.join(F.broadcast(table), names, "left")
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("quality"), F.lit(0.0)) >= threshold)
-    own = [F.col(f"`{id_col}`"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return out.select(*own, F.when(F.col("base_failed"), 0.0).otherwise(F.col("quality")).alias("quality"), kept.alias("kept"))
+    out = with_quality(rows, beliefs(rows), "")
+    own = [F.col(f"`{id_col}`"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return out.select(*own, base_failed().alias("base_failed"), F.col("_quality").alias("quality"), (F.col("_quality") >= threshold).alias("kept"))
+
+
+def beliefs(rows: DataFrame, held: str = "") -> dict[tuple[int, ...], float]:
+    """The posterior of each vote pattern among rows with measures; collects 3^rules rows at most."""
+    cast = [v.cast("int").alias(k) for k, v in votes(held).items()]
+    counted = rows.where(~base_failed(held)).select(*cast).groupBy(*RULES).count().collect()
+    return estimate({tuple(r[n] for n in RULES): r["count"] for r in counted})
+
+
+def with_quality(rows: DataFrame, belief: dict[tuple[int, ...], float], held: str) -> DataFrame:
+    """rows with _quality: the posterior of their votes, 0 where the base rule fails."""
+    names = [f"_vote_{k}" for k in RULES]
+    table = rows.sparkSession.createDataFrame([(*p, q) for p, q in sorted(belief.items())], ", ".join(f"{n} int" for n in names) + ", _posterior double")
+    voted = rows.withColumns({n: v.cast("int") for n, v in zip(names, votes(held).values())})
+    quality = F.when(base_failed(held), 0.0).otherwise(F.coalesce("_posterior", F.lit(0.0)))
+    return voted.join(F.broadcast(table), names, "left").withColumn("_quality", quality).drop(*names, "_posterior")
+
+
+def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that judge() keeps, with all their columns.  Measures are computed twice, for the estimate and
+    for the decision, so that no text is shuffled or written."""
+    rows = measured(docs, text_col)
+    out = with_quality(rows, beliefs(rows, HELD), HELD)
+    return out.where(F.col("_quality") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

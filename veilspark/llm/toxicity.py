@@ -225,3 +225,16 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     out = only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, spans array<struct<start:int,end:int,probability:double>>")
     columns = [F.col(f"`{id_col}`"), held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")]
     return out.select(*columns, *["spans"] * spans)
+
+
+def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows whose score is below the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.plain())
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array([model.document(model.sentences(t.as_py() or "")) < threshold for t in batch.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
