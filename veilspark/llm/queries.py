@@ -102,4 +102,26 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+#: op5: escapes double a backslash and turn # and < into two characters; a turn has "### ", ": " and "</turn>\n"
+#: around it, or "<+>" before it where its role is that of the turn before.
+CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+p AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role, false) AS again FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', '')) + CASE WHEN again THEN 3 ELSE length(role) + 14 END) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS d, doc_id AS o FROM w UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.o)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT d AS doc_id, min(o) AS component_id FROM r GROUP BY 1) m USING (doc_id)"""
+
+#: The other queries train, tokenize, permute or fingerprint, which SQL can't; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op5_chat": CHAT_SQL, "op6_jaccard": JACCARD_SQL}
