@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import luhn_valid, normalise_bilingual, shape, structural_mask
@@ -592,22 +592,23 @@ def feature_opportunities(spark, sf):
 def ragged_report(spark, sf):
     """A report made of orders and lineitem: master rows, lines, wrapped text, page noise."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_tax", place.alias("k"))
     none = F.lit(None).cast("string")
     name = ["a", "b", "c", "d", "e", "f", "g"]
-    at = lambda k, n, step: (F.col(k) * 100 + n * 4 + step).alias("_ord")
+    at = lambda k, n, step: (F.col(k) * 1000 + n * 4 + step).alias("_ord")
     doc = F.concat(F.lit("INV-"), F.format_string("%06d", F.col("o_orderkey")))
     masters = o.select(at("o_orderkey", F.lit(0), 0), doc.alias("a"), F.col("day").alias("b"), F.concat(F.lit("K"), F.format_string("%05d", F.col("o_custkey"))).alias("c"), F.lit("Buyer").alias("d"), none.alias("e"), none.alias("f"), F.round(F.col("o_totalprice"), 2).cast("decimal(18,2)").cast("string").alias("g"))
     n = F.col("l_linenumber")
     money = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
-    lines = li.select(at("l_orderkey", n, 1), n.cast("string").alias("a"), none.alias("b"), none.alias("c"), F.concat(F.lit("widget "), n.cast("string")).alias("d"), money(F.col("l_quantity")).alias("e"), money(F.col("l_extendedprice") / F.col("l_quantity")).alias("f"), money(F.col("l_extendedprice")).alias("g"))
-    wraps = li.where("l_linenumber % 2 = 0").select(at("l_orderkey", n, 2), *[none.alias(c) for c in "abc"], F.lit("in blue").alias("d"), *[none.alias(c) for c in "efg"])
-    noise = li.where("l_linenumber % 3 = 0").select(at("l_orderkey", n, 3), F.lit("Page 1").alias("a"), *[none.alias(c) for c in name[1:]])
+    lines = li.select(at("l_orderkey", F.col("k"), 1), n.cast("string").alias("a"), none.alias("b"), none.alias("c"), F.concat(F.lit("widget "), n.cast("string")).alias("d"), money(F.col("l_quantity")).alias("e"), money(F.col("l_tax")).alias("f"), money(F.col("l_extendedprice")).alias("g"))
+    wraps = li.where("l_linenumber % 2 = 0").select(at("l_orderkey", F.col("k"), 2), *[none.alias(c) for c in "abc"], F.lit("in blue").alias("d"), *[none.alias(c) for c in "efg"])
+    noise = li.where("l_linenumber % 3 = 0").select(at("l_orderkey", F.col("k"), 3), F.lit("Page 1").alias("a"), *[none.alias(c) for c in name[1:]])
     return masters.unionByName(lines).unionByName(wraps).unionByName(noise)
 
 
 @query("""
-SELECT l_linenumber::BIGINT AS "Sequence", '' AS "GL-Code", round(l_quantity, 2) AS "Quantity", 'CTN' AS "UOM", round(l_extendedprice / l_quantity, 2) AS "Unit Price", round(l_extendedprice, 2) AS "Item Amount",
+SELECT l_linenumber::BIGINT AS "Sequence", '' AS "GL-Code", round(l_quantity, 2) AS "Quantity", 'CTN' AS "UOM", round(l_tax, 2) AS "Unit Price", round(l_extendedprice, 2) AS "Item Amount",
 'INV-' || lpad(o_orderkey::VARCHAR, 6, '0') AS doc_no, strftime(o_orderdate, '%Y-%m-%d') AS doc_date, 'K' || lpad(o_custkey::VARCHAR, 5, '0') AS customer_code, 'Buyer' AS customer_name,
 round(o_totalprice, 2) AS invoice_total, 'widget ' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ' in blue' ELSE '' END AS "Full_Description" FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def ledger_flatten(spark, sf):
@@ -650,7 +651,7 @@ def nndr(spark, sf):
 
 @query("""
 WITH m AS (SELECT o_totalprice AS x, o_orderkey % 2 = 0 AS y FROM orders), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS k FROM m)
-SELECT round((sum(k) FILTER (NOT y) - count(*) FILTER (NOT y) * (count(*) FILTER (NOT y) + 1) / 2.0::DOUBLE) / (count(*) FILTER (NOT y) * count(*) FILTER (y)), 9) AS auc FROM r""")
+SELECT round((sum(k) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (count(*) FILTER (NOT y) * count(*) FILTER (y)), 9) AS auc FROM r""")
 def mia_auc(spark, sf):
     return audit.auc(table(spark, sf, "orders").select("o_totalprice", (F.col("o_orderkey") % 2 == 0).alias("y")), "o_totalprice", "y").withColumn("auc", F.round(F.col("auc"), 9))
 
