@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship
+from .common import only, ship, tidied
 
 ship(__name__)
 
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             texts = [x.as_py() or "" for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([text_of(vector(t)) for t in texts])], names=[id_col, "n_chars", "fingerprint"])
 
-    return only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, n_chars long, fingerprint string")
+    return only(docs, id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {id_type}, n_chars long, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -158,7 +158,7 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(docs.schema[id_col].dataType)
-    within = ranged.sortWithinPartitions(*order).select("k", "t").mapInArrow(inner, schema)
+    within = ranged.sortWithinPartitions(*order).select("k", "t").mapInArrow(tidied(inner), schema)
     # With a given number of partitions they are read as they were dealt, so partition numbers name ranges.
     place = F.struct(F.col("k").isNull().alias("n"), F.bitwise_not("k").alias("k"), "h", "t")  # descending
     ends = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min_by(F.struct("k", "t"), place).alias("head"), F.max_by(F.struct("k", "t"), place).alias("tail"))
@@ -166,5 +166,5 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     in_turn = Window.orderBy("p")  # a row for each partition
     ends = ends.select("tail", F.coalesce(F.lead("head").over(in_turn), F.first("head").over(in_turn)).alias("head"))
-    across = ends.select("tail.k", "tail.t", F.col("head.t").alias("f")).mapInArrow(outer, schema)
+    across = ends.select("tail.k", "tail.t", F.col("head.t").alias("f")).mapInArrow(tidied(outer), schema)
     return within.unionByName(across)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, ship, write_once
+from .common import only, ship, tidied, write_once
 from .components import components
 
 ship(__name__)
@@ -126,7 +126,7 @@ def heavy_shingles(rows: DataFrame, width: int) -> tuple[bytes, bytes]:
         if sets:
             yield flush(sets, len(sets))
 
-    found = rows.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = rows.select("text").mapInArrow(tidied(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = [(r["h"], r["n"]) for r in found.orderBy(F.desc("n"), "h").limit(HEAVY).collect()]
     h = np.array([h for h, _ in top], "i8").view("u8")
     rank = np.arange(len(top), 0, -1).astype("u4")  # the most frequent last
@@ -209,7 +209,7 @@ def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buc
         if keys:
             yield from packets()
 
-    table = rows.mapInArrow(run, f"id {id_type}, key long, node long, n int, bits binary, bucket int, packet binary")
+    table = rows.mapInArrow(tidied(run), f"id {id_type}, key long, node long, n int, bits binary, bucket int, packet binary")
     return write_once(table, "nodes")
 
 
@@ -276,7 +276,7 @@ def tiles_of(table: DataFrame, percent: int, buckets: int) -> DataFrame:
             yield from bucket_tiles(parts)
 
     packets = table.where(F.col("bucket").isNotNull()).select("bucket", "packet")
-    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "tile long, nodes array<long>")
+    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "tile long, nodes array<long>")
     return found.dropDuplicates(["tile"])
 
 
@@ -323,7 +323,7 @@ def candidate_links(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFra
 
     rows = tiles.select("tile", F.explode("nodes").alias("node")).join(nodes.select("node", "n", "bits"), "node")
     rows = rows.select("tile", "node", "n", "bits").repartition("tile").sortWithinPartitions("tile", "n", "node")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def exact_components(sets: DataFrame, percent: int) -> DataFrame:
@@ -404,7 +404,7 @@ def exact_components(sets: DataFrame, percent: int) -> DataFrame:
             if file:
                 file.close()
 
-    return sets.repartition("cluster").sortWithinPartitions("cluster", "n", "node").mapInArrow(run, "node long, component long")
+    return sets.repartition("cluster").sortWithinPartitions("cluster", "n", "node").mapInArrow(tidied(run), "node long, component long")
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -434,7 +434,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         wanted = F.broadcast(wanted)
     w = wanted.select(F.col("id").alias("w_id"), F.col("key").alias("w_key"), "node", "cluster")
     picked = rows.join(w, (rows["key"] == w["w_key"]) & rows["id"].eqNullSafe(w["w_id"]))
-    return picked.select("cluster", "node", "text").mapInArrow(run, "cluster long, node long, n int, hashes binary")
+    return picked.select("cluster", "node", "text").mapInArrow(tidied(run), "cluster long, node long, n int, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

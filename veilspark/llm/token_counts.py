@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import only, ship
+from .common import only, ship, tidied
 from .vocab import Codec, VocabFile, ranks_are_merges, whole_tokens
 
 ship(__name__)
@@ -63,4 +63,4 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return only(docs, id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return only(docs, id_col, text_col).mapInArrow(tidied(count), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, only, ship, write_once
+from .common import drop_table, only, ship, small_batches, tidied, write_once
 
 ship(__name__)
 
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             f, a, b = zip(*rows[i : i + 20_000])
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["feature", "toxic", "clean"])
 
-    counts = bags.mapInArrow(counted, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
+    counts = bags.mapInArrow(tidied(counted), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("c"))
     counts = write_once(counts, "toxicity-counts")  # of the bounded sample
     size = counts.where("feature = ''").first()
     n1, n0 = (int(size["a"]), int(size["c"])) if size else (0, 0)
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 rows.append([list(x) for x in bag if x])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["y", "bag"])
 
-    rows = bags.mapInArrow(reduced, "y int, bag array<array<int>>").collect()  # of the bounded sample
+    rows = bags.mapInArrow(tidied(reduced), "y int, bag array<array<int>>").collect()  # of the bounded sample
     return trained(chosen, [(r["y"], r["bag"]) for r in rows], share, model.heads)
 
 
@@ -222,7 +222,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 found.append([{"start": a, "end": b, "probability": p} for a, b, p in sentences if p >= 0.5])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(found, kind)], names=[id_col, "score", "spans"])
 
-    out = only(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, score double, spans array<struct<start:int,end:int,probability:double>>")
+    out = only(docs, id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {id_type}, score double, spans array<struct<start:int,end:int,probability:double>>")
     columns = [F.col(f"`{id_col}`"), held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")]
     return out.select(*columns, *["spans"] * spans)
 
@@ -230,6 +230,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose score is below the threshold, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,4 +238,4 @@ def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
         for batch in batches:
             yield batch.filter(pa.array([model.document(model.sentences(t.as_py() or "")) < threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

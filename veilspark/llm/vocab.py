@@ -8,6 +8,7 @@ authority for ``.json`` files: texts with characters outside the plain ranges go
 from __future__ import annotations
 
 import base64
+import functools
 import json
 from dataclasses import dataclass
 
@@ -72,11 +73,8 @@ class Codec:
 
         self.ranks = ranks_of(vocab)
         self.special: dict[str, int] = {}
-        self.library = None
+        self.json = vocab.data.decode() if vocab.kind == "json" else None
         if vocab.kind == "json":
-            from tokenizers import Tokenizer
-
-            self.library = Tokenizer.from_str(vocab.data.decode())
             self.special = {t["content"]: t["id"] for t in json.loads(vocab.data)["added_tokens"]}
         self.engine = tiktoken.Encoding(vocab.key, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
         self.piece = self.engine._core_bpe.encode_single_piece
@@ -89,12 +87,19 @@ class Codec:
     def of(cls, vocab: VocabFile) -> "Codec":
         return process_cache(vocab.key, lambda: cls(vocab))
 
+    @functools.cached_property
+    def library(self):
+        """The library's own tokenizer, loaded when the first odd text comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.json)
+
     def split(self, text: str) -> list[str]:
         return self.split_any(text) if self.unplain(text) else self.split_plain(text)
 
     def odd(self, text: str) -> bool:
         """Whether the library itself has to encode this text: special strings or characters beyond the plain."""
-        return self.library is not None and bool(self.unplain(text) or self.special_in(text))
+        return self.json is not None and bool(self.unplain(text) or self.special_in(text))
 
     def ids(self, text: str):
         """The ids of a whole text as unsigned 32-bit numbers."""
@@ -134,7 +139,7 @@ def whole_tokens(vocab: VocabFile) -> set[str]:
         except UnicodeDecodeError:
             continue
     names = [t for t in texts if not codec.odd(t) and codec.split(t) == [t]]
-    if codec.library is not None:
+    if codec.json is not None:
         coded = [e.ids for e in codec.library.encode_batch_fast(names, add_special_tokens=False)]
     else:
         coded = [codec.piece(t.encode()) for t in names]
