@@ -68,8 +68,8 @@ class Vault:
             place = F.col(f"`{order}`").cast("long") if order else F.lit(0).cast("long")
             parts = [(strip(F.col(f"`{c}`").cast("string")), rules.tag_of(c)) for c in secret_columns(df, policy)]
             pieces = [F.array(F.struct(v.alias("raw"), F.lit(tag).alias("tag"), F.lit(i).alias("rank"))) for i, (v, tag) in enumerate(parts)]
-            for i, (c, name, pattern, tag) in enumerate(cls._patterns(df, policy, taught)):
-                found_here = F.coalesce(matches(F.col(f"`{c}`"), name, pattern), F.array().cast("array<string>"))
+            for i, (_, text, name, pattern, tag) in enumerate(cls._patterns(df, policy, taught)):
+                found_here = F.coalesce(matches(text, name, pattern), F.array().cast("array<string>"))
                 pieces.append(F.transform(found_here, _hit(tag, 1000 + i)))
             if not pieces:
                 continue
@@ -85,12 +85,16 @@ class Vault:
 
     @staticmethod
     def _patterns(df: DataFrame, policy: rules.Policy, taught: dict[str, tuple[str, str]]):
+        """(column, text to search, name, pattern, tag).  The policy's patterns look at the whole text; each taught
+        one at what those taught before it have left."""
         for c in text_columns(df, policy):
+            text = F.col(f"`{c}`")
             for name, pattern in policy.patterns.items():
-                yield c, name, pattern, name.split("_")[0]
+                yield c, text, name, pattern, name.split("_")[0]
             for field, (pattern, tag) in taught.items():
                 if field == c or field not in df.columns:
-                    yield c, field, pattern, tag
+                    yield c, text, field, pattern, tag
+                    text = F.regexp_replace(text, pattern, "\u0001")
 
     def stats(self) -> DataFrame:
         return self.table.groupBy("tag").agg(F.count("*").alias("n"))
@@ -107,12 +111,12 @@ class Vault:
             look = self.table.select(F.col("raw").alias("_raw"), F.col("token").alias("_token"))
             value = F.col(f"`{c}`").cast("string")
             out = out.join(look, strip(value) == F.col("_raw"), "left").withColumn(c, F.coalesce("_token", value)).drop("_raw", "_token")
-        patterns: dict[str, list[tuple[str, str]]] = {}
-        for c, name, pattern, _ in self._patterns(df, self.policy, self.taught):
-            patterns.setdefault(c, []).append((name, pattern))
+        patterns: dict[str, list[Column]] = {}
+        for c, text, name, pattern, _ in self._patterns(df, self.policy, self.taught):
+            patterns.setdefault(c, []).append(matches(text, name, pattern))
         for c, own in patterns.items():
             if c not in keep:
-                out = replaced(out, c, F.array_distinct(F.concat(*[matches(F.col(f"`{c}`"), n, p) for n, p in own])), self.table.select("raw", F.col("token").alias("to")))
+                out = replaced(out, c, F.array_distinct(F.concat(*own)), self.table.select("raw", F.col("token").alias("to")))
         return out.select(*[F.col(f"`{c}`") for c in df.columns])
 
     def restore(self, df: DataFrame) -> DataFrame:

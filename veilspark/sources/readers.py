@@ -59,7 +59,7 @@ def _csv(spark: SparkSession, path: str, header: bool, _sheet) -> DataFrame:
     """UTF-8, or Latin-1 where that fails; longer rows are cut, shorter ones filled with null."""
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
     options = {"sep": sep, "header": header, "mode": "PERMISSIVE", "inferSchema": header, "enforceSchema": True, "multiLine": False}
-    bad = spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1).count()
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     df = spark.read.options(**options, encoding="ISO-8859-1" if bad else "UTF-8").csv(path)
     return df if header else df.toDF(*[str(i) for i in range(len(df.columns))])
 
