@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import scalars
-from veilspark.operators import audit, charts, features, insight, ledger, links, mask, policy, profile, risk, synth
+from veilspark.operators import audit, charts, features, insight, ledger, links, mask, policy, profile, relational, risk, synth
 from veilspark.operators.vault import Vault, infer_pattern
 from veilspark.plans import lifecycle, report, sandbox
 from veilspark.sources import readers, sinks
@@ -215,6 +215,23 @@ def test_before_and_after(spark):
     assert one(profile.retention_audit(df, df.where("false")))["reason"] == "empty result"
 
 
+def test_relational_parts(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "RANGE_ROWS", 2)
+    df = spark.createDataFrame([(0, None), (1, "a"), (2, None), (3, None), (4, "b"), (5, None)], "n long, v string").repartition(3)
+    assert {r.n: r.v for r in relational.forward_fill(df, "v", "n").collect()} == {0: None, 1: "a", 2: "a", 3: "a", 4: "b", 5: "b"}
+    raw = spark.createDataFrame([("7", "1,5", " x ", None)], "Sequence string, Unit_Price string, Item_Code string, extra string")
+    out = relational.canonical_order(relational.typed(relational.canonical_names(raw)))
+    assert out.columns == ["Sequence", "GL-Code", "Unit Price", "extra"] and tuple(out.first()) == (7, "x", 15.0, "")
+    assert one(relational.fill_defaults(spark.createDataFrame([(None, None)], "Sequence long, a string"))) == {"Sequence": 1000, "a": ""}
+    wide = spark.createDataFrame([(0, "Title", *[None] * 7), (1, *"abcdefgh"), (2, *"12345678")], ", ".join(["_ord long", *[f"c{i} string" for i in range(8)]]))
+    assert relational.header_offset(wide, "_ord") == 1
+    assert [r.n for r in relational.sort_by_total(spark.createDataFrame([(0, 1), (1, 5), (2, 5)], "n int, grand_total int"), "n").collect()] == [1, 2, 0]
+    a, b = relational.halves(spark.range(100), "id")
+    assert a.count() + b.count() == 100 and a.intersect(b).count() == 0 and 30 < a.count() < 70
+    assert relational.shuffled(spark.range(50), "id").collect() == relational.shuffled(spark.range(50), "id").collect() != spark.range(50).collect()
+    assert {r.column: r.change for r in relational.column_sets(df, df.withColumn("w", F.lit(1)).drop("v")).collect()} == {"n": "KEPT", "v": "DROPPED", "w": "ADDED"}
+
+
 # Column intelligence
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import luhn_valid, normalise_bilingual, shape, structural_mask
-from ..operators import audit, charts, features, insight, ledger, links, mask, policy, profile, risk, synth
+from ..operators import audit, charts, features, insight, ledger, links, mask, policy, profile, relational, risk, synth
 from ..operators.vault import Vault
 from ..plans import sandbox
 
@@ -621,6 +621,58 @@ def ragged_check(spark, sf):
     return ledger.is_ragged(ragged_report(spark, sf))
 
 
+# Relational parts
+
+
+@query("""
+WITH g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END AS p FROM orders)
+SELECT o_orderkey, last_value(p IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS p FROM g""")
+def forward_fill(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("p"))
+    return relational.forward_fill(rows, "p", "o_orderkey")
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows, CAST(sum(n) AS BIGINT) - count(*) AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey)")
+def duplicate_rows(spark, sf):
+    return relational.duplicates(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey"))
+
+
+@query("""
+SELECT coalesce(a.v, b.v) AS value, a.v IS NOT NULL AS in_a, b.v IS NOT NULL AS in_b FROM (SELECT DISTINCT c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0) a
+FULL JOIN (SELECT DISTINCT s_nationkey AS v FROM supplier) b ON a.v = b.v""")
+def value_sets(spark, sf):
+    a = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("k"))
+    return relational.value_sets(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k")
+
+
+@query("""
+SELECT 'RAW' AS state, count(*) AS rows, 2 AS columns, 0::BIGINT AS nulls, 0::BIGINT AS masked_cells FROM customer UNION ALL SELECT 'PROTECTED', count(*), 2, 0, count(*) FROM customer
+UNION ALL SELECT 'CLEAN', count(*), 2, 0, 0 FROM customer WHERE c_custkey > 100""")
+def three_way(spark, sf):
+    raw = table(spark, sf, "customer").select("c_custkey", "c_name")
+    return relational.three_way(raw, Vault.build([raw]).tokenise(raw), raw.where("c_custkey > 100"))
+
+
+@query()
+def kpi_cards(spark, sf):
+    raw = orders_nulled(spark, sf)
+    return relational.kpi_cards(raw, raw.dropna())
+
+
+@query("""
+SELECT 'o_orderkey' AS "column", 'IDENTIFIER' AS kind, 0.0::DOUBLE AS loss_percent UNION ALL SELECT 'o_custkey', 'IDENTIFIER', 0.0
+UNION ALL SELECT 'o_orderstatus', 'DIMENSION', round(100 - round(count(o_orderstatus) * 100.0::DOUBLE / count(*), 2), 2) FROM %s
+UNION ALL SELECT 'o_orderpriority', 'DIMENSION', round(100 - round(count(o_orderpriority) * 100.0::DOUBLE / count(*), 2), 2) FROM %s""" % (ORDERS_NULLED, ORDERS_NULLED))
+def cartography(spark, sf):
+    return relational.cartography(orders_nulled(spark, sf))
+
+
+@query()
+def column_sets(spark, sf):
+    o = table(spark, sf, "orders")
+    return relational.column_sets(o, o.drop("o_orderstatus").withColumn("flag", F.lit(1)))
+
+
 # Attacks
 
 
