@@ -32,7 +32,7 @@ def pattern_summary(df: DataFrame, order: str) -> DataFrame:
         .otherwise("TEXT")
     )
     cells = cells.where(F.col("cell").isNotNull() & (s != "")).select(kind.alias("category"), s.alias("cell"), F.struct("_at", "column").alias("at"))
-    first = cells.groupBy("category").agg(F.min_by("cell", "at").alias("example"))
+    first = cells.groupBy("category").agg(F.min(F.struct("at", "cell")).alias("first")).select("category", F.col("first.cell").alias("example"))
     return first.select("category", "example", structural_mask(F.col("example")).alias("masked"))
 
 

@@ -18,7 +18,6 @@ from ..functions.scalars import luhn_valid, strip
 from . import policy as rules
 
 TOKEN = r"<[A-Z_]+_\d+>"
-RANGES = 64
 
 
 def infer_pattern(example: str, field: str = "") -> tuple[str, str]:
@@ -81,7 +80,12 @@ class Vault:
         first = F.struct("table", "rank", "at")
         values = found.groupBy("raw").agg(F.min_by("tag", first).alias("tag"), F.min(F.struct("table", "at", "rank")).alias("first"))
         keys = [F.col("first"), F.col("raw")] if order else [F.col("raw")]
-        return cls(numbered(values, "tag", keys), policy, taught)
+        # kept in memory for the session, as every table and column meets it; lost parts are made again
+        return cls(numbered(values, "tag", keys).cache(), policy, taught)
+
+    def flush(self) -> None:
+        """Forget the tokens' table; a later use makes it again."""
+        self.table.unpersist()
 
     @staticmethod
     def _patterns(df: DataFrame, policy: rules.Policy, taught: dict[str, tuple[str, str]]):
@@ -136,11 +140,12 @@ def _hit(tag: str, rank: int):
 def numbered(values: DataFrame, by: str, keys: list[Column]) -> DataFrame:
     """values with seq (1, 2, ... within ``by`` in the order of keys) and token.  Two steps: ranks within ranges of
     keys, then the sizes of the ranges before."""
-    ranged = values.repartitionByRange(RANGES, F.col(by), *keys).withColumn("_range", F.spark_partition_id())
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: AQE leaves them apart
+    ranged = values.repartitionByRange(ranges, F.col(by), *keys).withColumn("_range", F.spark_partition_id())
     ranked = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range", by).orderBy(*keys)))
     sizes = ranged.groupBy("_range", by).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranked.join(F.broadcast(before.drop("_n")), ["_range", by])  # RANGES rows a tag
+    out = ranked.join(F.broadcast(before.drop("_n")), ["_range", by])  # a row per range and tag
     seq = (F.col("_in") + F.col("_before")).cast("long")
     return out.select("raw", by, seq.alias("seq"), F.concat(F.lit("<"), F.col(by), F.lit("_"), seq.cast("string"), F.lit(">")).alias("token"))
 
