@@ -31,7 +31,8 @@ HEAVY, HEAVY_LOCAL = 1 << 16, 8
 BUCKETS = 512
 #: Nodes that may be broadcast to pick documents; beyond that they are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-#: Bytes of one component's shingle sets in memory; beyond that they are in a temporary file while it is searched.
+#: Bytes of one component's shingle sets in memory; beyond that a task spills them, as Spark's own sorts do, to an
+#: unnamed file in its executor's Spark scratch folder, which nothing but the task reads.
 SETS_IN_MEMORY = 200_000_000
 #: Fixed odd multipliers of the words of a shingle.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -330,6 +331,7 @@ def exact_components(sets: DataFrame, percent: int) -> DataFrame:
     """node, component from (cluster, node, n, hashes): exact intersections within each cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
         import tempfile
 
         import numpy as np
@@ -396,7 +398,7 @@ def exact_components(sets: DataFrame, percent: int) -> DataFrame:
                 ends.append(size + (ends[-1] if ends else 0))
                 held += 8 * size
                 if held > SETS_IN_MEMORY:
-                    file = file or tempfile.TemporaryFile()
+                    file = file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
                     file.write(b"".join(parts))
                     parts, held = [], 0
         if node:
