@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.scalars import luhn_valid
 from . import policy, risk
 from .risk import as_text
+from .running import running_total
 
 #: Weights of the tests in their tier's score.
 TIER_1 = {"canary": 25, "pii_scan": 25, "singling_out": 25, "l_diversity": 25}
@@ -197,10 +198,8 @@ def nndr(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical:
 def auc(scores: DataFrame, score: str, member: str) -> DataFrame:
     """auc by rank sums: ties count half.  Ranks come from counts per distinct score, not from pairs."""
     counts = scores.groupBy(F.col(score).alias("x")).agg(F.sum(F.col(member).cast("long")).alias("m"), F.sum((~F.col(member)).cast("long")).alias("o"))
-    # running totals by range partitions: distinct scores may be many
-    ordered = Window.orderBy("x")
-    run = counts.withColumn("before", F.sum("o").over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
-    row = run.agg(F.sum(F.col("m") * (F.coalesce("before", F.lit(0)) + F.col("o") / 2)).alias("u"), F.sum("m").alias("m"), F.sum("o").alias("o"))
+    run = running_total(counts, [F.col("x")], F.col("o"), "upto").withColumn("before", F.col("upto") - F.col("o"))
+    row = run.agg(F.sum(F.col("m") * (F.col("before") + F.col("o") / 2)).alias("u"), F.sum("m").alias("m"), F.sum("o").alias("o"))
     return row.select(F.when((F.col("m") > 0) & (F.col("o") > 0), F.col("u") / (F.col("m") * F.col("o"))).otherwise(0.5).alias("auc"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import policy
 from .profile import is_numeric, missingness
+from .running import running_total
 
 #: Standard normal quantiles of the ladder, and the limit of what counts as close.
 LADDER = ((0.01, -2.326), (0.05, -1.645), (0.10, -1.282), (0.25, -0.674), (0.50, 0.0), (0.75, 0.674), (0.90, 1.282), (0.95, 1.645), (0.99, 2.326))
@@ -105,10 +106,11 @@ def regional_density(df: DataFrame, region: str) -> DataFrame:
 def pareto(df: DataFrame, category: str, measure: str) -> DataFrame:
     """category, value, cumulative percent, vital: whether it is among the vital few (80 percent)."""
     sums = df.where(F.col(f"`{category}`").isNotNull()).groupBy(F.col(f"`{category}`").cast("string").alias("category")).agg(F.sum(F.col(f"`{measure}`").cast("double")).alias("value"))
-    down = Window.orderBy(F.desc("value"), "category").rowsBetween(Window.unboundedPreceding, 0)  # a row for each category
-    total = F.sum("value").over(Window.partitionBy())
-    cumulative = F.when(total != 0, F.sum("value").over(down) * 100.0 / total).otherwise(0.0)
-    return sums.withColumn("cumulative", cumulative).withColumn("vital", F.col("cumulative") <= 80)
+    total = sums.agg(F.sum("value").alias("_total"))
+    sums = running_total(sums, [F.desc("value"), F.col("category")], F.col("value"), "_upto").crossJoin(F.broadcast(total))  # one row
+    cumulative = F.when(F.col("_total") != 0, F.col("_upto") * 100.0 / F.col("_total")).otherwise(0.0)
+    sums = sums.withColumn("cumulative", cumulative).drop("_upto", "_total")
+    return sums.withColumn("vital", F.col("cumulative") <= 80)
 
 
 def quantile_ladder(df: DataFrame, column: str) -> DataFrame:

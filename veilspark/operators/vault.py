@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import luhn_valid, strip
 from . import policy as rules
+from .running import settled
 
 TOKEN = r"<[A-Z_]+_\d+>"
 
@@ -140,8 +141,8 @@ def _hit(tag: str, rank: int):
 def numbered(values: DataFrame, by: str, keys: list[Column]) -> DataFrame:
     """values with seq (1, 2, ... within ``by`` in the order of keys) and token.  Two steps: ranks within ranges of
     keys, then the sizes of the ranges before."""
-    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: AQE leaves them apart
-    ranged = values.repartitionByRange(ranges, F.col(by), *keys).withColumn("_range", F.spark_partition_id())
+    ranges = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(values.repartitionByRange(ranges, F.col(by), *keys).withColumn("_range", F.spark_partition_id()))
     ranked = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range", by).orderBy(*keys)))
     sizes = ranged.groupBy("_range", by).agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
