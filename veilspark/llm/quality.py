@@ -170,10 +170,11 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", th
 
 
 def beliefs(rows: DataFrame, held: str = "") -> dict[tuple[int, ...], float]:
-    """The posterior of each vote pattern among rows with measures; collects 3^rules rows at most."""
+    """The posterior of each vote pattern among rows with measures; collects twice 3^rules rows at most."""
     cast = [v.cast("int").alias(k) for k, v in votes(held).items()]
-    counted = rows.where(~base_failed(held)).select(*cast).groupBy(*RULES).count().collect()
-    return estimate({tuple(r[n] for n in RULES): r["count"] for r in counted})
+    # the base rule is a key of the counts, not a filter below them: a filter would work out the measures once more
+    counted = rows.select(*cast, base_failed(held).alias("failed")).groupBy(*RULES, "failed").count().collect()
+    return estimate({tuple(r[n] for n in RULES): r["count"] for r in counted if not r["failed"]})
 
 
 def with_quality(rows: DataFrame, belief: dict[tuple[int, ...], float], held: str) -> DataFrame:
