@@ -191,11 +191,11 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     from pyspark.sql.pandas.types import to_arrow_type
 
     batch_type = to_arrow_type(docs.schema[id_col].dataType)
-    asked = source.mapInArrow(tidied(ask), "bucket int, block long, packet binary").repartition("bucket").sortWithinPartitions("bucket")
-    answered = asked.mapInArrow(tidied(answer), "block long, number int, data binary").withColumn(id_col, F.lit(None).cast(id_type))
-    kept = source.mapInArrow(tidied(keep), f"block long, number int, data binary, `{id_col}` {id_type}")
+    asked = source.mapInArrow(tidied(ask, True), "bucket int, block long, packet binary").repartition("bucket").sortWithinPartitions("bucket")
+    answered = asked.mapInArrow(tidied(answer, True), "block long, number int, data binary").withColumn(id_col, F.lit(None).cast(id_type))
+    kept = source.mapInArrow(tidied(keep, True), f"block long, number int, data binary, `{id_col}` {id_type}")
     # The kept documents come first: the number of a union's task is then that of the split, as in the other pass.
-    return kept.unionByName(answered).repartition("block").sortWithinPartitions("block", "number").mapInArrow(tidied(gather), f"`{id_col}` {id_type}, ids array<int>")
+    return kept.unionByName(answered).repartition("block").sortWithinPartitions("block", "number").mapInArrow(tidied(gather, True), f"`{id_col}` {id_type}, ids array<int>")
 
 
 def decode(coded: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -210,7 +210,7 @@ def decode(coded: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col
             out = [b"".join(map(table.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ())) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=[id_col, "data"])
 
-    return only(coded, id_col, ids_col).mapInArrow(tidied(run), f"`{id_col}` {id_type}, data binary")
+    return only(coded, id_col, ids_col).mapInArrow(tidied(run, True), f"`{id_col}` {id_type}, data binary")
 
 
 def round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,4 +232,4 @@ def round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text
                 of_text.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return coded.mapInArrow(tidied(run), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.mapInArrow(tidied(run, True), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -64,15 +64,19 @@ def drop_table(df: DataFrame) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """The same function over batches; at its end the worker, which later tasks use again, gives memory back."""
+def tidied(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False):
+    """The same function over batches; at its end the worker, which later tasks use again, gives memory back.  Unless it
+    keeps them for its own kind, values of process_cache that earlier tasks left are dropped first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ctypes
         import gc
+        import sys
 
         import pyarrow
 
+        if not keeps:
+            sys.modules.pop("_veilspark_process_cache", None)
         try:
             yield from function(batches)
         finally:

@@ -27,6 +27,8 @@ ship(__name__)
 
 #: Shingles whose frequency decides their place in prefixes, at most; documents of a batch that hold one, at least.
 HEAVY, HEAVY_LOCAL = 1 << 16, 8
+#: Prefix shingles that a task holds before it sends packets.
+HELD = 500_000
 #: Buckets of prefix shingles, at least.
 BUCKETS = 512
 #: Nodes that may be broadcast to pick documents; beyond that they are joined by a shuffle.
@@ -121,7 +123,7 @@ def heavy_shingles(rows: DataFrame, width: int) -> tuple[bytes, bytes]:
             for text in batch.column(0):
                 sets.append(shingles(text.as_py(), width))
                 size += len(sets[-1])
-                if size > 3_000_000:
+                if size > 3 * HELD:
                     yield flush(sets, len(sets))
                     sets, size = [], 0
         if sets:
@@ -202,7 +204,7 @@ def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buc
                     sizes.append(len(h))
                     held += len(keys[-1])
                 out.append((id_.as_py(), key, node, len(h), bits, None, None))
-                if held > 2_000_000:
+                if held > HELD:
                     yield from packets()
                     keys, owners, sizes, held = [], [], [], 0
             for i in range(0, len(out), 2000):

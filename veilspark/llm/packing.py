@@ -150,4 +150,4 @@ def pack(docs: DataFrame, vocab_path: str, *, window: int = 2048, end_id: int =
             for i in range(0, len(rows), 2000):
                 yield batch_of(rows[i : i + 2000])
 
-    return only(docs, id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return only(docs, id_col, text_col).mapInArrow(tidied(run, True), f"`{id_col}` {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

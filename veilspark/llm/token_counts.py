@@ -63,4 +63,4 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return only(docs, id_col, text_col).mapInArrow(tidied(count), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
+    return only(docs, id_col, text_col).mapInArrow(tidied(count, True), f"`{id_col}` {id_type}, n_bytes long, n_tokens long, over_limit boolean")
