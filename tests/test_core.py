@@ -1,6 +1,7 @@
 """The operators on small tables written by hand, with the results that their definitions give."""
 
 import datetime as dt
+import math
 import os
 
 import pytest
@@ -264,6 +265,22 @@ def test_keys_laws_and_outliers(spark):
     assert one(insight.merge_beliefs(spark.createDataFrame([("c", "T", 0.6), ("c", "T", 0.5)], "`column` string, belief string, confidence double")))["confidence"] == pytest.approx(0.8)
 
 
+def test_beliefs_near_one_are_told_apart(spark):
+    rows = spark.range(3000).selectExpr("'c' AS `column`", "IF(id < 2000, 'A', 'B') AS belief", "0.05D AS confidence")
+    merged = insight.merge_beliefs(rows)
+    assert {r.confidence for r in merged.collect()} == {1.0} and one(insight.dominant(merged))["belief"] == "A"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_belief_merge_all_counts_every_customer(spark):
+    from veilspark.plans.queries import QUERIES
+
+    doubt = {}
+    for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect():
+        doubt[r.c_mktsegment] = doubt.get(r.c_mktsegment, 0.0) + math.log(1 - r.c_nationkey % 5 / 100)
+    assert {r.column: r.log_doubt for r in QUERIES["belief_merge_all"](spark, "/root/testdata/sf0.001").collect()} == pytest.approx(doubt, abs=1e-5)
+
+
 def test_places_times_states_vectors_graphs(spark):
     geo = spark.createDataFrame([(24.7, 46.6), (21.5, 39.2), (50.0, 19.9)], "lat double, lon double")
     assert {r.kind for r in insight.spatial(geo).collect()} == {"LATITUDE", "LONGITUDE"}

@@ -268,13 +268,16 @@ def boundaries(df: DataFrame, order: str, scan: int = 50) -> DataFrame:
 
 
 def merge_beliefs(beliefs: DataFrame) -> DataFrame:
-    """column, belief, confidence: noisy-or of all confidences of a belief."""
+    """column, belief, confidence, log_doubt: noisy-or of all confidences of a belief, and the log of 1 less it, which
+    still differs where the confidences are rounded to 1."""
     none = F.sum(F.ln(1 - F.least(F.col("confidence"), F.lit(0.999999))))
-    return beliefs.groupBy("column", "belief").agg((1 - F.exp(none)).alias("confidence"))
+    return beliefs.groupBy("column", "belief").agg((1 - F.exp(none)).alias("confidence"), none.alias("log_doubt"))
 
 
 def dominant(beliefs: DataFrame) -> DataFrame:
-    return beliefs.groupBy("column").agg(F.max_by("belief", F.struct("confidence", "belief")).alias("belief"), F.max("confidence").alias("confidence"))
+    """column, belief, confidence: the belief with the least doubt, by its log if the beliefs were merged."""
+    sure = -F.col("log_doubt") if "log_doubt" in beliefs.columns else F.col("confidence")
+    return beliefs.groupBy("column").agg(F.max_by("belief", F.struct(sure.alias("sure"), "belief")).alias("belief"), F.max("confidence").alias("confidence"))
 
 
 def friction(anomalies: int, contaminations: int, ragged: int, header: int, footer: bool) -> int:

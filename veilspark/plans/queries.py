@@ -317,7 +317,16 @@ SELECT c_mktsegment AS "column", 'B' AS belief, round(1 - exp(sum(ln(1 - least(0
 def belief_merge(spark, sf):
     c = table(spark, sf, "customer").where("c_custkey <= 50")
     rows = c.select(F.col("c_mktsegment").alias("column"), F.lit("B").alias("belief"), ((F.col("c_nationkey") % 5) / 100.0).alias("confidence"))
-    return insight.merge_beliefs(rows).withColumn("confidence", F.round("confidence", 8))
+    return insight.merge_beliefs(rows).select("column", "belief", F.round("confidence", 8).alias("confidence"))
+
+
+@query("""
+SELECT c_mktsegment AS "column", 'B' AS belief, round(1 - exp(sum(ln(1 - least(0.999999, (c_nationkey % 5) / 100.0::DOUBLE)))), 8) AS confidence,
+round(sum(ln(1 - least(0.999999, (c_nationkey % 5) / 100.0::DOUBLE))), 6) AS log_doubt FROM customer GROUP BY 1""")
+def belief_merge_all(spark, sf):
+    """Over all customers; belief_merge has the first 50 only, as its SQL does."""
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("column"), F.lit("B").alias("belief"), ((F.col("c_nationkey") % 5) / 100.0).alias("confidence"))
+    return insight.merge_beliefs(rows).withColumns({"confidence": F.round("confidence", 8), "log_doubt": F.round("log_doubt", 6)})
 
 
 @query("""
