@@ -171,6 +171,32 @@ def test_suite_on_a_balanced_population(spark, people):
     assert scores["tier_1"] == 100 and scores["egress_allowed"]
 
 
+def test_mocks_of_any_size_are_measured_whole(spark):
+    real = [(i, (i * 37 % 1100) * 1.0 if i % 50 else None, "abcd"[i % 4]) for i in range(1100)]
+    mock = [(10_000 + i, (i * 53 % 1300) * 0.9 + 0.3, "abcde"[i % 5]) for i in range(1300)]
+    real_df = spark.createDataFrame(real, "k long, x double, c string").repartition(3)
+    mock_df = spark.createDataFrame(mock, "mock_id long, x double, c string").repartition(2)
+    xs = [x for _, x, _ in real if x is not None]
+    d = {(k, j): (abs((x or 0.0) - y) / (max(xs) - min(xs)) + (c != e)) / 2 for k, x, c in real for j, y, e in mock}
+    out = {r.mock_id: (r.d1, r.d2) for r in audit.nearest(real_df, mock_df, ["x"], ["c"]).collect()}
+    assert len(out) == 1300
+    for j, _, _ in mock[::13]:
+        assert out[j] == pytest.approx(sorted(d[k, j] for k, _, _ in real)[:2])
+    far = {r.k: r.d1 for r in audit.closest(real_df, "k", mock_df, ["x"], ["c"], [max(xs) - min(xs)]).collect()}
+    assert len(far) == 1100 and all(far[k] == pytest.approx(min(d[k, j] for j, _, _ in mock)) for k, _, _ in real[::11])
+    assert one(audit.gower(real_df, mock_df, ["x"], ["c"]).agg(F.count("*").alias("n"), F.sum("distance").alias("s"))) == pytest.approx({"n": 1100 * 1300, "s": sum(d.values())})
+    assert one(audit.membership(real_df, mock_df, "k", ["x"], ["c"]))["target"] == 0.55
+    single = one(audit.nearest(real_df.where("k = 1"), mock_df.limit(1), ["x"], ["c"]))
+    assert single["d1"] == single["d2"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_attacks_have_a_mock_row_for_each_customer(spark):
+    from veilspark.plans.queries import QUERIES, whole_mock
+
+    assert whole_mock(spark, "/root/testdata/sf0.01").count() == QUERIES["gower_nn_all"](spark, "/root/testdata/sf0.01").count() == 1500
+
+
 def test_single_metrics(spark):
     alone = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, "b"), (3, "c")], "age int, gender string")
     m = one(audit.singling_out(alone, ["age", "gender"]))

@@ -164,28 +164,91 @@ def nmi_test(df: DataFrame, qis: Sequence[str], sensitive: str | None, limit: fl
     return metric(top, "nmi", F.col("v"), F.lit(limit), F.col("v") < limit)
 
 
+def widths(real: DataFrame, numeric: Sequence[str]) -> list[float]:
+    """The range of each number in the real table; 1 if it has none."""
+    if not numeric:
+        return []
+    row = real.agg(*[(F.max(F.col(f"`{c}`").cast("double")) - F.min(F.col(f"`{c}`").cast("double"))).alias(f"w{i}") for i, c in enumerate(numeric)]).first()
+    return [float(w or 1.0) for w in row]
+
+
+def numbered(mock: DataFrame) -> DataFrame:
+    return mock if "mock_id" in mock.columns else mock.withColumn("mock_id", F.monotonically_increasing_id())
+
+
+def zero(c: str) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0))
+
+
 def gower(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = 500) -> DataFrame:
-    """mock_id, distance of each mock row to each real one, for mocks of ``most`` rows at the most: checked, since
-    they are broadcast.  Numbers differ by their share of the real range (null as 0), texts by 0 or 1."""
-    if mock.limit(most + 1).count() > most:
-        raise ValueError(f"mock has more than {most} rows")
-    spans = real.agg(*[(F.max(F.col(f"`{c}`").cast("double")) - F.min(F.col(f"`{c}`").cast("double"))).alias(f"w{i}") for i, c in enumerate(numeric)]).first() if numeric else None
-    mock = mock.select(F.monotonically_increasing_id().alias("mock_id"), *[F.col(f"`{c}`").alias(f"m_{c}") for c in [*numeric, *categorical]]) if "mock_id" not in mock.columns else mock.select("mock_id", *[F.col(f"`{c}`").alias(f"m_{c}") for c in [*numeric, *categorical]])
-    pairs = real.crossJoin(F.broadcast(mock))
-    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    terms = [F.abs(zero(F.col(f"`{c}`")) - zero(F.col(f"m_{c}"))) / float(spans[f"w{i}"] or 1.0) for i, c in enumerate(numeric)]
+    """mock_id, distance of each mock row to each real one.  Mocks of ``most`` rows at the most are broadcast, which is
+    checked; larger ones are joined partition by partition.  Numbers differ by their share of the real range (null as
+    0), texts by 0 or 1."""
+    spans = widths(real, numeric)
+    small = mock.limit(most + 1).count() <= most
+    mock = numbered(mock).select("mock_id", *[F.col(f"`{c}`").alias(f"m_{c}") for c in [*numeric, *categorical]])
+    pairs = real.crossJoin(F.broadcast(mock) if small else mock)
+    terms = [F.abs(zero(c) - zero(f"m_{c}")) / w for c, w in zip(numeric, spans)]
     terms += [(as_text(c) != as_text(f"m_{c}")).cast("double") for c in categorical]
     return pairs.withColumn("distance", sum(terms, F.lit(0.0)) / max(1, len(terms)))
 
 
+def closest(rows: DataFrame, key: str, others: DataFrame, numeric: Sequence[str], categorical: Sequence[str], spans: Sequence[float], block: int = 500) -> DataFrame:
+    """key, d1, d2: Gower distances of each row to the two closest of the others, of any number.  Both sides are packed
+    into blocks; pairs of blocks are joined and measured, so no row is made for a pair of rows."""
+    n, m, spans = len(numeric), len(categorical), list(spans)
+    id_type = rows.schema[key].dataType.simpleString()
+
+    def packed(df: DataFrame, side: str, first: Column, kind: str) -> DataFrame:
+        cells = df.select(first.alias("_id"), *[zero(c).alias(f"x{i}") for i, c in enumerate(numeric)], *[as_text(c).alias(f"t{i}") for i, c in enumerate(categorical)])
+        schema = ", ".join([f"{side}_id array<{kind}>", *[f"{side}_x{i} array<double>" for i in range(n)], *[f"{side}_t{i} array<string>" for i in range(m)]])
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def pack(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, block):
+                    part = batch.slice(at, block)
+                    yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=names)
+
+        return cells.mapInArrow(pack, schema)
+
+    def measured(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        best = {}  # of the blocks of rows in this task
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cells = [c[i].values for c in batch.columns]
+                a, b = cells[: 1 + n + m], cells[1 + n + m :]
+                far = np.zeros((len(a[0]), len(b[0])))
+                for k in range(n):
+                    x, y = (np.asarray(s[1 + k].to_numpy(zero_copy_only=False)) for s in (a, b))
+                    far += np.abs(x[:, None] - y[None, :]) / spans[k]
+                for k in range(m):
+                    codes = {}
+                    x, y = (np.array([codes.setdefault(v, len(codes)) for v in s[1 + n + k].to_pylist()]) for s in (a, b))
+                    far += x[:, None] != y[None, :]
+                far /= max(1, n + m)
+                far = np.partition(far, 1, axis=1)[:, :2] if far.shape[1] > 1 else np.hstack([far, np.full_like(far, np.inf)])
+                ids = tuple(a[0].to_pylist())
+                best[ids] = np.sort(np.hstack([best[ids], far]), axis=1)[:, :2] if ids in best else np.sort(far, axis=1)
+        for ids, far in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type.value_type), pa.array(far[:, 0]), pa.array(far[:, 1])], names=["_id", "d1", "d2"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = packed(rows, "a", F.col(f"`{key}`"), id_type).repartition(tasks).crossJoin(packed(others, "b", F.lit(0), "int"))
+    found = pairs.mapInArrow(measured, f"_id {id_type}, d1 double, d2 double").groupBy("_id")
+    two = found.agg(F.array_sort(F.flatten(F.collect_list(F.array("d1", "d2")))).alias("d"))  # two for each task of others
+    return two.select(F.col("_id").alias(key), F.col("d")[0].alias("d1"), F.when(F.col("d")[1] < float("inf"), F.col("d")[1]).alias("d2"))
+
+
 def nearest(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """mock_id, d1, d2: distances to the two nearest real rows, from the counts of distinct distances."""
-    far = gower(real, mock, numeric, categorical)
-    counted = far.groupBy("mock_id", "distance").agg(F.count("*").alias("m"))
-    best = counted.groupBy("mock_id").agg(F.min("distance").alias("d1"), F.min_by("m", "distance").alias("m1"))
-    second = counted.join(best, "mock_id").where(F.col("distance") > F.col("d1")).groupBy("mock_id").agg(F.min("distance").alias("d2"))
-    out = best.join(second, "mock_id", "left")
-    return out.select("mock_id", "d1", F.when(F.col("m1") > 1, F.col("d1")).otherwise(F.coalesce("d2", "d1")).alias("d2"))
+    """mock_id, d1, d2: distances to the two nearest real rows; d1 twice if there is one only."""
+    out = closest(numbered(mock), "mock_id", real, numeric, categorical, widths(real, numeric))
+    return out.select("mock_id", "d1", F.coalesce("d2", "d1").alias("d2"))
 
 
 def nndr(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -210,7 +273,7 @@ def half(key: Column, seed: int) -> Column:
 
 def membership(real: DataFrame, mock: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], seeds: Sequence[int] = (42, 43, 44)) -> DataFrame:
     """Attack by distance to the closest mock row: folded AUC between two halves of the table, mean over seeds."""
-    far = gower(real, mock, numeric, categorical).groupBy(F.col(f"`{key}`").alias("k")).agg(F.min("distance").alias("d"))
+    far = closest(real, key, mock, numeric, categorical, widths(real, numeric)).select(F.col(f"`{key}`").alias("k"), F.col("d1").alias("d"))
     union = None
     for seed in seeds:
         one = auc(far.withColumn("member", half(F.col("k"), seed)), "d", "member")
