@@ -291,6 +291,12 @@ def test_keys_laws_and_outliers(spark):
     assert one(insight.merge_beliefs(spark.createDataFrame([("c", "T", 0.6), ("c", "T", 0.5)], "`column` string, belief string, confidence double")))["confidence"] == pytest.approx(0.8)
 
 
+def test_inventory_samples_columns_that_are_filled_late(spark):
+    rows = [(i, f"v{i}" if i >= 60 else None, "x" if i in (3, 70, 90) else None) for i in range(100)]
+    out = by(profile.inventory(spark.createDataFrame(rows, "row int, late string, few string").repartition(4), "row"), "column")
+    assert out["late"]["samples"] == ["v60", "v61", "v62"] and out["few"]["samples"] == ["x", "x", "x"] and out["row"]["samples"] == ["0", "1", "2"]
+
+
 def test_beliefs_near_one_are_told_apart(spark):
     rows = spark.range(3000).selectExpr("'c' AS `column`", "IF(id < 2000, 'A', 'B') AS belief", "0.05D AS confidence")
     merged = insight.merge_beliefs(rows)

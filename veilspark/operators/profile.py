@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import policy
@@ -86,10 +86,11 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def inventory(df: DataFrame, order: str) -> DataFrame:
-    """column, role, type, null_percent, unique, samples (three first values by order), tier."""
+    """column, role, type, null_percent, unique, samples (three first values by order, of all rows), tier."""
     base = profile(df)
-    first = df.orderBy(order).limit(50)
-    cells = first.select(F.col(f"`{order}`").alias("_at"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot(["_at"], df.columns, "column", "v").where(F.col("v").isNotNull())
+    cells = df.select(F.col(f"`{order}`").alias("_at"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).unpivot(["_at"], df.columns, "column", "v").where(F.col("v").isNotNull())
+    first = F.row_number().over(Window.partitionBy("column").orderBy("_at", "v"))  # each task passes on three cells a column
+    cells = cells.withColumn("_k", first).where("_k <= 3")
     samples = cells.groupBy("column").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("_at", "v"))), 1, 3), lambda s: s["v"]).alias("samples"))
     tiers = policy.tiers(df).select("column", "tier")
     return base.select("column", "role", "type", "null_percent", F.col("cardinality").alias("unique")).join(samples, "column", "left").join(F.broadcast(tiers), "column")
