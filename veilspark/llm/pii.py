@@ -23,14 +23,16 @@ KINDS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "date": r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
 }
 PATTERN = "|".join(KINDS.values())
 #: No candidate is without one of these.
-HINT = "[0-9@=:]"
+HINT = "[0-9@=:]|AKIA"
 #: Days from 1900-01-01 to 2099-12-31, as a product.
 DATE_P, DATE_Q = 17, 4297
+#: dd/MM/ of the days over 12 of a year of 365 days.
+DAY_FIRST = "".join(f"{d:02d}/{m:02d}/" for m, n in enumerate((31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), 1) for d in range(13, n + 1))
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{4}/": "yyyy/MM/dd", r"^\d\d\.": "dd.MM.yyyy", r"^\d\d/": "MM/dd/yyyy"}
 
 
@@ -132,14 +134,29 @@ def day_as(form: str):
     return lambda s: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (s["a"] * DATE_Q + s["b"]).cast("int")), form)
 
 
+def day_first(m: Column, key: str) -> Column:
+    """A dd/MM/yyyy with a day over 12 to another such one, so that none becomes what a MM/dd/yyyy can become: places
+    in a year of 365 days by years, and the 49 days of 29/02 among themselves."""
+    at = F.instr(F.lit(DAY_FIRST), F.substr(m, F.lit(1), F.lit(6)))
+    year = number(F.substr(m, F.lit(7), F.lit(4)))
+    usual = feistel(F.floor((at - 1) / 6), year - 1900, F.lit(len(DAY_FIRST) // 6), F.lit(200), "day first", key)
+    leap = F.floor((year - 1904) / 4)
+    leap = feistel(F.floor(leap / 7), leap % 7, F.lit(7), F.lit(7), "leap day", key)
+    usual = once(usual, lambda s: F.concat(F.substr(F.lit(DAY_FIRST), (s["a"] * 6 + 1).cast("int"), F.lit(6)), (s["b"] + 1900).cast("string")))
+    leap = once(leap, lambda s: F.concat(F.lit("29/02/"), (1904 + 4 * (s["a"] * 7 + s["b"])).cast("string")))
+    return F.when(at > 0, usual).when(m.startswith("29/02/") & (year > 1900) & (year % 4 == 0), leap)
+
+
 def hidden_date(m: Column, key: str) -> Column:
-    """A day of the years 1900 to 2099 to another, in the format it has; null if there is no such day."""
+    """A day of the years 1900 to 2099 to another, in the format it has; null if there is no such day.  What is no
+    MM/dd/yyyy is tried as dd/MM/yyyy."""
     out = F.lit(None).cast("string")
     for shape, form in DATE_FORMATS.items():
         day = F.datediff(F.try_to_date(m, form), F.lit("1900-01-01").cast("date"))
         mixed = feistel(F.floor(day / DATE_Q), day % DATE_Q, F.lit(DATE_P), F.lit(DATE_Q), "date", key)
         new = once(mixed, day_as(form))
-        out = F.when(m.rlike(shape), F.when(day.isNotNull(), new)).otherwise(out)
+        new = F.when(day.isNotNull(), new)
+        out = F.when(m.rlike(shape), F.coalesce(new, day_first(m, key)) if form.startswith("MM") else new).otherwise(out)
     return out
 
 
