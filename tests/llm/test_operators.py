@@ -386,6 +386,17 @@ def test_shards_merge_by_size_and_commit_once(spark, tmp_path):
         sharding.ShardStore(spark, f"file://{tmp_path}/none").read()
 
 
+def test_columns_of_later_shards_outlive_their_merge(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/wide", target=60_000, fanout=2, least=2_000)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
+    store.append(spark.createDataFrame([(2, "b", "x")], "doc_id long, text string, source string").coalesce(1))
+    assert store.read(1).columns == ["doc_id", "text"]
+    assert store.compact() and store.vacuum()
+    assert {tuple(r) for r in store.read().select("doc_id", "text", "source").collect()} == {(1, "a", None), (2, "b", "x")}
+    with pytest.raises(ValueError):
+        store.append(spark.createDataFrame([("3", "c")], "doc_id string, text string"))
+
+
 # Fingerprints
 
 

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MB = 1 << 20
 
@@ -50,21 +51,25 @@ class ShardStore:
         names = [s.getPath().getName() for s in self.files.listStatus(place)]
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
-    def shards(self, version: int | None = None) -> list[Shard]:
+    def manifest(self, version: int | None = None) -> dict:
         known = self.versions()
         if not known:
-            return []
+            return {"shards": []}
         name = f"{self.root}/manifest/v{version if version is not None else known[-1]:09d}.json"
-        lines = self.spark.read.text(name, wholetext=True).first()[0]
-        return [Shard(**x) for x in json.loads(lines)["shards"]]
+        return json.loads(self.spark.read.text(name, wholetext=True).first()[0])
 
-    def commit(self, shards: list[Shard], version: int) -> int:
-        """Write the manifest aside and rename it into place; fails if the version is there."""
+    def shards(self, version: int | None = None) -> list[Shard]:
+        return [Shard(**x) for x in self.manifest(version)["shards"]]
+
+    def commit(self, shards: list[Shard], version: int, schema: T.StructType | None = None) -> int:
+        """Write the manifest aside and rename it into place; fails if the version is there.  Without a schema the
+        store's own stays."""
+        schema = schema or self.schema()
         folder = f"{self.root}/manifest"
         aside = self.java.Path(f"{folder}/.{uuid.uuid4().hex}")
         out = self.files.create(aside, False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "shards": [s.__dict__ for s in shards]}).encode()))
+            out.write(bytearray(json.dumps({"version": version, "schema": schema and schema.jsonValue(), "shards": [s.__dict__ for s in shards]}).encode()))
         finally:
             out.close()
         options = self.spark._sc._gateway.new_array(getattr(self.java, "Options$Rename"), 0)
@@ -86,10 +91,21 @@ class ShardStore:
         return [Shard(p, n, level) for p, n in sorted(found) if p.endswith(".parquet")]
 
     def append(self, df: DataFrame, *, rows_per_file: int = 0) -> int:
-        """Add rows as small shards, as many as df has partitions (more with rows_per_file), without a shuffle."""
+        """Add rows as small shards, as many as df has partitions (more with rows_per_file), without a shuffle.
+        Further columns widen the store's schema; a known column of another type is refused."""
+        self.widened(df.schema)
         new = self._write(df, 0, rows_per_file)
         known = self.versions()
-        return self.commit(self.shards() + new, (known[-1] if known else 0) + 1)
+        return self.commit(self.shards() + new, (known[-1] if known else 0) + 1, self.widened(df.schema))
+
+    def widened(self, other: T.StructType) -> T.StructType:
+        """The store's schema with the further columns of another."""
+        fields = {f.name.lower(): f for f in self.schema() or ()}
+        for f in other:
+            had = fields.setdefault(f.name.lower(), f)
+            if had.dataType.simpleString() != f.dataType.simpleString():
+                raise ValueError(f"{f.name} is {had.dataType.simpleString()} in the store, not {f.dataType.simpleString()}")
+        return T.StructType([T.StructField(f.name, f.dataType, True) for f in fields.values()])
 
     def tier(self, size: int) -> int:
         tier, limit = 0, self.least
@@ -131,15 +147,20 @@ class ShardStore:
             version = self.commit([s for s in now if s.path not in gone] + new, self.versions()[-1] + 1)
         return version
 
-    def schema(self):
-        return self.spark.read.parquet(self.shards()[0].path).schema
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        """Of all arrivals up to a version; manifests of old stores don't name it, there the shards are asked."""
+        manifest = self.manifest(version)
+        if manifest.get("schema"):
+            return T.StructType.fromJson(manifest["schema"])
+        paths = [s["path"] for s in manifest["shards"]]
+        return self.spark.read.option("mergeSchema", True).parquet(*paths).schema if paths else None
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the columns of the first arrival."""
+        """The rows of a version, with the columns of all arrivals up to it; null where an arrival had none."""
         shards = self.shards(version)
         if not shards:
             raise ValueError("nothing was appended")
-        return self.spark.read.schema(self.schema()).parquet(*[s.path for s in shards])
+        return self.spark.read.schema(self.schema(version)).parquet(*[s.path for s in shards])
 
     def vacuum(self) -> int:
         """Remove data files that the latest manifest doesn't name; returns how many."""
