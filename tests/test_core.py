@@ -291,6 +291,14 @@ def test_keys_laws_and_outliers(spark):
     assert one(insight.merge_beliefs(spark.createDataFrame([("c", "T", 0.6), ("c", "T", 0.5)], "`column` string, belief string, confidence double")))["confidence"] == pytest.approx(0.8)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_candidate_keys_of_a_table_that_grows(spark):
+    from veilspark.plans.queries import QUERIES
+
+    out = by(QUERIES["candidate_keys_orders"](spark, "/root/testdata/sf0.001"), "column")
+    assert out["o_orderkey"] == {"column": "o_orderkey", "distinct": 1500, "is_key": True} and not out["o_custkey"]["is_key"]
+
+
 def test_inventory_samples_columns_that_are_filled_late(spark):
     rows = [(i, f"v{i}" if i >= 60 else None, "x" if i in (3, 70, 90) else None) for i in range(100)]
     out = by(profile.inventory(spark.createDataFrame(rows, "row int, late string, few string").repartition(4), "row"), "column")
