@@ -124,6 +124,15 @@ def test_packing_holds_each_id_once(odd, empty):
 # Toxicity
 
 
+def test_toxicity_counts_repeated_sentences_in_training():
+    bags = [(i % 2, [[0]], [30 if i % 2 == 0 else 1]) for i in range(40)]
+    once = toxicity.trained(["f"], [(y, bag, [1]) for y, bag, _ in bags], 0.5, frozenset())
+    often = toxicity.trained(["f"], bags, 0.5, frozenset())
+    long = [toxicity.trained(["f"], [(y, bag * n[0], [1] * n[0]) for y, bag, n in bags], 0.5, frozenset())]
+    assert often.bias + often.weights["f"] < once.bias + once.weights["f"] - 1
+    assert often.bias == pytest.approx(long[0].bias) and often.weights == pytest.approx(long[0].weights)
+
+
 def test_toxicity_learns_words_and_finds_the_sentence(spark, odd, empty):
     bad = ["zorg", "blarg", "snarfing"]
     docs, labels = [], []

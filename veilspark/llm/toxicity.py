@@ -131,20 +131,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast((model.plain(), number))
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
         plain, number = sent.value
         model = Model(*plain)
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                text, bag = text.as_py(), set()
+                text, bag = text.as_py(), Counter()  # sentences with the same features count as often as they stand there
                 for start, end, _ in model.sentences(text):
                     words = [w for w in TOKEN.findall(text[start:end].lower()) if w[:HEAD] in model.heads]
-                    bag.add(tuple(sorted(number[f] for f in features_of(words) if f in number)))
-                rows.append([list(x) for x in bag if x])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.list_(pa.int32())))], names=["y", "bag"])
+                    bag[tuple(sorted(number[f] for f in features_of(words) if f in number))] += 1
+                rows.append([(list(x), n) for x, n in bag.items() if x])
+            lists = pa.array([[x for x, _ in r] for r in rows], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int64()))], names=["y", "bag", "times"])
 
-    rows = bags.mapInArrow(tidied(reduced), "y int, bag array<array<int>>").collect()  # of the bounded sample
-    return trained(chosen, [(r["y"], r["bag"]) for r in rows], share, model.heads)
+    rows = bags.mapInArrow(tidied(reduced), "y int, bag array<array<int>>, times array<long>").collect()  # of the bounded sample
+    return trained(chosen, [(r["y"], r["bag"], r["times"]) for r in rows], share, model.heads)
 
 
 def thresholds(counts: list[tuple[int, int, int]], share: float) -> dict[int, int]:
@@ -170,18 +173,20 @@ def thresholds(counts: list[tuple[int, int, int]], share: float) -> dict[int, in
     return least
 
 
-def trained(names: list[str], bags: list[tuple[int, list[list[int]]]], share: float, heads: frozenset[str], steps: int = 400, decay: float = 1e-3) -> Model:
-    """Maximise the likelihood of the document labels under noisy-or, by Adam."""
+def trained(names: list[str], bags: list[tuple[int, list[list[int]], list[int]]], share: float, heads: frozenset[str], steps: int = 400, decay: float = 1e-3) -> Model:
+    """Maximise the likelihood of the document labels under noisy-or, by Adam.  A bag has the features of each kind of
+    sentence, and how often it stands in the document."""
     import numpy as np
 
-    none = [y for y, bag in bags if not bag]
+    none = [y for y, bag, _ in bags if not bag]
     leak = (sum(none) + 0.1) / (len(none) + 1)
-    bags = [(y, bag) for y, bag in bags if bag]
+    bags = [b for b in bags if b[1]]
     if not bags:
         return Model(leak=min(leak, 0.999))
     y = np.array([b[0] for b in bags], float)
     of_bag = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
-    sentences = [s for _, bag in bags for s in bag]
+    sentences = [s for _, bag, _ in bags for s in bag]
+    times = np.array([n for _, _, own in bags for n in own], float)
     of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
     feature = np.concatenate([np.array(s) for s in sentences])
     w, b = np.full(len(names), 0.5), -1.0
@@ -189,11 +194,11 @@ def trained(names: list[str], bags: list[tuple[int, list[list[int]]]], share: fl
     for t in range(1, steps + 1):
         z = np.clip(b + np.bincount(of_sentence, w[feature], len(sentences)), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        none_of = math.log1p(-leak) - np.bincount(of_bag, np.logaddexp(0, z), len(bags))  # log of 1 - document
+        none_of = math.log1p(-leak) - np.bincount(of_bag, times * np.logaddexp(0, z), len(bags))  # log of 1 - document
         q = -np.expm1(none_of)
         # d loss / d z: each sentence pushes its document's "none" by -p
         pull = np.where(y > 0, -np.exp(none_of) / np.maximum(q, 1e-9), 1.0)
-        dz = pull[of_bag] * p / len(bags)
+        dz = pull[of_bag] * times * p / len(bags)
         grad = np.append(np.bincount(feature, dz[of_sentence], len(names)) + decay * w / len(names), dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
