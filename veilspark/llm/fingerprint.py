@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import only, ship, tidied
@@ -24,8 +25,8 @@ ship(__name__)
 EXACT, LIKE = 8, 128
 
 
-def vector(text: str):
-    """(exact, like) lanes of a text: the sum over its lines."""
+def vector(text: str | None):
+    """(exact, like) lanes of a text: the sum over its lines.  The empty text has one line, None has none."""
     import numpy as np
     import xxhash
 
@@ -33,7 +34,7 @@ def vector(text: str):
     exact = np.zeros(EXACT, "<u8")
     words: list[int] = []
     starts: list[int] = []
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+    for line in () if text is None else text.encode("utf-8", "surrogatepass").split(b"\n"):
         exact += np.frombuffer(hashlib.blake2b(line, digest_size=8 * EXACT).digest(), "<u8")
         starts.append(len(words))
         words += map(hash64, line.split())
@@ -86,7 +87,8 @@ def likeness(one, other) -> float:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, fingerprint, for every row.  A null text is empty; repeated rows give repeated results."""
+    """doc_id, n_chars, fingerprint, for every row.  A null text is empty, a null id stays null; repeated rows give
+    repeated results; an empty table gives no rows; further columns are left out."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,48 +104,91 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def in_two(text: str):
+    """(start of the first line that an edit of the second half touches, vector of the lines before it, vector of the
+    whole text): the second is the fingerprint after the touched lines are deleted."""
+    start = text.rfind("\n", 0, len(text) - len(text) // 2) + 1
+    before, rest = vector(text[: start - 1] if start else None), vector(text[start:])
+    return start, before, (before[0] + rest[0], before[1] + rest[1])
+
+
+def bounds_of(rows: DataFrame, parts: int) -> list[int]:
+    """parts - 1 quantiles of the ids, in descending order; an id that many rows share comes several times."""
+    if parts < 2:
+        return []
+    shares = [i / parts for i in range(1, parts)]
+    found = rows.agg(F.percentile_approx("k", shares, F.lit(max(10_000, 20 * parts))).alias("q")).first()["q"]
+    return sorted(found or (), reverse=True)
+
+
+def range_of(bounds: list[int], parts: int) -> Column:
+    """The range of a row by its id k and hash h, in the order of the rows.  Rows of an id that is several bounds are
+    spread over the ranges between them by their hash, and so are those without id over ``parts`` ranges of their own."""
+    step = max(1, math.isqrt(len(bounds)))
+    ends = F.lit([bounds[min(i + step, len(bounds)) - 1] for i in range(0, len(bounds), step)])
+
+    def count(beyond) -> Column:
+        """How many bounds are beyond k: whole chunks first, then within the next chunk."""
+        whole = F.size(F.filter(ends, beyond)) * step
+        return F.least(whole, F.lit(len(bounds))) + F.size(F.filter(F.slice(F.lit(bounds), whole + 1, F.lit(step)), beyond))
+
+    spread = lambda n: F.least(F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * n), n - 1)
+    above = count(lambda b: b > F.col("k")) if bounds else F.lit(0)
+    upto = count(lambda b: b >= F.col("k")) if bounds else F.lit(0)
+    known = above + spread(upto - above + 1)
+    return F.when(F.col("k").isNull(), len(bounds) + 1 + spread(F.lit(parts))).otherwise(known).cast("int")
+
+
 def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, for every row: how
     the fingerprint follows an edit that replaces the text's second half by the beginning of the next document,
-    in descending order of ids (after the last: the first).
+    in descending order of ids (after the last: the first).  The edited fingerprint is made by deleting the touched
+    lines from the sum and inserting the new ones.
 
     Null texts are empty.  Rows with the same id follow each other by the hash of their text, then the text; rows
-    without id come last.  A single row is its own next.  Further columns are left out.
+    without id come last.  A single row is its own next.  Further columns are left out; an empty table gives no rows.
+    Ids are integers; others raise a TypeError.
 
-    One range shuffle by id brings neighbours together; within a partition each row meets the next.  Only the
-    first and last row of each partition take another way: their number is that of the partitions.  Ids are
-    integers.
+    Ranges of ids come from quantiles that are found once; the range of a row follows from the row alone, so it is
+    the same in every pass, whatever is shuffled again.  One shuffle brings neighbours together; within a range each
+    row meets the next.  Only the first and last row of each range take another way: twice the partitions, at most.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids are integers; {id_col} is {id_type}")
     rows = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("k"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    order = [F.col("k").desc_nulls_last(), F.col("h"), F.col("t")]
-    ranged = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(parts, F.col("k").desc_nulls_last(), F.col("h"))
+    order = [F.col("p"), F.col("k").desc_nulls_last(), F.col("h"), F.col("t")]
+    ranged = rows.withColumn("h", F.xxhash64("t")).withColumn("p", range_of(bounds_of(rows, parts), parts)).repartitionById(parts, F.pmod("p", F.lit(parts)))
     schema = f"`{id_col}` {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def result(pairs) -> pa.RecordBatch:
-        """pairs: (id, text, vector, following text, following vector)"""
+        """pairs: (id, text, its parts, following text, vector of that)"""
         out = []
-        for key, text, own, following, other in pairs:
+        for key, text, (start, before, own), following, other in pairs:
             new = edited(text, following)
-            changed = own if new == text else vector(new)
+            if new == text:
+                changed = own
+            else:
+                tail = vector(new[start:])
+                changed = before[0] + tail[0], before[1] + tail[1]
             out.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), text_of(own), text_of(changed), likeness(own, changed), likeness(own, other)))
         kinds = [key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = at = None
         for batch in batches:
             pairs, chars = [], 0
-            for key, text in zip(batch.column(0), batch.column(1)):
+            for part, key, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 key, text = key.as_py(), text.as_py()
-                own = vector(text)
-                if last:
-                    pairs.append((*last, text, own))
+                own = in_two(text)
+                if last and part == at:
+                    pairs.append((*last, text, own[2]))
                     chars += len(text)
-                last = key, text, own
+                last, at = (key, text, own), part
                 if len(pairs) >= 1000 or chars > 8_000_000:
                     yield result(pairs)
                     pairs, chars = [], 0
@@ -152,19 +197,16 @@ def edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text, following in zip(*(c.to_pylist() for c in batch.columns)):
-                yield result([(key, text, vector(text), following, vector(following))])
+            for key, text, following in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                yield result([(key, text.as_py(), in_two(text.as_py()), following.as_py(), vector(following.as_py()))])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = to_arrow_type(docs.schema[id_col].dataType)
-    within = ranged.sortWithinPartitions(*order).select("k", "t").mapInArrow(tidied(inner), schema)
-    # With a given number of partitions they are read as they were dealt, so partition numbers name ranges.
+    within = ranged.sortWithinPartitions(*order).select("p", "k", "t").mapInArrow(tidied(inner), schema)
     place = F.struct(F.col("k").isNull().alias("n"), F.bitwise_not("k").alias("k"), "h", "t")  # descending
-    ends = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min_by(F.struct("k", "t"), place).alias("head"), F.max_by(F.struct("k", "t"), place).alias("tail"))
-    from pyspark.sql import Window
-
-    in_turn = Window.orderBy("p")  # a row for each partition
+    ends = ranged.groupBy("p").agg(F.min_by(F.struct("k", "t"), place).alias("head"), F.max_by(F.struct("k", "t"), place).alias("tail"))
+    in_turn = Window.orderBy("p")  # a row for each range
     ends = ends.select("tail", F.coalesce(F.lead("head").over(in_turn), F.first("head").over(in_turn)).alias("head"))
     across = ends.select("tail.k", "tail.t", F.col("head.t").alias("f")).mapInArrow(tidied(outer), schema)
     return within.unionByName(across)
