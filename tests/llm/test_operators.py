@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspark.llm import bpe, chat, fingerprint, jaccard, packing, pii, quality, sharding, token_counts, toxicity
+from veilspark.llm import bpe, chat, fingerprint, jaccard, packing, pii, quality, token_counts, toxicity
 from veilspark.llm.components import components
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -369,43 +369,6 @@ def test_chats_come_back(spark):
     assert chat.format_chats(df.where("false")).collect() == []
 
 
-# Shards
-
-
-def test_shards_merge_by_size_and_commit_once(spark, tmp_path):
-    docs = spark.createDataFrame([(i, words(30, i), None) for i in range(900)], "doc_id long, text string, shard string")
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target=60_000, fanout=3, least=2_000)
-    for k in range(6):
-        before = store.versions()
-        store.append(docs.where(F.col("doc_id") % 6 == k).repartition(3))
-        assert store.versions()[-1] == (before[-1] if before else 0) + 1
-        store.compact()
-    assert not store.plan(store.shards())
-    first = store.read(1).count()
-    assert first == 150 and store.read().count() == 900
-    assert any(s.level > 0 for s in store.shards())
-    with pytest.raises(sharding.ConflictError):
-        store.commit([], 2)
-    store.vacuum()
-    got = sharding.shard_of_rows(store, "doc_id", "text").collect()
-    assert Counter(r.doc_id for r in got) == Counter(range(900)) and {r.shard for r in got} == {s.path.rsplit("/", 1)[1] for s in store.shards()}
-    store.append(docs.where("false"))
-    assert store.read().count() == 900
-    with pytest.raises(ValueError):
-        sharding.ShardStore(spark, f"file://{tmp_path}/none").read()
-
-
-def test_columns_of_later_shards_outlive_their_merge(spark, tmp_path):
-    store = sharding.ShardStore(spark, f"file://{tmp_path}/wide", target=60_000, fanout=2, least=2_000)
-    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1))
-    store.append(spark.createDataFrame([(2, "b", "x")], "doc_id long, text string, source string").coalesce(1))
-    assert store.read(1).columns == ["doc_id", "text"]
-    assert store.compact() and store.vacuum()
-    assert {tuple(r) for r in store.read().select("doc_id", "text", "source").collect()} == {(1, "a", None), (2, "b", "x")}
-    with pytest.raises(ValueError):
-        store.append(spark.createDataFrame([("3", "c")], "doc_id string, text string"))
-
-
 # Fingerprints
 
 
@@ -414,14 +377,6 @@ def test_fingerprints_are_sums(spark, odd, empty):
     assert whole == fingerprint.text_of(fingerprint.vector("f\na b c\nd e"))
     assert whole == fingerprint.plus(fingerprint.text_of(fingerprint.vector("d e")), "f\na b c")
     assert fingerprint.minus(whole, "f\na b c") == fingerprint.text_of(fingerprint.vector("d e"))
-    texts = {r.doc_id: r.text for r in odd.where("doc_id is not null and doc_id <> 3").collect()}
-    docs = odd.where("doc_id is not null and doc_id <> 3")
-    order = sorted(texts, reverse=True)
-    for r in fingerprint.edits(docs).collect():
-        t, following = texts[r.doc_id] or "", texts[order[(order.index(r.doc_id) + 1) % len(order)]] or ""
-        half = len(t) // 2
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
-        assert r.fingerprint == fingerprint.text_of(fingerprint.vector(t)) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert fingerprint.edits(odd).count() == odd.count() and fingerprint.edits(empty).collect() == []
     assert fingerprint.fingerprints(odd).count() == odd.count()
     a, b = words(400, 1, 10**6), words(400, 2, 10**6)

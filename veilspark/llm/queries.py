@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")), spans=False)
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(ARRIVALS):
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k), rows_per_file=4096)
         store.compact()
-        store.vacuum()
+        store.vacuum(versions=1, age=0)  # nobody else reads or writes this store
     store.files.deleteOnExit(store.java.Path(store.root))
     return sharding.shard_of_rows(store, "doc_id", "n_chars")
 

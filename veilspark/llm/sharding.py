@@ -4,15 +4,23 @@ Arrivals are appended as small immutable Parquet files.  Compaction looks at siz
 factor of ``fanout`` in size) are merged, in runs up to the target size, once a tier holds ``fanout`` of them;
 files near the target are left alone.  So a row is rewritten once per tier, log(target / arrival) times in all.
 What is valid is said by a manifest, a text file with a version number: it is written aside and renamed into
-place, which succeeds for one writer only.  Readers hold on to the version that they opened; ``vacuum`` removes
-files that the latest manifest doesn't name.
+place, which succeeds for one writer only.  A writer that comes second looks at the new manifest and tries again:
+arrivals are added to whatever is there, a merge is committed while the shards that it replaces are still valid.
+Readers hold on to the version that they opened, as long as ``vacuum`` retains it.
+
+The store needs a file system on which a rename to an existing name fails, in one step with the rename itself: HDFS
+and its like, or one machine's disk.  Object stores whose rename copies don't give that.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import re
+import time
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MB = 1 << 20
+#: Commits that one change tries while others come first, and seconds between them, at most.
+ATTEMPTS, PAUSE = 100, 0.5
+#: What ``vacuum`` retains unless told otherwise: versions, and the age in seconds of any file that it removes.
+VERSIONS, AGE = 10, 7 * 24 * 3600.0
 
 
 @dataclass(frozen=True)
@@ -41,6 +53,9 @@ class ShardStore:
         self.java = spark._jvm.org.apache.hadoop.fs
         self.conf = spark._jsc.hadoopConfiguration()
         self.files = self.java.Path(self.root).getFileSystem(self.conf)
+        # Merges are written by a session of their own: a union of single partitions is to keep them apart, not to become one.
+        self.merging = spark.newSession()
+        self.merging.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     # Manifests
 
@@ -52,19 +67,27 @@ class ShardStore:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
+        """Of a version, the latest by default; a version that was never there, or that vacuum expired, is a ValueError."""
         known = self.versions()
-        if not known:
-            return {"shards": []}
-        name = f"{self.root}/manifest/v{version if version is not None else known[-1]:09d}.json"
-        return json.loads(self.spark.read.text(name, wholetext=True).first()[0])
+        if version is None and not known:
+            return {"version": 0, "shards": []}
+        version = known[-1] if version is None else version
+        if version not in known:
+            raise ValueError(f"version {version} isn't there; there are {known[:1]} to {known[-1:]}")
+        stream = self.files.open(self._manifest_path(version))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def _manifest_path(self, version: int):
+        return self.java.Path(f"{self.root}/manifest/v{version:09d}.json")
 
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self.manifest(version)["shards"]]
 
-    def commit(self, shards: list[Shard], version: int, schema: T.StructType | None = None) -> int:
-        """Write the manifest aside and rename it into place; fails if the version is there.  Without a schema the
-        store's own stays."""
-        schema = schema or self.schema()
+    def commit(self, shards: list[Shard], version: int, schema: T.StructType | None) -> int:
+        """Write the manifest aside and rename it into place; a ConflictError if the version is there."""
         folder = f"{self.root}/manifest"
         aside = self.java.Path(f"{folder}/.{uuid.uuid4().hex}")
         out = self.files.create(aside, False)
@@ -74,7 +97,7 @@ class ShardStore:
             out.close()
         options = self.spark._sc._gateway.new_array(getattr(self.java, "Options$Rename"), 0)
         try:
-            self.java.FileContext.getFileContext(self.java.Path(self.root).toUri(), self.conf).rename(aside, self.java.Path(f"{folder}/v{version:09d}.json"), options)
+            self.java.FileContext.getFileContext(self.java.Path(self.root).toUri(), self.conf).rename(aside, self._manifest_path(version), options)
         except Exception as e:
             self.files.delete(aside, False)
             if "FileAlreadyExists" in str(e):
@@ -82,25 +105,47 @@ class ShardStore:
             raise
         return version
 
+    def _changed(self, change: Callable[[dict], tuple[list[Shard], T.StructType | None] | None]) -> int | None:
+        """Commit what ``change`` makes of the latest manifest; again on the next one when another writer was first.
+        Nothing is committed where it makes None."""
+        for attempt in range(ATTEMPTS):
+            now = self.manifest()
+            made = change(now)
+            if made is None:
+                return None
+            try:
+                return self.commit(made[0], now["version"] + 1, made[1])
+            except ConflictError:
+                time.sleep(random.random() * PAUSE * min(1.0, attempt / 10))
+        raise ConflictError(f"other writers were first {ATTEMPTS} times")
+
     # Data
 
-    def _write(self, df: DataFrame, level: int, rows_per_file: int = 0) -> list[Shard]:
+    def _write(self, df: DataFrame, rows_per_file: int = 0) -> list[tuple[str, int]]:
+        """Paths and sizes of the files that df becomes; partitions in order."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(folder)
         found = [(s.getPath().toString(), s.getLen()) for s in self.files.listStatus(self.java.Path(folder))]
-        return [Shard(p, n, level) for p, n in sorted(found) if p.endswith(".parquet")]
+        return [(p, n) for p, n in sorted(found) if p.endswith(".parquet")]
+
+    def _remove(self, paths: list[str]) -> None:
+        for p in paths:
+            self.files.delete(self.java.Path(p), False)
 
     def append(self, df: DataFrame, *, rows_per_file: int = 0) -> int:
         """Add rows as small shards, as many as df has partitions (more with rows_per_file), without a shuffle.
         Further columns widen the store's schema; a known column of another type is refused."""
         self.widened(df.schema)
-        new = self._write(df, 0, rows_per_file)
-        known = self.versions()
-        return self.commit(self.shards() + new, (known[-1] if known else 0) + 1, self.widened(df.schema))
+        new = [Shard(p, n, 0) for p, n in self._write(df, rows_per_file)]
+        try:
+            return self._changed(lambda now: ([Shard(**x) for x in now["shards"]] + new, self.widened(df.schema, now)))
+        except Exception:
+            self._remove([s.path for s in new])
+            raise
 
-    def widened(self, other: T.StructType) -> T.StructType:
+    def widened(self, other: T.StructType, manifest: dict | None = None) -> T.StructType:
         """The store's schema with the further columns of another."""
-        fields = {f.name.lower(): f for f in self.schema() or ()}
+        fields = {f.name.lower(): f for f in self._schema_of(manifest or self.manifest()) or ()}
         for f in other:
             had = fields.setdefault(f.name.lower(), f)
             if had.dataType.simpleString() != f.dataType.simpleString():
@@ -135,21 +180,42 @@ class ShardStore:
     def compact(self) -> int | None:
         """Merge until no tier is full; returns the last version committed, None if nothing was to do.
 
-        All runs of a round are one job: a run is read by one task and becomes one file, so no row is shuffled."""
+        All runs of a round are one job: a run is read by one task and becomes one file, so no row is shuffled.  A run
+        whose shards another writer replaced meanwhile is dropped, with its file."""
         version = None
-        while runs := self.plan(now := self.shards()):
-            merged = None
+        while True:
+            now = self.manifest()
+            runs = self.plan([Shard(**x) for x in now["shards"]])
+            if not runs:
+                return version
+            schema, merged = self._schema_of(now), None
             for run in runs:
-                one = self.spark.read.schema(self.schema()).parquet(*[s.path for s in run]).coalesce(1)
+                one = self.merging.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
                 merged = one if merged is None else merged.unionByName(one)
-            new = self._write(merged, 1 + max(s.level for r in runs for s in r))
-            gone = {s.path for r in runs for s in r}
-            version = self.commit([s for s in now if s.path not in gone] + new, self.versions()[-1] + 1)
-        return version
+            made = {int(re.search(r"/part-(\d+)-", p)[1]): (p, n) for p, n in self._write(merged)}  # an empty run leaves no file
+            lost: list[str] = []
+
+            def replaced(now: dict) -> tuple[list[Shard], T.StructType | None] | None:
+                valid = {x["path"] for x in now["shards"]}
+                done = [k for k, run in enumerate(runs) if all(s.path in valid for s in run)]
+                lost[:] = [p for k, (p, _) in made.items() if k not in done]
+                gone = {s.path for k in done for s in runs[k]}
+                new = [Shard(*made[k], 1 + max(s.level for s in runs[k])) for k in done if k in made]
+                return ([Shard(**x) for x in now["shards"] if x["path"] not in gone] + new, self._schema_of(now)) if done else None
+
+            try:
+                version = self._changed(replaced) or version
+            except Exception:
+                lost = [p for p, _ in made.values()]
+                raise
+            finally:
+                self._remove(lost)
 
     def schema(self, version: int | None = None) -> T.StructType | None:
         """Of all arrivals up to a version; manifests of old stores don't name it, there the shards are asked."""
-        manifest = self.manifest(version)
+        return self._schema_of(self.manifest(version))
+
+    def _schema_of(self, manifest: dict) -> T.StructType | None:
         if manifest.get("schema"):
             return T.StructType.fromJson(manifest["schema"])
         paths = [s["path"] for s in manifest["shards"]]
@@ -162,20 +228,38 @@ class ShardStore:
             raise ValueError("nothing was appended")
         return self.spark.read.schema(self.schema(version)).parquet(*[s.path for s in shards])
 
-    def vacuum(self) -> int:
-        """Remove data files that the latest manifest doesn't name; returns how many."""
-        valid, gone = {s.path for s in self.shards()}, 0
-        base = self.java.Path(f"{self.root}/data")
-        for folder in self.files.listStatus(base):
+    def vacuum(self, *, versions: int = VERSIONS, age: float = AGE) -> int:
+        """Expire all but the latest ``versions`` versions, if they were replaced ``age`` seconds ago or more, and
+        remove data files of that age that no remaining version names; returns how many.
+
+        So a reader has ``age`` seconds for a version that it opened, and a writer as long from its first file to its
+        commit; with an age of 0 there must be no other reader or writer.  Ages are by the store's times and this
+        machine's clock."""
+        limit = (time.time() - age) * 1000
+        known = self.versions()
+        # a version was replaced when the next one was written
+        old = [v for v, following in zip(known, known[1:]) if v in known[: -max(1, versions)] and self.files.getFileStatus(self._manifest_path(following)).getModificationTime() <= limit]
+        for v in old:
+            self.files.delete(self._manifest_path(v), False)
+        valid = {x["path"] for v in self.versions() for x in self.manifest(v)["shards"]}
+        gone, base = 0, self.java.Path(f"{self.root}/data")
+        for folder in self.files.listStatus(base) if self.files.exists(base) else ():
             for f in self.files.listStatus(folder.getPath()):
-                if f.getPath().toString() not in valid and f.getPath().getName().endswith(".parquet"):
+                if f.getPath().toString() not in valid and f.getPath().getName().endswith(".parquet") and f.getModificationTime() <= limit:
                     gone += bool(self.files.delete(f.getPath(), False))
         return gone
 
 
+#: The columns that shard_of_rows adds.
+OF_SHARD = ("shard", "shard_bytes", "level", "version")
+
+
 def shard_of_rows(store: ShardStore, *columns: str) -> DataFrame:
-    """The given columns of each row with the shard that holds it: shard, shard_bytes, level, version."""
+    """The given columns of each row with the shard that holds it: shard, shard_bytes, level, version.  Columns of
+    rows with one of these names are left out.  Rows with nulls, repeated rows and empty texts each have theirs."""
     version = store.versions()[-1]
     table = store.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.bytes, s.level) for s in store.shards(version)], "shard string, shard_bytes long, level int")
-    rows = store.read(version).select(*[F.col(f"`{c}`") for c in columns], F.col("_metadata.file_name").alias("shard"))
+    rows = store.read(version)
+    place = rows.metadataColumn("_metadata")["file_name"].alias("shard")
+    rows = rows.select(*[F.col(f"`{c}`") for c in columns if c.lower() not in OF_SHARD], place)
     return rows.join(F.broadcast(table), "shard", "left").withColumn("version", F.lit(version))  # a line per file
