@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only
+from ..functions.names import free_prefix
 from .quality import once
 
 ROUNDS = 10
@@ -104,11 +104,18 @@ def hidden_card(m: Column, key: str) -> Column:
 
 
 def hidden_phone(m: Column, key: str) -> Column:
-    """The last ten digits are permuted, the country's stay."""
+    """The last ten digits are permuted, the country's stay.  Areas and exchanges that can be dialled (200 to 999)
+    become such ones, others become others: numbers stay valid or invalid, and none are mixed up."""
 
     def whole(d: Column) -> Column:
         kept = F.length(d) - 10
-        return refill(m, F.concat(F.substr(d, F.lit(1), kept), permuted_digits(F.substr(d, kept + 1, F.lit(10)), "phone", key)))
+        area = number(F.substr(d, kept + 1, F.lit(3)))
+        rest = number(F.substr(d, kept + 4, F.lit(7)))
+        first, second = F.when(area >= 200, 200).otherwise(0), F.when(rest >= 2_000_000, 2_000_000).otherwise(0)
+        p, q = F.when(area >= 200, 800).otherwise(200), F.when(rest >= 2_000_000, 8_000_000).otherwise(2_000_000)
+        mixed = feistel(area - first, rest - second, p, q, "phone", key)
+        padded = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return once(mixed, lambda s: refill(m, F.concat(F.substr(d, F.lit(1), kept), padded(s["a"] + first, 3), padded(s["b"] + second, 7))))
 
     return once(digits_of(m), whole)
 
@@ -204,14 +211,15 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", counts: b
     """All columns of docs with the text pseudonymised and, with counts, a column n_<kind> for each kind.
 
     A null text stays null and an empty one empty, both with zero counts; rows, their order within a partition and
-    repeated rows are kept.  Columns of docs that have a count's name are replaced by it.
+    repeated rows are kept; an empty table stays empty.  Columns of docs that have a count's name are replaced by it;
+    all others stay as they are.
     """
-    text = F.col(f"`{text_col}`")
+    text, new = F.col(f"`{text_col}`"), free_prefix(docs) + "new"
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn("_new", F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: pseudonym(m, key)))
+    rows = docs.withColumn(new, F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: pseudonym(m, key)))
     gaps = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(F.col("_new"), i)["text"], F.lit(""))))), "")
-    rows = rows.withColumn(text_col, F.when(F.size("_new") > 0, whole).otherwise(text))
+    whole = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(F.col(new), i)["text"], F.lit(""))))), "")
+    rows = rows.withColumn(text_col, F.when(F.size(new) > 0, whole).otherwise(text))
     if counts:
-        rows = rows.withColumns({f"n_{k}": F.size(F.filter("_new", is_kind(k))).cast("long") for k in KINDS})
-    return rows.drop("_new")
+        rows = rows.withColumns({f"n_{k}": F.size(F.filter(new, is_kind(k))).cast("long") for k in KINDS})
+    return rows.drop(new)
