@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
 from .common import only, ship, tidied, write_once
 from .components import components
 
@@ -481,21 +482,24 @@ def marked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
 
 def keep_one(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all columns, without the documents of each component but one; of rows that repeat id and text
-    one stays.  Documents without words all stay."""
+    """docs, with all columns, whatever these are called, without the documents of each component but one; of rows
+    that repeat id and text one stays.  Documents without words, null texts among them, all stay; an empty table
+    stays empty."""
+    prefix = free_prefix(docs)
+    own, gone_id, gone_key = prefix + "key", prefix + "gone_id", prefix + "gone_key"
     marks = write_once(marked(docs, width, percent, id_col, text_col), "marks")
     gone = marks.where(~F.col("stays")).select("id", "key").distinct()
     again = marks.where(F.col("stays") & (F.col("n") > 0)).groupBy("id", "key").count().where(F.col("count") > 1).select("id", "key")
-    rows = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    rows = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
     def joined(rows: DataFrame, some: DataFrame, how: str) -> DataFrame:
-        some = some.select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"))
+        some = some.select(F.col("id").alias(gone_id), F.col("key").alias(gone_key))
         if some.count() <= BROADCAST_NODES:
             some = F.broadcast(some)
-        return rows.join(some, (F.col("_key") == F.col("_gone_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_gone_id")), how)
+        return rows.join(some, (F.col(own) == F.col(gone_key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(gone_id)), how)
 
     rows = joined(rows, gone, "left_anti")
     if not again.isEmpty():
-        repeated = joined(rows, again, "left_semi").dropDuplicates([id_col, "_key"])
+        repeated = joined(rows, again, "left_semi").dropDuplicates([id_col, own])
         rows = joined(rows, again, "left_anti").unionByName(repeated)
-    return rows.drop("_key")
+    return rows.drop(own)
