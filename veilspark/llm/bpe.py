@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, ship, tidied
-from .vocab import Codec, VocabFile
+from .vocab import Codec, VocabFile, ranks_are_merges
 
 ship(__name__)
 
@@ -46,9 +46,13 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     """doc_id, ids array<int>, for every row.
 
     A null text is empty and has no ids.  Repeated rows, and rows with the same or no id, are encoded each.
-    Further columns are left out; an empty table gives no rows.
+    Further columns are left out; an empty table gives no rows.  A .json vocabulary whose ranks aren't its merges is
+    a ValueError; special strings are plain text.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())  # bounded by the file
+    vocab = VocabFile.load(vocab_path)
+    if vocab.kind == "json" and not ranks_are_merges(vocab):
+        raise ValueError("the ids of this vocabulary aren't in the order of its merges")
+    sent = docs.sparkSession.sparkContext.broadcast(vocab.plain())  # bounded by the file
     id_type = docs.schema[id_col].dataType.simpleString()
     source = only(docs, id_col, text_col)
     buckets = max(BUCKETS, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import only, ship, tidied
-from .vocab import Codec, VocabFile, ranks_are_merges, whole_tokens
+from .vocab import Codec, VocabFile, whole_tokens
 
 ship(__name__)
 
@@ -30,7 +30,6 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
     spark = docs.sparkSession
     vocab = VocabFile.load(vocab_path)
     proved = whole_tokens(vocab)
-    by_ranks = vocab.kind == "ranks" or ranks_are_merges(vocab)
     sent = spark.sparkContext.broadcast((vocab.plain(), proved))  # bounded by the vocabulary file
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -52,7 +51,7 @@ def token_counts(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", te
             for text in batch.column(1):
                 text = text.as_py() or ""
                 n_bytes.append(len(text.encode()))
-                if not by_ranks or codec.odd(text):
+                if codec.odd(text):
                     n_tokens.append(len(codec.library.encode(text, add_special_tokens=False).ids))
                     continue
                 words = codec.split(text)

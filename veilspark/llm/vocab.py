@@ -74,6 +74,8 @@ class Codec:
         self.ranks = ranks_of(vocab)
         self.special: dict[str, int] = {}
         self.json = vocab.data.decode() if vocab.kind == "json" else None
+        #: Whether merging by rank gives the library's ids; if not, the library encodes every text.
+        self.by_ranks = vocab.kind == "ranks" or ranks_are_merges(vocab)
         if vocab.kind == "json":
             self.special = {t["content"]: t["id"] for t in json.loads(vocab.data)["added_tokens"]}
         self.engine = tiktoken.Encoding(vocab.key, pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
@@ -98,8 +100,9 @@ class Codec:
         return self.split_any(text) if self.unplain(text) else self.split_plain(text)
 
     def odd(self, text: str) -> bool:
-        """Whether the library itself has to encode this text: special strings or characters beyond the plain."""
-        return self.json is not None and bool(self.unplain(text) or self.special_in(text))
+        """Whether the library itself has to encode this text: special strings, characters beyond the plain, or a
+        vocabulary whose ranks aren't its merges."""
+        return self.json is not None and bool(not self.by_ranks or self.unplain(text) or self.special_in(text))
 
     def ids(self, text: str):
         """The ids of a whole text as unsigned 32-bit numbers."""
@@ -120,11 +123,20 @@ class Codec:
 
 
 def ranks_are_merges(vocab: VocabFile) -> bool:
-    """Whether a .json vocabulary numbers its tokens in the order of its merges, so that ranks stand for merges."""
-    model = json.loads(vocab.data)["model"]
+    """Whether a .json vocabulary is plain byte-level BPE, split by the pattern above, that numbers its tokens in the
+    order of its merges, so that ranks stand for merges."""
+    file = json.loads(vocab.data)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or file.get("normalizer") or model.get("ignore_merges") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        return False
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     made = [model["vocab"][a + b] for a, b in merges]
-    return made == sorted(made) and len(made) + 256 == len(model["vocab"]) and not model.get("ignore_merges")
+    of_bytes = [model["vocab"].get(c) for c in byte_letters()]
+    special = {t["content"] for t in file["added_tokens"]}
+    rest = len([t for t in model["vocab"] if t not in special])
+    return None not in of_bytes and made == sorted(set(made)) and max(of_bytes) < made[0] and len(made) + 256 == rest
 
 
 def whole_tokens(vocab: VocabFile) -> set[str]:
