@@ -78,7 +78,7 @@ class Model:
 
 def held_out(id_col: str = "doc_id"):
     """Rows that no model learns from: crc32 of the id as text is divisible by 5.  So are rows without an id."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    return F.coalesce(F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -173,6 +173,34 @@ def thresholds(counts: list[tuple[int, int, int]], share: float) -> dict[int, in
     return least
 
 
+def laid_out(bags: list[tuple[int, list[list[int]], list[int]]]) -> tuple:
+    """Flat arrays of bags with a sentence each at least: labels, the bag and the times of each sentence, and the
+    sentence and the number of each feature."""
+    import numpy as np
+
+    sentences = [s for _, bag, _ in bags for s in bag]
+    of_bag = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
+    of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
+    times = np.array([n for _, _, own in bags for n in own], float)
+    return np.array([b[0] for b in bags], float), of_bag, times, of_sentence, np.concatenate([np.array(s) for s in sentences])
+
+
+def loss_and_gradient(w, b: float, data: tuple, leak: float, decay: float):
+    """The mean negative log likelihood of the labels with a penalty on weights, and its gradient by weights and bias."""
+    import numpy as np
+
+    y, of_bag, times, of_sentence, feature = data
+    z = np.clip(b + np.bincount(of_sentence, w[feature], len(of_bag)), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    none_of = math.log1p(-leak) - np.bincount(of_bag, times * np.logaddexp(0, z), len(y))  # log of 1 - document
+    q = np.maximum(-np.expm1(none_of), 1e-9)
+    loss = -np.where(y > 0, np.log(q), none_of).mean() + decay * np.dot(w, w) / (2 * len(w))
+    # d loss / d z: each sentence pushes its document's "none" by -p
+    pull = np.where(y > 0, -np.exp(none_of) / q, 1.0)
+    dz = pull[of_bag] * times * p / len(y)
+    return loss, np.append(np.bincount(feature, dz[of_sentence], len(w)) + decay * w / len(w), dz.sum())
+
+
 def trained(names: list[str], bags: list[tuple[int, list[list[int]], list[int]]], share: float, heads: frozenset[str], steps: int = 400, decay: float = 1e-3) -> Model:
     """Maximise the likelihood of the document labels under noisy-or, by Adam.  A bag has the features of each kind of
     sentence, and how often it stands in the document."""
@@ -183,23 +211,11 @@ def trained(names: list[str], bags: list[tuple[int, list[list[int]], list[int]]]
     bags = [b for b in bags if b[1]]
     if not bags:
         return Model(leak=min(leak, 0.999))
-    y = np.array([b[0] for b in bags], float)
-    of_bag = np.repeat(np.arange(len(bags)), [len(b[1]) for b in bags])
-    sentences = [s for _, bag, _ in bags for s in bag]
-    times = np.array([n for _, _, own in bags for n in own], float)
-    of_sentence = np.repeat(np.arange(len(sentences)), [len(s) for s in sentences])
-    feature = np.concatenate([np.array(s) for s in sentences])
+    data = laid_out(bags)
     w, b = np.full(len(names), 0.5), -1.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, steps + 1):
-        z = np.clip(b + np.bincount(of_sentence, w[feature], len(sentences)), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        none_of = math.log1p(-leak) - np.bincount(of_bag, times * np.logaddexp(0, z), len(bags))  # log of 1 - document
-        q = -np.expm1(none_of)
-        # d loss / d z: each sentence pushes its document's "none" by -p
-        pull = np.where(y > 0, -np.exp(none_of) / np.maximum(q, 1e-9), 1.0)
-        dz = pull[of_bag] * times * p / len(bags)
-        grad = np.append(np.bincount(feature, dz[of_sentence], len(names)) + decay * w / len(names), dz.sum())
+        _, grad = loss_and_gradient(w, b, data, leak, decay)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -233,7 +249,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is below the threshold, with all their columns."""
+    """The rows whose score is below the threshold, with all their columns, whatever these are called.  Null and empty
+    texts score the leak; repeated rows stay or go alike; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model.plain())
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
