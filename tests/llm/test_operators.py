@@ -349,7 +349,7 @@ def test_chats_come_back(spark):
     bits = ["\\", "#", "<", "###", "</turn>", "<+>", "\\h", "\\l", "\\\\", "\n", ": ", "### a: ", "x", "é🙂", ""]
     turns = []
     for c in range(40):
-        for t in range(r.randint(1, 300 if c == 0 else 9)):
+        for t in range(r.randint(1, 3000 if c == 0 else 9)):
             turns.append((c, t, r.choice(["user", "assistant", "assistant", "sys:tem#"]), r.choice([None, "".join(r.choice(bits) for _ in range(6))]), "x"))
     df = spark.createDataFrame(turns + [(None, None, None, None, None), (-1, 5, "user", "b", ""), (-1, 5, "user", "a", ""), (-1, 5, "user", "a", "")], "conv_id long, turn long, role string, text string, mask string").repartition(5)
     chats = chat.format_chats(df)

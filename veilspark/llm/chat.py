@@ -19,7 +19,7 @@ from .common import only
 from .quality import once
 
 OPEN, NAMED, NEXT, CLOSE = "### ", ": ", "<+>", "</turn>\n"
-#: Turn numbers in a chunk.
+#: Turn numbers in a chunk of a conversation, and runs in a block of a mask.
 CHUNK = 128
 
 
@@ -80,7 +80,10 @@ def run(chars: Column, learn: Column) -> Column:
 
 
 def read_back(formatted: DataFrame, *, conv_col: str = "conv_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """conv_id, turns array<struct<role, text>> and learned array<string>, as the formatted text and mask say."""
+    """conv_id, turns array<struct<role, text>> and learned array<string>, as the formatted text and mask say.
+
+    The mask is followed in blocks of runs, each with its own piece of the text: work grows with the text, not with
+    its square.  No rows give no rows."""
     marked = F.filter(F.split("formatted", r"</turn>\n", -1), lambda s: s != "")
 
     def turns(s: Column) -> Column:
@@ -93,6 +96,16 @@ def read_back(formatted: DataFrame, *, conv_col: str = "conv_id", keep: tuple[st
         return F.struct(end.alias("at"), F.when(r["learn"], F.array_append(s["spans"], F.struct(s["at"].alias("at"), r["chars"].alias("chars")))).otherwise(s["spans"]).alias("spans"))
 
     none = F.array().cast("array<struct<at:int,chars:int>>")
-    spans = F.aggregate("mask", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    learned = once(spans, lambda x: F.transform(x, lambda p: unescaped(F.substr(F.col("formatted"), p["at"] + 1, p["chars"]))))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("mask") - 1) / CHUNK).cast("int"))
+    blocks = F.transform(numbers, lambda j: F.aggregate(F.slice("mask", j * CHUNK + 1, F.lit(CHUNK)), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def starts(bs: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        return F.aggregate(bs, first, lambda s, b: F.struct((s["at"] + b["at"]).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")), lambda s: s["starts"])
+
+    def texts(b: Column, start: Column) -> Column:
+        piece = F.substr(F.col("formatted"), start + 1, b["at"])
+        return once(piece, lambda t: F.transform(b["spans"], lambda p: unescaped(F.substr(t, p["at"] + 1, p["chars"]))))
+
+    learned = once(blocks, lambda bs: once(starts(bs), lambda st: F.flatten(F.transform(bs, lambda b, i: texts(b, F.get(st, i))))))
     return formatted.select(F.col(f"`{conv_col}`"), *keep, F.flatten(F.transform(marked, turns)).alias("turns"), learned.alias("learned"))
