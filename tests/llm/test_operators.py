@@ -208,10 +208,31 @@ def test_near_duplicates_are_those_of_brute_force(spark, width, percent):
     assert got == brute(texts, width, percent)
 
 
-def test_near_duplicates_when_sets_are_on_disk(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SETS_IN_MEMORY", 1000)
+def family(seed, n, size=60, edits=1):
+    """Near copies of one text, a chain of them that drifts away, and texts that share a passage only."""
+    r, base = random.Random(seed), words(size, 31 * seed).split()
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(edits):
+            own[r.randrange(size)] = f"E{r.randrange(10**6)}"
+        out.append(" ".join(own))
+    chain = list(base)
+    for i in range(n // 4):
+        chain[i % size] = f"C{i}"
+        out.append(" ".join(chain))
+    out += [words(6, 5000 + i) + " " + " ".join(base[: size // 2]) for i in range(n // 4)]
+    return out
+
+
+@pytest.mark.parametrize(("nodes", "bytes_", "local"), [(4, 10**9, 1), (10**6, 3000, 8), (8, 2000, 2), (16, 10**9, 10**9)])
+def test_near_duplicates_in_slices(spark, monkeypatch, nodes, bytes_, local):
+    monkeypatch.setattr(jaccard, "SLICE_NODES", nodes)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", bytes_)
+    monkeypatch.setattr(jaccard, "HEAVY_LOCAL", local)
     texts = near_copies(11)
-    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    texts |= dict(enumerate([*family(1, 90), *family(2, 60, 40, 2), *family(3, 50, 200, 4)], len(texts)))
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs, width=4, percent=85).collect()}
     assert got == brute(texts, 4, 85)
 

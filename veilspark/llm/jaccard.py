@@ -9,6 +9,10 @@
 4. The trees' components hold every link.  Their shingle sets, sorted arrays, are gathered by component and
    intersected exactly, again breadth first.
 
+Tiles and components of more than a slice of nodes are searched slice by slice, so no group is whole in any task:
+first within slices, dealt in more than one way; then what is not yet tied to the group's largest piece, block by
+block, against all slices of the group.  Every pair of a group has then met or is already linked through others.
+
 So no all-pairs list exists anywhere; exact work is done only on nodes whose bitmaps come near another's.
 """
 
@@ -34,9 +38,10 @@ HELD = 500_000
 BUCKETS = 512
 #: Nodes that may be broadcast to pick documents; beyond that they are joined by a shuffle.
 BROADCAST_NODES = 1_000_000
-#: Bytes of one component's shingle sets in memory; beyond that a task spills them, as Spark's own sorts do, to an
-#: unnamed file in its executor's Spark scratch folder, which nothing but the task reads.
-SETS_IN_MEMORY = 200_000_000
+#: Nodes of a slice and bytes of its shingle sets, about; groups of up to twice that stay whole.
+SLICE_NODES, SLICE_BYTES = 1024, 16_000_000
+#: Ways of dealing the nodes of a group into slices.
+DEALS = 4
 #: Fixed odd multipliers of the words of a shingle.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
@@ -107,8 +112,25 @@ def node_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def heavy_shingles(rows: DataFrame, width: int) -> tuple[bytes, bytes]:
-    """The most frequent shingles with their ranks, sorted by shingle: at most HEAVY, whatever the corpus."""
+def slices_of(size):
+    """Slices, a power of two, for groups of so many nodes."""
+    import numpy as np
+
+    size = np.asarray(size, float)
+    return np.where(size <= 2 * SLICE_NODES, 1, 2 ** np.ceil(np.log2(np.maximum(size, 1) / SLICE_NODES))).astype("i8")
+
+
+def dealt(nodes, deal, slices):
+    """The slice of each node (signed 64-bit) in one of the DEALS."""
+    import numpy as np
+
+    h = (nodes.view("u8") ^ (np.asarray(deal).astype("u8") + np.uint64(1)) * np.uint64(PRIMES[3])) * np.uint64(PRIMES[0])
+    h ^= h >> np.uint64(31)
+    return ((h * np.uint64(PRIMES[2]) >> np.uint64(32)) % np.asarray(slices).astype("u8")).astype("i8")
+
+
+def heavy_shingles(rows: DataFrame, width: int) -> tuple[bytes, bytes, bytes]:
+    """The most frequent shingles with their ranks and slices, sorted by shingle: at most HEAVY, whatever the corpus."""
     import numpy as np
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +156,9 @@ def heavy_shingles(rows: DataFrame, width: int) -> tuple[bytes, bytes]:
     top = [(r["h"], r["n"]) for r in found.orderBy(F.desc("n"), "h").limit(HEAVY).collect()]
     h = np.array([h for h, _ in top], "i8").view("u8")
     rank = np.arange(len(top), 0, -1).astype("u4")  # the most frequent last
+    slices = slices_of([n for _, n in top])
     order = np.argsort(h)
-    return h[order].tobytes(), rank[order].tobytes()
+    return h[order].tobytes(), rank[order].tobytes(), slices[order].tobytes()
 
 
 def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buckets: int) -> DataFrame:
@@ -154,7 +177,7 @@ def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buc
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        heavy, rank = np.frombuffer(sent.value[0], "u8"), np.frombuffer(sent.value[1], "u4")
+        heavy, rank, slices = (np.frombuffer(x, kind) for x, kind in zip(sent.value, ("u8", "u4", "i8")))
         seen: set[int] = set()
         keys, owners, sizes = [], [], []
         held = 0
@@ -173,17 +196,27 @@ def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buc
             return h[:p]
 
         def packets() -> Iterator[pa.RecordBatch]:
+            """Packets of a bucket's shingles, and of its slices of shingles that need slices: those shingles are named
+            in full, with the slice."""
             k = np.concatenate(keys)
             node = np.repeat(np.array(owners, "i8"), [len(x) for x in keys])
             n = np.repeat(np.array(sizes, "u4"), [len(x) for x in keys])
-            bucket = ((k & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype("i4")
-            order = np.argsort(bucket, kind="stable")
-            names, starts = np.unique(bucket[order], return_index=True)
+            parts = np.ones(len(k), "i8")
+            if len(heavy):
+                at = np.minimum(np.searchsorted(heavy, k), len(heavy) - 1)
+                parts = np.where(heavy[at] == k, slices[at], 1)
+            part = np.where(parts > 1, dealt(node, k % np.uint64(DEALS), parts), 0)
+            mixed = np.where(parts > 1, (k ^ part.view("u8") * np.uint64(PRIMES[4])) * np.uint64(PRIMES[1]) >> np.uint64(32), k & np.uint64(0xFFFFFFFF))
+            bucket = (mixed % np.uint64(buckets)).astype("i4")
             out = []
-            for b, own in zip(names.tolist(), np.split(order, starts[1:])):
-                own = own[np.argsort(n[own], kind="stable")]
-                raw = (k[own] >> np.uint64(32)).astype("<u4").tobytes() + node[own].astype("<i8").tobytes()
-                out.append((None, None, None, None, None, b, len(own).to_bytes(4, "little") + raw + squeeze(n[own].astype("<u4").tobytes())))
+            for cut in (False, True):
+                mine = np.flatnonzero((parts > 1) == cut)
+                mine = mine[np.lexsort((n[mine], bucket[mine]))]
+                names, starts = np.unique(bucket[mine], return_index=True)
+                for b, own in zip(names.tolist(), np.split(mine, starts[1:])):
+                    name = k[own].tobytes() + part[own].astype("<u4").tobytes() if cut else (k[own] >> np.uint64(32)).astype("<u4").tobytes()
+                    head = bytes([cut]) + len(own).to_bytes(4, "little")
+                    out.append((None, None, None, None, None, b, head + name + node[own].astype("<i8").tobytes() + squeeze(n[own].astype("<u4").tobytes())))
             for i in range(0, len(out), 200):
                 yield batch_of(out[i : i + 200])
 
@@ -218,7 +251,8 @@ def nodes_and_tiles(rows: DataFrame, width: int, percent: int, id_type: str, buc
 
 
 def tiles_of(table: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """tile, nodes array<long>: the distinct groups of nodes that share a prefix shingle and are close in size."""
+    """tile, grp, nodes array<long>: groups of nodes that share a prefix shingle and are close in size.  Where grp is
+    not null the tile is a slice of that group, else it is a group of its own.  Equal tiles have equal numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
@@ -230,29 +264,61 @@ def tiles_of(table: DataFrame, percent: int, buckets: int) -> DataFrame:
         open_ = zstandard.ZstdDecompressor().decompress
         step = math.log(100 / percent) if percent < 100 else 1e-9
 
-        def bucket_tiles(parts) -> Iterator[pa.RecordBatch]:
+        def batches_of(tiles) -> Iterator[pa.RecordBatch]:
+            """tiles: (group or None, nodes); groups of their own only once."""
+            done: set[int] = set()
+            out: list[tuple] = []
+            size = 0
+            for grp, own in tiles:
+                tile = xxhash.xxh64_intdigest(np.sort(own).tobytes()) >> 1
+                if grp is None:
+                    if tile in done:
+                        continue
+                    done.add(tile)
+                out.append((tile, grp, own))
+                size += len(own)
+                if size > 200_000:
+                    yield batch_of(out)
+                    out, size = [], 0
+            if out:
+                yield batch_of(out)
+
+        def batch_of(out) -> pa.RecordBatch:
+            tiles, groups, own = zip(*out)
+            offsets = np.cumsum([0, *map(len, own)])
+            nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(own), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(tiles, pa.int64()), pa.array(groups, pa.int64()), nodes], names=["tile", "grp", "nodes"])
+
+        def fresh(*columns):
+            """Sorted by the first columns, then n, then node, without repeats."""
+            order = np.lexsort((columns[-1], columns[-2], *columns[-3::-1]))
+            columns = [c[order] for c in columns]
+            new = np.ones(len(order), bool)
+            new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in (*columns[:-2], columns[-1])])
+            return [c[new] for c in columns]
+
+        def whole(bucket: int, parts):
+            """Groups of one shingle that came whole; large ones are cut here."""
             key, node, n = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((node, n, key))
-            key, node, n = key[order], node[order], n[order]
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, n = key[fresh], node[fresh], n[fresh]
+            key, n, node = fresh(key, n, node)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
-            done: set[int] = set()
-            tiles, groups = [], []
 
-            def add(own):
-                tile = xxhash.xxh64_intdigest(np.sort(own).tobytes()) >> 1
-                if tile not in done:
-                    done.add(tile)
-                    tiles.append(tile)
-                    groups.append(own)
+            def cut(name: tuple, own):
+                parts = int(slices_of(len(own)))
+                if parts == 1:
+                    yield None, own
+                    return
+                grp = xxhash.xxh64_intdigest(repr((bucket, *name))) >> 1
+                part = dealt(own, grp % DEALS, parts)
+                for p in range(parts):
+                    if (part == p).any():
+                        yield grp, own[part == p]
 
             for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
                 sizes = n[a:b]
                 if sizes[0] * 100 >= sizes[-1] * percent:
-                    add(node[a:b])
+                    yield from cut((int(key[a]),), node[a:b])
                     continue
                 band = np.floor(np.log(sizes) / step).astype(int)
                 for k in np.unique(band).tolist():
@@ -260,156 +326,197 @@ def tiles_of(table: DataFrame, percent: int, buckets: int) -> DataFrame:
                     low, high = np.searchsorted(band, k - 2), np.searchsorted(band, k + 1)
                     low += int(np.searchsorted(sizes[low:high], sizes[np.searchsorted(band, k)] * percent // 100))
                     if high - low > 1:
-                        add(node[a:b][low:high])
-            for i in range(0, len(tiles), 5000):
-                own = groups[i : i + 5000]
-                offsets = np.cumsum([0, *map(len, own)])
-                yield pa.RecordBatch.from_arrays([pa.array(tiles[i : i + 5000], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(own), pa.int64()))], names=["tile", "nodes"])
-
-        now, parts = None, []
+                        yield from cut((int(key[a]), k), node[a:b][low:high])
+
+        def sliced(parts):
+            """Slices of shingles that were cut before they came."""
+            key, part, node, n = (np.concatenate(x) for x in zip(*parts))
+            key, part, n, node = fresh(key, part, n, node)
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(key)]):
+                yield int(key[a] >> np.uint64(1)), node[a:b]
+
+        def closed(bucket, held) -> Iterator[pa.RecordBatch]:
+            if held[0]:
+                yield from batches_of(whole(bucket, held[0]))
+            if held[1]:
+                yield from batches_of(sliced(held[1]))
+
+        now, held = None, ([], [])
         for batch in batches:
             for bucket, packet in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now:
-                    if parts:
-                        yield from bucket_tiles(parts)
-                    now, parts = bucket, []
+                    yield from closed(now, held)
+                    now, held = bucket, ([], [])
                 raw = packet.as_py()
-                m = int.from_bytes(raw[:4], "little")
-                parts.append((np.frombuffer(raw, "<u4", m, 4), np.frombuffer(raw[4 + 4 * m : 4 + 12 * m], "<i8"), np.frombuffer(open_(raw[4 + 12 * m :]), "<u4").astype("i8")))
-        if parts:
-            yield from bucket_tiles(parts)
+                m = int.from_bytes(raw[1:5], "little")
+                if raw[0]:
+                    held[1].append((np.frombuffer(raw, "<u8", m, 5), np.frombuffer(raw, "<u4", m, 5 + 8 * m), np.frombuffer(raw, "<i8", m, 5 + 12 * m), np.frombuffer(open_(raw[5 + 20 * m :]), "<u4").astype("i8")))
+                else:
+                    held[0].append((np.frombuffer(raw, "<u4", m, 5), np.frombuffer(raw, "<i8", m, 5 + 4 * m), np.frombuffer(open_(raw[5 + 12 * m :]), "<u4").astype("i8")))
+        yield from closed(now, held)
 
     packets = table.where(F.col("bucket").isNotNull()).select("bucket", "packet")
-    found = packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "tile long, nodes array<long>")
-    return found.dropDuplicates(["tile"])
+    return write_once(packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), "tile long, grp long, nodes array<long>"), "tiles")
 
 
-def candidate_links(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """a, b: trees of the nodes whose bitmaps allow a link, tile by tile."""
+def may_link(n, data, percent: int):
+    """near(i, rest) by bitmaps, an upper bound."""
+    import numpy as np
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = min(map(len, data)) // 8
+    words = np.empty((len(data), width), "u8")
+    for i, b in enumerate(data):
+        words[i] = folded(np.frombuffer(b, "<u8")[None, :], width)[0]
+
+    def near(i, rest):
+        both = n[i] + n[rest]
+        apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype="i8")
+        return similar((both - apart) // 2, both, percent)
+
+    return near
+
+
+def do_link(n, data, percent: int):
+    """near(i, rest) by exact intersection of sorted shingle sets, behind bitmaps."""
+    import numpy as np
+
+    sets = [np.frombuffer(b, "<u8") for b in data]
+    width = min(64, max(1, (1 << max(6, int(n.max() - 1).bit_length())) // 64))
+    words = np.empty((len(n), width), "u8")
+    for i, own in enumerate(sets):
+        odd = np.bincount((own % np.uint64(64 * width)).astype("i8"), minlength=64 * width) & 1
+        words[i] = np.packbits(odd.astype("u1"), bitorder="little").view("<u8")
+
+    def near(i, rest):
+        both = n[i] + n[rest]
+        apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype="i8")
+        hit = similar((both - apart) // 2, both, percent)
+        own = sets[i]
+        for k in np.flatnonzero(hit).tolist():
+            other = sets[rest[k]]
+            place = np.searchsorted(own, other)
+            place[place == len(own)] = 0
+            hit[k] = similar(int((own[place] == other).sum()), int(both[k]), percent)
+        return hit
+
+    return near
+
+
+def links_within(rows: DataFrame, maker, percent: int) -> DataFrame:
+    """a, b: trees of the linked nodes of each group, from (grp, node, n, data).  A group is whole in one task; groups
+    are bounded by their slices."""
+
+    def found(group) -> Iterator[tuple[int, int]]:
         import numpy as np
 
-        def links(node, n, bits) -> Iterator[tuple[int, int]]:
-            width = min(map(len, bits)) // 8
-            words = np.empty((len(bits), width), "u8")
-            for i, b in enumerate(bits):
-                words[i] = folded(np.frombuffer(b, "<u8")[None, :], width)[0]
-            n = np.array(n, "i8")
+        node, n, data = ([x[i] for x in group] for i in range(3))
+        for i, reached in searched(n, maker(np.array(n, "i8"), data, percent)):
+            for j in reached:
+                yield node[i], node[j]
+
+    return grouped(rows, ["grp"], ["node", "n", "data"], found)
 
-            def near(i, rest):
-                both = n[i] + n[rest]
-                apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype="i8")
-                return similar((both - apart) // 2, both, percent)
 
-            for i, found in searched(n, near):
-                for j in found:
-                    yield node[i], node[j]
+def links_across(rows: DataFrame, maker, percent: int) -> DataFrame:
+    """a, b: further links, from (grp, one, other, rest, comp, node, n, data): a block of nodes (rest) of a group against
+    a slice of it.  Only links between different components are looked for, and no two between the same."""
+
+    def found(group) -> Iterator[tuple[int, int]]:
+        import numpy as np
 
+        node, n, data = ([x[i] for x in group] for i in range(3))
+        numbers: dict[int, int] = {}
+        comp = np.array([numbers.setdefault(x[4], len(numbers)) for x in group])
+        near = maker(np.array(n, "i8"), data, percent)
+        for i in [i for i, x in enumerate(group) if x[3]]:
+            others = np.flatnonzero(comp != comp[i])
+            hit = others[near(i, others)] if len(others) else others
+            while len(hit):
+                yield node[i], node[int(hit[0])]
+                comp[comp == comp[hit[0]]] = comp[i]
+                hit = hit[comp[hit] != comp[i]]
+
+    return grouped(rows, ["grp", "one", "other"], ["node", "n", "data", "rest", "comp"], found)
+
+
+def grouped(rows: DataFrame, by: list[str], columns: list[str], found) -> DataFrame:
+    """a, b: what ``found`` yields for each group of rows, in order of size, each node once."""
+    width = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(pairs) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["a", "b"])
 
-        now, node, n, bits, out = None, [], [], [], []
+        now, group, out = None, [], []
         for batch in batches:
-            for tile, x, size, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if tile != now:
-                    out += links(node, n, bits) if node else ()
-                    now, node, n, bits = tile, [], [], []
-                node.append(x)
-                n.append(size)
-                bits.append(b.as_py())
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:width] != now:
+                    out += found(group) if len(group) > 1 else ()
+                    now, group = row[:width], []
+                if not group or group[-1][0] != row[width]:  # else the same node from another copy of its text
+                    group.append(row[width:])
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
-        out += links(node, n, bits) if node else ()
+        out += found(group) if len(group) > 1 else ()
         if out:
             yield batch_of(out)
 
-    rows = tiles.select("tile", F.explode("nodes").alias("node")).join(nodes.select("node", "n", "bits"), "node")
-    rows = rows.select("tile", "node", "n", "bits").repartition("tile").sortWithinPartitions("tile", "n", "node")
-    return rows.mapInArrow(tidied(run), "a long, b long").distinct()
+    order = [*by, "n", "node", *[F.desc(c) for c in columns if c == "rest"]]  # of two rows of a node the one of the block stays
+    return rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*order).mapInArrow(tidied(run), "a long, b long").distinct()
 
 
-def exact_components(sets: DataFrame, percent: int) -> DataFrame:
-    """node, component from (cluster, node, n, hashes): exact intersections within each cluster."""
+def cross_links(members: DataFrame, links: DataFrame, payload, maker, percent: int) -> DataFrame:
+    """links, and those that finish the search of sliced groups.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import tempfile
+    members: (grp, node, slices), each node of a group once; links: (a, b) found so far.  In each group the
+    nodes outside its largest component meet all of its nodes, block by slice.  payload adds n and data to (node)."""
+    comps = write_once(components(links, "a", "b"), "pieces")
+    named = members.join(comps.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = write_once(named, "members")
+    counts = named.groupBy("grp", "comp").agg(F.count("*").alias("c"))
+    open_ = counts.groupBy("grp").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), (F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+    some = named.join(open_, "grp").withColumn("blocks", F.ceil(F.col("outside") * F.col("slices") / F.col("all")).cast("int"))
+    place = lambda by, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(by)).cast("int")
+    all_of = some.select("grp", place("slices", 17).alias("one"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), F.lit(False).alias("rest"), "comp", "node")
+    rest = some.where(F.col("comp") != F.col("main")).select("grp", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("one"), place("blocks", 23).alias("other"), F.lit(True).alias("rest"), "comp", "node")
+    more = links_across(payload(all_of.unionByName(rest)), maker, percent)
+    return comps.where(F.col("node") != F.col("component")).select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
 
-        import numpy as np
 
-        def labels(node, n, sets, ends) -> list[int]:
-            """sets: all shingles of the cluster, one set after the other."""
-            n, ends = np.array(n, "i8"), np.array(ends, "i8")
-            starts = ends - n
-            width = max(1, (1 << max(6, int(n.max() - 1).bit_length())) // 64)
-            words = np.empty((len(n), min(width, 64)), "u8")
-            for i in range(len(n)):
-                odd = np.bincount((sets[starts[i] : ends[i]] % np.uint64(64 * words.shape[1])).astype("i8"), minlength=64 * words.shape[1]) & 1
-                words[i] = np.packbits(odd.astype("u1"), bitorder="little").view("<u8")
-
-            def near(i, rest):
-                both = n[i] + n[rest]
-                apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype="i8")
-                hit = similar((both - apart) // 2, both, percent)
-                own = np.asarray(sets[starts[i] : ends[i]])
-                at = np.flatnonzero(hit)
-                for some in np.array_split(at, max(1, int(n[rest[at]].sum()) // 2_000_000)):
-                    for k in some.tolist():
-                        j = rest[k]
-                        other = sets[starts[j] : ends[j]]
-                        place = np.searchsorted(own, other)
-                        place[place == len(own)] = 0
-                        hit[k] = similar(int((own[place] == other).sum()), int(both[k]), percent)
-                return hit
-
-            label = np.array(node, "i8")
-            root = np.arange(len(n))
-            for i, found in searched(n, near):
-                root[found] = root[i]
-            least = np.full(len(n), np.iinfo("i8").max)
-            np.minimum.at(least, root, label)
-            return least[root].tolist()
-
-        def batch_of(node, comp) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(comp, pa.int64())], names=["node", "component"])
-
-        def closed(node, n, parts, ends, file) -> pa.RecordBatch:
-            if file:
-                file.write(b"".join(parts))
-                file.flush()
-                sets = np.memmap(file, "<u8", "r")
-            else:
-                sets = np.frombuffer(b"".join(parts), "<u8")
-            return batch_of(node, labels(node, n, sets, ends))
-
-        now, node, n, parts, ends, held, file = None, [], [], [], [], 0, None
-        for batch in batches:
-            for cluster, x, size, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if cluster != now:
-                    if node:
-                        yield closed(node, n, parts, ends, file)
-                    if file:
-                        file.close()
-                    now, node, n, parts, ends, held, file = cluster, [], [], [], [], 0, None
-                elif node and x == node[-1]:
-                    continue  # the same node from another copy of its text
-                node.append(x)
-                n.append(size)
-                parts.append(hashes.as_py())
-                ends.append(size + (ends[-1] if ends else 0))
-                held += 8 * size
-                if held > SETS_IN_MEMORY:
-                    file = file or tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
-                    file.write(b"".join(parts))
-                    parts, held = [], 0
-        if node:
-            yield closed(node, n, parts, ends, file)
-            if file:
-                file.close()
-
-    return sets.repartition("cluster").sortWithinPartitions("cluster", "n", "node").mapInArrow(tidied(run), "node long, component long")
+def candidate_links(tiles: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: trees of the nodes whose bitmaps allow a link, tile by tile."""
+    payload = lambda rows: rows.join(nodes.select("node", "n", F.col("bits").alias("data")), "node")
+    members = tiles.dropDuplicates(["tile"]).where(F.size("nodes") > 1).select(F.col("tile").alias("grp"), F.explode("nodes").alias("node"))
+    links = links_within(payload(members), may_link, percent)
+    cut = tiles.where(F.col("grp").isNotNull())
+    # of groups with the same slices one is enough
+    of_group = cut.groupBy("grp").agg(F.sum(F.col("tile").cast("decimal(20,0)")).alias("same"), F.count("*").alias("slices"))
+    kept = write_once(of_group.where("slices > 1").groupBy("same", "slices").agg(F.min("grp").alias("grp")), "groups")
+    if kept.isEmpty():
+        return links
+    members = cut.join(kept, "grp").select("grp", F.explode("nodes").alias("node"), F.col("slices").cast("int").alias("slices"))
+    return cross_links(members, write_once(links, "links"), payload, may_link, percent)
+
+
+def exact_components(rows: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """node, component from the wanted (id, key, node, n, cluster): exact intersections within each cluster."""
+    sizes = wanted.groupBy("cluster").agg(F.count("*").alias("c"), (F.sum("n") * 8).alias("bytes"))
+    slices = F.greatest(F.ceil(F.col("c") / SLICE_NODES), F.ceil(F.col("bytes") / SLICE_BYTES)).cast("int")
+    large = write_once(sizes.withColumn("slices", slices).where("slices > 2").select("cluster", "slices"), "large")
+    small = wanted if large.isEmpty() else wanted.join(large, "cluster", "left_anti")
+    sets = shingle_sets(rows, small, width).withColumnRenamed("cluster", "grp").withColumnRenamed("hashes", "data")
+    links = links_within(sets, do_link, percent)
+    if not large.isEmpty():
+        sets = write_once(shingle_sets(rows, wanted.join(large, "cluster", "left_semi"), width), "sets")
+        data = sets.select("node", "n", F.col("hashes").alias("data")).dropDuplicates(["node"])
+        payload = lambda rows: rows.join(data, "node")
+        members = sets.select(F.col("cluster").alias("grp"), "node").distinct().join(large.withColumnRenamed("cluster", "grp"), "grp")
+        deals = members.withColumn("deal", F.explode(F.lit([*range(DEALS // 2)])))
+        deals = deals.select(F.xxhash64("grp", "deal", F.pmod(F.xxhash64("node", "deal"), F.col("slices"))).alias("grp"), "node")
+        links = links.unionByName(cross_links(members, write_once(links_within(payload(deals), do_link, percent), "links"), payload, do_link, percent))
+    return components(links, "a", "b")
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -468,8 +575,8 @@ def marked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     firsts = table.where(F.col("bits").isNotNull())
     nodes = firsts.groupBy("node").agg(F.min_by(F.struct("id", "key", "n", "bits"), F.struct("id", "key")).alias("s")).select("node", "s.*")
     clusters = components(candidate_links(tiles_of(table, percent, buckets), nodes, percent), "a", "b").withColumnRenamed("component", "cluster")
-    wanted = write_once(clusters.join(nodes.select("node", "id", "key"), "node"), "wanted")
-    found = write_once(exact_components(shingle_sets(rows, wanted, width), percent), "components")
+    wanted = write_once(clusters.join(nodes.select("node", "id", "key", "n"), "node"), "wanted")
+    found = write_once(exact_components(rows, wanted, width, percent), "components")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     ids = documents.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(place).alias("p"))
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
