@@ -37,9 +37,12 @@ def process_cache(key, make: Callable):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a temporary one only where none is set."""
+    """The folder that all executors share, as the session names it.  A temporary one serves where none is set and
+    all runs on one machine; on a cluster that is an error."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = process_cache("scratch", lambda: tempfile.mkdtemp(prefix="veilspark-"))
     return place.rstrip("/")
 
