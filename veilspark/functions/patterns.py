@@ -129,6 +129,27 @@ DOCUMENT_NUMBER = r"(?i)^(?:(IV|INV|CN|DN|PO|SO|BILL|REC|PV|RV|VOUCH|ORD)[-_\s]?
 LEDGER_RESET = ("grand total", "account summary", "item code summary", "tax summary")
 LEDGER_NOISE = ("doc. no", "seq", "account summary", "grand total", "sub total", "total:", "gl code", "page ", "print date", "report date", "selection:", "parameters:")
 LEDGER_HEADS = ("doc", "seq", "code", "gl", "total", "summary", "invoice no", "line no")
+#: Words of the two header bands of a report, and roles of their columns by words in the label: the first role that
+#: fits, in this order.
+MASTER_BAND = ("doc. no", "doc no", "invoice no", "inv no", "voucher", "order no")
+LINE_BAND = ("seq", "line no", "item code", "gl code", "description", "qty", "quantity")
+MASTER_LABELS = (
+    ("doc", MASTER_BAND),
+    ("date", ("doc. date", "doc date", "invoice date", "order date", "date")),
+    ("code", ("cust code", "customer code", "code", "debtor code", "account")),
+    ("name", ("cust name", "customer name", "name", "client", "customer")),
+    ("total", ("total", "amount", "net amount")),
+)
+LINE_LABELS = (
+    ("seq", ("seq", "line no", "line", "item no", "sl no")),
+    ("item", ("gl code", "item code", "part no", "sku")),
+    ("desc", ("description", "narration", "particulars", "item name")),
+    ("qty", ("qty", "quantity", "units", "hours")),
+    ("price", ("unit price", "unit cost", "unit rate", "price", "rate", "cost")),
+    ("amount", ("item amount", "line amount", "amount", "line total")),
+    ("uom", ("uom", "measure")),
+    ("total", ("total",)),
+)
 UNITS = frozenset("CTN PCS PC KG G MTR M UNIT UNITS BOX BOXES SET SETS LITRE LTR BAG BAGS BTL BTLS PACK PKT EACH EA DOZ DZ HR HRS DRUM CAN ROLL PAIR PR".split())
 
 #: Currency marks that are cleared before a number is read.

@@ -12,9 +12,18 @@ ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩٫"
 LATIN_DIGITS = "0123456789."
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def double_of(c: Column) -> Column:
+    """The number that a text is, else null.  What doesn't begin like a number isn't cast: a failed cast costs much."""
+    return F.when(c.rlike(r"^\s*[+-]?(?:[0-9.]|(?i:inf|nan))"), c.try_cast("double"))
 
 
 def luhn_valid(c: Column) -> Column:
@@ -37,7 +46,7 @@ def shape(c: Column) -> Column:
 def structural_mask(c: Column) -> Column:
     """A report's cell without its values: labels stay, dates and codes keep their form, numbers become 9,999.00."""
     s = strip(c)
-    number = strip(F.regexp_replace(s, r"[,$]|SAR|PLN", "")).try_cast("double")
+    number = double_of(strip(F.regexp_replace(s, r"[,$]|SAR|PLN", "")))
     nines = F.regexp_replace(s, r"\d", "9")
     return (
         F.when(c.isNull() | (s == "") | F.lower(s).isin(*P.STRUCTURE_WORDS), c)
@@ -64,17 +73,89 @@ def free_text_rules() -> list[tuple[str, str, str]]:
     ]
 
 
+def bound(value: Column, use) -> Column:
+    """use(x) with x bound to the value, which is worked out a single time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def apart(value: Column) -> Column:
+    """The same value, worked out beside the generated code: very long expressions make methods that the JVM doesn't
+    compile, which is slower by far."""
+    return F.element_at(F.transform(F.array(F.lit(0)), lambda _: value), 1)
+
+
+def digits_in(c: Column) -> Column:
+    return F.length(c) - F.length(F.translate(c, LATIN_DIGITS[:10], ""))
+
+
+def has_digits(c: Column, n: int) -> Column:
+    """Whether there are n digits; they are only counted where there is one."""
+    return c.rlike("[0-9]") & (digits_in(c) >= n)
+
+
+def any_of(c: Column, words) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | c.contains(w)
+    return found
+
+
+def rule_hints(c: Column) -> dict[str, Column]:
+    """For each kind of free text a cheap test that every text with a match passes.  Letters that only fold to s and k
+    pass the tests of words in any case."""
+    low = F.lower(c)
+    folds = any_of(c, "\u017f\u212a")
+    return {
+        "EMAIL": c.contains("@"),
+        "PHONE": has_digits(c, 10),
+        "ORG": any_of(c, P.ORGANISATIONS.split("|")),
+        "PERSON": any_of(c, P.TITLES.replace("\\", "").split("|")),
+        "RELATION": folds | any_of(low, P.RELATIONS.split("|")),
+        "COMPOUND": any_of(low, P.PARTICLES.split("|")),
+        "LOCATION": c.rlike(r"(?U)\d"),
+    }
+
+
+def redacted(c: Column) -> Column:
+    """struct(text, n_<kind> ...): the text with mail addresses, phones, organisations, persons and addresses taken out,
+    and how often each rule found something; rules are applied one after the other.
+
+    Every match of a rule leaves one mark more than there was, so marks are counted, and patterns run once."""
+    rules, hints = free_text_rules(), rule_hints(c)
+    out = F.struct(c.alias("text"), *[hints[kind].alias(kind) for kind, _, _ in rules])
+
+    def marks(text: Column, mark: str) -> Column:
+        return F.floor((F.length(text) - F.length(F.replace(text, F.lit(mark)))) / len(mark)).cast("long")
+
+    def applied(kind: str, pattern: str, to: str, fields: list[str]):
+        mark, own = to.split("$1 ")[-1], f"n_{kind.lower()}"
+
+        def with_text(x: Column, text: Column, n: Column) -> Column:
+            return F.struct(text.alias("text"), *[x[f].alias(f) for f in fields], n.alias(own))
+
+        def use(x: Column) -> Column:
+            new = bound(F.regexp_replace(x["text"], pattern, to), lambda t: with_text(x, t, marks(t, mark) - marks(x["text"], mark)))
+            return F.when(x[kind], new).otherwise(with_text(x, x["text"], F.lit(0).cast("long")))
+
+        return use
+
+    fields = [kind for kind, _, _ in rules]
+    for kind, pattern, to in rules:
+        out = bound(out, applied(kind, pattern, to, list(fields)))
+        fields.append(f"n_{kind.lower()}")
+    return out
+
+
 def redact(c: Column) -> Column:
     """Text with mail addresses, phones, organisations, persons and addresses taken out."""
-    for _, pattern, to in free_text_rules():
-        c = F.regexp_replace(c, pattern, to)
-    return c
+    return redacted(c)["text"]
 
 
 def entities(c: Column) -> Column:
     """Names and places in a text: persons with a title or relation, organisations, addresses; distinct."""
-    rules = {k: p for k, p, _ in free_text_rules()}
-    found = [F.regexp_extract_all(c, F.lit(rules[k]), F.lit(g)) for k, g in (("PERSON", 2), ("RELATION", 2), ("ORG", 1), ("LOCATION", 1))]
+    rules, hints = {k: p for k, p, _ in free_text_rules()}, rule_hints(c)
+    none = F.array().cast("array<string>")
+    found = [F.when(c.isNull() | hints[k], F.regexp_extract_all(c, F.lit(rules[k]), F.lit(g))).otherwise(none) for k, g in (("PERSON", 2), ("RELATION", 2), ("ORG", 1), ("LOCATION", 1))]
     return F.array_distinct(F.concat(*found))
 
 
@@ -87,7 +168,7 @@ def age_band(c: Column) -> Column:
 def number_of(c: Column) -> Column:
     """Lenient number: currency marks, commas and blanks are cleared, (x) is -x; null if it isn't one."""
     plain = F.regexp_replace(F.regexp_replace(c, P.CURRENCY + r"|,|\s", ""), r"^\((.*)\)$", "-$1")
-    return plain.try_cast("double")
+    return double_of(plain)
 
 
 def register(spark: SparkSession) -> None:

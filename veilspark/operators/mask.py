@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import entities, free_text_rules, normalise_bilingual, redact, shape, strip, structural_mask
+from ..functions.names import free_prefix
+from ..functions.scalars import entities, free_text_rules, normalise_bilingual, redact, redacted, shape, strip, structural_mask
 from ..functions import patterns as P
 
 
@@ -39,11 +40,10 @@ def pattern_summary(df: DataFrame, order: str) -> DataFrame:
 def redact_column(df: DataFrame, column: str) -> DataFrame:
     """df with the column's text redacted and n_<kind>: how often each rule found something, in the order in which
     rules are applied."""
-    text, counts = F.col(f"`{column}`"), {}
-    for kind, pattern, to in free_text_rules():
-        counts[f"n_{kind.lower()}"] = F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
-        text = F.regexp_replace(text, pattern, to)
-    return df.withColumns(counts | {column: text})
+    held = free_prefix(df) + "redacted"
+    counts = [f"n_{kind.lower()}" for kind, _, _ in free_text_rules()]
+    out = df.withColumn(held, redacted(F.col(f"`{column}`")))
+    return out.withColumns({n: F.col(f"{held}.{n}") for n in counts} | {column: F.col(f"{held}.text")}).drop(held)
 
 
 def find_entities(df: DataFrame, column: str) -> DataFrame:

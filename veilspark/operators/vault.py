@@ -8,17 +8,23 @@ no tag's values meet in one task.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import luhn_valid, strip
+from ..functions.names import free_prefix
+from ..functions import patterns as P
+from ..functions.scalars import has_digits, luhn_valid, strip
 from . import policy as rules
 from .running import settled
 
 TOKEN = r"<[A-Z_]+_\d+>"
+#: A vault of at most so many values, none longer than so many characters, is numbered by the driver and broadcast.
+SMALL_VALUES, SMALL_CHARS = 20_000, 1_000
 
 
 def infer_pattern(example: str, field: str = "") -> tuple[str, str]:
@@ -46,17 +52,58 @@ def secret_columns(df: DataFrame, policy: rules.Policy) -> list[str]:
     return [c for c in df.columns if rules.tier_of(c, policy) == rules.ENCRYPT]
 
 
+#: What every match of a universal pattern has: so many digits, and a character.
+HINTS = {"EMAIL": (0, "@"), "PHONE": (10, ""), "IBAN": (2, ""), "CREDIT_CARD": (16, ""), "IP_ADDRESS": (4, ".")}
+
+
 def matches(text: Column, name: str, pattern: str) -> Column:
-    """All matches of a pattern; card numbers only with a right Luhn sum."""
+    """All matches of a pattern; card numbers only with a right Luhn sum.  Texts without what a universal pattern needs
+    aren't searched."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.filter(found, luhn_valid) if name == "CREDIT_CARD" else found
+    found = F.filter(found, luhn_valid) if name == "CREDIT_CARD" else found
+    if P.UNIVERSAL.get(name) != pattern:
+        return found
+    digits, mark = HINTS[name]
+    hint = text.isNull() | text.contains(mark)
+    return F.when(hint & has_digits(text, digits) if digits else hint, found).otherwise(F.array().cast("array<string>"))
 
 
 class Vault:
-    """Tokens of the values of some tables, under one policy.  ``table`` has a row per distinct value."""
+    """Tokens of the values of some tables, under one policy.  ``table`` has a row per distinct value (raw, tag, seq,
+    token); it is made at its first use.  A small vault, by a check of its size, is broadcast; a large one is joined by
+    shuffles."""
+
+    def __init__(self, values: DataFrame | None, policy: rules.Policy, taught: dict[str, tuple[str, str]], ordered: bool = False, spark=None):
+        self.values, self.policy, self.taught, self.ordered = values, policy, taught, ordered
+        self.spark = spark or values.sparkSession
+
+    @functools.cached_property
+    def small(self) -> list[tuple] | None:
+        """The rows of a small vault, else None."""
+        if self.values is None:
+            return []
+        found = self.values.select(F.substring("raw", 1, SMALL_CHARS + 1).alias("raw"), "tag", "first").limit(SMALL_VALUES + 1).collect()
+        if len(found) > SMALL_VALUES or any(len(r.raw) > SMALL_CHARS for r in found):
+            return None
+        numbers: dict[str, int] = {}
+        rows = []
+        for r in sorted(found, key=lambda r: (tuple(r.first) if self.ordered else (), r.raw.encode())):
+            seq = numbers[r.tag] = numbers.get(r.tag, 0) + 1
+            rows.append((r.raw, r.tag, seq, f"<{r.tag}_{seq}>"))
+        return rows
+
+    @functools.cached_property
+    def table(self) -> DataFrame:
+        if self.small is not None:
+            return self.spark.createDataFrame(self.small, "raw string, tag string, seq long, token string").coalesce(1)
+        keys = [F.col("first"), F.col("raw")] if self.ordered else [F.col("raw")]
+        # kept in memory for the session, as every table and column meets it; lost parts are made again
+        return numbered(self.values, "tag", keys).cache()
 
-    def __init__(self, table: DataFrame, policy: rules.Policy, taught: dict[str, tuple[str, str]]):
-        self.table, self.policy, self.taught = table, policy, taught
+    def look(self, raw: str, token: str) -> DataFrame:
+        """The table under these names, broadcast if small."""
+        table = self.table.select(F.col("raw").alias(raw), F.col("token").alias(token))
+        return table if self.small is None else F.broadcast(table)
 
     @classmethod
     def build(cls, tables: Sequence[DataFrame], policy: rules.Policy | None = None, *, taught: dict[str, tuple[str, str]] | None = None, order: str | None = None) -> "Vault":
@@ -76,17 +123,17 @@ class Vault:
             rows = df.select(place.alias("at"), F.explode(F.concat(*pieces)).alias("x")).select(F.lit(t).alias("table"), "at", "x.*").where(F.col("raw") != "")
             found = rows if found is None else found.unionByName(rows)
         if found is None:
-            empty = tables[0].sparkSession.createDataFrame([], "raw string, tag string, seq long, token string")
-            return cls(empty, policy, taught)
+            return cls(None, policy, taught, spark=tables[0].sparkSession)
         first = F.struct("table", "rank", "at")
         values = found.groupBy("raw").agg(F.min_by("tag", first).alias("tag"), F.min(F.struct("table", "at", "rank")).alias("first"))
-        keys = [F.col("first"), F.col("raw")] if order else [F.col("raw")]
-        # kept in memory for the session, as every table and column meets it; lost parts are made again
-        return cls(numbered(values, "tag", keys).cache(), policy, taught)
+        return cls(values, policy, taught, bool(order))
 
     def flush(self) -> None:
         """Forget the tokens' table; a later use makes it again."""
-        self.table.unpersist()
+        if "table" in self.__dict__ and self.small is None:
+            self.table.unpersist()
+        for name in ("table", "small"):
+            self.__dict__.pop(name, None)
 
     @staticmethod
     def _patterns(df: DataFrame, policy: rules.Policy, taught: dict[str, tuple[str, str]]):
@@ -107,31 +154,58 @@ class Vault:
     def tokenise(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """df with tokens: whole cells of secret columns, matches within other text.  Other columns, and ``keep``, stay.
 
-        Whole cells are joined with the vault.  For text, distinct texts with a match meet it exploded, and their
-        new forms are joined back."""
-        out = df
+        Whole cells are joined with the vault.  Matches within text are replaced row by row under a small vault; under
+        a large one distinct texts with a match meet it exploded, and their new forms are joined back."""
+        out, prefix = df, free_prefix(df)
         for c in secret_columns(df, self.policy):
             if c in keep:
                 continue
-            look = self.table.select(F.col("raw").alias("_raw"), F.col("token").alias("_token"))
+            raw, token = prefix + "raw", prefix + "token"
             value = F.col(f"`{c}`").cast("string")
-            out = out.join(look, strip(value) == F.col("_raw"), "left").withColumn(c, F.coalesce("_token", value)).drop("_raw", "_token")
+            out = out.join(self.look(raw, token), strip(value) == F.col(raw), "left").withColumn(c, F.coalesce(token, value)).drop(raw, token)
         patterns: dict[str, list[Column]] = {}
         for c, text, name, pattern, _ in self._patterns(df, self.policy, self.taught):
             patterns.setdefault(c, []).append(matches(text, name, pattern))
-        for c, own in patterns.items():
-            if c not in keep:
-                out = replaced(out, c, F.array_distinct(F.concat(*own)), self.table.select("raw", F.col("token").alias("to")))
-        return out.select(*[F.col(f"`{c}`") for c in df.columns])
+        found = {c: F.array_distinct(F.concat(*own)) for c, own in patterns.items() if c not in keep}
+        return self._replaced(out, found, False).select(*[F.col(f"`{c}`") for c in df.columns])
 
     def restore(self, df: DataFrame) -> DataFrame:
         """df with the vault's tokens turned back, whole cells and within text."""
-        out = df
-        for c, t in df.dtypes:
-            if t == "string":
-                found = F.array_distinct(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(TOKEN), F.lit(0)))
-                out = replaced(out, c, found, self.table.select(F.col("token").alias("raw"), F.col("raw").alias("to")))
-        return out.select(*[F.col(f"`{c}`") for c in df.columns])
+        found = {c: F.array_distinct(F.regexp_extract_all(F.col(f"`{c}`"), F.lit(TOKEN), F.lit(0))) for c, t in df.dtypes if t == "string"}
+        return self._replaced(df, found, True).select(*[F.col(f"`{c}`") for c in df.columns])
+
+    def _replaced(self, df: DataFrame, found: dict[str, Column], back: bool) -> DataFrame:
+        """df with the strings found in these columns replaced as the vault says."""
+        if not found:
+            return df
+        if self.small is None:
+            table = self.table.select(*[F.col(x).alias(y) for x, y in zip(("token", "raw") if back else ("raw", "token"), ("raw", "to"))])
+            for c, own in found.items():
+                df = replaced(df, c, own, table)
+            return df
+        sent = self.spark.sparkContext.broadcast({r[3]: r[0] for r in self.small} if back else {r[0]: r[3] for r in self.small})
+
+        @F.pandas_udf("string")
+        def exchanged(texts: pd.Series, lists: pd.Series) -> pd.Series:
+            known, out = sent.value, []
+            for text, own in zip(texts, lists):
+                if text is not None:
+                    # the longest first, then the greatest, as sorted pairs of (-length, string) come
+                    for f in sorted(own, key=lambda f: (-len(f), f.encode())):
+                        to = known.get(f if f in known else f.strip())
+                        if to is not None:
+                            text = text.replace(f, to)
+                out.append(text)
+            return pd.Series(out, dtype=object)
+
+        # what is found gets columns of its own, so that patterns run once; texts without a match don't go to Python
+        prefix = free_prefix(df)
+        held = {c: f"{prefix}{i}" for i, c in enumerate(found)}
+        df = df.withColumns({held[c]: own for c, own in found.items()})
+        for c, name in held.items():
+            some = F.size(name) > 0
+            df = df.withColumn(c, F.when(some, exchanged(F.when(some, F.col(f"`{c}`")), F.when(some, F.col(name)))).otherwise(F.col(f"`{c}`")))
+        return df.drop(*held.values())
 
 
 def _hit(tag: str, rank: int):
@@ -152,15 +226,23 @@ def numbered(values: DataFrame, by: str, keys: list[Column]) -> DataFrame:
 
 
 def replaced(df: DataFrame, column: str, found: Column, table: DataFrame) -> DataFrame:
-    """df with the found strings of a column replaced as the table (raw, to) says, the longest first."""
-    text = F.col(f"`{column}`")
-    # equal texts have equal results: distinct ones are worked out once and joined back
-    texts = df.select(text.alias("_text"), found.alias("_found")).where(F.size("_found") > 0).dropDuplicates(["_text"])
-    known = texts.select("_text", F.explode("_found").alias("_f")).join(table, strip(F.col("_f")) == F.col("raw"))
-    pairs = F.sort_array(F.collect_list(F.struct((-F.length("_f")).alias("n"), F.col("_f").alias("f"), "to")))
-    new = known.groupBy("_text").agg(pairs.alias("_pairs")).select("_text", F.aggregate("_pairs", F.col("_text"), lambda t, p: F.replace(t, p["f"], p["to"])).alias("_new"))
-    out = df.join(new, text == F.col("_text"), "left")
-    return out.withColumn(column, F.coalesce("_new", text)).drop("_text", "_new")
+    """df with the found strings of a column replaced as the table (raw, to) says, the longest first.
+
+    Equal texts have equal results: distinct ones are worked out once and joined back by two hashes.  Rows without a
+    match have keys of their own, so that they spread."""
+    prefix = free_prefix(df, table)
+    text, some = F.col(f"`{column}`"), F.size(found) > 0
+    one, other = prefix + "one", prefix + "other"
+    hashes = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    texts = df.where(some).select(hashes[0].alias("one"), hashes[1].alias("other"), text.alias("text"), found.alias("found")).dropDuplicates(["one", "other"])
+    known = texts.select("one", "other", "text", F.explode("found").alias("f")).join(table, strip(F.col("f")) == F.col("raw"))
+    pairs = F.sort_array(F.collect_list(F.struct((-F.length("f")).alias("n"), F.col("f").alias("f"), "to")))
+    new = known.groupBy("one", "other").agg(F.first("text").alias("text"), pairs.alias("pairs"))
+    new = new.select(F.col("one").alias(one + "_"), F.col("other").alias(other + "_"), F.aggregate("pairs", F.col("text"), lambda t, p: F.replace(t, p["f"], p["to"])).alias(prefix + "new"))
+    alone = F.xxhash64(F.monotonically_increasing_id())
+    rows = df.withColumns({one: F.when(some, hashes[0]).otherwise(alone), other: F.when(some, hashes[1])})
+    out = rows.join(new, (F.col(one) == F.col(one + "_")) & (F.col(other) == F.col(other + "_")), "left")
+    return out.withColumn(column, F.coalesce(F.col(prefix + "new"), text)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def restore_text(text: str, tokens: dict[str, str]) -> str:

@@ -620,10 +620,15 @@ def ragged_report(spark, sf):
     masters = o.select(at("o_orderkey", F.lit(0), 0), doc.alias("a"), F.col("day").alias("b"), F.concat(F.lit("K"), F.format_string("%05d", F.col("o_custkey"))).alias("c"), F.lit("Buyer").alias("d"), none.alias("e"), none.alias("f"), F.round(F.col("o_totalprice"), 2).cast("decimal(18,2)").cast("string").alias("g"))
     n = F.col("l_linenumber")
     money = lambda c: F.round(c, 2).cast("decimal(18,2)").cast("string")
-    lines = li.select(at("l_orderkey", F.col("k"), 1), n.cast("string").alias("a"), none.alias("b"), none.alias("c"), F.concat(F.lit("widget "), n.cast("string")).alias("d"), money(F.col("l_quantity")).alias("e"), money(F.col("l_tax")).alias("f"), money(F.col("l_extendedprice")).alias("g"))
-    wraps = li.where("l_linenumber % 2 = 0").select(at("l_orderkey", F.col("k"), 2), *[none.alias(c) for c in "abc"], F.lit("in blue").alias("d"), *[none.alias(c) for c in "efg"])
-    noise = li.where("l_linenumber % 3 = 0").select(at("l_orderkey", F.col("k"), 3), F.lit("Page 1").alias("a"), *[none.alias(c) for c in name[1:]])
-    return masters.unionByName(lines).unionByName(wraps).unionByName(noise)
+
+    def row(step: int, cells: dict, on=None):
+        made = F.struct((F.col("l_orderkey") * 1000 + F.col("k") * 4 + step).alias("_ord"), *[cells.get(c, none).alias(c) for c in name])
+        return made if on is None else F.when(on, made)
+
+    line = row(1, {"a": n.cast("string"), "d": F.concat(F.lit("widget "), n.cast("string")), "e": money(F.col("l_quantity")), "f": money(F.col("l_tax")), "g": money(F.col("l_extendedprice"))})
+    wrap, page = row(2, {"d": F.lit("in blue")}, n % 2 == 0), row(3, {"a": F.lit("Page 1")}, n % 3 == 0)
+    lines = li.select(F.explode(F.array(line, wrap, page)).alias("r")).where(F.col("r").isNotNull()).select("r.*")
+    return masters.unionByName(lines)
 
 
 @query("""
