@@ -11,7 +11,7 @@ UNIVERSAL = {
     "IP_ADDRESS": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
 
-#: Regimes: statutes (the first is the primary one), direct identifiers, quasi-identifiers, patterns.
+#: Regimes: the primary statute where it isn't the first option, statutes to choose from, direct identifiers, quasi-identifiers, patterns.
 REGIMES = {
     "POLAND": {
         "statutes": [
@@ -19,8 +19,8 @@ REGIMES = {
             "EU General Data Protection Regulation (GDPR Article 28 / Chapter V)",
             "Financial Supervision Authority (KNF) Cloud Compliance Standard",
         ],
-        "direct": "pesel nip regon national_id id_card passport email phone iban".split(),
-        "quasi": "kod_pocztowy postal_code city miasto birth_date data_urodzenia age gender".split(),
+        "direct": ["pesel", "nip", "regon", "national_id", "id_card", "passport", "email", "phone", "iban"],
+        "quasi": ["kod_pocztowy", "postal_code", "city", "miasto", "birth_date", "data_urodzenia", "age", "gender"],
         "patterns": {"PESEL": r"\b\d{11}\b", "NIP": r"\b\d{10}\b", "PL_PHONE": r"\b(?:\+48[-\s]?)?[4-9]\d{8}\b", "PL_POSTAL": r"\b\d{2}-\d{3}\b"},
         "words": ("POLAND", "POLSKA", "GDPR", "UODO"),
         "exact": ("PL", "EU"),
@@ -31,20 +31,21 @@ REGIMES = {
             "SAMA Financial Cybersecurity & Banking Data Privacy Framework",
             "Healthcare Information Security & MoH Health Data Standard",
         ],
-        "direct": "national_id iqama civil_id passport email phone iban commercial_reg cr_number".split(),
-        "quasi": "district postal_code city birth_date age gender occupation hijri_date".split(),
+        "direct": ["national_id", "iqama", "civil_id", "passport", "email", "phone", "iban", "commercial_reg", "cr_number"],
+        "quasi": ["district", "postal_code", "city", "birth_date", "age", "gender", "occupation", "hijri_date"],
         "patterns": {"SAUDI_ID_OR_IQAMA": r"\b[12]\d{9}\b", "SAUDI_PHONE": r"\b(?:\+?966[-\s]?|0)?5\d{8}\b", "SAUDI_IBAN": r"\bSA\d{2}[A-Z0-9]{20}\b"},
         "words": ("SAUDI", "KSA", "ARABIA", "PDPL", "NDMO", "ZATCA"),
         "exact": (),
     },
     "UNITED STATES": {
+        "primary": "US Health Insurance Portability and Accountability Act (HIPAA Safe Harbor) & CCPA/CPRA",
         "statutes": [
-            "US Health Insurance Portability and Accountability Act (HIPAA Safe Harbor) & CCPA/CPRA",
+            "US Health Insurance Portability and Accountability Act (HIPAA Safe Harbor)",
             "California Consumer Privacy Act & CPRA (CCPA / Title 1.81.5)",
             "Gramm-Leach-Bliley Act (GLBA Financial Privacy Standard)",
         ],
-        "direct": "ssn social_security itin ein drivers_license mrn patient_id email phone".split(),
-        "quasi": "zip zip_code county birth_date admission_date discharge_date age gender".split(),
+        "direct": ["ssn", "social_security", "itin", "ein", "drivers_license", "mrn", "patient_id", "email", "phone"],
+        "quasi": ["zip", "zip_code", "county", "birth_date", "admission_date", "discharge_date", "age", "gender"],
         "patterns": {"US_SSN": r"\b\d{3}-\d{2}-\d{4}\b", "US_PHONE": r"\b(?:\+?1[-\s.]?)?\(?\d{3}\)?[-\s.]?\d{3}[-\s.]?\d{4}\b", "US_ZIP": r"\b\d{5}(?:-\d{4})?\b"},
         "words": ("UNITED STATES", "AMERICA", "HIPAA", "CCPA", "CPRA", "GLBA"),
         "exact": ("US", "USA"),
@@ -55,8 +56,8 @@ REGIMES = {
             "NHS National Data Guardian Information Governance Framework",
             "UK Financial Conduct Authority (FCA) Consumer Data Protection Standard",
         ],
-        "direct": "nino national_insurance nhs_number passport email phone bank_account".split(),
-        "quasi": "postcode postal_code county birth_date age gender".split(),
+        "direct": ["nino", "national_insurance", "nhs_number", "passport", "email", "phone", "bank_account"],
+        "quasi": ["postcode", "postal_code", "county", "birth_date", "age", "gender"],
         "patterns": {"UK_NINO": r"\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z]\d{6}[A-D]\b", "UK_POSTCODE": r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b"},
         "words": ("UNITED KINGDOM", "BRITAIN", "ENGLAND", "DPA", "NINO"),
         "exact": ("UK",),
@@ -66,13 +67,25 @@ REGIMES = {
 REGIME_ORDER = ("SAUDI ARABIA", "POLAND", "UNITED STATES", "UNITED KINGDOM")
 
 #: Without a regime.
-BASE_DIRECT = "name full_name first_name last_name national_id ssn pesel iqama id_number email phone mobile iban account_number credit_card passport tax_id".split()
-BASE_QUASI = "birth_date dob age gender sex postal_code zip zip_code city state region country date timestamp notes comments".split()
+BASE_DIRECT = [
+    "name", "full_name", "first_name", "last_name", "national_id", "ssn", "pesel", "iqama", "id_number", "email", "phone", "mobile",
+    "iban", "account_number", "credit_card", "passport", "tax_id",
+]
+BASE_QUASI = [
+    "birth_date", "dob", "age", "gender", "sex", "postal_code", "zip", "zip_code", "city", "state", "region", "country", "date",
+    "timestamp", "notes", "comments",
+]
 #: Direct identifiers that every policy has.
-ALWAYS_DIRECT = "email phone iban credit_card card_number account_number name".split()
+ALWAYS_DIRECT = ["email", "phone", "iban", "credit_card", "card_number", "account_number", "name"]
 #: Tokens of column names.
-PII_TOKENS = frozenset("name customer patient client employee vendor user ssn pesel iqama nino iban email phone mobile cell card pan passport license licence taxid".split())
-QUASI_TOKENS = frozenset("date dob birth age gender sex zip postal city address street state country lat lon location note notes comment comments desc description memo".split())
+PII_TOKENS = frozenset({
+    "name", "customer", "patient", "client", "employee", "vendor", "user", "ssn", "pesel", "iqama", "nino", "iban", "email", "phone",
+    "mobile", "cell", "card", "pan", "passport", "license", "licence", "taxid",
+})
+QUASI_TOKENS = frozenset({
+    "date", "dob", "birth", "age", "gender", "sex", "zip", "postal", "city", "address", "street", "state", "country", "lat", "lon",
+    "location", "note", "notes", "comment", "comments", "desc", "description", "memo",
+})
 
 #: Column names that are quasi-identifiers, sensitive, keys and metrics.
 QI_NAMES = (
@@ -118,11 +131,11 @@ STRUCTURE_WORDS = (
 
 #: Free-text entities; letters include the Arabic ones.
 NAME_HEAD = "[A-Zء-ي]"
-TITLES = r"Mr\.|Mrs\.|Ms\.|Dr\.|Doctor|Prof\.|Professor|Eng\.|Engineer|Sheikh|Shaikh|Ustadh|Sayyid|Sayed|Haji|Nurse|Officer"
-RELATIONS = "mother|father|wife|husband|son|daughter|brother|sister|guardian|patient|client|customer|physician"
-ORGANISATIONS = "Hospital|Clinic|Medical Center|Health Center|Sanatorium|Infirmary|University|College|Ministry|Authority|Company|Corporation|Corp|Ltd|LLC"
-ROADS = "Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Highway|Hwy|Lane|Ln|Drive|Dr|Terrace|Ter|Way|Court|Ct|Circle|Cir"
-PARTICLES = "bin|bint|al-|ibn|el-"
+TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Doctor", "Prof.", "Professor", "Eng.", "Engineer", "Sheikh", "Shaikh", "Ustadh", "Sayyid", "Sayed", "Haji", "Nurse", "Officer")
+RELATIONS = ("mother", "father", "wife", "husband", "son", "daughter", "brother", "sister", "guardian", "patient", "client", "customer", "physician")
+ORGANISATIONS = ("Hospital", "Clinic", "Medical Center", "Health Center", "Sanatorium", "Infirmary", "University", "College", "Ministry", "Authority", "Company", "Corporation", "Corp", "Ltd", "LLC")
+ROADS = ("Street", "St", "Road", "Rd", "Avenue", "Ave", "Boulevard", "Blvd", "Highway", "Hwy", "Lane", "Ln", "Drive", "Dr", "Terrace", "Ter", "Way", "Court", "Ct", "Circle", "Cir")
+PARTICLES = ("bin", "bint", "al-", "ibn", "el-")
 
 #: Ledger reports.
 DOCUMENT_NUMBER = r"(?i)^(?:(IV|INV|CN|DN|PO|SO|BILL|REC|PV|RV|VOUCH|ORD)[-_\s]?\d+|[A-Za-z]{1,6}[-_/\s]\d{3,12})"
@@ -150,7 +163,13 @@ LINE_LABELS = (
     ("uom", ("uom", "measure")),
     ("total", ("total",)),
 )
-UNITS = frozenset("CTN PCS PC KG G MTR M UNIT UNITS BOX BOXES SET SETS LITRE LTR BAG BAGS BTL BTLS PACK PKT EACH EA DOZ DZ HR HRS DRUM CAN ROLL PAIR PR".split())
+UNITS = frozenset({
+    "CTN", "PCS", "PC", "KG", "G", "MTR", "M", "UNIT", "UNITS", "BOX", "BOXES", "SET", "SETS", "LITRE", "LTR", "BAG", "BAGS", "BTL",
+    "BTLS", "PACK", "PKT", "EACH", "EA", "DOZ", "DZ", "HR", "HRS", "DRUM", "CAN", "ROLL", "PAIR", "PR",
+})
+
+#: Words of urgency and of open work in free text.
+URGENT = ("asap", "urgent", "error", "test", "check", "review", "vip", "priority", "critical", "pending", "hold", "fix", "عاجل", "مهم", "فحص", "مراجعة", "خطأ", "تنبيه")
 
 #: Currency marks that are cleared before a number is read.
 CURRENCY = "[$€£¥₹]|SAR|AED|KWD|BHD|OMR|QAR|ر\\.س|ريال|د\\.إ"

@@ -60,16 +60,18 @@ def structural_mask(c: Column) -> Column:
 
 def free_text_rules() -> list[tuple[str, str, str]]:
     """(kind, pattern, replacement), applied one after the other."""
+    one = lambda words: "|".join(w.replace(".", r"\.") for w in words)
+    titles, relations, organisations, roads, particles = map(one, (P.TITLES, P.RELATIONS, P.ORGANISATIONS, P.ROADS, P.PARTICLES))
     word = rf"{P.NAME_HEAD}[\w'-]+"
-    named = rf"{word}(?:\s+(?:{P.PARTICLES})?{word})*"
+    named = rf"{word}(?:\s+(?:{particles})?{word})*"
     return [
         ("EMAIL", P.UNIVERSAL["EMAIL"], "<EMAIL_REDACTED>"),
         ("PHONE", P.UNIVERSAL["PHONE"], "<PHONE_REDACTED>"),
-        ("ORG", rf"(?U)\b({word}(?:\s+{word})*\s+(?:{P.ORGANISATIONS}))\b", "<ORGANIZATION_REDACTED>"),
-        ("PERSON", rf"(?U)\b({P.TITLES})\s+({named})", "$1 <PERSON_REDACTED>"),
-        ("RELATION", rf"(?iU)\b({P.RELATIONS})\s+(?:of\s+|named\s+)?({named})", "$1 <PERSON_REDACTED>"),
-        ("COMPOUND", rf"(?iU)\b({P.NAME_HEAD}[a-zء-ي]+\s+(?:{P.PARTICLES}){word})\b", "<PERSON_REDACTED>"),
-        ("LOCATION", rf"(?iU)\b(\d+\s+{word}(?:\s+{word})*\s+(?:{P.ROADS})|P\.?O\.?\s*Box\s*\d+)\b", "<ADDRESS_REDACTED>"),
+        ("ORG", rf"(?U)\b({word}(?:\s+{word})*\s+(?:{organisations}))\b", "<ORGANIZATION_REDACTED>"),
+        ("PERSON", rf"(?U)\b({titles})\s+({named})", "$1 <PERSON_REDACTED>"),
+        ("RELATION", rf"(?iU)\b({relations})\s+(?:of\s+|named\s+)?({named})", "$1 <PERSON_REDACTED>"),
+        ("COMPOUND", rf"(?iU)\b({P.NAME_HEAD}[a-zء-ي]+\s+(?:{particles}){word})\b", "<PERSON_REDACTED>"),
+        ("LOCATION", rf"(?iU)\b(\d+\s+{word}(?:\s+{word})*\s+(?:{roads})|P\.?O\.?\s*Box\s*\d+)\b", "<ADDRESS_REDACTED>"),
     ]
 
 
@@ -108,10 +110,10 @@ def rule_hints(c: Column) -> dict[str, Column]:
     return {
         "EMAIL": c.contains("@"),
         "PHONE": has_digits(c, 10),
-        "ORG": any_of(c, P.ORGANISATIONS.split("|")),
-        "PERSON": any_of(c, P.TITLES.replace("\\", "").split("|")),
-        "RELATION": folds | any_of(low, P.RELATIONS.split("|")),
-        "COMPOUND": any_of(low, P.PARTICLES.split("|")),
+        "ORG": any_of(c, P.ORGANISATIONS),
+        "PERSON": any_of(c, P.TITLES),
+        "RELATION": folds | any_of(low, P.RELATIONS),
+        "COMPOUND": any_of(low, P.PARTICLES),
         "LOCATION": c.rlike(r"(?U)\d"),
     }
 

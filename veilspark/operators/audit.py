@@ -287,15 +287,22 @@ def membership(real: DataFrame, mock: DataFrame, key: str, numeric: Sequence[str
 def linkability(real: DataFrame, mock: DataFrame, key: str, aux: Sequence[str], seed: int = 42) -> DataFrame:
     """How much more often mock rows match one half of the table than the other in all auxiliary columns that
     they have."""
-    mock = mock.select(F.monotonically_increasing_id().alias("mock_id"), *[F.col(f"`{c}`").cast("string").alias(f"m_{c}") for c in aux])
+    mock = mock.groupBy(*[F.col(f"`{c}`").cast("string").alias(f"m{i}") for i, c in enumerate(aux)]).agg(F.count("*").alias("w"))
+    filled = F.array(*[F.col(f"m{i}").isNotNull() for i in range(len(aux))])
+    shapes = [r.s for r in mock.select(filled.alias("s")).distinct().collect()]  # 2^columns at most
+    total = mock.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"))
 
     def rate(part: DataFrame, name: str) -> DataFrame:
-        met = [F.col(f"m_{c}").isNull() | (F.col(f"m_{c}") == F.col(f"`{c}`").cast("string")) for c in aux]
-        on = met[0]
-        for m in met[1:]:
-            on = on & m
-        hits = mock.join(part.select(*aux).distinct(), on, "left_semi").agg(F.count("*").alias("h"))
-        return hits.crossJoin(mock.agg(F.count("*").alias("n"))).select((F.col("h") / F.greatest(F.col("n"), F.lit(1))).alias(name))
+        """Mock rows by the columns that they have: each kind meets the distinct values of these columns."""
+        hits = None
+        for shape in shapes:
+            own = mock.where(filled == F.array(*[F.lit(x) for x in shape])).select("w", *[f"m{i}" for i, x in enumerate(shape) if x])
+            some = part.select(*[F.col(f"`{c}`").cast("string").alias(f"m{i}") for i, (c, x) in enumerate(zip(aux, shape)) if x])
+            met = own.join(some.distinct(), [f"m{i}" for i, x in enumerate(shape) if x], "left_semi") if any(shape) else own.crossJoin(some.limit(1).select())
+            met = met.select("w")
+            hits = met if hits is None else hits.unionByName(met)
+        hits = hits.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("h")) if hits is not None else total.select(F.lit(0).alias("h"))
+        return hits.crossJoin(total).select((F.col("h") / F.greatest(F.col("n"), F.lit(1))).alias(name))
 
     member = half(F.col(f"`{key}`"), seed)
     row = rate(real.where(member), "a").crossJoin(rate(real.where(~member), "b"))

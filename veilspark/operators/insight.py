@@ -22,11 +22,11 @@ HIJRI = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]1[34]\d{{2}}(?:\s*هـ)?$|^1[34]\d{{2}}[
 COMPOSITE = r"(?U)^[\w.]+\s*[/|x_\-]\s*[\w.]+$"
 CURRENCY = P.CURRENCY + r"|^\(\s*[\d,.]+\s*\)$"
 REGIONAL = (("ZATCA_VAT_ID", r"^3\d{13}3$"), ("SAUDI_CR", r"^[1247]\d{9}$"), ("SAUDI_NID", r"^[12]\d{9}$"))
+#: Words of report heads and feet, and names of columns of processes and links.
 METADATA_WORDS = "report|filter|criteria|parameters|sort|date :|تصفية|فلتر|معايير|التاريخ :|ترتيب|تقرير|بيانات|كشف"
 FOOTER_WORDS = "total|grand total|subtotal|summary|end of report|average|count|المجموع|الإجمالي|إجمالي|صافي|ملخص|المحصلة|النهائي|كلي"
 STATE_NAMES, CASE_NAMES = "status|state|stage|phase|step|activity", "case|order|ticket|claim|request|process|session"
 SOURCE_NAMES, TARGET_NAMES = "sender|source|from|src|payer|caller|parent", "recipient|receiver|target|dest|to_|dst|payee|callee|child"
-URGENT = "urgent|critical|emergency|asap|immediately|overdue|escalate|complaint|angry|refund|cancel|error|failed|عاجل|طارئ|حرج|فوري|شكوى|متأخر"
 SURROGATE = r"<[A-Z_]+_\d+>|XXX|\*\*\*|^(?:9,999\.00|999+|123456789|000+)$"
 
 
@@ -247,7 +247,7 @@ def surrogates(df: DataFrame) -> DataFrame:
 
 def behaviour(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, urgent: rows with words of urgency, English or Arabic."""
-    row = df.agg(*[F.count_if(F.col(f"`{c}`").rlike(rf"(?iU)\b({URGENT})\b")).alias(f"c{i}_urgent") for i, c in enumerate(columns)])
+    row = df.agg(*[F.count_if(F.col(f"`{c}`").rlike(rf"(?iU)\b({'|'.join(P.URGENT)})\b")).alias(f"c{i}_urgent") for i, c in enumerate(columns)])
     return tall(row, list(columns), ["urgent"]).drop("position")
 
 

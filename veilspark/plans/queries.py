@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import luhn_valid, normalise_bilingual, shape, structural_mask
 from ..operators import audit, charts, features, insight, ledger, links, mask, policy, profile, relational, risk, synth
+from ..operators.running import shared_folder
 from ..operators.vault import Vault
 from ..plans import sandbox
+from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +33,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _foreign_keys_sql() -> str:
+    """Values of all columns of four tables; columns of different tables are compared, names by their words."""
+    tables = {"nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal")}
+    values = " UNION ".join(f"SELECT '{t}' AS sheet, '{c}' AS col, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL" for t, own in tables.items() for c in own)
+    words = "list_filter(string_split_regex({0}, '[^a-z0-9]+'), lambda x: x NOT IN ('id', 'key', 'code', 'no', ''))"
+    return f"""WITH v AS ({values}), n AS (SELECT sheet, col, count(*) AS n FROM v GROUP BY 1, 2),
+p AS (SELECT a.sheet AS sheet_a, a.col AS column_a, b.sheet AS sheet_b, b.col AS column_b, count(*) AS common FROM v a JOIN v b ON a.v = b.v AND b.sheet > a.sheet GROUP BY 1, 2, 3, 4),
+q AS (SELECT p.*, x.n AS size_a, y.n AS size_b, round(common * 100.0::DOUBLE / least(x.n, y.n), 1) AS percent,
+  contains(column_a, column_b) OR contains(column_b, column_a) OR list_has_any({words.format('column_a')}, {words.format('column_b')}) AS alike
+  FROM p JOIN n x ON x.sheet = sheet_a AND x.col = column_a JOIN n y ON y.sheet = sheet_b AND y.col = column_b)
+SELECT * FROM q WHERE (alike AND percent >= 20) OR (percent >= 60 AND size_a >= 3)"""
+
+
 # Classes and risk
 
 
@@ -177,7 +196,7 @@ def text_tokenize(spark, sf):
     return Vault.build([docs]).tokenise(docs)
 
 
-@query()
+@query("SELECT doc_id, text = text AS same FROM documents")
 def text_tokenize_roundtrip(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     vault = Vault.build([docs])
@@ -195,7 +214,10 @@ def text_entities(spark, sf):
     return mask.find_entities(table(spark, sf, "documents"), "text")
 
 
-@query()
+@query(r"""
+WITH f AS (SELECT doc_id, regexp_matches(t, '(^|\D)[12]\d{9}(\D|$)') AS has_national_id, regexp_matches(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b') AS has_email,
+  regexp_matches(t, '(^|\D)(\d{4}[-\s]?){3}\d{4}(\D|$)') AS has_card, regexp_matches(t, '(^|\D)\d{3}-\d{2}-\d{4}(\D|$)') AS has_ssn FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT *, has_national_id OR has_email OR has_card OR has_ssn AS blocked FROM f""")
 def preflight(spark, sf):
     return mask.preflight(table(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
 
@@ -268,9 +290,13 @@ def missingness(spark, sf):
     return profile.missingness(orders_nulled(spark, sf))
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN count(DISTINCT {c}) >= 0.98 * count(*) AND count({c}) = count(*) THEN 'PRIMARY_KEY' WHEN bool_or(typeof({c}) = 'BIGINT') THEN 'NUMERIC_MEASURE' ELSE 'CATEGORICAL' END AS role,
+    CASE WHEN bool_or(typeof({c}) = 'BIGINT') THEN 'bigint' ELSE 'string' END AS type, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 1) AS null_percent, count(DISTINCT {c}) AS "unique",
+    array_to_string(list({c}::VARCHAR ORDER BY o_orderkey) FILTER ({c} IS NOT NULL)[1:3], '|') AS samples, 'SAFE' AS tier FROM {ORDERS_NULLED}"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
 def inventory(spark, sf):
-    return profile.inventory(orders_nulled(spark, sf), "o_orderkey")
+    return profile.inventory(orders_nulled(spark, sf), "o_orderkey").withColumn("samples", F.array_join("samples", "|"))
 
 
 @query("""
@@ -398,7 +424,9 @@ def morphology(spark, sf):
     return insight.morphology(table(spark, sf, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("string")))
 
 
-@query()
+@query("""
+WITH s AS (SELECT epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts) AS step FROM events WHERE ts IS NOT NULL), m AS (SELECT median(step) AS m, count(step) AS k FROM s)
+SELECT 0 AS series, k + 1 AS n, m / 1e6 AS median_seconds, (SELECT count(*) FROM s WHERE step = m)::DOUBLE / k AS share, (SELECT count(*) FROM s WHERE step = m)::DOUBLE / k > 0.7 AS uniform FROM m""")
 def cadence(spark, sf):
     return insight.cadence(table(spark, sf, "events"), "ts")
 
@@ -426,7 +454,7 @@ def fk_overlap(spark, sf):
     return links.overlaps({"customer": table(spark, sf, "customer"), "orders": table(spark, sf, "orders")}, {"customer": ["c_custkey"], "orders": ["o_custkey"]})
 
 
-@query()
+@query(_foreign_keys_sql())
 def foreign_keys(spark, sf):
     return links.foreign_keys({n: table(spark, sf, n) for n in ("nation", "region", "customer", "supplier")})
 
@@ -449,7 +477,7 @@ def embedding_profile(spark, sf):
     return insight.embedding_profile(table(spark, sf, "embeddings"), "embedding").withColumn("mean_norm", F.round("mean_norm", 6))
 
 
-@query("SELECT 'event_type' AS \"column\", count(*) FILTER (regexp_matches(event_type, '(?i)(urgent|critical|emergency|asap|immediately|overdue|escalate|complaint|angry|refund|cancel|error|failed)')) AS urgent FROM events")
+@query("SELECT 'event_type' AS \"column\", count(*) FILTER (regexp_matches(event_type, '(?i)\\b(asap|urgent|error|test|check|review|vip|priority|critical|pending|hold|fix)\\b')) AS urgent FROM events")
 def behaviour_flags(spark, sf):
     return insight.behaviour(table(spark, sf, "events"), ["event_type"])
 
@@ -460,7 +488,10 @@ def surrogate_columns(spark, sf):
     return insight.surrogates(Vault.build([df]).tokenise(df))
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN '{c}' LIKE '%key' THEN CASE WHEN count(DISTINCT {c}) = count(*) THEN 'PK' ELSE 'FK' END WHEN '{c}' LIKE '%date%' THEN 'TIME'
+    WHEN bool_or(typeof({c}) IN ('BIGINT', 'INTEGER', 'DOUBLE') OR typeof({c}) LIKE 'DECIMAL%') THEN 'MEAS' ELSE 'DIM' END AS tag, CASE WHEN regexp_matches('{c}', 'line|quantity|price|discount') THEN 'DETAIL' ELSE 'HEADER' END AS level FROM lineitem"""
+    for c in LINEITEM))
 def entity_tags(spark, sf):
     return insight.entity_tags(table(spark, sf, "lineitem"))
 
@@ -600,7 +631,11 @@ def quick_features(spark, sf):
     return features.quick(table(spark, sf, "orders"))[0]
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CASE WHEN '{c}' LIKE '%date%' THEN 'temporal' WHEN bool_or(typeof({c}) IN ('BIGINT', 'INTEGER', 'DOUBLE') OR typeof({c}) LIKE 'DECIMAL%') THEN 'numeric'
+    WHEN avg(strlen({c}::VARCHAR)) > 15 THEN 'text' WHEN count(DISTINCT {c}) BETWEEN 2 AND 100 THEN 'categorical' END AS kind,
+    coalesce(min(try_cast({c}::VARCHAR AS DOUBLE)) > 0 AND max(try_cast({c}::VARCHAR AS DOUBLE)) / (min(try_cast({c}::VARCHAR AS DOUBLE)) + 0.00001) > 100, false) AS skewed FROM orders"""
+    for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")))
 def feature_opportunities(spark, sf):
     return features.opportunities(table(spark, sf, "orders"))
 
@@ -631,15 +666,70 @@ def ragged_report(spark, sf):
     return masters.unionByName(lines)
 
 
-@query("""
+LEDGER_SQL = """
 SELECT l_linenumber::BIGINT AS "Sequence", '' AS "GL-Code", round(l_quantity, 2) AS "Quantity", 'CTN' AS "UOM", round(l_tax, 2) AS "Unit Price", round(l_extendedprice, 2) AS "Item Amount",
 'INV-' || lpad(o_orderkey::VARCHAR, 6, '0') AS doc_no, strftime(o_orderdate, '%Y-%m-%d') AS doc_date, 'K' || lpad(o_custkey::VARCHAR, 5, '0') AS customer_code, 'Buyer' AS customer_name,
-round(o_totalprice, 2) AS invoice_total, 'widget ' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ' in blue' ELSE '' END AS "Full_Description" FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+round(o_totalprice, 2) AS invoice_total, 'widget ' || l_linenumber || CASE WHEN l_linenumber % 2 = 0 THEN ' in blue' ELSE '' END AS "Full_Description" FROM orders JOIN lineitem ON l_orderkey = o_orderkey"""
+
+
+@query(LEDGER_SQL)
 def ledger_flatten(spark, sf):
     layout = ledger.Layout(doc=0, date=1, code=2, name=3, desc=3, total=6, seq=0, qty=4, price=5, amount=6)
     return ledger.flatten(ragged_report(spark, sf), layout).drop("_ord")
 
 
+@query(LEDGER_SQL)
+def ledger_sniff_flatten(spark, sf):
+    """The same report with its header bands: its layout is read off them."""
+    none = F.lit(None).cast("string")
+    bands = [("Doc. No", "Doc. Date", "Customer Code", "Customer Name", None, None, "Total"), ("Seq", None, None, "Description", "Qty", "Unit Price", "Amount")]
+    heads = spark.range(2).select((F.col("id") - 2).alias("_ord"), *[F.when(F.col("id") == 0, bands[0][i] or none).otherwise(bands[1][i] or none).alias(c) for i, c in enumerate("abcdefg")])
+    return ledger.flatten(heads.unionByName(ragged_report(spark, sf))).drop("_ord")
+
+
+def written(df: DataFrame, kind: str, **options: str) -> str:
+    """A folder with df as files of that kind, in the shared folder; it goes when the application ends."""
+    path = f"{shared_folder(df.sparkSession)}/ingest-{uuid.uuid4().hex}.{kind}"
+    df.write.format("csv" if kind == "tsv" else kind).options(**options).save(path)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+INGEST_SQL = "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer"
+
+
+def ingested(spark, sf, kind: str, **options: str) -> DataFrame:
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    back = readers.read(spark, written(rows, kind, **options))
+    return back.select(*[F.col(c).cast("string").alias(c) for c in rows.columns])
+
+
+@query(INGEST_SQL)
+def ingest_csv(spark, sf):
+    return ingested(spark, sf, "csv", header="true")
+
+
+@query(INGEST_SQL)
+def ingest_tsv(spark, sf):
+    return ingested(spark, sf, "tsv", header="true", sep="\t")
+
+
+@query(INGEST_SQL)
+def ingest_json(spark, sf):
+    return ingested(spark, sf, "json")
+
+
+@query(INGEST_SQL)
+def ingest_parquet(spark, sf):
+    return ingested(spark, sf, "parquet")
+
+
+@query(INGEST_SQL)
+def ingest_orc(spark, sf):
+    return ingested(spark, sf, "orc")
+
+
 @query()
 def ragged_check(spark, sf):
     return ledger.is_ragged(ragged_report(spark, sf))
@@ -686,7 +776,10 @@ def three_way(spark, sf):
     return relational.three_way(raw, Vault.build([raw]).tokenise(raw), raw.where("c_custkey > 100"))
 
 
-@query()
+@query("""
+WITH r AS (SELECT count(*)::DOUBLE AS n, (count(*) - count(o_orderstatus) + count(*) - count(o_orderpriority))::DOUBLE AS k FROM %s),
+c AS (SELECT count(*)::DOUBLE AS n FROM %s WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL)
+SELECT unnest(['raw_rows', 'clean_rows', 'rows_diff', 'raw_nulls', 'clean_nulls', 'null_reduction', 'score']) AS card, unnest([r.n, c.n, c.n - r.n, r.k, 0.0, 100.0, 100.0]) AS value FROM r, c""" % (ORDERS_NULLED, ORDERS_NULLED))
 def kpi_cards(spark, sf):
     raw = orders_nulled(spark, sf)
     return relational.kpi_cards(raw, raw.dropna())
@@ -700,7 +793,7 @@ def cartography(spark, sf):
     return relational.cartography(orders_nulled(spark, sf))
 
 
-@query()
+@query("SELECT column_name AS \"column\", CASE WHEN column_name = 'o_orderstatus' THEN 'DROPPED' ELSE 'KEPT' END AS change FROM (DESCRIBE SELECT * FROM orders) UNION ALL SELECT 'flag', 'ADDED'")
 def column_sets(spark, sf):
     o = table(spark, sf, "orders")
     return relational.column_sets(o, o.drop("o_orderstatus").withColumn("flag", F.lit(1)))
@@ -786,11 +879,25 @@ def firewall(spark, sf):
     return audit.firewall(spark)
 
 
-@query("SELECT i::BIGINT AS id, i <= 6 AS rejected FROM range(1, 9) r(i)")
+#: Code with a nation's key in it; what is hostile is said by the SQL below, by other means than the audit's.
+SNIPPETS = (
+    "import socket\ns{n} = socket.socket()", "import os as o{n}\no{n}.system('id')", "from os import *\npopen('id')", "x{n} = eval('1 + {n}')",
+    "().__class__.__subclasses__()[{n}]", "open('/etc/passwd').read({n})", "from subprocess import run as r{n}\nr{n}(['ls'])", "importlib = __import__('importlib')",
+    "import importlib\nimportlib.import_module('socket')", "import builtins\nbuiltins.eval('{n}')", "import io\nio.open('f{n}', 'w')", "spark.sparkContext._jvm.java.lang.Runtime",
+    "from time import sleep as nap\nnap(1{n}0)", "e{n} = exec\ne{n}('x = 1')", "import ctypes", "x = {n}", "df_clean = df.dropna()", "import math\ny{n} = math.sqrt({n})",
+    "evaluate = {n}", "import time\ntime.sleep(0.5)", "opened = df.where('id > {n}')", "from pyspark.sql.functions import *\nz = col('a') + {n}",
+)
+_values = ", ".join(f"({i}, '" + s.replace("'", "''").replace("\n", "~") + "')" for i, s in enumerate(SNIPPETS))
+
+
+@query(f"""
+WITH c AS (SELECT n_nationkey::BIGINT AS nation, i::BIGINT AS snippet, replace(t, '{{n}}', n_nationkey::VARCHAR) AS code FROM nation CROSS JOIN (VALUES {_values}) v(i, t))
+SELECT nation, snippet, regexp_matches(code, '(import|from) (socket|subprocess|importlib|builtins|ctypes|os as|os import)') OR regexp_matches(code, '__[a-z]+__|_jvm|io\\.open')
+  OR regexp_matches(code, '(^|[^a-z])(eval|exec|open)([^a-z]|$)') OR regexp_matches(code, 'nap\\([1-9][0-9]+\\)') AS rejected FROM c""")
 def code_audit(spark, sf):
-    snippets = [*sandbox.HOSTILE, "x = 1", "df_clean = df.dropna()"]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(snippets, 1)], "id long, code string")
-    return sandbox.audit_table(df, "code").select("id", (F.size("violations") > 0).alias("rejected"))
+    code = F.explode(F.transform(F.array(*[F.lit(s) for s in SNIPPETS]), lambda s, i: F.struct(i.cast("long").alias("snippet"), F.replace(s, F.lit("{n}"), F.col("n_nationkey").cast("string")).alias("code"))))
+    df = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), code.alias("x")).select("nation", "x.*")
+    return sandbox.audit_table(df, "code").select("nation", "snippet", (F.size("violations") > 0).alias("rejected"))
 
 
 @query()
