@@ -14,7 +14,7 @@ Decoding joins ids with the token-byte table, whose size is that of the vocabula
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +49,23 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     Further columns are left out; an empty table gives no rows.  A .json vocabulary whose ranks aren't its merges is
     a ValueError; special strings are plain text.
     """
+
+    def maker(_):
+        import numpy as np
+
+        def lists_of(lists: list) -> list[pa.Array]:
+            offsets = np.cumsum([0, *map(len, lists)])
+            flat = np.concatenate(lists) if lists else np.empty(0, "<i4")
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
+
+        return lists_of
+
+    return encoded(docs, vocab_path, id_col, text_col, maker, {"ids": "array<int>"})
+
+
+def encoded(docs: DataFrame, vocab_path: str, id_col: str, text_col: str, maker: Callable, columns: dict[str, str]) -> DataFrame:
+    """doc_id and the given columns (name: type) of every row, where each text's ids come together: maker(codec), called
+    once a task, gives a function from lists of ids to Arrow arrays."""
     vocab = VocabFile.load(vocab_path)
     if vocab.kind == "json" and not ranks_are_merges(vocab):
         raise ValueError("the ids of this vocabulary aren't in the order of its merges")
@@ -163,7 +180,12 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
+        finish = maker(Codec.of(VocabFile(*sent.value)))
         now, table = None, {}
+
+        def batch_of(keys: list, lists: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, batch_type), *finish(lists)], names=[id_col, *columns])
+
         for batch in batches:
             keys, lists, size = [], [], 0
             for block, number, data, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
@@ -180,17 +202,10 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
                 lists.append(np.frombuffer(b"".join(map(table.__getitem__, whole(raw).tolist())), "<i4"))
                 size += len(lists[-1])
                 if size > 1_000_000:
-                    yield listed(keys, lists)
+                    yield batch_of(keys, lists)
                     keys, lists, size = [], [], 0
             if keys:
-                yield listed(keys, lists)
-
-    def listed(keys, lists) -> pa.RecordBatch:
-        import numpy as np
-
-        offsets = np.cumsum([0, *map(len, lists)])
-        flat = np.concatenate(lists) if lists else np.empty(0, "<i4")
-        return pa.RecordBatch.from_arrays([pa.array(keys, batch_type), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
+                yield batch_of(keys, lists)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -199,7 +214,7 @@ def encode(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col
     answered = asked.mapInArrow(tidied(answer, True), "block long, number int, data binary").withColumn(id_col, F.lit(None).cast(id_type))
     kept = source.mapInArrow(tidied(keep, True), f"block long, number int, data binary, `{id_col}` {id_type}")
     # The kept documents come first: the number of a union's task is then that of the split, as in the other pass.
-    return kept.unionByName(answered).repartition("block").sortWithinPartitions("block", "number").mapInArrow(tidied(gather, True), f"`{id_col}` {id_type}, ids array<int>")
+    return kept.unionByName(answered).repartition("block").sortWithinPartitions("block", "number").mapInArrow(tidied(gather, True), f"`{id_col}` {id_type}, " + ", ".join(f"{n} {t}" for n, t in columns.items()))
 
 
 def decode(coded: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -218,22 +233,22 @@ def decode(coded: DataFrame, vocab_path: str, *, id_col: str = "doc_id", ids_col
 
 
 def round_trip(docs: DataFrame, vocab_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode row by row, and digest both in passing,
-    so that neither leaves its task.  Rows as for encode."""
-    coded = encode(docs, vocab_path, id_col=id_col, text_col=text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(VocabFile.load(vocab_path).plain())
-    id_type = docs.schema[id_col].dataType.simpleString()
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode by the token-byte table, and digest both where
+    a text's ids come together, so that neither leaves its worker.  Rows as for encode."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Codec.of(VocabFile(*sent.value)).token_bytes()
+    def maker(codec: Codec):
+        table = codec.token_bytes()
         names = [str(i).encode() for i in range(len(table))]
-        for batch in batches:
+
+        def digests(lists: list) -> list[pa.Array]:
             counts, of_ids, of_text = [], [], []
-            for ids in batch.column(1):
-                ids = ids.values.to_numpy(zero_copy_only=False).tolist()
+            for ids in lists:
+                ids = ids.tolist()
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(b",".join(map(names.__getitem__, ids))).hexdigest())
                 of_text.append(hashlib.sha256(b"".join(map(table.__getitem__, ids))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+
+        return digests
 
-    return coded.mapInArrow(tidied(run, True), f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, vocab_path, id_col, text_col, maker, {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"})
