@@ -21,13 +21,14 @@ def people(spark):
     return spark.createDataFrame(rows, "customer_name string, email string, memo string, amount double").repartition(4)
 
 
-@pytest.mark.parametrize(("values", "chars"), [(20_000, 1_000), (0, 1_000), (20_000, 3)])
-def test_small_and_large_vaults_agree(spark, monkeypatch, values, chars):
+@pytest.mark.parametrize(("values", "chars", "in_map"), [(20_000, 1_000, 5), (0, 1_000, 5), (20_000, 3, 5)])
+def test_small_and_large_vaults_agree(spark, monkeypatch, values, chars, in_map):
     df = people(spark)
     small = Vault.build([df])
     want = sorted(map(str, small.tokenise(df).collect()))
     monkeypatch.setattr(vault, "SMALL_VALUES", values)
     monkeypatch.setattr(vault, "SMALL_CHARS", chars)
+    monkeypatch.setattr(vault, "MAP_VALUES", in_map)
     other = Vault.build([df])
     assert (other.small is None) == (values == 0 or chars == 3)
     safe = other.tokenise(df)

@@ -25,6 +25,8 @@ from .running import settled
 TOKEN = r"<[A-Z_]+_\d+>"
 #: A vault of at most so many values, none longer than so many characters, is numbered by the driver and broadcast.
 SMALL_VALUES, SMALL_CHARS = 20_000, 1_000
+#: Values that text is searched for by a map in the plan, at most; beyond that by an Arrow-batched function.
+MAP_VALUES = 1_000
 
 
 def infer_pattern(example: str, field: str = "") -> tuple[str, str]:
@@ -81,8 +83,12 @@ class Vault:
     def small(self) -> list[tuple] | None:
         """The rows of a small vault, else None."""
         if self.values is None:
+            self.findable = set()
             return []
-        found = self.values.select(F.substring("raw", 1, SMALL_CHARS + 1).alias("raw"), "tag", "first").limit(SMALL_VALUES + 1).collect()
+        fits = F.lit(False)
+        for pattern in (*self.policy.patterns.values(), *(p for p, _ in self.taught.values())):
+            fits = fits | F.col("raw").rlike(pattern)
+        found = self.values.select(F.substring("raw", 1, SMALL_CHARS + 1).alias("raw"), "tag", "first", fits.alias("fits")).limit(SMALL_VALUES + 1).collect()
         if len(found) > SMALL_VALUES or any(len(r.raw) > SMALL_CHARS for r in found):
             return None
         numbers: dict[str, int] = {}
@@ -90,6 +96,8 @@ class Vault:
         for r in sorted(found, key=lambda r: (tuple(r.first) if self.ordered else (), r.raw.encode())):
             seq = numbers[r.tag] = numbers.get(r.tag, 0) + 1
             rows.append((r.raw, r.tag, seq, f"<{r.tag}_{seq}>"))
+        # what a pattern can find in other text
+        self.findable = {r.raw for r in found if r.fits}
         return rows
 
     @functools.cached_property
@@ -183,7 +191,20 @@ class Vault:
             for c, own in found.items():
                 df = replaced(df, c, own, table)
             return df
-        sent = self.spark.sparkContext.broadcast({r[3]: r[0] for r in self.small} if back else {r[0]: r[3] for r in self.small})
+        known = {r[3]: r[0] for r in self.small} if back else {r[0]: r[3] for r in self.small if r[0] in self.findable}
+        if not known:
+            return df
+        # what is found gets columns of its own, so that patterns run once
+        prefix = free_prefix(df)
+        held = {c: f"{prefix}{i}" for i, c in enumerate(found)}
+        df = df.withColumns({held[c]: own for c, own in found.items()})
+        exchanged = by_map(known) if len(known) <= MAP_VALUES else self._by_batches(known)
+        for c, name in held.items():
+            df = df.withColumn(c, exchanged(F.col(f"`{c}`"), F.col(name), F.size(name) > 0))
+        return df.drop(*held.values())
+
+    def _by_batches(self, known: dict[str, str]):
+        sent = self.spark.sparkContext.broadcast(known)  # its size is checked
 
         @F.pandas_udf("string")
         def exchanged(texts: pd.Series, lists: pd.Series) -> pd.Series:
@@ -198,14 +219,20 @@ class Vault:
                 out.append(text)
             return pd.Series(out, dtype=object)
 
-        # what is found gets columns of its own, so that patterns run once; texts without a match don't go to Python
-        prefix = free_prefix(df)
-        held = {c: f"{prefix}{i}" for i, c in enumerate(found)}
-        df = df.withColumns({held[c]: own for c, own in found.items()})
-        for c, name in held.items():
-            some = F.size(name) > 0
-            df = df.withColumn(c, F.when(some, exchanged(F.when(some, F.col(f"`{c}`")), F.when(some, F.col(name)))).otherwise(F.col(f"`{c}`")))
-        return df.drop(*held.values())
+        # texts without a match don't go to Python
+        return lambda text, found, some: F.when(some, exchanged(F.when(some, text), F.when(some, found))).otherwise(text)
+
+
+def by_map(known: dict[str, str]):
+    """text with the found strings replaced as a map says, the longest first."""
+    table = F.map_from_arrays(F.lit([*known]), F.lit([*known.values()]))
+
+    def exchanged(text: Column, found: Column, some: Column) -> Column:
+        in_turn = F.sort_array(F.transform(found, lambda f: F.struct((-F.length(f)).alias("n"), f.alias("f"))))
+        new = F.aggregate(in_turn, text, lambda t, p: F.replace(t, p["f"], F.coalesce(F.element_at(table, p["f"]), F.element_at(table, strip(p["f"])), p["f"])))
+        return F.when(some, new).otherwise(text)
+
+    return exchanged
 
 
 def _hit(tag: str, rank: int):
