@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import policy
 from .profile import is_numeric, missingness
+from .quantiles import quantiles
 from .running import running_total
 
 #: Standard normal quantiles of the ladder, and the limit of what counts as close.
@@ -41,7 +42,10 @@ def histogram(df: DataFrame, column: str, bins: int = 8) -> DataFrame:
 
 def moments(df: DataFrame, column: str) -> DataFrame:
     """n, mean, median, std (population), skew (biased), least and greatest."""
-    return numbers(df, column).agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.percentile("v", F.lit(0.5)).alias("median"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    rows = numbers(df, column)
+    row = rows.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skew"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    middle = quantiles(rows, (0.5,)).select(F.col("q")[0].alias("median"))
+    return row.crossJoin(F.broadcast(middle)).select("n", "mean", "median", "std", "skew", "least", "greatest")  # one row each
 
 
 def box_plot(df: DataFrame, column: str, by: str | None = None, groups: int = 6) -> DataFrame:
@@ -49,7 +53,9 @@ def box_plot(df: DataFrame, column: str, by: str | None = None, groups: int = 6)
     v = F.col(f"`{column}`").cast("double")
     group = F.col(f"`{by}`").cast("string") if by else F.lit("all")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select(group.alias("group"), v.alias("v"))
-    quarts = rows.groupBy("group").agg(F.count("*").alias("n"), F.percentile("v", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("q")).orderBy(F.desc("n"), "group").limit(groups)
+    often = rows.groupBy("group").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "group").limit(groups).select(F.coalesce("group", F.lit("\0")).alias("g"))
+    some = rows.withColumn("g", F.coalesce("group", F.lit("\0"))).join(F.broadcast(often), "g")  # as many rows as groups
+    quarts = quantiles(some, (0.25, 0.5, 0.75), ["g"]).select(F.nullif("g", F.lit("\0")).alias("group"), "n", "q")
     quarts = quarts.select("group", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("v").between(low, high)
@@ -115,7 +121,8 @@ def pareto(df: DataFrame, category: str, measure: str) -> DataFrame:
 
 def quantile_ladder(df: DataFrame, column: str) -> DataFrame:
     """p, quantile, z, normal, delta, close: standardised quantiles against those of a normal distribution."""
-    row = numbers(df, column).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.percentile("v", F.array(*[F.lit(p) for p, _ in LADDER])).alias("q"))
+    rows = numbers(df, column)
+    row = rows.agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")).crossJoin(F.broadcast(quantiles(rows, [p for p, _ in LADDER]).select("q")))  # one row each
     steps = F.array(*[F.struct(F.lit(p).alias("p"), F.col("q")[i].alias("quantile"), F.lit(z).alias("normal")) for i, (p, z) in enumerate(LADDER)])
     out = row.select("mean", "std", F.explode(steps).alias("s")).select("s.*", F.when(F.col("std") > 0, (F.col("s.quantile") - F.col("mean")) / F.col("std")).otherwise(0.0).alias("z"))
     return out.withColumn("delta", F.col("z") - F.col("normal")).withColumn("close", F.abs("delta") < CLOSE)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.scalars import number_of, strip
 from .profile import is_numeric, tall
+from .quantiles import quantiles
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)$"
@@ -78,21 +79,18 @@ def contaminated(profiles: DataFrame) -> DataFrame:
 
 def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n, skew (adjusted), skewed, q1, q3, outliers beyond 1.5 times the range between quartiles; n of 8 or
-    more.  Two aggregates: quartiles, then counts."""
-    x = {c: F.col(f"`{c}`").cast("double") for c in columns}
-    first = []
-    for i, c in enumerate(columns):
-        first += [F.count(x[c]).alias(f"c{i}_n"), F.skewness(x[c]).alias(f"c{i}_g"), F.percentile(x[c], F.array(F.lit(0.25), F.lit(0.75))).alias(f"c{i}_q")]
-    row = df.agg(*first)
-    beyond = []
-    for i, c in enumerate(columns):
-        q1, q3 = F.col(f"c{i}_q")[0], F.col(f"c{i}_q")[1]
-        beyond.append(F.count_if((x[c] < q1 - 1.5 * (q3 - q1)) | (x[c] > q3 + 1.5 * (q3 - q1))).alias(f"c{i}_outliers"))
-    counts = df.crossJoin(F.broadcast(row)).agg(*beyond)  # one row
-    rows = tall(row.crossJoin(counts), list(columns), ["n", "g", "q", "outliers"])
+    more."""
+    names = list(columns)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in names]))
+    cells = df.select(cells.alias("x")).select("x.*")
+    quarts = quantiles(cells, (0.25, 0.75), ["column"])
+    ranges = quarts.select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    far = 1.5 * (F.col("q3") - F.col("q1"))
+    beyond = F.count_if((F.col("v") < F.col("q1") - far) | (F.col("v") > F.col("q3") + far))
+    rows = cells.join(F.broadcast(ranges), "column").groupBy("column", "q1", "q3").agg(F.count("v").alias("n"), F.skewness("v").alias("g"), beyond.alias("outliers"))  # a row a column
     n = F.col("n").cast("double")
     adjusted = F.col("g") * F.sqrt(n * (n - 1)) / (n - 2)
-    out = rows.where(F.col("n") >= 8).select("column", "n", adjusted.alias("skew"), F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), "outliers")
+    out = rows.where(F.col("n") >= 8).select("column", "n", adjusted.alias("skew"), "q1", "q3", "outliers")
     return out.withColumn("skewed", F.abs("skew") > 1.5)
 
 
