@@ -112,3 +112,33 @@ def test_linkability_by_the_columns_that_mocks_have(spark):
     hits = lambda keys: sum(any((a is None or a == str(k % 5)) and (b is None or b == str(k % 7)) for k in keys) for a, b in [("1", "1"), ("2", "2"), (None, "0"), ("7", None)]) / 4
     got = audit.linkability(few, spark.createDataFrame([("1", "1"), ("2", "2"), (None, "0"), ("7", None)], "a string, b string"), "k", ["a", "b"]).first().value
     assert got == round(max(0.0, hits(member) - hits({0, 1, 2} - member)), 3)
+
+
+CLASH = ("_v", "_n", "_often", "_all", "_small", "_into", "_most", "_q0", "_mean", "_std", "_range", "_in", "_s", "_before", "_place", "_part", "_start", "_from", "_filled", "_ord2", "_v_n", "_v_v", "_v_0", "_v_at", "_v_place")
+
+
+def test_relational_operators_mind_no_column_of_the_caller(spark):
+    from veilspark.operators import features, relational, risk
+    from veilspark.operators.running import running_total
+    from veilspark.sources.readers import with_order
+
+    rows = [(i, f"c{i % 4}" if i != 3 else "rare", 20 + i, None if i % 3 else f"x{i}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "client_id int, city string, age int, gap string, amount double").coalesce(2)
+    more = df.select("*", *[F.lit("own").alias(n) for n in CLASH])
+    every = {
+        "sizes": lambda d: risk.class_sizes(d, ["city"]),
+        "generalise": lambda d: risk.generalise(d, ["city", "age"], 5, ["amount"]),
+        "hashed": lambda d: risk.generalise(d, ["city", "age"], 5),
+        "frequency": lambda d: features.frequency(d, "city"),
+        "z": lambda d: features.z_score(d, "amount"),
+        "total": lambda d: running_total(d, [F.col("client_id")], F.col("amount"), "upto"),
+        "fill": lambda d: relational.forward_fill(d, "gap", "client_id"),
+        "order": with_order,
+    }
+    for name, run in every.items():
+        plain, out = run(df), run(more)
+        assert out.where(" or ".join(f"`{n}` <> 'own'" for n in CLASH)).count() == 0 and set(out.columns) == set(plain.columns) | set(CLASH), name
+        assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect())), name
+    ids = [r.client_id for r in every["generalise"](df).orderBy("amount" if False else "client_id").collect()]
+    assert ids == [f"ID_{i:05d}" for i in range(1, 41)]
+    assert [r.upto for r in every["total"](df).orderBy("client_id").collect()] == [i * (i + 1) / 2 for i in range(40)]

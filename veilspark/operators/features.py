@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
 from . import policy
 from .profile import is_numeric, tall
 
@@ -47,8 +48,9 @@ def temporal(df: DataFrame, column: str, weekend: tuple[int, ...] = (5, 6, 7)) -
 def z_score(df: DataFrame, column: str) -> DataFrame:
     """By the sample's deviation; df as it is where that is 0 or undefined: the column is null then."""
     v = F.col(f"`{column}`").cast("double")
-    row = df.agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_std"))
-    return df.crossJoin(F.broadcast(row)).withColumn(f"{column}_zscore", F.when(F.col("_std") > 0, (v - F.col("_mean")) / F.col("_std"))).drop("_mean", "_std")
+    mean, std = (free_prefix(df) + x for x in ("mean", "std"))
+    row = df.agg(F.avg(v).alias(mean), F.stddev_samp(v).alias(std))
+    return df.crossJoin(F.broadcast(row)).withColumn(f"{column}_zscore", F.when(F.col(std) > 0, (v - F.col(mean)) / F.col(std))).drop(mean, std)
 
 
 def log1p(df: DataFrame, column: str) -> DataFrame:
@@ -59,8 +61,9 @@ def log1p(df: DataFrame, column: str) -> DataFrame:
 def frequency(df: DataFrame, column: str) -> DataFrame:
     """How many rows have the value; null for null.  Counts are joined, so a frequent value is no single task."""
     v = F.col(f"`{column}`")
-    counts = df.where(v.isNotNull()).groupBy(v.alias("_v")).agg(F.count("*").alias(f"{column}_freq"))
-    return df.join(counts, v == F.col("_v"), "left").drop("_v")
+    own = free_prefix(df) + "v"
+    counts = df.where(v.isNotNull()).groupBy(v.alias(own)).agg(F.count("*").alias(f"{column}_freq"))
+    return df.join(counts, v == F.col(own), "left").drop(own)
 
 
 def text_metrics(df: DataFrame, column: str) -> DataFrame:

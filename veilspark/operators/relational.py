@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
 from ..functions.scalars import strip
 from . import ledger, profile
 
@@ -50,10 +51,14 @@ def fill_defaults(df: DataFrame) -> DataFrame:
 
 def forward_fill(df: DataFrame, column: str, order: str) -> DataFrame:
     """Each null takes the last value before it, in two steps over ranges of rows."""
-    rows = df.withColumn("_range", F.floor(F.col(order) / ledger.RANGE_ROWS))
-    placed = ledger.last_places(rows, order, {"_from": F.col(f"`{column}`").isNotNull()})
-    values = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(order).alias("_from"), F.col(f"`{column}`").alias("_filled"))
-    return placed.join(values, "_from", "left").withColumn(column, F.col("_filled")).select(*[F.col(f"`{c}`") for c in df.columns])
+    at, v, filled = (free_prefix(df) + x for x in ("at", "v", "filled"))
+    rows = df.select(F.col(f"`{order}`").alias(at), F.col(f"`{column}`").alias(v)).withColumn("_range", F.floor(F.col(at) / ledger.RANGE_ROWS))
+    # the value goes with its place
+    placed = ledger.last_places(rows, at, {filled: F.col(v).isNotNull()}, {filled: F.struct(at, v)})
+    if set(df.columns) == {order, column}:
+        return placed.select(*[(F.col(at) if c == order else F.col(f"{filled}.{v}")).alias(c) for c in df.columns])
+    known = placed.select(at, F.col(f"{filled}.{v}").alias(v))
+    return df.join(known, F.col(f"`{order}`") == F.col(at), "left").withColumn(column, F.col(v)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def header_offset(df: DataFrame, order: str, scan: int = 25) -> int:
@@ -99,8 +104,8 @@ def column_sets(raw: DataFrame, clean: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame) -> DataFrame:
     """One row: rows, distinct_rows, duplicate_rows."""
-    counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("_n"))
-    return counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows")).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
+    counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias(free_prefix(df) + "n"))
+    return counts.agg(F.coalesce(F.sum(free_prefix(df) + "n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_rows")).withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
 
 
 def value_sets(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -8,9 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
 from ..functions import patterns as P
 from ..functions.scalars import age_band, strip
 from . import policy
+from .running import running_total
 
 NULL = "<NULL>"
 
@@ -39,8 +41,9 @@ def classes(df: DataFrame, qis: Sequence[str], sensitive: str | None = None) ->
 
 def class_sizes(df: DataFrame, qis: Sequence[str]) -> DataFrame:
     """df with the size of each row's class."""
-    sizes = classes(df, qis).withColumnRenamed("n", "class_size").withColumnsRenamed({c: f"_q{i}" for i, c in enumerate(qis)})
-    return df.join(sizes, [as_text(c) == F.col(f"_q{i}") for i, c in enumerate(qis)], "left").drop(*[f"_q{i}" for i in range(len(qis))])
+    names = [f"{free_prefix(df)}{i}" for i in range(len(qis))]
+    sizes = classes(df, qis).withColumnRenamed("n", "class_size").withColumnsRenamed(dict(zip(qis, names)))
+    return df.join(sizes, [as_text(c) == F.col(n) for c, n in zip(qis, names)], "left").drop(*names)
 
 
 def summary(df: DataFrame, qis: Sequence[str], sensitive: str | None = None, threshold: int = 3) -> DataFrame:
@@ -98,16 +101,18 @@ def bin_column(c: Column, size: int = 10) -> Column:
 def generalise(df: DataFrame, qis: Sequence[str] | None = None, k: int = 5, order: Sequence[str] = ()) -> DataFrame:
     """df with its quasi-identifiers coarsened until every class has k rows or more.
 
-    Ids become ID_00001 and so on: by ``order`` if given (a window over all rows), else by a hash that keeps equal
+    Ids become ID_00001 and so on: by ``order`` if given (numbered within ranges), else by a hash that keeps equal
     ids equal.  Ages and years are banded, postal codes cut to three characters, dates to the month, rare values
     of others become Other.  Classes still below k go into the largest class if they are few, else all of their
     quasi-identifiers become <GENERALIZED>.
     """
-    out = df
-    for c in df.columns:
-        if re.search(P.SURROGATE_NAMES, c.strip(), re.I):
-            number = F.row_number().over(Window.orderBy(*order)) if order else F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(10**15))
-            out = out.withColumn(c, F.format_string("ID_%05d", number))
+    out, own = df, free_prefix(df)
+    surrogates = [c for c in df.columns if re.search(P.SURROGATE_NAMES, c.strip(), re.I)]
+    if surrogates and order:
+        out = running_total(out, [F.col(f"`{c}`") for c in order], F.lit(1).cast("long"), own + "number")
+    for c in surrogates:
+        number = F.col(own + "number") if order else F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit(10**15))
+        out = out.withColumn(c, F.format_string("ID_%05d", number))
     qis = [c for c in resolve_quasi_identifiers(out, qis) if not policy.is_key(c) and not policy.is_metric(c)]
     if not qis:
         return out
@@ -120,22 +125,22 @@ def generalise(df: DataFrame, qis: Sequence[str] | None = None, k: int = 5, orde
         elif any(x in name for x in ("date", "dob", "birth")):
             out = out.withColumn(c, F.coalesce(F.when(F.length(strip(value)) >= 7, F.substring(strip(value), 1, 7)), F.lit(NULL)))
         else:
-            counts = out.groupBy(value.alias("_v")).agg(F.count("*").alias("_n"))
-            often = counts.agg(F.sum((F.col("_v").isNotNull() & (F.col("_n") >= k)).cast("int")).alias("_often"), F.count("*").alias("_all"))
+            counts = out.groupBy(value.alias(own + "v")).agg(F.count("*").alias(own + "n"))
+            often = counts.agg(F.sum((F.col(own + "v").isNotNull() & (F.col(own + "n") >= k)).cast("int")).alias(own + "often"), F.count("*").alias(own + "all"))
             counts = counts.crossJoin(F.broadcast(often))  # one row
-            out = out.join(counts, value.eqNullSafe(F.col("_v")), "left")
-            mixed = (F.col("_often") > 0) & (F.col("_often") < F.col("_all"))
-            rare = F.col("_v").isNull() | (F.col("_n") < k)
-            out = out.withColumn(c, F.when(mixed & rare, F.lit("Other")).when(mixed, strip(value)).otherwise(value)).drop("_v", "_n", "_often", "_all")
+            out = out.join(counts, value.eqNullSafe(F.col(own + "v")), "left")
+            mixed = (F.col(own + "often") > 0) & (F.col(own + "often") < F.col(own + "all"))
+            rare = F.col(own + "v").isNull() | (F.col(own + "n") < k)
+            out = out.withColumn(c, F.when(mixed & rare, F.lit("Other")).when(mixed, strip(value)).otherwise(value)).drop(own + "v", own + "n", own + "often", own + "all")
     out = out.withColumns({c: as_text(c) for c in qis})
-    sizes = out.groupBy(*qis).agg(F.count("*").alias("_n"))
+    sizes = out.groupBy(*qis).agg(F.count("*").alias(own + "n"))
     plan = sizes.agg(
-        F.coalesce(F.sum(F.when(F.col("_n") < k, F.col("_n"))), F.lit(0)).alias("_small"),
-        F.max_by(F.struct(*qis), F.struct(F.when(F.col("_n") >= k, F.col("_n")).alias("n"), *qis)).alias("_into"),
-        F.max("_n").alias("_most"),
+        F.coalesce(F.sum(F.when(F.col(own + "n") < k, F.col(own + "n"))), F.lit(0)).alias(own + "small"),
+        F.max_by(F.struct(*qis), F.struct(F.when(F.col(own + "n") >= k, F.col(own + "n")).alias("n"), *qis)).alias(own + "into"),
+        F.max(own + "n").alias(own + "most"),
     )
-    merge = (F.col("_small") < k) & (F.col("_most") >= k)
+    merge = (F.col(own + "small") < k) & (F.col(own + "most") >= k)
     out = out.join(sizes, list(qis)).crossJoin(F.broadcast(plan))  # one row
-    small = F.col("_n") < k
-    out = out.withColumns({c: F.when(small & merge, F.col(f"_into.`{c}`")).when(small, F.lit("<GENERALIZED>")).otherwise(F.col(f"`{c}`")) for c in qis})
+    small = F.col(own + "n") < k
+    out = out.withColumns({c: F.when(small & merge, F.col(f"{own}into.`{c}`")).when(small, F.lit("<GENERALIZED>")).otherwise(F.col(f"`{c}`")) for c in qis})
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

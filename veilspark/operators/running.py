@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.  A temporary one serves where the session names none and all
@@ -31,11 +33,12 @@ def settled(df: DataFrame) -> DataFrame:
 def running_total(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
     """df with the sum of value up to and with each row, in the given total order: totals within ranges of rows, plus
     those of the ranges before."""
+    own = free_prefix(df)
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(df.withColumn("_v", value).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
-    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ranged.withColumn("_in", F.sum("_v").over(within))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    tops = ranged.groupBy("_range").agg(F.sum("_v").alias("_s"))
-    tops = tops.select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(tops), "_range").withColumn(name, F.col("_in") + F.col("_before")).drop("_range", "_v", "_in", "_before")
+    ranged = settled(df.withColumn(own + "v", value).repartitionByRange(ranges, *order).withColumn(own + "range", F.spark_partition_id()))
+    within = Window.partitionBy(own + "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = ranged.withColumn(own + "in", F.sum(own + "v").over(within))
+    before = Window.orderBy(own + "range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    tops = ranged.groupBy(own + "range").agg(F.sum(own + "v").alias(own + "s"))
+    tops = tops.select(own + "range", F.coalesce(F.sum(own + "s").over(before), F.lit(0)).alias(own + "before"))
+    return rows.join(F.broadcast(tops), own + "range").withColumn(name, F.col(own + "in") + F.col(own + "before")).drop(own + "range", own + "v", own + "in", own + "before")

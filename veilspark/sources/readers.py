@@ -8,6 +8,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import free_prefix
+
 ORDER = "_ord"
 
 
@@ -45,14 +47,15 @@ def with_order(df: DataFrame) -> DataFrame:
 
     Rows carry their partition and place; partitions are counted first, so no row moves.  For inputs whose splits are
     read in order, such as files."""
-    rows = df.withColumn("_place", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_place", 33))
+    own = free_prefix(df)
+    rows = df.withColumn(own + "place", F.monotonically_increasing_id()).withColumn(own + "part", F.shiftright(own + "place", 33))
     from pyspark.sql import Window
 
-    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rows = rows.join(F.broadcast(starts), "_part")
-    return rows.withColumn(ORDER, F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_part", "_place", "_start")
+    counts = rows.groupBy(own + "part").agg(F.count("*").alias(own + "n"))
+    before = Window.orderBy(own + "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = counts.select(own + "part", F.coalesce(F.sum(own + "n").over(before), F.lit(0)).alias(own + "start"))
+    rows = rows.join(F.broadcast(starts), own + "part")
+    return rows.withColumn(ORDER, F.col(own + "start") + F.col(own + "place").bitwiseAND((1 << 33) - 1)).drop(own + "part", own + "place", own + "start")
 
 
 def _csv(spark: SparkSession, path: str, header: bool, _sheet) -> DataFrame:
