@@ -142,3 +142,30 @@ def test_relational_operators_mind_no_column_of_the_caller(spark):
     ids = [r.client_id for r in every["generalise"](df).orderBy("amount" if False else "client_id").collect()]
     assert ids == [f"ID_{i:05d}" for i in range(1, 41)]
     assert [r.upto for r in every["total"](df).orderBy("client_id").collect()] == [i * (i + 1) / 2 for i in range(40)]
+
+
+def test_texts_from_what_was_found(spark, tmp_path):
+    import pandas as pd
+
+    from veilspark.plans import lifecycle, report
+    from veilspark.sources import readers
+
+    df = spark.createDataFrame([(i, f"r{i % 3}", f"long words about case number {i}", float(i % 7), float(i % 7) * 2, 1e6 if i == 5 else 1.0) for i in range(40)], "id int, region string, note string, a double, b double, spread double")
+    found = lifecycle.think(df)
+    page = report.synthesis("cases", 40, found)
+    assert "40 rows, 6 columns" in page and "## Keys" in page and "id" in page.split("## Keys")[1]
+    asked = report.questions(found)
+    assert any("spread" in q for q in asked)
+    assert "- margin" in report.enrich_prompt("x = 1", ["a"], ["margin"]) and "x = 1" in report.enrich_prompt("x = 1", ["a"], ["margin"])
+    path = report.to_file(spark, page, f"file://{tmp_path}/page.md")
+    assert (tmp_path / "page.md").read_text() == page and path.endswith("page.md")
+    code = report.power_query(ledger.Layout(doc=0, date=1, desc=3, seq=0, qty=4, price=5, amount=6, total=6, prefixes=["INV-"]))
+    for step in ("Table.FillDown", "Table.Group", "Table.TransformColumnTypes", '"grand total"', '"page "', '"INV-"', "Text.Combine"):
+        assert step in code
+    names = [line.strip().split(" = ")[0] for line in code.splitlines()[1:-2]]
+    assert len(names) == len(set(names)) and code.rstrip().endswith("Typed") and code.count("(") == code.count(")") and code.count("{") == code.count("}")
+    bound = {"frame": df, "local": pd.DataFrame({"x": [1, 2]})}
+    assert readers.read(spark, "frame", bound=bound) is df and readers.read(spark, "local", bound=bound, ordered=True).columns == ["x", "_ord"]
+    (tmp_path / "grid.csv").write_text("Doc. No,Doc. Date,,Total\nSeq,,Description,Amount\nINV-001,2024-01-02,,10\n1,,bolt,10\n")
+    grid = ledger.report(spark, f"{tmp_path}/grid.csv")
+    assert ledger.sniff(grid).desc == 2 and ledger.flatten(grid).first().Full_Description == "bolt"

@@ -40,24 +40,26 @@ def protect(sheets: dict[str, DataFrame], origin: str = "Universal", target: str
     return {n: vault.tokenise(df) for n, df in sheets.items()}, vault
 
 
-def gate(df: DataFrame, mock: DataFrame, key: str, qis: Sequence[str] | None = None, sensitive: str | None = None) -> DataFrame:
-    """The suite of privacy tests over a table whose ``key`` numbers its rows from 0."""
+def gate(df: DataFrame, mock: DataFrame, key: str, qis: Sequence[str] | None = None, sensitive: str | None = None, most: int | None = 6) -> DataFrame:
+    """The suite of privacy tests over a table whose ``key`` numbers its rows from 0; distances take the first ``most``
+    numbers and texts (None: all)."""
     qis = list(qis or risk.resolve_quasi_identifiers(df.drop(key)))
     sensitive = sensitive or policy.sensitive_column(df.columns)
-    numeric = [c for c, t in df.dtypes if profile.is_numeric(t) and c != key and c in mock.columns][:6]
-    categorical = [c for c, t in df.dtypes if t == "string" and c in mock.columns][:6]
+    numeric = [c for c, t in df.dtypes if profile.is_numeric(t) and c != key and c in mock.columns][:most]
+    categorical = [c for c, t in df.dtypes if t == "string" and c in mock.columns][:most]
     return audit.suite(df, mock, key, qis, sensitive, numeric, categorical)
 
 
-def think(df: DataFrame) -> dict[str, DataFrame]:
-    """Everything the column analysers find, as lazy tables: each is one aggregate or a few."""
+def think(df: DataFrame, most: int | None = 8) -> dict[str, DataFrame]:
+    """Everything the column analysers find, as lazy tables: each is one aggregate or a few.  Pairs and triples of
+    columns are made of the first ``most`` columns (None: all), since their number grows with its square and cube."""
     shapes = insight.morphology(df)
     numeric = [c for c, t in df.dtypes if profile.is_numeric(t)]
-    few = [c for c in df.columns][:8]
+    few = df.columns[:most]
     found = {"morphology": shapes, "contaminated": insight.contaminated(shapes), "entropy": insight.entropy(df, df.columns), "keys": insight.candidate_keys(df), "dependencies": insight.dependencies(df, few), "spatial": insight.spatial(df), "vectors": insight.vectors(df), "entities": insight.entity_tags(df), "statutory": insight.statutory(df.columns, shapes)}
     if numeric:
         found["outliers"] = insight.outliers(df, numeric)
-        found["laws"] = insight.laws(df, numeric[:6])
+        found["laws"] = insight.laws(df, numeric[:most])
     if len(few) > 1:
         found["composite_keys"] = insight.composite_keys(df, few)
     return found

@@ -640,6 +640,24 @@ def feature_opportunities(spark, sf):
     return features.opportunities(table(spark, sf, "orders"))
 
 
+@query("""
+SELECT c_custkey, 300 + c_custkey % 550 AS credit_score, CASE WHEN 300 + c_custkey % 550 >= 750 THEN 'PRIME' WHEN 300 + c_custkey % 550 >= 650 THEN 'NEAR_PRIME' ELSE 'SUBPRIME' END AS credit_tier,
+CASE WHEN c_custkey % 90 < 18 THEN 'MINOR' WHEN c_custkey % 90 < 35 THEN 'YOUNG_ADULT' WHEN c_custkey % 90 < 60 THEN 'ADULT' ELSE 'SENIOR' END AS age_cohort,
+CASE WHEN 150 + c_custkey % 120 < 200 THEN 'NORMAL' WHEN 150 + c_custkey % 120 < 240 THEN 'BORDERLINE' ELSE 'HIGH' END AS cholesterol_tier,
+(90 + c_custkey % 60)::INT AS systolic, (60 + c_custkey % 40)::INT AS diastolic, (c_custkey % 64)::DOUBLE AS ram_gb, (3000 + c_custkey % 2000)::DOUBLE AS battery_mah,
+round((c_custkey % 50 + 1)::DOUBLE / (c_custkey % 500 + 60), 9) AS profit_margin, round((c_custkey % 30)::DOUBLE / (c_custkey % 300 + 5), 9) AS debt_to_income FROM customer""")
+def domain_bands(spark, sf):
+    """Ratios and bands of retail, credit, health and technical columns."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        "c_custkey", (300 + k % 550).alias("credit_score"), (k % 90).alias("patient_age"), (150 + k % 120).alias("cholesterol"), F.concat_ws("/", 90 + k % 60, 60 + k % 40).alias("blood_pressure"),
+        F.concat(k % 64, F.lit(" GB")).alias("ram"), F.concat(3000 + k % 2000, F.lit("mAh")).alias("battery"), (k % 50 + 1).alias("profit"), (k % 500 + 60).alias("revenue"), (k % 30).alias("debt"), (k % 300 + 5).alias("income"),
+    )
+    out, _ = features.domain_features(rows)
+    named = ["c_custkey", "credit_score", "credit_tier", "age_cohort", "cholesterol_tier", "systolic", "diastolic", "ram_gb", "battery_mah"]
+    return out.select(*named, F.round("profit_margin", 9).alias("profit_margin"), F.round("debt_to_income", 9).alias("debt_to_income"))
+
+
 # Ledgers
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import patterns as P
 from ..operators.insight import FEATURE_OF_ROLE
 from ..operators.ledger import Layout
 
@@ -42,6 +43,56 @@ def repair_prompt(code: str, error: str, advice: str) -> str:
     return f"The code failed.\n\n```python\n{code.strip()}\n```\n\nError: {error}\n\n{advice}\n\nReturn the whole corrected code."
 
 
+def enrich_prompt(code: str, columns: list[str], features: list[str]) -> str:
+    """Asks for further columns on top of code that works."""
+    wanted = "\n".join(f"- {f}" for f in features)
+    return f"Add these columns to the result of the code; keep all rows and the columns {', '.join(columns)}.\n\n{wanted}\n\n```python\n{code.strip()}\n```\n\nReturn the whole code."
+
+
+def synthesis(name: str, rows: int, found: dict[str, DataFrame]) -> str:
+    """What the column analysers found, as a page for those who decide; ``found`` is what ``lifecycle.think`` returns.
+    Tables of a row per column or pair are read, nothing else."""
+    shapes = found["morphology"].select("column", "role").collect()
+    kinds = {k: [r.column for r in shapes if k in r.role] for k in ("TEMPORAL", "NUMERIC", "CATEGORICAL", "IDENTIFIER", "NARRATIVE")}
+    lines = [f"# {name}", f"{rows:,} rows, {len(shapes)} columns.", "## Shape"]
+    lines += [f"- {k.lower()}: {', '.join(own)}" for k, own in kinds.items() if own]
+    keys = [r.column for r in found["keys"].where("is_key").collect()]
+    pairs = [f"{r.a} + {r.b}" for r in found["composite_keys"].where("is_key").collect()] if "composite_keys" in found and not keys else []
+    lines += ["## Keys", f"- {', '.join(keys or pairs) or 'none found'}"]
+    if "dependencies" in found:
+        held = [f"- {r.determinant} determines {r.dependent}" for r in found["dependencies"].where("holds").collect() if r.determinant not in keys]
+        lines += ["## Dependencies", *held] if held else []
+    if "laws" in found:
+        held = [f"- {r.law}: {', '.join(str(x) for x in (r.a, r.b, r.c) if x)} ({r.share:.0%} of rows)" for r in found["laws"].where("holds").collect()]
+        lines += ["## Laws", *held] if held else []
+    mixed = [r.column for r in found["contaminated"].where("contaminated").collect()]
+    skewed = [r.column for r in found["outliers"].where("skewed").collect()] if "outliers" in found else []
+    lines += ["## Risks", *[f"- {c}: numbers mixed with text" for c in mixed], *[f"- {c}: heavily skewed" for c in skewed]] if mixed or skewed else []
+    return "\n\n".join(lines)
+
+
+def questions(found: dict[str, DataFrame]) -> list[str]:
+    """What to ask the data's owner before anything is changed."""
+    keys = [r.column for r in found["keys"].where("is_key").collect()]
+    asked = [] if keys else ["No column identifies a row: which columns together should?"]
+    asked += [f"Should the cells of {r.column} that aren't numbers become empty, or do they mean something?" for r in found["contaminated"].where("contaminated").collect()]
+    if "outliers" in found:
+        asked += [f"{r.outliers} values of {r.column} lie far outside the rest: errors, or the cases that matter?" for r in found["outliers"].where("outliers > 0").collect()]
+    asked += [f"{r.column} holds free text: may it leave as it is?" for r in found["morphology"].where("role = 'FREE_TEXT_NARRATIVE'").collect()]
+    return asked
+
+
+def to_file(spark: SparkSession, text: str, path: str) -> str:
+    """Write a text to a file of any file system that Spark knows; returns the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
+
+
 def edit_prompt(code: str, wish: str) -> str:
     return f"Change this code: {wish}\n\n```python\n{code.strip()}\n```\n\nReturn the whole code."
 
@@ -52,18 +103,40 @@ def ledger_recipe(layout: Layout) -> str:
 
 
 def power_query(layout: Layout, path: str = "C:\\report.xlsx") -> str:
-    """The same steps as M code."""
-    doc, desc = f"Column{layout.doc + 1}", f"Column{layout.desc + 1}"
+    """The same steps as M code: noise goes, masters are filled down until a section ends, wrapped texts join their
+    line, and columns get types."""
+    column = lambda i: f"Column{i + 1}"
+    words = lambda own: "{" + ", ".join(f'"{w}"' for w in own) + "}"
     masters = {"doc_no": layout.doc, "doc_date": layout.date, "customer_code": layout.code, "customer_name": layout.name, "invoice_total": layout.total}
-    fills = [(n, f"Column{i + 1}") for n, i in masters.items() if i is not None]
-    steps = [f'Source = Excel.Workbook(File.Contents("{path}"), null, true){{0}}[Data]', "Indexed = Table.AddIndexColumn(Source, \"Row\", 0, 1)", f'Marked = Table.AddColumn(Indexed, "IsMaster", each Text.Contains(Text.From([{doc}]) ?? "", "-") and Text.Select(Text.From([{doc}]) ?? "", {{"0".."9"}}) <> "")']
-    before = "Marked"
-    for n, c in fills:
-        steps.append(f'With_{n} = Table.AddColumn({before}, "{n}", each if [IsMaster] then [{c}] else null)')
-        before = f"With_{n}"
-    names = ", ".join(f'"{n}"' for n, _ in fills)
-    steps += [f"Filled = Table.FillDown({before}, {{{names}}})", f"Lines = Table.SelectRows(Filled, each not [IsMaster] and [{desc}] <> null)"]
-    return "let\n    " + ",\n    ".join(steps) + "\nin\n    Lines"
+    masters = {n: i for n, i in masters.items() if i is not None}
+    items = {"Sequence": layout.seq, "GL-Code": layout.item, "Quantity": layout.qty, "UOM": layout.uom, "Unit Price": layout.price, "Item Amount": layout.amount}
+    items = {n: i for n, i in items.items() if i is not None}
+    types = {n: "type number" for n in ("Quantity", "Unit Price", "Item Amount", "invoice_total") if n in items or n in masters}
+    types |= {"Sequence": "Int64.Type"} if "Sequence" in items else {}
+    types |= {"doc_date": "type date"} if "doc_date" in masters else {}
+    steps = [
+        ("Source", f'Excel.Workbook(File.Contents("{path}"), null, true){{0}}[Data]'),
+        ("Indexed", 'Table.AddIndexColumn(Source, "Row", 0, 1)'),
+        ("Lined", 'Table.AddColumn(Indexed, "Line", each Text.Lower(Text.Combine(List.Transform(List.RemoveNulls(Record.ToList(Record.RemoveFields(_, {"Row"}))), Text.From), " ")))'),
+        ("Marked", f'Table.AddColumn(Lined, "IsMaster", each Text.Contains(Text.From([{column(layout.doc)}] ?? ""), "-") and List.AnyTrue(List.Transform({words(layout.prefixes)}, (p) => Text.StartsWith(Text.Upper(Text.From([{column(layout.doc)}] ?? "")), p))))'),
+        ("Ended", f'Table.AddColumn(Marked, "IsEnd", each not [IsMaster] and List.AnyTrue(List.Transform({words(P.LEDGER_RESET)}, (w) => Text.Contains([Line], w))))'),
+        ("Sectioned", 'Table.FillDown(Table.AddColumn(Ended, "Section", each if [IsMaster] or [IsEnd] then [Row] else null), {"Section"})'),
+        ("Quiet", f'Table.SelectRows(Sectioned, each [IsMaster] or [IsEnd] or not List.AnyTrue(List.Transform({words(P.LEDGER_NOISE)}, (w) => Text.Contains([Line], w))))'),
+    ]
+    last = "Quiet"
+    for n, i in masters.items():
+        empty = '"\u0000"'  # the end of a section stops the filling
+        steps.append((f"With_{n}", f'Table.AddColumn({last}, "{n}", each if [IsMaster] then [{column(i)}] else if [IsEnd] then {empty} else null)'))
+        last = f"With_{n}"
+    numbers = " or ".join(f"[{column(i)}] <> null" for n, i in items.items() if n != "GL-Code" and n != "UOM") or "false"
+    steps += [
+        ("Filled", f"Table.FillDown({last}, {words(masters)})"),
+        ("Inside", f'Table.SelectRows(Filled, each not [IsMaster] and not [IsEnd] and [doc_no] <> null and [doc_no] <> "\u0000" and [{column(layout.desc)}] <> null)'),
+        ("Starts", f'Table.FillDown(Table.AddColumn(Inside, "Start", each if {numbers} then [Row] else null), {{"Start"}})'),
+        ("Grouped", 'Table.Group(Starts, {"Start"}, {' + ", ".join([f'{{"Full_Description", each Text.Combine(List.Transform([{column(layout.desc)}], Text.From), " ")}}', *(f'{{"{n}", each List.First([{n}])}}' for n in masters), *(f'{{"{n}", each List.First([{column(i)}])}}' for n, i in items.items())]) + "})"),
+        ("Typed", "Table.TransformColumnTypes(Grouped, {" + ", ".join(f'{{"{n}", {t}}}' for n, t in types.items()) + "})"),
+    ]
+    return "let\n    " + ",\n    ".join(f"{n} = {x}" for n, x in steps) + "\nin\n    Typed"
 
 
 def test_module(name: str, columns: list[str], rows: int, keys: list[str]) -> str:

@@ -19,11 +19,16 @@ def clean_path(path: str) -> str:
     return os.path.expanduser(path) if path.startswith("~") else path
 
 
-def read(spark: SparkSession, path: str, *, header: bool = True, ordered: bool = False, sheet: str | int = 0) -> DataFrame:
-    """A table by its suffix: csv, tsv, txt, json, parquet, orc, xlsx, or the name of a view.
+def read(spark: SparkSession, path: str, *, header: bool = True, ordered: bool = False, sheet: str | int = 0, bound: dict | None = None) -> DataFrame:
+    """A table by its suffix: csv, tsv, txt, json, parquet, orc, xlsx, or the name of a view or of a variable in
+    ``bound`` that is a DataFrame of Spark or pandas.
 
     Raises ValueError for other suffixes and FileNotFoundError if nothing is there."""
     path = clean_path(path)
+    if bound and path in bound:
+        given = bound[path]
+        df = given if isinstance(given, DataFrame) else spark.createDataFrame(given)
+        return with_order(df) if ordered and ORDER not in df.columns else df
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if not kind:
         if spark.catalog.tableExists(path):
