@@ -194,7 +194,7 @@ def test_mocks_of_any_size_are_measured_whole(spark):
 def test_attacks_have_a_mock_row_for_each_customer(spark):
     from veilspark.plans.queries import QUERIES, whole_mock
 
-    assert whole_mock(spark, "/root/testdata/sf0.01").count() == QUERIES["gower_nn_all"](spark, "/root/testdata/sf0.01").count() == 1500
+    assert whole_mock(spark, "/root/testdata/sf0.01").count() == QUERIES["gower_nn"](spark, "/root/testdata/sf0.01").count() == 1500
 
 
 def test_single_metrics(spark):
@@ -312,13 +312,13 @@ def test_beliefs_near_one_are_told_apart(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
-def test_belief_merge_all_counts_every_customer(spark):
+def test_belief_merge_counts_every_customer(spark):
     from veilspark.plans.queries import QUERIES
 
     doubt = {}
     for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect():
         doubt[r.c_mktsegment] = doubt.get(r.c_mktsegment, 0.0) + math.log(1 - r.c_nationkey % 5 / 100)
-    assert {r.column: r.log_doubt for r in QUERIES["belief_merge_all"](spark, "/root/testdata/sf0.001").collect()} == pytest.approx(doubt, abs=1e-5)
+    assert {r.column: r.log_doubt for r in QUERIES["belief_merge"](spark, "/root/testdata/sf0.001").collect()} == pytest.approx(doubt, abs=1e-5)
 
 
 def test_places_times_states_vectors_graphs(spark):

@@ -338,19 +338,10 @@ def entropy_columns(spark, sf):
     return insight.entropy(table(spark, sf, "events"), ["event_type", "user_id"]).withColumn("entropy", F.round("entropy", 8))
 
 
-@query("""
-SELECT c_mktsegment AS "column", 'B' AS belief, round(1 - exp(sum(ln(1 - least(0.999999, (c_nationkey % 5) / 100.0::DOUBLE)))), 8) AS confidence FROM customer WHERE c_custkey <= 50 GROUP BY 1""")
-def belief_merge(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey <= 50")
-    rows = c.select(F.col("c_mktsegment").alias("column"), F.lit("B").alias("belief"), ((F.col("c_nationkey") % 5) / 100.0).alias("confidence"))
-    return insight.merge_beliefs(rows).select("column", "belief", F.round("confidence", 8).alias("confidence"))
-
-
 @query("""
 SELECT c_mktsegment AS "column", 'B' AS belief, round(1 - exp(sum(ln(1 - least(0.999999, (c_nationkey % 5) / 100.0::DOUBLE)))), 8) AS confidence,
 round(sum(ln(1 - least(0.999999, (c_nationkey % 5) / 100.0::DOUBLE))), 6) AS log_doubt FROM customer GROUP BY 1""")
-def belief_merge_all(spark, sf):
-    """Over all customers; belief_merge has the first 50 only, as its SQL does."""
+def belief_merge(spark, sf):
     rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("column"), F.lit("B").alias("belief"), ((F.col("c_nationkey") % 5) / 100.0).alias("confidence"))
     return insight.merge_beliefs(rows).withColumns({"confidence": F.round("confidence", 8), "log_doubt": F.round("log_doubt", 6)})
 
@@ -769,19 +760,10 @@ def duplicate_rows(spark, sf):
     return relational.duplicates(table(spark, sf, "lineitem").select("l_partkey", "l_suppkey"))
 
 
-@query("""
-SELECT coalesce(a.v, b.v) AS value, a.v IS NOT NULL AS in_a, b.v IS NOT NULL AS in_b FROM (SELECT DISTINCT c_nationkey AS v FROM customer WHERE c_custkey % 2 = 0) a
-FULL JOIN (SELECT DISTINCT s_nationkey AS v FROM supplier) b ON a.v = b.v""")
-def value_sets(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("k"))
-    return relational.value_sets(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k")
-
-
 @query("""
 SELECT coalesce(a.v, b.v) AS value, a.v IS NOT NULL AS in_a, b.v IS NOT NULL AS in_b FROM (SELECT DISTINCT c_nationkey AS v FROM customer) a
 FULL JOIN (SELECT DISTINCT s_nationkey AS v FROM supplier) b ON a.v = b.v""")
-def value_sets_all(spark, sf):
-    """Of all customers; value_sets has those with even keys, as its SQL does."""
+def value_sets(spark, sf):
     a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
     return relational.value_sets(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")), "k")
 
@@ -825,39 +807,14 @@ def whole_mock(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("mock_id"), (F.col("c_acctbal") * 0.9 + 10).alias("c_acctbal"), "c_mktsegment")
 
 
-def small_mock(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey % 97 = 5").select((F.col("c_custkey") + 0).alias("mock_id"), (F.col("c_acctbal") * 0.9 + 10).alias("c_acctbal"), "c_mktsegment").orderBy("mock_id").limit(100)
-
-
-MOCK = "(SELECT c_custkey AS mock_id, c_acctbal * 0.9 + 10 AS a, c_mktsegment AS s FROM customer WHERE c_custkey % 97 = 5 ORDER BY 1 LIMIT 100)"
-
-
-@query(f"""
-WITH w AS (SELECT max(c_acctbal) - min(c_acctbal) AS w FROM customer), d AS (SELECT mock_id, (abs(c_acctbal - a) / w + (c_mktsegment <> s)::INT) / 2 AS d FROM customer, w, {MOCK} m),
-r AS (SELECT *, row_number() OVER (PARTITION BY mock_id ORDER BY d) AS k FROM d)
-SELECT mock_id, round(max(d) FILTER (k = 1), 9) AS d1, round(max(d) FILTER (k = 2), 9) AS d2 FROM r WHERE k <= 2 GROUP BY 1""")
-def gower_nn(spark, sf):
-    out = audit.nearest(table(spark, sf, "customer"), small_mock(spark, sf), ["c_acctbal"], ["c_mktsegment"])
-    return out.select("mock_id", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
-
-
-@query(f"""
-WITH w AS (SELECT max(c_acctbal) - min(c_acctbal) AS w FROM customer), d AS (SELECT mock_id, (abs(c_acctbal - a) / w + (c_mktsegment <> s)::INT) / 2 AS d FROM customer, w, {MOCK} m),
-r AS (SELECT *, row_number() OVER (PARTITION BY mock_id ORDER BY d) AS k FROM d), n AS (SELECT mock_id, max(d) FILTER (k = 1) AS d1, max(d) FILTER (k = 2) AS d2 FROM r WHERE k <= 2 GROUP BY 1),
-x AS (SELECT avg(CASE WHEN d2 > 0 THEN d1 / d2 ELSE 1 END) AS r, min(d1) AS d FROM n)
-SELECT 'nndr' AS test, round(r, 6) AS value, 0.25::DOUBLE AS target, r >= 0.25 AND d > 1e-5 AS passed, '' AS note FROM x""")
-def nndr(spark, sf):
-    return audit.nndr(table(spark, sf, "customer"), small_mock(spark, sf), ["c_acctbal"], ["c_mktsegment"])
-
-
 ALL_NEAREST = """
 w AS (SELECT max(c_acctbal) - min(c_acctbal) AS w FROM customer), m AS (SELECT c_custkey AS mock_id, c_acctbal * 0.9 + 10 AS a, c_mktsegment AS s FROM customer),
 d AS (SELECT mock_id, min((abs(c_acctbal - a) / w + (c_mktsegment <> s)::INT) / 2, 2) AS d FROM customer, w, m GROUP BY 1)"""
 
 
 @query(f"WITH {ALL_NEAREST} SELECT mock_id, round(d[1], 9) AS d1, round(d[2], 9) AS d2 FROM d")
-def gower_nn_all(spark, sf):
-    """Over a mock of all customers; gower_nn has 100 of them at most, as its SQL does."""
+def gower_nn(spark, sf):
+    """A mock row for each customer against all customers."""
     out = audit.nearest(table(spark, sf, "customer"), whole_mock(spark, sf), ["c_acctbal"], ["c_mktsegment"])
     return out.select("mock_id", F.round("d1", 9).alias("d1"), F.round("d2", 9).alias("d2"))
 
@@ -865,7 +822,7 @@ def gower_nn_all(spark, sf):
 @query(f"""
 WITH {ALL_NEAREST}, x AS (SELECT avg(CASE WHEN d[2] > 0 THEN d[1] / d[2] ELSE 1 END) AS r, min(d[1]) AS d FROM d)
 SELECT 'nndr' AS test, round(r, 6) AS value, 0.25::DOUBLE AS target, r >= 0.25 AND d > 1e-5 AS passed, '' AS note FROM x""")
-def nndr_all(spark, sf):
+def nndr(spark, sf):
     return audit.nndr(table(spark, sf, "customer"), whole_mock(spark, sf), ["c_acctbal"], ["c_mktsegment"])
 
 
