@@ -579,9 +579,11 @@ def marked(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     found = write_once(exact_components(rows, wanted, width, percent), "components")
     place = F.struct(F.col("id").isNull().alias("last"), "id", "key")
     ids = documents.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(place).alias("p"))
-    named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("p").alias("least"))
-    of_node = named.join(least, "component").select("node", "least")
+    # only nodes with links meet by component; the others have their own least document
+    linked = ids.join(found, "node")
+    least = linked.groupBy("component").agg(F.min("p").alias("least"))
+    of_node = linked.join(least, "component").select("node", "least")
+    of_node = ids.join(of_node, "node", "left").select("node", F.coalesce("least", "p").alias("least"))
     out = documents.join(of_node, "node", "left")
     alone = F.col("node").isNull()
     stays = alone | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key")))
