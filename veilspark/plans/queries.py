@@ -487,7 +487,7 @@ def entity_tags(spark, sf):
     return insight.entity_tags(table(spark, sf, "lineitem"))
 
 
-@query()
+@query("""SELECT column_name AS "column", 'ARRAY' AS kind FROM (DESCRIBE SELECT * FROM embeddings) WHERE column_type LIKE '%[]' OR column_type LIKE '%[%]'""")
 def vector_columns(spark, sf):
     return insight.vectors(table(spark, sf, "embeddings"))
 
@@ -617,9 +617,13 @@ def windowed_counts(spark, sf):
     return features.windowed_counts(table(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_orderkey", "line_index", "key_count")
 
 
-@query()
+@query("""
+SELECT *, isodow(o_orderdate)::INT AS o_orderdate_weekday, (isodow(o_orderdate) IN (5, 6, 7))::INT AS o_orderdate_is_weekend, month(o_orderdate)::INT AS o_orderdate_month,
+round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 6) AS o_totalprice_zscore, round(ln(1 + o_totalprice), 6) AS o_totalprice_log1p,
+count(*) OVER (PARTITION BY o_orderstatus) AS o_orderstatus_freq, count(*) OVER (PARTITION BY o_orderpriority) AS o_orderpriority_freq FROM orders""")
 def quick_features(spark, sf):
-    return features.quick(table(spark, sf, "orders"))[0]
+    out, made = features.quick(table(spark, sf, "orders"))
+    return out.withColumns({c: F.round(c, 6) for c in made if c.endswith(("_zscore", "_log1p"))})
 
 
 @query(" UNION ALL ".join(
