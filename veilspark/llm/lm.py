@@ -274,14 +274,15 @@ class Filter:
     words: np.ndarray
 
     @classmethod
-    def of(cls, order: int, slices: int, rows) -> Filter:
-        starts, words, parts, at = np.zeros(order * slices, np.int64), np.ones(order * slices, np.uint64), [np.zeros(1, np.uint64)], 1
+    def of(cls, order: int, slices: int, rows, size: int) -> Filter:
+        """Of rows (length, slice, bits) with ``size`` bytes of bits.  Slices without n-grams share an empty word."""
+        table, starts, words, at = np.zeros(1 + size // 8, np.uint64), np.zeros(order * slices, np.int64), np.ones(order * slices, np.uint64), 1
         for length, own, bits in rows:
             part = np.frombuffer(bits, np.uint64)
             starts[(length - 1) * slices + own], words[(length - 1) * slices + own] = at, len(part)
-            parts.append(part)
+            table[at : at + len(part)] = part
             at += len(part)
-        return cls(order, slices, np.concatenate(parts), starts, words)  # slices without n-grams share an empty word
+        return cls(order, slices, table, starts, words)
 
     def levels(self, keys: np.ndarray, length: int) -> np.ndarray:
         return probe(keys, self.table, self.starts, self.words, (length - 1) * self.slices + slice_of(keys, self.slices))
@@ -392,10 +393,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Recor
         at += batch.num_rows
 
 
-def _by_broadcast(docs: DataFrame, model: Model, slices: DataFrame, schema: str) -> DataFrame:
-    rows = slices.select("length", "slice", "bits").toArrow()  # BROADCAST_BYTES at most: score() has checked
-    whole = Filter.of(model.order, model.slices, zip(*(c.to_pylist() for c in rows.columns)))
-    del rows
+def _by_broadcast(docs: DataFrame, model: Model, slices: DataFrame, size: int, schema: str) -> DataFrame:
+    # BROADCAST_BYTES at most, as score() has checked; the driver takes a partition of slices at a time
+    whole = Filter.of(model.order, model.slices, slices.select("length", "slice", "bits").toLocalIterator(), size)
     sent = docs.sparkSession.sparkContext.broadcast((model, whole))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,7 +406,7 @@ def _by_broadcast(docs: DataFrame, model: Model, slices: DataFrame, schema: str)
     return docs.mapInArrow(tidied(score, True), schema)
 
 
-def _by_slices(docs: DataFrame, model: Model, slices: DataFrame, schema: str) -> DataFrame:
+def _by_slices(docs: DataFrame, model: Model, slices: DataFrame, size: int, schema: str) -> DataFrame:
     """Each batch of documents is a block: it asks each slice for its distinct n-grams, and is scored where it meets the answers."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: numbers and frequent words
     id_type = docs.schema["id"].dataType.simpleString()
@@ -440,9 +440,9 @@ def _by_slices(docs: DataFrame, model: Model, slices: DataFrame, schema: str) ->
             out = []
             for length, own, number, keys in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (length, own):  # the slice itself stands first; one that holds nothing has none
-                    now, table = (length, own), Filter.of(model.order, model.slices, [])
+                    now, table = (length, own), Filter.of(model.order, model.slices, [], 0)
                 if number is None:
-                    table = Filter.of(model.order, model.slices, [(length, own, keys)])
+                    table = Filter.of(model.order, model.slices, [(length, own, keys)], len(keys))
                 else:
                     out.append((number, length, keys, table.levels(np.frombuffer(keys, np.uint64), length).astype("<u1").tobytes()))
             numbers, lengths, asked, levels = zip(*out) if out else ([], [], [], [])
@@ -502,7 +502,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     schema = f"key long, word string, n long, id {kind}, n_tokens long, n_known long, base_score double, score double"
     size = slices.agg(F.sum(F.length("bits"))).first()[0] or 0
     way = _by_broadcast if size <= broadcast_bytes else _by_slices
-    scored = write_once(way(texts, model, slices, schema), "scored")
+    scored = write_once(way(texts, model, slices, size, schema), "scored")
     drop_table(slices)
     rest = scored.where(F.col("word").isNotNull()).select("key", "word", F.col("n").alias("times")).join(counts, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.vocabulary + 1)))
