@@ -173,3 +173,44 @@ URGENT = ("asap", "urgent", "error", "test", "check", "review", "vip", "priority
 
 #: Currency marks that are cleared before a number is read.
 CURRENCY = "[$€£¥₹]|SAR|AED|KWD|BHD|OMR|QAR|ر\\.س|ريال|د\\.إ"
+
+#: Forms of dates, found at the beginning of a value without its outer blanks.
+DATE_FORMATS = {
+    "YYYY-MM-DD (ISO)": r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}",
+    "DD/MM/YYYY or MM/DD/YYYY": r"^\d{1,2}/\d{1,2}/\d{4}",
+    "DD-Mon-YYYY (e.g. 15-Aug-2025)": r"^\d{1,2}-[A-Za-z]{3}-\d{4}",
+    "Month DD, YYYY (e.g. August 15, 2025)": r"^[A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4}",
+    "Timestamp ISO-8601": r"^\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}",
+}
+#: Negatives in brackets or with a minus behind, and marks of money.
+ACCOUNTING_NEGATIVE = r"^\s*\(\s*[\$€£SARa-zA-Z]*\s*[\d,]+(\.\d+)?\s*\)\s*$|^\s*[\d,]+(\.\d+)?\s*-\s*$"
+DIRTY_CURRENCY = r"(?i)[\$€£¥₹₽₩₺₴]|(?:\b(?:SAR|AED|USD|EUR|GBP|INR|CAD|AUD|CHF|JPY|CNY|KWD|BHD|OMR|QAR|EGP)\b)|ريال"
+
+#: Words of a column's name that give its role, in the order in which they are asked.
+QUASI_ROLE_WORDS = ("zip", "postal", "age", "gender", "sex", "dob", "birth", "nationality")
+KEY_ROLE_WORDS = ("id", "code", "no", "num", "number", "key", "doc", "inv")
+PERSON_ROLE_WORDS = ("name", "patient", "customer", "client", "employee", "user", "person", "doctor", "nurse")
+UNIT_ROLE_WORDS = ("department", "dept", "branch")
+
+#: Words of report heads and feet.
+METADATA_WORDS = ("report", "filter", "criteria", "parameters", "sort", "date :", "تصفية", "فلتر", "معايير", "التاريخ :", "ترتيب", "تقرير", "بيانات", "كشف")
+FOOTER_WORDS = ("total", "grand total", "subtotal", "summary", "end of report", "average", "count", "المجموع", "الإجمالي", "إجمالي", "صافي", "ملخص", "المحصلة", "النهائي", "كلي")
+
+#: Names of columns of processes and of links.
+CASE_NAME = r"(?i)^(?:case|trace|order|claim|ticket|visit|session|patient)[_\s]?(?:id|num|no)?$"
+ACTIVITY_NAME = r"(?i)^(?:activity|action|status|stage|step|event|state|operation|الحالة|المرحلة)$"
+ACTIVITY_WORDS = ("status", "state", "stage")
+SOURCE_NAME = r"(?i)^(?:source|src|sender|from|caller|parent|المصدر)[_\s]?(?:id|num|no)?$"
+TARGET_NAME = r"(?i)^(?:target|dst|dest|receiver|recipient|to|callee|child|الوجهة|الهدف)[_\s]?(?:id|num|no)?$"
+
+#: Words in column names of clinical tables, and of other families of tables in the order in which they are tried.
+CLINICAL_WORDS = ("patient", "mrn", "diagnosis", "admission", "discharge", "physician", "clinical", "rx", "dose")
+FAMILY_WORDS = (
+    ("FINANCE", ("loan", "debt", "interest", "credit_score", "mortgage", "collateral", "borrower")),
+    ("RETAIL", ("sku", "cart", "discount", "cogs", "inventory", "shipping_fee", "return_reason")),
+    ("SAAS", ("mrr", "arr", "subscription", "churn", "session_id", "dau", "mau")),
+    ("LOGISTICS", ("vin", "waybill", "fleet", "carrier", "transit_time", "dispatch_date")),
+    ("HR", ("employee_id", "hire_date", "tenure", "salary", "bonus", "department", "attrition")),
+    ("IOT", ("sensor_id", "vibration", "voltage", "temperature", "rpm", "device_id")),
+    ("MARKETING", ("campaign", "impression", "click", "ctr", "cpc", "roas", "ad_spend")),
+)

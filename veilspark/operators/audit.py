@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.scalars import luhn_valid
 from . import policy, risk
+from .neighbours import closest
 from .risk import as_text
 from .running import running_total
 
@@ -193,58 +194,6 @@ def gower(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical:
     return pairs.withColumn("distance", sum(terms, F.lit(0.0)) / max(1, len(terms)))
 
 
-def closest(rows: DataFrame, key: str, others: DataFrame, numeric: Sequence[str], categorical: Sequence[str], spans: Sequence[float], block: int = 500) -> DataFrame:
-    """key, d1, d2: Gower distances of each row to the two closest of the others, of any number.  Both sides are packed
-    into blocks; pairs of blocks are joined and measured, so no row is made for a pair of rows."""
-    n, m, spans = len(numeric), len(categorical), list(spans)
-    id_type = rows.schema[key].dataType.simpleString()
-
-    def packed(df: DataFrame, side: str, first: Column, kind: str) -> DataFrame:
-        cells = df.select(first.alias("_id"), *[zero(c).alias(f"x{i}") for i, c in enumerate(numeric)], *[as_text(c).alias(f"t{i}") for i, c in enumerate(categorical)])
-        schema = ", ".join([f"{side}_id array<{kind}>", *[f"{side}_x{i} array<double>" for i in range(n)], *[f"{side}_t{i} array<string>" for i in range(m)]])
-        names = [x.split()[0] for x in schema.split(", ")]
-
-        def pack(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
-                    yield pa.RecordBatch.from_arrays([pa.array([c.to_pylist()], pa.list_(c.type)) for c in part.columns], names=names)
-
-        return cells.mapInArrow(pack, schema)
-
-    def measured(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        best = {}  # of the blocks of rows in this task
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cells = [c[i].values for c in batch.columns]
-                a, b = cells[: 1 + n + m], cells[1 + n + m :]
-                far = np.zeros((len(a[0]), len(b[0])))
-                for k in range(n):
-                    x, y = (np.asarray(s[1 + k].to_numpy(zero_copy_only=False)) for s in (a, b))
-                    far += np.abs(x[:, None] - y[None, :]) / spans[k]
-                for k in range(m):
-                    codes = {}
-                    x, y = (np.array([codes.setdefault(v, len(codes)) for v in s[1 + n + k].to_pylist()]) for s in (a, b))
-                    far += x[:, None] != y[None, :]
-                far /= max(1, n + m)
-                far = np.partition(far, 1, axis=1)[:, :2] if far.shape[1] > 1 else np.hstack([far, np.full_like(far, np.inf)])
-                ids = tuple(a[0].to_pylist())
-                best[ids] = np.sort(np.hstack([best[ids], far]), axis=1)[:, :2] if ids in best else np.sort(far, axis=1)
-        for ids, far in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema[0].type.value_type), pa.array(far[:, 0]), pa.array(far[:, 1])], names=["_id", "d1", "d2"])
-
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = packed(rows, "a", F.col(f"`{key}`"), id_type).repartition(tasks).crossJoin(packed(others, "b", F.lit(0), "int"))
-    found = pairs.mapInArrow(measured, f"_id {id_type}, d1 double, d2 double").groupBy("_id")
-    two = found.agg(F.array_sort(F.flatten(F.collect_list(F.array("d1", "d2")))).alias("d"))  # two for each task of others
-    return two.select(F.col("_id").alias(key), F.col("d")[0].alias("d1"), F.when(F.col("d")[1] < float("inf"), F.col("d")[1]).alias("d2"))
-
-
 def nearest(real: DataFrame, mock: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """mock_id, d1, d2: distances to the two nearest real rows; d1 twice if there is one only."""
     out = closest(numbered(mock), "mock_id", real, numeric, categorical, widths(real, numeric))
@@ -267,8 +216,8 @@ def auc(scores: DataFrame, score: str, member: str) -> DataFrame:
 
 
 def half(key: Column, seed: int) -> Column:
-    """A fair, repeatable split of rows by their key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)) == 0
+    """A fair, repeatable split of rows by their key: whether a digest of seed and key is even."""
+    return F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 32, 1).isin(*"02468ace")
 
 
 def membership(real: DataFrame, mock: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], seeds: Sequence[int] = (42, 43, 44)) -> DataFrame:
@@ -335,11 +284,11 @@ def firewall(spark) -> DataFrame:
     return spark.createDataFrame([("firewall", 100.0 * caught / len(HOSTILE), 100.0, caught == len(HOSTILE), "")], METRIC)
 
 
-def suite(df: DataFrame, mock: DataFrame, key: str, qis: Sequence[str], sensitive: str | None, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+def suite(df: DataFrame, mock: DataFrame, key: str, qis: Sequence[str], sensitive: str | None, numeric: Sequence[str], categorical: Sequence[str], auxiliary: int | None = None) -> DataFrame:
     """test, value, target, passed, note, tier, weight: all eleven tests over a table whose integer ``key`` numbers its
-    rows from 0."""
+    rows from 0.  An attacker of the linkability test knows the first ``auxiliary`` quasi-identifiers, all without one."""
     spark = df.sparkSession
-    tests = [canary(df, key), pii_scan(df), singling_out(df, qis), l_diversity(df, qis, sensitive), t_closeness(df, qis, sensitive), linkability(df, mock, key, [*qis][:4]), nndr(df, mock, numeric, categorical), membership(df, mock, key, numeric, categorical), nmi_test(df, qis, sensitive), firewall(spark), reconciliation(df, key)]
+    tests = [canary(df, key), pii_scan(df), singling_out(df, qis), l_diversity(df, qis, sensitive), t_closeness(df, qis, sensitive), linkability(df, mock, key, [*qis][:auxiliary]), nndr(df, mock, numeric, categorical), membership(df, mock, key, numeric, categorical), nmi_test(df, qis, sensitive), firewall(spark), reconciliation(df, key)]
     out = tests[0]
     for t in tests[1:]:
         out = out.unionByName(t)

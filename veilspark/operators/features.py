@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import free_prefix
 from . import policy
+from .keys import distinct_counts
 from .profile import is_numeric, tall
 
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
@@ -22,13 +23,13 @@ def timestamp(c: Column, kind: str) -> Column:
 
 
 def opportunities(df: DataFrame) -> DataFrame:
-    """column, kind (temporal, numeric, text, categorical or null) and skewed, from one aggregate."""
-    fields, aggs = ["least", "greatest", "bytes", "spaced", "distinct", "filled"], []
+    """column, kind (temporal, numeric, text, categorical or null) and skewed, from one aggregate and the distinct counts."""
+    fields, aggs = ["least", "greatest", "bytes", "spaced", "filled"], []
     for i, (c, t) in enumerate(df.dtypes):
         v, x = F.col(f"`{c}`"), F.col(f"`{c}`").cast("double") if is_numeric(t) else F.lit(None).cast("double")
         s = v.cast("string")
-        aggs += [F.min(x).alias(f"c{i}_least"), F.max(x).alias(f"c{i}_greatest"), F.avg(F.octet_length(s)).alias(f"c{i}_bytes"), F.coalesce(F.bool_or(s.contains(" ")), F.lit(False)).alias(f"c{i}_spaced"), F.countDistinct(v).alias(f"c{i}_distinct"), F.count(v).alias(f"c{i}_filled")]
-    rows = tall(df.agg(*aggs), df.columns, fields)
+        aggs += [F.min(x).alias(f"c{i}_least"), F.max(x).alias(f"c{i}_greatest"), F.avg(F.octet_length(s)).alias(f"c{i}_bytes"), F.coalesce(F.bool_or(s.contains(" ")), F.lit(False)).alias(f"c{i}_spaced"), F.count(v).alias(f"c{i}_filled")]
+    rows = tall(df.agg(*aggs), df.columns, fields).join(distinct_counts(df), "column")
     types = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
     t = types[F.col("column")]
     named = F.lower("column").rlike("date|time|timestamp|month|year")

@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.scalars import number_of, strip
+from .keys import dependencies, distinct_counts, pair_counts  # noqa: F401
 from .profile import is_numeric, tall
+from . import spectrum
 from .quantiles import quantiles
+from .running import settled
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|[01]?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d?\d)$"
@@ -23,11 +26,7 @@ HIJRI = rf"^\d{{1,2}}[-/.]\d{{1,2}}[-/.]1[34]\d{{2}}(?:\s*هـ)?$|^1[34]\d{{2}}[
 COMPOSITE = r"(?U)^[\w.]+\s*[/|x_\-]\s*[\w.]+$"
 CURRENCY = P.CURRENCY + r"|^\(\s*[\d,.]+\s*\)$"
 REGIONAL = (("ZATCA_VAT_ID", r"^3\d{13}3$"), ("SAUDI_CR", r"^[1247]\d{9}$"), ("SAUDI_NID", r"^[12]\d{9}$"))
-#: Words of report heads and feet, and names of columns of processes and links.
-METADATA_WORDS = "report|filter|criteria|parameters|sort|date :|تصفية|فلتر|معايير|التاريخ :|ترتيب|تقرير|بيانات|كشف"
-FOOTER_WORDS = "total|grand total|subtotal|summary|end of report|average|count|المجموع|الإجمالي|إجمالي|صافي|ملخص|المحصلة|النهائي|كلي"
-STATE_NAMES, CASE_NAMES = "status|state|stage|phase|step|activity", "case|order|ticket|claim|request|process|session"
-SOURCE_NAMES, TARGET_NAMES = "sender|source|from|src|payer|caller|parent", "recipient|receiver|target|dest|to_|dst|payee|callee|child"
+METADATA, FOOTER = ("|".join(re.escape(w) for w in words) for words in (P.METADATA_WORDS, P.FOOTER_WORDS))
 SURROGATE = r"<[A-Z_]+_\d+>|XXX|\*\*\*|^(?:9,999\.00|999+|123456789|000+)$"
 
 
@@ -47,13 +46,14 @@ def morphology(df: DataFrame) -> DataFrame:
     """column, role and the shares that decide it; one aggregate over all rows."""
     share = lambda c: F.coalesce(F.avg(c.cast("int")), F.lit(0.0))
     tests = {"hijri": HIJRI, "date": DATE, "uuid": UUID, "ip": IPV4, "composite": COMPOSITE, "currency": CURRENCY, "blanks": r"\s", **{k.lower(): p for k, p in REGIONAL}}
-    aggs, fields = [], ["n", "distinct", "length", "numeric", *tests]
+    aggs, fields = [], ["n", "length", "numeric", *tests]
     for i, (c, _) in enumerate(df.dtypes):
         s = strip(F.col(f"`{c}`").cast("string"))
-        aggs += [F.count(s).alias(f"c{i}_n"), F.countDistinct(s).alias(f"c{i}_distinct"), F.coalesce(F.avg(F.length(s)), F.lit(0.0)).alias(f"c{i}_length")]
+        aggs += [F.count(s).alias(f"c{i}_n"), F.coalesce(F.avg(F.length(s)), F.lit(0.0)).alias(f"c{i}_length")]
         aggs += [F.coalesce(F.avg(F.when(s.isNotNull(), number_of(s).isNotNull().cast("int"))), F.lit(0.0)).alias(f"c{i}_numeric")]
         aggs += [share(s.rlike(p)).alias(f"c{i}_{k}") for k, p in tests.items()]
-    rows = tall(df.agg(*aggs), df.columns, fields).withColumn("cardinality", F.when(F.col("n") > 0, F.col("distinct") / F.col("n")).otherwise(0.0))
+    stripped = df.select(*[strip(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
+    rows = tall(df.agg(*aggs), df.columns, fields).join(distinct_counts(stripped), "column").withColumn("cardinality", F.when(F.col("n") > 0, F.col("distinct") / F.col("n")).otherwise(0.0))
     regional = F.lit(None).cast("string")
     for k, _ in reversed(REGIONAL):
         regional = F.when(F.col(k.lower()) > 0.60, k).otherwise(regional)
@@ -95,37 +95,21 @@ def outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def candidate_keys(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, is_key: no nulls, all values distinct, five rows or more."""
+    """column, distinct, is_key: no nulls, all values distinct, five rows or more."""
     columns = list(columns or df.columns)
     aggs = [F.count("*").alias("rows")]
     for i, c in enumerate(columns):
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}_filled"), F.countDistinct(F.col(f"`{c}`")).alias(f"c{i}_distinct"), F.avg(F.length(F.col(f"`{c}`").cast("string"))).alias(f"c{i}_length")]
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}_filled"), F.avg(F.length(F.col(f"`{c}`").cast("string"))).alias(f"c{i}_length")]
     row = df.agg(*aggs)
     row = row.withColumns({f"c{i}_rows": F.col("rows") for i in range(len(columns))})
-    out = tall(row, columns, ["rows", "filled", "distinct", "length"])
+    out = tall(row, columns, ["rows", "filled", "length"]).join(distinct_counts(df, columns), "column")
     key = (F.col("rows") >= 5) & (F.col("filled") == F.col("rows")) & (F.col("distinct") == F.col("rows")) & (F.col("length") <= 60)
     return out.select("column", "distinct", key.alias("is_key"))
 
 
 def composite_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """a, b, is_key for pairs of up to six columns: all pairs in one aggregate."""
-    pairs = list(combinations(columns[:6], 2))
-    row = df.agg(F.count("*").alias("n"), *[F.countDistinct(F.struct(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("distinct"), (F.col(f"p{i}") == F.col("n")).alias("is_key")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
-
-
-def dependencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """determinant, dependent, holds for ordered pairs of columns: whether each determinant value has one dependent
-    value.  Distinct pairs and distinct values are counted in one aggregate."""
-    text = {c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("<NULL>")) for c in columns}
-    pairs = list(permutations(columns, 2))
-    single = [F.countDistinct(text[c]).alias(f"s{i}") for i, c in enumerate(columns)]
-    both = [F.countDistinct(F.struct(text[a], text[b])).alias(f"p{i}_{j}") for (i, a), (j, b) in combinations(enumerate(columns), 2)]
-    row = df.agg(*single, *both)
-    place = {c: i for i, c in enumerate(columns)}
-    n_both = lambda a, b: F.col(f"p{min(place[a], place[b])}_{max(place[a], place[b])}")
-    cells = F.array(*[F.struct(F.lit(a).alias("determinant"), F.lit(b).alias("dependent"), (n_both(a, b) == F.col(f"s{place[a]}")).alias("holds")) for a, b in pairs])
-    return row.select(F.explode(cells).alias("x")).select("x.*")
+    """a, b, distinct, is_key for all pairs of columns; see :func:`keys.minimal_keys` for sets of any size without counts."""
+    return pair_counts(df, columns)
 
 
 def laws(df: DataFrame, columns: Sequence[str], tolerance: float = 0.02, share: float = 0.85) -> DataFrame:
@@ -168,49 +152,59 @@ def spatial(df: DataFrame) -> DataFrame:
 
 
 def cadence(df: DataFrame, date: str, by: str | None = None) -> DataFrame:
-    """n, median_seconds between consecutive times, share of steps equal to it, uniform (over 70 percent).  ``by``
-    keeps series apart; without it, days are the ranges within which times are compared, and joined at their ends."""
+    """series, n, median_seconds between consecutive times, share of steps equal to it, uniform (over 70 percent), for series of
+    ten times or more.  ``by`` keeps series apart; null times and series don't count."""
     at = F.unix_micros(F.col(f"`{date}`").cast("timestamp"))
-    rows = df.where(F.col(f"`{date}`").isNotNull()).select((F.col(f"`{by}`") if by else F.lit(0)).alias("s"), at.alias("t"))
-    rows = rows.withColumn("day", F.floor(F.col("t") / F.lit(86_400_000_000)))
-    steps = rows.withColumn("step", F.col("t") - F.lag("t").over(Window.partitionBy("s", "day").orderBy("t"))).where(F.col("step").isNotNull()).select("s", "step")
-    ends = rows.groupBy("s", "day").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    across = ends.withColumn("step", F.col("a") - F.lag("b").over(Window.partitionBy("s").orderBy("day"))).where(F.col("step").isNotNull()).select("s", "step")
-    counts = steps.unionByName(across).groupBy("s", "step").agg(F.count("*").alias("m"))
-    middle = counts.groupBy("s").agg(F.percentile("step", F.lit(0.5), F.col("m")).alias("median"), F.sum("m").alias("steps"))
-    out = counts.join(middle, "s").groupBy("s", "median", "steps").agg(F.coalesce(F.sum(F.when(F.col("step") == F.col("median"), F.col("m"))), F.lit(0)).alias("same"))
+    counts = settled(spectrum.steps(df.where(F.col(f"`{date}`").isNotNull()).select((F.col(f"`{by}`") if by else F.lit(0)).alias("s"), at.alias("t"))))
+    out = counts.join(spectrum.middle(counts), "s").groupBy("s", "median", "steps").agg(F.coalesce(F.sum(F.when(F.col("step") == F.col("median"), F.col("m"))), F.lit(0)).alias("same"))
     out = out.select(F.col("s").alias("series"), (F.col("steps") + 1).alias("n"), (F.col("median") / 1e6).alias("median_seconds"), (F.col("same") / F.col("steps")).alias("share"))
     return out.where(F.col("n") >= 10).withColumn("uniform", F.col("share") > 0.7)
 
 
-def dominant_period(df: DataFrame, date: str, value: str, by: str | None = None) -> DataFrame:
-    """series, n, period: the strongest cycle, in steps, of series of 32 values or more whose peak stands out.  The
-    transform needs a whole series in order, so a series is one task's work."""
+def dominant_period(df: DataFrame, date: str, value: str, by: str | None = None, short: int = spectrum.SHORT) -> DataFrame:
+    """series, n, period: the strongest cycle, in steps, of series of 32 values or more, null unless its peak stands out.  Equal
+    times are ordered by value.  Series of more than ``short`` values are spread over all tasks."""
     series = F.col(f"`{by}`").cast("string") if by else F.lit("all")
     rows = df.where(F.col(f"`{date}`").isNotNull() & F.col(f"`{value}`").isNotNull()).select(series.alias("series"), F.unix_micros(F.col(f"`{date}`").cast("timestamp")).alias("t"), F.col(f"`{value}`").cast("double").alias("v"))
-
-    def fit(pdf):
-        import numpy as np
-        import pandas as pd
-
-        v = pdf.sort_values("t")["v"].to_numpy()
-        if len(v) < 32:
-            return pd.DataFrame({"series": [], "n": [], "period": []})
-        power = np.abs(np.fft.rfft(v - v.mean()))[1:]
-        k = int(power.argmax())
-        found = power[k] > 1.8 * np.median(power)
-        return pd.DataFrame({"series": [pdf["series"].iloc[0]], "n": [len(v)], "period": [len(v) / (k + 1) if found else None]})
-
-    return rows.groupBy("series").applyInPandas(fit, "series string, n long, period double")
+    return spectrum.dominant_period(rows.where(F.col("series").isNotNull()), short)
 
 
 def process_states(df: DataFrame, state: str) -> DataFrame:
     return df.where(F.col(f"`{state}`").isNotNull()).groupBy(F.col(f"`{state}`").alias("state")).agg(F.count("*").alias("n"))
 
 
+def process_columns(df: DataFrame, roles: dict[str, str] | None = None, entropies: dict[str, float] | None = None) -> tuple[str | None, str | None, str | None]:
+    """(case, activity, timestamp): the first column each that fits.  A timestamp has such a type, or the role TEMPORAL; a case is
+    found by its name, an activity by its name or as a category of entropy below 0.8.  ``roles`` and ``entropies`` come from
+    :func:`morphology` and :func:`entropy`; without them names and types decide alone."""
+    case = activity = at = None
+    roles, entropies = roles or {}, entropies or {}
+    for c, kind in df.dtypes:
+        if at is None and (kind in ("date", "timestamp", "timestamp_ntz") or roles.get(c, "").startswith("TEMPORAL")):
+            at = c
+        elif case is None and re.search(P.CASE_NAME, c):
+            case = c
+        elif activity is None and (re.search(P.ACTIVITY_NAME, c) or any(w in c.lower() for w in P.ACTIVITY_WORDS) or (roles.get(c) in ("CATEGORICAL_DIMENSION", "COMPOSITE_KEY") and entropies.get(c, 1.0) < 0.8)):
+            activity = c
+    return case, activity, at
+
+
+def process_model(df: DataFrame, roles: dict[str, str] | None = None, entropies: dict[str, float] | None = None) -> DataFrame:
+    """case, activity, timestamp (names of columns), states, concurrent: how many states there are, and how many pairs of a case
+    and a time have more than one row (null unless both were found).  No row without an activity."""
+    case, activity, at = process_columns(df, roles, entropies)
+    text = "case string, activity string, timestamp string, states long, concurrent long"
+    if activity is None:
+        return df.sparkSession.createDataFrame([], text)
+    states = process_states(df, activity).agg(F.count("*").alias("states"))
+    groups = concurrency(df, case, at).select(F.col("groups").alias("concurrent")) if case and at else df.sparkSession.range(1).select(F.lit(None).cast("long").alias("concurrent"))
+    named = [F.lit(v).cast("string").alias(k) for k, v in (("case", case), ("activity", activity), ("timestamp", at))]
+    return states.crossJoin(groups).select(*named, "states", "concurrent")  # one row each
+
+
 def concurrency(df: DataFrame, case: str, at: str) -> DataFrame:
     """One row: groups of one case and time with more than one row, and how many rows they hold."""
-    counts = df.groupBy(case, at).agg(F.count("*").alias("n")).where("n > 1")
+    counts = df.groupBy(F.col(f"`{case}`"), F.col(f"`{at}`")).agg(F.count("*").alias("n")).where("n > 1")
     return counts.agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
@@ -258,13 +252,27 @@ def boundaries(df: DataFrame, order: str, scan: int = 50) -> DataFrame:
     rows = df.select(F.col(order).alias("at"), line.alias("line"), density.alias("d"), words.alias("w"))
     most = rows.agg(F.max("d").alias("most"), F.max("at").alias("end"))
     rows = rows.crossJoin(F.broadcast(most))  # one row
-    meta = F.col("line").rlike(METADATA_WORDS) | (F.col("d") < 0.4 * F.col("most"))
-    header = ~F.col("line").rlike(METADATA_WORDS) & (F.col("d") >= 0.7 * F.col("most")) & (F.col("w") > 0.5 * F.col("d"))
-    out = rows.agg(F.min(F.when(header & (F.col("at") < scan), F.col("at"))).alias("h"), F.max(F.when(F.col("line").rlike(FOOTER_WORDS) & (F.col("at") > F.col("end") - scan), F.col("at"))).alias("footer"), F.max("most").alias("density"))
+    meta = F.col("line").rlike(METADATA) | (F.col("d") < 0.4 * F.col("most"))
+    header = ~F.col("line").rlike(METADATA) & (F.col("d") >= 0.7 * F.col("most")) & (F.col("w") > 0.5 * F.col("d"))
+    out = rows.agg(F.min(F.when(header & (F.col("at") < scan), F.col("at"))).alias("h"), F.max(F.when(F.col("line").rlike(FOOTER) & (F.col("at") > F.col("end") - scan), F.col("at"))).alias("footer"), F.max("most").alias("density"))
     head = rows.where((F.col("at") < scan) & meta).crossJoin(F.broadcast(out.select("h"))).where(F.col("at") < F.coalesce("h", F.lit(scan))).agg(F.count("*").alias("metadata_rows"))
     return out.crossJoin(head).select(F.coalesce("h", F.lit(0)).alias("header"), "footer", "density", "metadata_rows")
 
 
+def ragged_columns(df: DataFrame, order: str) -> DataFrame:
+    """column, solo, mean_length, ragged: rows of which it is the only filled cell, and whether it holds text that wraps: such
+    rows are more than 0.8 percent of all, and its values more than 8 characters long on average."""
+    columns = [c for c in df.columns if c != order]
+    cell = lambda c: F.col(f"`{c}`").cast("string")
+    filled = sum((cell(c).isNotNull().cast("int") for c in columns), F.lit(0))
+    aggs = [F.count("*").alias("n")]
+    for i, c in enumerate(columns):
+        aggs += [F.count_if((F.col("_filled") == 1) & F.col(f"c{i}").isNotNull()).alias(f"c{i}_solo"), F.avg(F.length(f"c{i}")).alias(f"c{i}_mean_length")]
+    row = df.select(filled.alias("_filled"), *[cell(c).alias(f"c{i}") for i, c in enumerate(columns)]).agg(*aggs)
+    row = row.withColumns({f"c{i}_ragged": F.coalesce((F.col(f"c{i}_solo") > 0.008 * F.col("n")) & (F.col(f"c{i}_mean_length") > 8), F.lit(False)) for i in range(len(columns))})
+    return tall(row, columns, ["solo", "mean_length", "ragged"]).drop("position")
+
+
 def merge_beliefs(beliefs: DataFrame) -> DataFrame:
     """column, belief, confidence, log_doubt: noisy-or of all confidences of a belief, and the log of 1 less it, which
     still differs where the confidences are rounded to 1."""
@@ -302,25 +310,16 @@ FEATURE_OF_ROLE = {
     "PRIMARY_IDENTIFIER": "keep out of models; use as a join key",
 }
 
-INDUSTRIES = (
-    ("HEALTH", "patient|diagnos|mrn|icd|admission|physician|medication"),
-    ("FINANCE", "account|ledger|debit|credit|iban|balance|loan"),
-    ("RETAIL", "sku|product|basket|store|order|cart"),
-    ("SAAS", "mrr|churn|subscription|plan|signup|seat"),
-    ("LOGISTICS", "shipment|freight|warehouse|carrier|tracking|route"),
-    ("HR", "employee|payroll|hire|leave|salary"),
-    ("IOT", "sensor|device|telemetry|reading|voltage|temperature"),
-    ("MARKETING", "campaign|impression|click|conversion|ad_"),
-)
-
-
 def architecture(columns: Sequence[str], ragged: bool = False) -> str:
-    """RAGGED_LEDGER, an industry if two of its words are among the names, else CLEAN_TABULAR."""
+    """RAGGED_LEDGER; HEALTH if a clinical word is in a name; else the first family of which one word is a name, a part of one
+    beside an underscore, or in one if it has four letters or more; else CLEAN_TABULAR."""
     if ragged:
         return "RAGGED_LEDGER"
-    names = " ".join(columns).lower()
-    best = max(INDUSTRIES, key=lambda x: len(set(re.findall(x[1], names))))
-    return best[0] if len(set(re.findall(best[1], names))) >= 2 else "CLEAN_TABULAR"
+    names = [c.lower() for c in columns]
+    if any(w in c for w in P.CLINICAL_WORDS for c in names):
+        return "HEALTH"
+    fits = lambda w, c: w == c or f"_{w}" in c or f"{w}_" in c or (len(w) >= 4 and w in c)
+    return next((family for family, words in P.FAMILY_WORDS if any(fits(w, c) for w in words for c in names)), "CLEAN_TABULAR")
 
 
 def entity_tags(df: DataFrame) -> DataFrame:

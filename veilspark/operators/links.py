@@ -9,6 +9,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+
 
 def _values(sheets: dict[str, DataFrame], columns: dict[str, Sequence[str]] | None, most: int | None) -> DataFrame:
     """sheet, column, v: distinct values as text; the least ``most`` of each column if given."""
@@ -57,13 +59,19 @@ def foreign_keys(sheets: dict[str, DataFrame], columns: dict[str, Sequence[str]]
 
 
 def graph_links(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """source, target, overlap of pairs of id columns of one table that share more than 15 percent of their values."""
+    """source, target, overlap of pairs of id columns of one table that share more than 15 percent of their values, or whose names
+    say that they are ends of a link (source and target, sender and receiver ...): these whatever they share, in the order that
+    the names give."""
     cells = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "v").where(F.col("v").isNotNull()).distinct()
     sizes = {c: i for i, c in enumerate(columns)}
     homes = cells.groupBy("v").agg(F.sort_array(F.collect_set("column")).alias("h")).groupBy("h").agg(F.count("*").alias("m"))
-    n = homes.agg(*[F.sum(F.when(F.array_contains("h", c), F.col("m")).otherwise(0)).alias(f"n{i}") for c, i in sizes.items()], *[F.sum(F.when(F.array_contains("h", a) & F.array_contains("h", b), F.col("m")).otherwise(0)).alias(f"m{i}_{j}") for (a, i), (b, j) in combinations(sizes.items(), 2)])
-    pairs = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.try_divide(F.col(f"m{i}_{j}").cast("double"), F.least(F.col(f"n{i}"), F.col(f"n{j}")).cast("double")).alias("overlap")) for (a, i), (b, j) in combinations(sizes.items(), 2)])
-    return n.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("overlap") > 0.15)
+    named = lambda a, b: bool(re.search(P.SOURCE_NAME, a) and re.search(P.TARGET_NAME, b))
+    ends = [(b, a) if named(b, a) else (a, b) for a, b in combinations(columns, 2)]
+    both = [F.array_contains("h", a) & F.array_contains("h", b) for a, b in ends]
+    n = homes.agg(*[F.sum(F.when(F.array_contains("h", c), F.col("m")).otherwise(0)).alias(f"n{i}") for c, i in sizes.items()], *[F.sum(F.when(x, F.col("m")).otherwise(0)).alias(f"m{k}") for k, x in enumerate(both)])
+    share = lambda k, a, b: F.try_divide(F.col(f"m{k}").cast("double"), F.least(F.col(f"n{sizes[a]}"), F.col(f"n{sizes[b]}")).cast("double"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), share(k, a, b).alias("overlap"), F.lit(named(a, b)).alias("named")) for k, (a, b) in enumerate(ends)])
+    return n.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("overlap").isNotNull() & (F.col("named") | (F.col("overlap") > 0.15))).drop("named")
 
 
 def degrees(df: DataFrame, source: str, target: str) -> DataFrame:

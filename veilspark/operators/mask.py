@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import free_prefix
 from ..functions.scalars import entities, free_text_rules, normalise_bilingual, redact, redacted, shape, strip, structural_mask
 from ..functions import patterns as P
+from .contain import contained
 
 
 def mask_table(df: DataFrame) -> DataFrame:
@@ -65,15 +66,11 @@ def preflight(df: DataFrame, column: str) -> DataFrame:
     return out.withColumn("blocked", blocked)
 
 
-def leaks(text: DataFrame, text_column: str, raw: DataFrame, most: int = 10_000) -> DataFrame:
-    """column, value: cells of the raw sample, longer than four characters, that occur in the text in any case; the
-    least of each column.  The sample is broadcast; its size is checked."""
-    cells = raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]).unpivot([], raw.columns, "column", "value")
-    cells = cells.where((F.length(F.trim("value")) > 4) & ~F.lower("value").isin("unknown", "none", "null", "n/a", "false", "other")).distinct()
-    if cells.limit(most + 1).count() > most:
-        raise ValueError(f"the sample has more than {most} distinct cells")
-    hit = F.lower(F.col(f"`{text_column}`")).contains(F.lower(F.trim("value")))
-    return text.join(F.broadcast(cells), hit).groupBy("column").agg(F.min("value").alias("value"))
+def leaks(text: DataFrame, text_column: str, raw: DataFrame) -> DataFrame:
+    """column, value: cells of raw, longer than four characters, that occur in the texts in any case; the least of each
+    column.  Any number of cells and texts; see :func:`contain.contained`."""
+    found = contained(text.select(F.lit(0).alias("k"), F.col(f"`{text_column}`").alias("t")), "k", "t", raw)
+    return found.groupBy("column").agg(F.min("value").alias("value"))
 
 
 __all__ = ["mask_table", "normalise_table", "pattern_summary", "redact_column", "find_entities", "preflight", "leaks", "redact", "shape"]

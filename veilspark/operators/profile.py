@@ -7,18 +7,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from ..functions.scalars import strip
 from . import policy
+from .keys import distinct_counts
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
-DATE_FORMATS = {
-    "YYYY-MM-DD": r"^\d{4}-\d{2}-\d{2}$",
-    "DD/MM/YYYY": r"^\d{1,2}/\d{1,2}/\d{2,4}$",
-    "DD-Mon-YYYY": r"^\d{1,2}-[A-Za-z]{3}-\d{2,4}$",
-    "Month DD, YYYY": r"^[A-Za-z]{3,9} \d{1,2}, \d{4}$",
-    "ISO timestamp": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}",
-}
-NEGATIVE = r"^\(\s*[\d,]+(\.\d+)?\s*\)$|^[\d,]+(\.\d+)?\s*-$"
-CURRENCY = r"[$€£¥₹]|\b(USD|EUR|GBP|SAR|AED|PLN|JPY|INR)\b"
 BLANKS = "^\\s|\\s$|[  \\t\\r\\n]"
 
 
@@ -40,19 +34,13 @@ def missingness(df: DataFrame) -> DataFrame:
 
 
 def role(name: str, kind: str) -> Column:
-    """The role of a column from its name, type and the columns nulls, ratio and mean_length."""
-    low = name.lower()
-    tokens = re.split(r"[^a-z0-9]+", low)
+    """The role of a column from the words of its name, its type and the columns nulls, ratio and mean_length."""
+    words = set(re.split(r"\W+", name.lower().replace("_", " ")))
     ratio, nulls = F.col("ratio"), F.col("nulls")
     chain = F.when((ratio >= 0.98) & (nulls == 0), "PRIMARY_KEY")
-    if any(x in low for x in ("zip", "postal", "age", "gender", "sex", "dob", "birth", "nationality")):
-        return chain.otherwise("QUASI_IDENTIFIER")
-    if {"id", "code", "no", "num", "number", "key", "doc", "inv"} & set(tokens):
-        return chain.otherwise("BUSINESS_KEY")
-    if any(x in low for x in ("name", "patient", "customer", "client", "employee", "user", "person", "doctor", "nurse")):
-        return chain.otherwise("DIRECT_IDENTIFIER")
-    if any(x in low for x in ("department", "dept", "branch")):
-        return chain.otherwise("QUASI_IDENTIFIER")
+    for found, own in (("QUASI_IDENTIFIER", P.QUASI_ROLE_WORDS), ("BUSINESS_KEY", P.KEY_ROLE_WORDS), ("DIRECT_IDENTIFIER", P.PERSON_ROLE_WORDS), ("QUASI_IDENTIFIER", P.UNIT_ROLE_WORDS)):
+        if words & set(own):
+            return chain.otherwise(found)
     if is_numeric(kind):
         return chain.otherwise("NUMERIC_MEASURE")
     return chain.when(F.col("mean_length") > 40, "FREE_TEXT_NARRATIVE").when(ratio < 0.20, "CATEGORICAL").otherwise("DESCRIPTIVE")
@@ -60,8 +48,8 @@ def role(name: str, kind: str) -> Column:
 
 def profile(df: DataFrame) -> DataFrame:
     """column, type, nulls, null_percent, cardinality, ratio, role, flags for each column, from one aggregate over all
-    rows and values."""
-    fields, aggs = ["nulls", "null_percent", "cardinality", "ratio", "mean_length", "date_formats", "negatives", "currency", "blanks"], []
+    rows and values, and a shuffle of (column, value) for the cardinalities."""
+    fields, aggs = ["n", "nulls", "null_percent", "mean_length", "date_formats", "negatives", "currency", "blanks"], []
     for i, (c, kind) in enumerate(df.dtypes):
         v = F.col(f"`{c}`")
         t = v.cast("string")
@@ -69,15 +57,16 @@ def profile(df: DataFrame) -> DataFrame:
         no = F.lit(False)
         aggs += [
             F.count_if(v.isNull()).alias(f"c{i}_nulls"),
-            F.countDistinct(v).alias(f"c{i}_cardinality"),
             F.avg(F.length(t)).alias(f"c{i}_mean_length"),
-            F.array(*[F.max(F.when(t.rlike(p), F.lit(name))) for name, p in DATE_FORMATS.items()] if text else [F.lit(None).cast("string")]).alias(f"c{i}_date_formats"),
-            *[(F.coalesce(F.bool_or(t.rlike(p)), no) if text else no).alias(f"c{i}_{f}") for f, p in (("negatives", NEGATIVE), ("currency", CURRENCY), ("blanks", BLANKS))],
+            F.array(*[F.max(F.when(strip(t).rlike(p), F.lit(name))) for name, p in P.DATE_FORMATS.items()] if text else [F.lit(None).cast("string")]).alias(f"c{i}_date_formats"),
+            *[(F.coalesce(F.bool_or(t.rlike(p)), no) if text else no).alias(f"c{i}_{f}") for f, p in (("negatives", P.ACCOUNTING_NEGATIVE), ("currency", P.DIRTY_CURRENCY), ("blanks", BLANKS))],
         ]
     row = df.agg(F.count("*").alias("n"), *aggs)
     n = F.col("n")
-    row = row.withColumns({f"c{i}_null_percent": F.when(n > 0, F.round(F.col(f"c{i}_nulls") * 100.0 / n, 1)).otherwise(0.0) for i in range(len(df.columns))} | {f"c{i}_ratio": F.when(n > 0, F.round(F.col(f"c{i}_cardinality") / n, 4)).otherwise(0.0) for i in range(len(df.columns))})
+    row = row.withColumns({f"c{i}_null_percent": F.when(n > 0, F.round(F.col(f"c{i}_nulls") * 100.0 / n, 1)).otherwise(0.0) for i in range(len(df.columns))} | {f"c{i}_n": n for i in range(len(df.columns))})
     out = tall(row, df.columns, fields).withColumn("date_formats", F.array_sort(F.array_compact("date_formats")))
+    out = out.join(distinct_counts(df).withColumnRenamed("distinct", "cardinality"), "column")
+    out = out.withColumn("ratio", F.when(n > 0, F.round(F.col("cardinality") / n, 4)).otherwise(0.0)).drop("n")
     roles, types = F.lit(None).cast("string"), F.lit(None).cast("string")
     for c, kind in df.dtypes:
         roles = F.when(F.col("column") == c, role(c, kind)).otherwise(roles)

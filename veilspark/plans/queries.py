@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import luhn_valid, normalise_bilingual, shape, structural_mask
-from ..operators import audit, charts, features, insight, ledger, links, mask, policy, profile, relational, risk, synth
+from ..operators import audit, charts, contain, features, insight, keys, ledger, links, mask, policy, profile, relational, risk, synth
 from ..operators.running import shared_folder
 from ..operators.vault import Vault
 from ..plans import sandbox
@@ -373,6 +373,19 @@ def composite_keys(spark, sf):
     return insight.composite_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey"])
 
 
+_singles = " UNION ALL ".join(f"SELECT ['{c}'] AS key, count(DISTINCT {c}) = count(*) AS k FROM lineitem" for c in LINEITEM)
+_pairs = " UNION ALL ".join(f"SELECT ['{a}', '{b}'], count(DISTINCT ({a}, {b})) = count(*) FROM lineitem" for i, a in enumerate(LINEITEM) for b in LINEITEM[i + 1 :])
+
+
+@query(f"""
+WITH s AS ({_singles}), p(key, k) AS ({_pairs})
+SELECT array_to_string(key, ',') AS key FROM s WHERE k
+UNION ALL SELECT array_to_string(key, ',') FROM p WHERE k AND NOT EXISTS (SELECT 1 FROM s WHERE s.k AND list_contains(p.key, s.key[1]))""")
+def minimal_keys(spark, sf):
+    """Keys of one or two among all columns of the line items."""
+    return keys.minimal_keys(table(spark, sf, "lineitem"), LINEITEM).select(F.array_join("key", ",").alias("key"))
+
+
 @query("""
 WITH p AS (SELECT count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t, count(DISTINCT p_name) AS n, count(DISTINCT (p_brand, p_type)) AS bt,
  count(DISTINCT (p_brand, p_name)) AS bn, count(DISTINCT (p_type, p_name)) AS tn FROM part)
@@ -422,11 +435,26 @@ def cadence(spark, sf):
     return insight.cadence(table(spark, sf, "events"), "ts")
 
 
-@query()
+#: The spectrum as direct sums over all frequencies.
+PERIOD_SQL = """
+WITH e AS (SELECT {0} AS series, ts, value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL AND {0} IS NOT NULL),
+v AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts, value) - 1 AS t, value - avg(value) OVER (PARTITION BY series) AS x, count(*) OVER (PARTITION BY series) AS n FROM e),
+k AS (SELECT series, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT series, n FROM v) WHERE n >= 32),
+p AS (SELECT k.series, k.n, k.k, sqrt(sum(x * cos(2 * pi() * ((k.k * t) % k.n) / k.n)) ** 2 + sum(x * sin(2 * pi() * ((k.k * t) % k.n) / k.n)) ** 2) AS p FROM v JOIN k USING (series) GROUP BY 1, 2, 3)
+SELECT series, n, CASE WHEN max(p) > 1.8 * median(p) THEN n / arg_max(k, p) END AS period FROM p GROUP BY 1, 2"""
+
+
+@query(PERIOD_SQL.format("event_type"))
 def dominant_period(spark, sf):
     return insight.dominant_period(table(spark, sf, "events"), "ts", "value", "event_type")
 
 
+@query(PERIOD_SQL.format("'all'"))
+def dominant_period_all(spark, sf):
+    """All events as one series."""
+    return insight.dominant_period(table(spark, sf, "events"), "ts", "value")
+
+
 @query("SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM events GROUP BY event_type, ts HAVING count(*) > 1)")
 def concurrency(spark, sf):
     return insight.concurrency(table(spark, sf, "events"), "event_type", "ts")
@@ -743,6 +771,61 @@ def ingest_orc(spark, sf):
     return ingested(spark, sf, "orc")
 
 
+@query("""
+SELECT o_orderkey, o_orderstatus, CASE o_orderkey % 4 WHEN 0 THEN 'first' || chr(10) || 'second, "third"' WHEN 1 THEN '5" of ' || o_orderpriority WHEN 2 THEN chr(10) || chr(10) || ' "' || o_orderkey || '"' ELSE o_orderpriority END AS comment,
+row_number() OVER (ORDER BY o_orderkey) - 1 AS at FROM orders""")
+def ingest_multiline(spark, sf):
+    """Orders whose comments hold line breaks, quotes and separators, written as files in the order of their keys, read
+    back with their places."""
+    line, key = "\n", F.col("o_orderkey")
+    comment = F.when(key % 4 == 0, F.lit(f'first{line}second, "third"')).when(key % 4 == 1, F.concat(F.lit('5" of '), "o_orderpriority")).when(key % 4 == 2, F.concat(F.lit(f'{line}{line} "'), key.cast("string"), F.lit('"'))).otherwise(F.col("o_orderpriority"))
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", comment.alias("comment")).repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey")
+    path = written(rows, "csv", header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    return readers.read(spark, path, ordered=True).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus", "comment", F.col("_ord").alias("at"))
+
+
+FLAGS = """
+WITH t AS (SELECT c_custkey AS k, c_mktsegment AS package, c_nationkey AS message_age, CASE c_custkey % 4 WHEN 0 THEN '(SAR 1,000.00)' WHEN 1 THEN '250.00-' WHEN 2 THEN '₽5' ELSE 'CAD 4' END AS amount,
+ CASE c_custkey % 3 WHEN 0 THEN '2024/1/5' WHEN 1 THEN ' 15-Aug-2025' ELSE 'August 15, 2025' END AS born, CASE WHEN c_custkey % 10 > 0 THEN c_name END AS city_name, c_acctbal::VARCHAR AS dept_total, c_acctbal AS usage FROM customer),
+u AS (SELECT 'k' AS c, k::VARCHAR AS v FROM t UNION ALL SELECT 'package', package FROM t UNION ALL SELECT 'message_age', message_age::VARCHAR FROM t UNION ALL SELECT 'amount', amount FROM t UNION ALL SELECT 'born', born FROM t
+ UNION ALL SELECT 'city_name', city_name FROM t UNION ALL SELECT 'usage', usage::VARCHAR FROM t),
+g AS (SELECT c, count(*) AS n, count(v) AS f, count(DISTINCT v) AS d, c IN ('package', 'amount', 'born', 'city_name') AS text,
+ coalesce(bool_or(regexp_matches(v, '^\\s*\\(\\s*[A-Za-z$€£]*\\s*[\\d,]+([.]\\d+)?\\s*\\)\\s*$') OR regexp_matches(v, '^\\s*[\\d,]+([.]\\d+)?\\s*-\\s*$')), false) AS negatives, coalesce(bool_or(regexp_matches(v, '[$€£¥₹₽₩₺₴]|SAR|CAD')), false) AS currency, coalesce(bool_or(v <> trim(v)), false) AS blanks,
+ coalesce(bool_or(regexp_matches(trim(v), '^\\d{4}/')), false) AS d1, coalesce(bool_or(regexp_matches(trim(v), '^\\d{1,2}-[A-Z]')), false) AS d2, coalesce(bool_or(regexp_matches(trim(v), '^[A-Z][a-z]+ \\d+, \\d{4}')), false) AS d3 FROM u GROUP BY 1)
+SELECT c AS "column", CASE WHEN round(d / n, 4) >= 0.98 AND f = n THEN 'PRIMARY_KEY' WHEN c = 'message_age' THEN 'QUASI_IDENTIFIER' WHEN c = 'city_name' THEN 'DIRECT_IDENTIFIER' WHEN c IN ('k', 'usage') THEN 'NUMERIC_MEASURE'
+ WHEN round(d / n, 4) < 0.2 THEN 'CATEGORICAL' ELSE 'DESCRIPTIVE' END AS role, text AND negatives AS negatives, text AND currency AS currency, text AND blanks AS blanks,
+ array_to_string(list_filter([CASE WHEN text AND d2 THEN 'DD-Mon-YYYY (e.g. 15-Aug-2025)' END, CASE WHEN text AND d3 THEN 'Month DD, YYYY (e.g. August 15, 2025)' END, CASE WHEN text AND d1 THEN 'YYYY-MM-DD (ISO)' END], x -> x IS NOT NULL), ';') AS dates FROM g"""
+
+
+@query(FLAGS)
+def profile_flags(spark, sf):
+    """Roles by whole words, forms of dates, negatives, currencies and blanks."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        key.alias("k"), F.col("c_mktsegment").alias("package"), F.col("c_nationkey").alias("message_age"),
+        F.when(key % 4 == 0, "(SAR 1,000.00)").when(key % 4 == 1, "250.00-").when(key % 4 == 2, "₽5").otherwise("CAD 4").alias("amount"),
+        F.when(key % 3 == 0, "2024/1/5").when(key % 3 == 1, " 15-Aug-2025").otherwise("August 15, 2025").alias("born"), F.when(key % 10 > 0, F.col("c_name")).alias("city_name"), F.col("c_acctbal").alias("usage"),
+    )
+    return profile.profile(rows).select("column", "role", "negatives", "currency", "blanks", F.array_join("date_formats", ";").alias("dates"))
+
+
+@query("""
+SELECT 'order_id' AS "case", 'status' AS activity, 'placed' AS "timestamp", count(DISTINCT o_orderstatus) AS states,
+(SELECT count(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1)) AS concurrent FROM orders""")
+def process_model(spark, sf):
+    """Case, activity and time found by the names and types of columns; a customer's orders are a case."""
+    return insight.process_model(table(spark, sf, "orders").select("o_totalprice", F.col("o_custkey").alias("order_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("placed")))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT l_partkey::VARCHAR AS v FROM lineitem), f AS (SELECT DISTINCT (l_suppkey + 1000000)::VARCHAR AS v FROM lineitem)
+SELECT 'sender_id' AS source, 'recipient' AS target, (SELECT count(*) FROM e JOIN f USING (v)) / least((SELECT count(*) FROM e), (SELECT count(*) FROM f))::DOUBLE AS overlap""")
+def named_links(spark, sf):
+    """A link that names alone give, in the order that they give."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") + 1_000_000).alias("recipient"), F.col("l_partkey").alias("sender_id"))
+    return links.graph_links(rows, ["recipient", "sender_id"])
+
+
 @query()
 def ragged_check(spark, sf):
     return ledger.is_ragged(ragged_report(spark, sf))
@@ -830,6 +913,17 @@ def nndr(spark, sf):
     return audit.nndr(table(spark, sf, "customer"), whole_mock(spark, sf), ["c_acctbal"], ["c_mktsegment"])
 
 
+@query("""
+WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' CUSTOMER#' || lpad((doc_id % 400 + 1)::VARCHAR, 9, '0') || '.' ELSE '' END AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT DISTINCT 'c_name' AS "column", c_name AS value, lower(trim(c_name)) AS low FROM customer UNION SELECT DISTINCT 'c_mktsegment', c_mktsegment, lower(trim(c_mktsegment)) FROM customer)
+SELECT doc_id, "column", value FROM d JOIN n ON contains(lower(t), low) WHERE length(low) > 4""")
+def containment(spark, sf):
+    """Names and segments of customers in the documents, some of which are planted."""
+    plant = F.concat(F.lit(" CUSTOMER#"), F.lpad((F.col("doc_id") % 400 + 1).cast("string"), 9, "0"), F.lit("."))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.when(F.col("doc_id") % 5 == 0, plant).otherwise("")).alias("t"))
+    return contain.contained(docs, "doc_id", "t", table(spark, sf, "customer").select("c_name", "c_mktsegment"))
+
+
 @query("""
 WITH m AS (SELECT o_totalprice AS x, o_orderkey % 2 = 0 AS y FROM orders), r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS k FROM m)
 SELECT round((sum(k) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (count(*) FILTER (NOT y) * count(*) FILTER (y)), 9) AS auc FROM r""")
@@ -837,7 +931,13 @@ def mia_auc(spark, sf):
     return audit.auc(table(spark, sf, "orders").select("o_totalprice", (F.col("o_orderkey") % 2 == 0).alias("y")), "o_totalprice", "y").withColumn("auc", F.round(F.col("auc"), 9))
 
 
-@query()
+@query(f"""
+WITH {ALL_NEAREST.replace("d AS (SELECT mock_id, min((abs", "d AS (SELECT c_custkey AS k, min((abs").replace("/ 2, 2) AS d", "/ 2) AS d")},
+s AS (SELECT d, seed, substr(md5(seed || ':' || k), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS y FROM d, (VALUES (42), (43), (44)) v(seed)),
+r AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY d) + (count(*) OVER (PARTITION BY seed, d) - 1) / 2.0::DOUBLE AS k FROM s),
+a AS (SELECT seed, (sum(k) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2.0::DOUBLE) / (count(*) FILTER (NOT y) * count(*) FILTER (y)) AS auc FROM r GROUP BY 1),
+v AS (SELECT avg(0.5 + abs(auc - 0.5)) AS v, (SELECT CASE WHEN count(*) >= 200 THEN 0.55 WHEN count(*) >= 100 THEN 0.60 WHEN count(*) >= 50 THEN 0.65 ELSE 0.75 END::DOUBLE FROM customer) AS t FROM a)
+SELECT 'membership' AS test, round(v, 6) AS value, t AS target, v <= t AS passed, '' AS note FROM v""")
 def membership(spark, sf):
     return audit.membership(table(spark, sf, "customer"), whole_mock(spark, sf), "c_custkey", ["c_acctbal"], ["c_mktsegment"])
 

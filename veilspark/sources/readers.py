@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import free_prefix
+from . import delimited
 
 ORDER = "_ord"
 
@@ -39,6 +41,8 @@ def read(spark: SparkSession, path: str, *, header: bool = True, ordered: bool =
     if not exists(spark, path):
         raise FileNotFoundError(path)
     df = READERS[kind](spark, path, header, sheet)
+    if kind in (".csv", ".tsv", ".txt") and ORDER in df.columns:  # the scanner has numbered the rows
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c != ORDER], ORDER) if ordered else df.drop(ORDER)
     return with_order(df) if ordered and ORDER not in df.columns else df
 
 
@@ -48,28 +52,38 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def with_order(df: DataFrame) -> DataFrame:
-    """df with _ord: 0, 1, ... in the order of files and of rows within them.
+    """df with _ord: 0, 1, ... in the order of files, by name, and of rows within them.
 
-    Rows carry their partition and place; partitions are counted first, so no row moves.  For inputs whose splits are
-    read in order, such as files."""
+    Rows of a file know their split and their place in it, so splits are counted first and no row moves.  A table that is
+    no file (a range, a list) is numbered in the order of its partitions."""
     own = free_prefix(df)
-    rows = df.withColumn(own + "place", F.monotonically_increasing_id()).withColumn(own + "part", F.shiftright(own + "place", 33))
-    from pyspark.sql import Window
-
-    counts = rows.groupBy(own + "part").agg(F.count("*").alias(own + "n"))
-    before = Window.orderBy(own + "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    starts = counts.select(own + "part", F.coalesce(F.sum(own + "n").over(before), F.lit(0)).alias(own + "start"))
-    rows = rows.join(F.broadcast(starts), own + "part")
-    return rows.withColumn(ORDER, F.col(own + "start") + F.col(own + "place").bitwiseAND((1 << 33) - 1)).drop(own + "part", own + "place", own + "start")
+    rows = df.withColumn(own + "place", F.monotonically_increasing_id())
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias(own + "file"), F.col("_metadata.file_block_start").alias(own + "part"), F.monotonically_increasing_id().alias(own + "place"))
+        keys = [own + "file", own + "part"]
+    except AnalysisException:
+        rows = rows.withColumn(own + "part", F.shiftright(own + "place", 33))
+        keys = [own + "part"]
+    # the rows of a split have consecutive places
+    splits = rows.groupBy(*keys).agg(F.count("*").alias(own + "n"), F.min(own + "place").alias(own + "first"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = splits.select(*keys, (F.coalesce(F.sum(own + "n").over(before), F.lit(0)) - F.col(own + "first")).alias(own + "shift"))
+    rows = rows.join(starts, keys)
+    return rows.withColumn(ORDER, F.col(own + "shift") + F.col(own + "place")).drop(*keys, own + "place", own + "shift")
 
 
 def _csv(spark: SparkSession, path: str, header: bool, _sheet) -> DataFrame:
-    """UTF-8, or Latin-1 where that fails; longer rows are cut, shorter ones filled with null."""
+    """UTF-8, or Latin-1 where that fails; longer rows are cut, shorter ones filled with null.  Files with quoted line breaks, and
+    reports (without a header), go through the scanner of :mod:`delimited`; the others through Spark's reader."""
     sep = "\t" if path.lower().rstrip("/").endswith(".tsv") else ","
-    options = {"sep": sep, "header": header, "mode": "PERMISSIVE", "inferSchema": header, "enforceSchema": True, "multiLine": False}
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    df = spark.read.options(**options, encoding="ISO-8859-1" if bad else "UTF-8").csv(path)
-    return df if header else df.toDF(*[str(i) for i in range(len(df.columns))])
+    text = spark.read.option("lineSep", "\n").text(path)
+    bad, broken = text.agg(F.max(~F.is_valid_utf8("value")), F.max(F.col("value").contains('"') & F.regexp_replace("value", "\r$", "").rlike("(?s)" + delimited.opens(sep)))).first()
+    encoding = "ISO-8859-1" if bad else "UTF-8"
+    if not header:
+        return delimited.grid(spark, path, sep, encoding)
+    if broken:
+        return delimited.typed(delimited.grid(spark, path, sep, encoding, header=True))
+    return spark.read.options(sep=sep, header=True, mode="PERMISSIVE", inferSchema=True, enforceSchema=True, escape='"', encoding=encoding).csv(path)
 
 
 def _json(spark: SparkSession, path: str, _header: bool, _sheet) -> DataFrame:
