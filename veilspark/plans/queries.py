@@ -794,7 +794,7 @@ g AS (SELECT c, count(*) AS n, count(v) AS f, count(DISTINCT v) AS d, c IN ('pac
  coalesce(bool_or(regexp_matches(trim(v), '^\\d{4}/')), false) AS d1, coalesce(bool_or(regexp_matches(trim(v), '^\\d{1,2}-[A-Z]')), false) AS d2, coalesce(bool_or(regexp_matches(trim(v), '^[A-Z][a-z]+ \\d+, \\d{4}')), false) AS d3 FROM u GROUP BY 1)
 SELECT c AS "column", CASE WHEN round(d / n, 4) >= 0.98 AND f = n THEN 'PRIMARY_KEY' WHEN c = 'message_age' THEN 'QUASI_IDENTIFIER' WHEN c = 'city_name' THEN 'DIRECT_IDENTIFIER' WHEN c IN ('k', 'usage') THEN 'NUMERIC_MEASURE'
  WHEN round(d / n, 4) < 0.2 THEN 'CATEGORICAL' ELSE 'DESCRIPTIVE' END AS role, text AND negatives AS negatives, text AND currency AS currency, text AND blanks AS blanks,
- array_to_string(list_filter([CASE WHEN text AND d2 THEN 'DD-Mon-YYYY (e.g. 15-Aug-2025)' END, CASE WHEN text AND d3 THEN 'Month DD, YYYY (e.g. August 15, 2025)' END, CASE WHEN text AND d1 THEN 'YYYY-MM-DD (ISO)' END], x -> x IS NOT NULL), ';') AS dates FROM g"""
+ array_to_string(list_filter([CASE WHEN text AND d2 THEN 'DD-Mon-YYYY (e.g. 15-Aug-2025)' END, CASE WHEN text AND d3 THEN 'Month DD, YYYY (e.g. August 15, 2025)' END, CASE WHEN text AND d1 THEN 'YYYY-MM-DD (ISO)' END], lambda x: x IS NOT NULL), ';') AS dates FROM g"""
 
 
 @query(FLAGS)
