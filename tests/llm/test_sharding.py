@@ -1,5 +1,6 @@
 """The shard store: contents, interleaved writers, old readers, retention."""
 
+import os
 import random
 from collections import Counter
 
@@ -150,3 +151,90 @@ def test_vacuum_retains_versions_and_young_files(spark, store, monkeypatch, tmp_
     orphan.parent.mkdir()
     orphan.write_bytes(b"x")
     assert store.vacuum(versions=99, age=0) == 1 and not orphan.exists()
+
+
+def plain_runs(shards, target, fanout, least):
+    """Paths of the runs that the rule of sizes gives: tiers by factors of ``fanout``, smallest first, up to the target."""
+    tiers = {}
+    for path, size in shards.items():
+        if 2 * size <= target:
+            tier, limit = 0, least
+            while size >= limit:
+                tier, limit = tier + 1, limit * fanout
+            tiers.setdefault(tier, []).append((size, path))
+    runs = []
+    for own in tiers.values():
+        if len(own) >= fanout:
+            run, total = [], 0
+            for size, path in sorted(own):
+                if run and total + size > target:
+                    runs.append(run)
+                    run, total = [], 0
+                run.append(path)
+                total += size
+            runs.append(run)
+    return sorted(sorted(r) for r in runs if len(r) > 1)
+
+
+def test_every_version_follows_the_rule_of_sizes(spark, store):
+    """The history of a store, version by version, from the files that are there: which runs were merged, into how many files, of
+    which level."""
+    for k in range(5):
+        store.append(docs_of(spark, range(k * 300, k * 300 + 300)).repartition(3 + k))
+        store.compact()
+    before = {}
+    merges = 0
+    for v in store.versions():
+        now = {s.path: s for s in store.shards(v)}
+        gone, new = set(before) - set(now), set(now) - set(before)
+        assert all(os.path.getsize(p.removeprefix("file:")) == s.bytes for p, s in now.items())
+        if gone:
+            merges += 1
+            runs = plain_runs({p: s.bytes for p, s in before.items()}, store.target, store.fanout, store.least)
+            assert gone == {p for r in runs for p in r} and len(new) == len(runs)
+            assert Counter(now[p].level for p in new) == Counter(1 + max(before[p].level for p in r) for r in runs)
+        else:
+            assert all(now[p].level == 0 for p in new)
+        before = now
+    assert merges > 2 and held(store.read()) == want(range(1500))
+
+
+def test_a_round_is_one_scan_whatever_the_runs(spark, store, monkeypatch):
+    plans = []
+    write = store._write
+    monkeypatch.setattr(store, "_write", lambda df, *args: (plans.append((len(store.plan(store.shards())), df._jdf.queryExecution().optimizedPlan().toString())), write(df, *args))[1])
+    for k, parts in ((0, 12), (1, 150)):
+        store.append(docs_of(spark, range(k * 1000, k * 1000 + 1000 * (1 + 4 * k))).repartition(parts))
+        store.compact()
+    first, last = (next(p for p in plans if p[0]), max(plans))
+    assert last[0] > 3 * first[0] and last[1].count("Relation [") == first[1].count("Relation [") and "Union" not in last[1]
+    assert held(store.read()) == want(range(6000))
+
+
+def test_manifests_are_changes_with_snapshots(spark, store, monkeypatch):
+    monkeypatch.setattr(sharding, "SNAPSHOT_EVERY", 4)
+    small = docs_of(spark, range(10)).coalesce(1)
+    for _ in range(10):
+        store.append(small)
+    texts = [store._text(store._manifest_path(v)) for v in store.versions()]
+    assert all(len(t["added"]) == 1 and not t["removed"] and "shards" not in t for t in texts)  # a commit writes its own change
+    assert [v for v in store.versions() if store.files.exists(store._snapshot_path(v))] == [4, 8]
+    assert [len(store.shards(v)) for v in store.versions()] == list(range(1, 11))
+    store.compact()
+    store.vacuum(versions=1, age=0)
+    assert len(store.versions()) == 1 and held(store.read()) == Counter({k: 10 * n for k, n in want(range(10)).items()})
+    store.append(small)
+    assert store.read().count() == 110
+    # a manifest of an old store holds all shards
+    old = sharding.ShardStore(spark, store.root + "-old")
+    old._put({"version": 1, "schema": None, "shards": [s.__dict__ for s in store.shards()]}, old._manifest_path(1))
+    assert old.shards() == store.shards() and old.read().count() == 110
+    old.append(small)
+    assert old.read().count() == 120
+
+
+def test_tables_of_files_that_are_too_large_to_broadcast(spark, store, monkeypatch):
+    monkeypatch.setattr(sharding, "BROADCAST_FILES", 0)
+    store.append(docs_of(spark, range(300)).repartition(12))
+    store.compact()
+    assert held(store.read()) == want(range(300)) and sharding.shard_of_rows(store, "doc_id").where("shard is not null and level >= 0").count() == 300

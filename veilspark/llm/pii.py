@@ -1,6 +1,6 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel network, in DataFrame expressions only.
 
-Candidates are found by one pattern; each is validated by its kind (Luhn sum, octets, calendar, number ranges).
+Candidates are found by one pattern; each is validated by its kind (Luhn sum, remainder of 97, octets, groups, calendar, number ranges).
 A validated value is split into two numbers a < P and b < Q, and rounds of a += F(b) mod P, b += F(a) mod Q with
 a keyed hash permute the kind's own domain: the result has the same format and is valid again, equal values stay
 equal in all documents, different values stay different.  E-mail addresses and secrets have no such domain; they
@@ -16,14 +16,25 @@ from ..functions.names import free_prefix
 from .quality import once
 
 ROUNDS = 10
+#: Characters of a bank account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+IBAN = "|".join(rf"(?:{'|'.join(countries.split())})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, countries in IBAN_LENGTHS.items())
+GROUP = "[0-9A-Fa-f]{1,4}"
+SOME_GROUPS = f"(?:{GROUP}(?::{GROUP}){{0,5}})?"
 #: Kinds and their patterns, in the order in which they claim a match.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?[A-Za-z0-9/+_-]{8,}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
+    "ipv6": rf"(?<![A-Za-z0-9:.])(?:(?:{GROUP}:){{7}}{GROUP}|(?=[0-9A-Fa-f:]*\d){SOME_GROUPS}::{SOME_GROUPS})(?![A-Za-z0-9:]|\.\d)",
+    "iban": rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])",
     "date": r"(?<![\d/.-])(?:(?:19|20)\d\d-\d\d-\d\d|(?:19|20)\d\d/\d\d/\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-])",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\p{N}])\+[1-9](?:[ .()-]{0,2}\d){7,14}(?!\d)|(?<![\p{L}\p{N}_.-])[2-9]\d\d[2-9]\d{6}(?![\p{L}\p{N}_]|[.-]\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
 }
 PATTERN = "|".join(KINDS.values())
@@ -104,6 +115,13 @@ def hidden_card(m: Column, key: str) -> Column:
 
 
 def hidden_phone(m: Column, key: str) -> Column:
+    """Numbers of ten digits or more by :func:`long_phone`, with or without marks between the digits, so that all ways to write
+    one stay linked; shorter ones, which begin with a plus, keep two digits and have the others permuted."""
+    short = lambda d: refill(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), permuted_digits(F.substr(d, F.lit(3), F.length(d)), "short phone", key)))
+    return once(digits_of(m), lambda d: F.when((F.length(d) > 10) | ~m.startswith("+"), long_phone(m, key)).otherwise(short(d)))
+
+
+def long_phone(m: Column, key: str) -> Column:
     """The last ten digits are permuted, the country's stay.  Areas and exchanges that can be dialled (200 to 999)
     become such ones, others become others: numbers stay valid or invalid, and none are mixed up."""
 
@@ -128,6 +146,58 @@ def hidden_ip(m: Column, key: str) -> Column:
     return once(mixed, lambda s: F.concat_ws(".", high(s["a"]), low(s["a"]), high(s["b"]), low(s["b"])))
 
 
+def hidden_ipv6(m: Column, key: str) -> Column:
+    """An address to another, in whole: eight groups of four digits.  All ways to write one stay linked; null if there are
+    too many groups."""
+    groups = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    ends = F.split(F.lower(m), "::", 2)
+    left, right = groups(F.get(ends, F.lit(0))), groups(F.get(ends, F.lit(1)))
+    gap = F.lit(8) - F.size(left) - F.size(right)
+    whole = F.when(~m.contains("::"), groups(F.lower(m))).when(gap >= 1, F.concat(left, F.array_repeat(F.lit("0"), gap), right))
+    word = lambda g, i: F.conv(F.concat(F.lpad(F.get(g, F.lit(2 * i)), 4, "0"), F.lpad(F.get(g, F.lit(2 * i + 1)), 4, "0")), 16, 10).cast("bigint")
+
+    def turn(s: Column, r: Column) -> Column:
+        def mask(x: Column, y: Column, i: int) -> Column:
+            digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("ipv6"), r, x, y, F.lit(i)), 256)
+            return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+
+        first = r % 2 == 0
+        out = [F.when(first, s[f"w{i}"].bitwiseXOR(mask(s["w2"], s["w3"], i))).otherwise(s[f"w{i}"]).alias(f"w{i}") for i in (0, 1)]
+        out += [F.when(first, s[f"w{i}"]).otherwise(s[f"w{i}"].bitwiseXOR(mask(s["w0"], s["w1"], i))).alias(f"w{i}") for i in (2, 3)]
+        return F.struct(*out)
+
+    def hidden(g: Column) -> Column:
+        mixed = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(*[word(g, i).alias(f"w{i}") for i in range(4)]), turn)
+        half = lambda s, i, k: F.substr(F.lpad(F.lower(F.hex(s[f"w{i}"])), 8, "0"), F.lit(k), F.lit(4))
+        return once(mixed, lambda s: F.concat_ws(":", *[half(s, i, k) for i in range(4) for k in (1, 5)]))
+
+    return F.when(F.size(whole) == 8, once(whole, hidden))
+
+
+def mod_97(text: Column) -> Column:
+    """The remainder of a text of digits and capitals, which count as 10 to 35."""
+
+    def step(rest: Column, i: Column) -> Column:
+        code = F.ascii(F.substr(text, i, F.lit(1)))
+        return F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(text)), F.lit(0), step)
+
+
+def hidden_iban(m: Column, key: str) -> Column:
+    """The digits of the account are permuted, country and letters stay, and the check digits are made right again; null where
+    they were wrong."""
+    four = lambda d, k, n: F.substr(d, F.lit(k), F.lit(n))
+
+    def whole(d: Column) -> Column:
+        country, account = four(d, 1, 2), F.substr(d, F.lit(5), F.length(d))
+        sound = (mod_97(F.concat(account, four(d, 1, 4))) == 1) & four(d, 3, 2).between("02", "98")
+        body = lambda new: F.concat(country, F.lpad((98 - mod_97(F.concat(refill(account, new), country, F.lit("00")))).cast("string"), 2, "0"), refill(F.substr(m, F.lit(5), F.length(m)), new))
+        return F.when(sound, once(permuted_digits(digits_of(account), "iban", key), body))
+
+    return once(F.replace(m, F.lit(" "), F.lit("")), whole)
+
+
 def hidden_ssn(m: Column, key: str) -> Column:
     """Areas 001 to 899 without 666, groups 01 to 99, serials 0001 to 9999."""
     area = F.split_part(m, F.lit("-"), F.lit(1)).cast("bigint")
@@ -185,7 +255,7 @@ def hidden_secret(m: Column, key: str) -> Column:
     return once(name, whole)
 
 
-HIDE = {"email": hidden_email, "secret": hidden_secret, "ip": hidden_ip, "date": hidden_date, "ssn": hidden_ssn, "phone": hidden_phone, "card": hidden_card}
+HIDE = {"email": hidden_email, "secret": hidden_secret, "ip": hidden_ip, "ipv6": hidden_ipv6, "iban": hidden_iban, "date": hidden_date, "ssn": hidden_ssn, "phone": hidden_phone, "card": hidden_card}
 
 
 def pseudonym(match: Column, key: str) -> Column:

@@ -3,8 +3,8 @@
 Arrivals are appended as small immutable Parquet files.  Compaction looks at sizes alone: files within one tier (a
 factor of ``fanout`` in size) are merged, in runs up to the target size, once a tier holds ``fanout`` of them;
 files near the target are left alone.  So a row is rewritten once per tier, log(target / arrival) times in all.
-What is valid is said by a manifest, a text file with a version number: it is written aside and renamed into
-place, which succeeds for one writer only.  A writer that comes second looks at the new manifest and tries again:
+What is valid is said by a manifest, a text file with a version number that holds what the version added and removed: it is
+written aside and renamed into place, which succeeds for one writer only.  Now and then a snapshot of all shards is put beside it.  A writer that comes second looks at the new manifest and tries again:
 arrivals are added to whatever is there, a merge is committed while the shards that it replaces are still valid.
 Readers hold on to the version that they opened, as long as ``vacuum`` retains it.
 
@@ -14,6 +14,7 @@ and its like, or one machine's disk.  Object stores whose rename copies don't gi
 
 from __future__ import annotations
 
+import contextlib
 import json
 import random
 import re
@@ -27,9 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import free_prefix
+
 MB = 1 << 20
 #: Commits that one change tries while others come first, and seconds between them, at most.
 ATTEMPTS, PAUSE = 100, 0.5
+#: Versions from one snapshot to the next.
+SNAPSHOT_EVERY = 32
+#: Lines of a table of files that is broadcast, at most (some 20 MB); larger ones are joined by shuffles.
+BROADCAST_FILES = 100_000
 #: What ``vacuum`` retains unless told otherwise: versions, and the age in seconds of any file that it removes.
 VERSIONS, AGE = 10, 7 * 24 * 3600.0
 
@@ -53,9 +60,6 @@ class ShardStore:
         self.java = spark._jvm.org.apache.hadoop.fs
         self.conf = spark._jsc.hadoopConfiguration()
         self.files = self.java.Path(self.root).getFileSystem(self.conf)
-        # Merges are written by a session of their own: a union of single partitions is to keep them apart, not to become one.
-        self.merging = spark.newSession()
-        self.merging.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     # Manifests
 
@@ -67,14 +71,44 @@ class ShardStore:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
-        """Of a version, the latest by default; a version that was never there, or that vacuum expired, is a ValueError."""
-        known = self.versions()
-        if version is None and not known:
-            return {"version": 0, "shards": []}
-        version = known[-1] if version is None else version
-        if version not in known:
-            raise ValueError(f"version {version} isn't there; there are {known[:1]} to {known[-1:]}")
-        stream = self.files.open(self._manifest_path(version))
+        """version, schema and shards of a version, the latest by default; a version that was never there, or that vacuum
+        expired, is a ValueError.  Versions are followed back to the last snapshot."""
+        for again in (True, False):
+            known = self.versions()
+            if version is None and not known:
+                return {"version": 0, "shards": []}
+            wanted = known[-1] if version is None else version
+            if wanted not in known:
+                raise ValueError(f"version {wanted} isn't there; there are {known[:1]} to {known[-1:]}")
+            try:
+                return self._whole(wanted)
+            except FileNotFoundError:  # vacuum has put a later snapshot in place of what was to be read
+                if not again:
+                    raise
+        raise AssertionError
+
+    def _whole(self, version: int) -> dict:
+        changes, at = [], version
+        while at and (base := self._text(self._snapshot_path(at))) is None:
+            own = self._text(self._manifest_path(at))
+            if own is None:
+                raise FileNotFoundError(f"manifest of version {at}")
+            if "shards" in own:
+                base = own
+                break
+            changes.append(own)
+            at -= 1
+        shards = {x["path"]: x for x in (base["shards"] if at else ())}
+        for own in reversed(changes):
+            for path in own["removed"]:
+                shards.pop(path, None)
+            shards |= {x["path"]: x for x in own["added"]}
+        return {"version": version, "schema": (changes[0] if changes else base)["schema"], "shards": list(shards.values())}
+
+    def _text(self, place) -> dict | None:
+        if not self.files.exists(place):
+            return None
+        stream = self.files.open(place)
         try:
             return json.loads(bytes(stream.readAllBytes()))
         finally:
@@ -83,27 +117,43 @@ class ShardStore:
     def _manifest_path(self, version: int):
         return self.java.Path(f"{self.root}/manifest/v{version:09d}.json")
 
+    def _snapshot_path(self, version: int):
+        return self.java.Path(f"{self.root}/manifest/s{version:09d}.json")
+
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self.manifest(version)["shards"]]
 
-    def commit(self, shards: list[Shard], version: int, schema: T.StructType | None) -> int:
-        """Write the manifest aside and rename it into place; a ConflictError if the version is there."""
-        folder = f"{self.root}/manifest"
-        aside = self.java.Path(f"{folder}/.{uuid.uuid4().hex}")
+    def commit(self, shards: list[Shard], version: int, schema: T.StructType | None, now: dict | None = None) -> int:
+        """Make these the shards of a version, given the manifest of the one before; a ConflictError if the version is there."""
+        old, new = {x["path"] for x in (now or {"shards": []})["shards"]}, {s.path for s in shards}
+        text = {"version": version, "schema": schema and schema.jsonValue(), "added": [s.__dict__ for s in shards if s.path not in old], "removed": sorted(old - new)}
+        self._put(text, self._manifest_path(version))
+        if version % SNAPSHOT_EVERY == 0:
+            self._snapshot(version)
+        return version
+
+    def _put(self, text: dict, place) -> None:
+        """Write aside and rename into place."""
+        aside = self.java.Path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = self.files.create(aside, False)
         try:
-            out.write(bytearray(json.dumps({"version": version, "schema": schema and schema.jsonValue(), "shards": [s.__dict__ for s in shards]}).encode()))
+            out.write(bytearray(json.dumps(text).encode()))
         finally:
             out.close()
         options = self.spark._sc._gateway.new_array(getattr(self.java, "Options$Rename"), 0)
         try:
-            self.java.FileContext.getFileContext(self.java.Path(self.root).toUri(), self.conf).rename(aside, self._manifest_path(version), options)
+            self.java.FileContext.getFileContext(self.java.Path(self.root).toUri(), self.conf).rename(aside, place, options)
         except Exception as e:
             self.files.delete(aside, False)
             if "FileAlreadyExists" in str(e):
-                raise ConflictError(f"version {version} exists") from e
+                raise ConflictError(f"{place.getName()} exists") from e
             raise
-        return version
+
+    def _snapshot(self, version: int) -> None:
+        """All shards of a version in one file; whoever is first writes what all others would."""
+        if not self.files.exists(self._snapshot_path(version)):
+            with contextlib.suppress(ConflictError):
+                self._put(self._whole(version), self._snapshot_path(version))
 
     def _changed(self, change: Callable[[dict], tuple[list[Shard], T.StructType | None] | None]) -> int | None:
         """Commit what ``change`` makes of the latest manifest; again on the next one when another writer was first.
@@ -114,7 +164,7 @@ class ShardStore:
             if made is None:
                 return None
             try:
-                return self.commit(made[0], now["version"] + 1, made[1])
+                return self.commit(made[0], now["version"] + 1, made[1], now)
             except ConflictError:
                 time.sleep(random.random() * PAUSE * min(1.0, attempt / 10))
         raise ConflictError(f"other writers were first {ATTEMPTS} times")
@@ -180,18 +230,21 @@ class ShardStore:
     def compact(self) -> int | None:
         """Merge until no tier is full; returns the last version committed, None if nothing was to do.
 
-        All runs of a round are one job: a run is read by one task and becomes one file, so no row is shuffled.  A run
-        whose shards another writer replaced meanwhile is dropped, with its file."""
+        All runs of a round are one job of one scan and one shuffle: a run is one task and becomes one file.  A run whose shards
+        another writer replaced meanwhile is dropped, with its file."""
         version = None
         while True:
             now = self.manifest()
             runs = self.plan([Shard(**x) for x in now["shards"]])
             if not runs:
                 return version
-            schema, merged = self._schema_of(now), None
-            for run in runs:
-                one = self.merging.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
-                merged = one if merged is None else merged.unionByName(one)
+            # one scan, however many runs there are: each file's rows go to the task of its run
+            paths = [x.path for run in runs for x in run]
+            rows = self.spark.read.schema(self._schema_of(now)).parquet(*paths)
+            name, at = free_prefix(rows) + "file", free_prefix(rows) + "run"
+            table = self.spark.createDataFrame([(x.path.rsplit("/", 1)[1], k) for k, run in enumerate(runs) for x in run], f"{name} string, {at} int")
+            rows = rows.select("*", rows.metadataColumn("_metadata")["file_name"].alias(name)).join(F.broadcast(table) if len(paths) <= BROADCAST_FILES else table, name)
+            merged = rows.repartitionById(len(runs), F.col(at)).drop(name, at)
             made = {int(re.search(r"/part-(\d+)-", p)[1]): (p, n) for p, n in self._write(merged)}  # an empty run leaves no file
             lost: list[str] = []
 
@@ -239,8 +292,11 @@ class ShardStore:
         known = self.versions()
         # a version was replaced when the next one was written
         old = [v for v, following in zip(known, known[1:]) if v in known[: -max(1, versions)] and self.files.getFileStatus(self._manifest_path(following)).getModificationTime() <= limit]
+        if old:
+            self._snapshot(min(v for v in known if v not in old))  # what remains is read without what goes
         for v in old:
             self.files.delete(self._manifest_path(v), False)
+            self.files.delete(self._snapshot_path(v), False)
         valid = {x["path"] for v in self.versions() for x in self.manifest(v)["shards"]}
         gone, base = 0, self.java.Path(f"{self.root}/data")
         for folder in self.files.listStatus(base) if self.files.exists(base) else ():
@@ -258,8 +314,10 @@ def shard_of_rows(store: ShardStore, *columns: str) -> DataFrame:
     """The given columns of each row with the shard that holds it: shard, shard_bytes, level, version.  Columns of
     rows with one of these names are left out.  Rows with nulls, repeated rows and empty texts each have theirs."""
     version = store.versions()[-1]
-    table = store.spark.createDataFrame([(s.path.rsplit("/", 1)[1], s.bytes, s.level) for s in store.shards(version)], "shard string, shard_bytes long, level int")
+    files = [(s.path.rsplit("/", 1)[1], s.bytes, s.level) for s in store.shards(version)]
+    table = store.spark.createDataFrame(files, "shard string, shard_bytes long, level int")
     rows = store.read(version)
     place = rows.metadataColumn("_metadata")["file_name"].alias("shard")
     rows = rows.select(*[F.col(f"`{c}`") for c in columns if c.lower() not in OF_SHARD], place)
-    return rows.join(F.broadcast(table), "shard", "left").withColumn("version", F.lit(version))  # a line per file
+    table = F.broadcast(table) if len(files) <= BROADCAST_FILES else table
+    return rows.join(table, "shard", "left").withColumn("version", F.lit(version))
