@@ -199,16 +199,20 @@ def test_every_version_follows_the_rule_of_sizes(spark, store):
     assert merges > 2 and held(store.read()) == want(range(1500))
 
 
-def test_a_round_is_one_scan_whatever_the_runs(spark, store, monkeypatch):
-    plans = []
-    write = store._write
-    monkeypatch.setattr(store, "_write", lambda df, *args: (plans.append((len(store.plan(store.shards())), df._jdf.queryExecution().optimizedPlan().toString())), write(df, *args))[1])
-    for k, parts in ((0, 12), (1, 150)):
-        store.append(docs_of(spark, range(k * 1000, k * 1000 + 1000 * (1 + 4 * k))).repartition(parts))
-        store.compact()
-    first, last = (next(p for p in plans if p[0]), max(plans))
-    assert last[0] > 3 * first[0] and last[1].count("Relation [") == first[1].count("Relation [") and "Union" not in last[1]
-    assert held(store.read()) == want(range(6000))
+def test_plans_of_a_round_stay_small_whatever_the_runs(spark, store, monkeypatch):
+    monkeypatch.setattr(sharding, "RUNS_AT_ONCE", 5)
+    scans, write = [], store._write
+
+    def written(df, *args):
+        scans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        return write(df, *args)
+
+    store.append(docs_of(spark, range(4000)).repartition(120))
+    runs = store.plan(store.shards())
+    monkeypatch.setattr(store, "_write", written)
+    store.compact()
+    assert len(runs) > 10 and max(scans) <= 5 and sum(scans) >= len(runs)
+    assert held(store.read()) == want(range(4000)) and not store.plan(store.shards())
 
 
 def test_manifests_are_changes_with_snapshots(spark, store, monkeypatch):

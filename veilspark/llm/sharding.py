@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import free_prefix
-
 MB = 1 << 20
 #: Commits that one change tries while others come first, and seconds between them, at most.
 ATTEMPTS, PAUSE = 100, 0.5
 #: Versions from one snapshot to the next.
 SNAPSHOT_EVERY = 32
+#: Runs of a merging job, at most.
+RUNS_AT_ONCE = 256
 #: Lines of a table of files that is broadcast, at most (some 20 MB); larger ones are joined by shuffles.
 BROADCAST_FILES = 100_000
 #: What ``vacuum`` retains unless told otherwise: versions, and the age in seconds of any file that it removes.
@@ -60,6 +60,9 @@ class ShardStore:
         self.java = spark._jvm.org.apache.hadoop.fs
         self.conf = spark._jsc.hadoopConfiguration()
         self.files = self.java.Path(self.root).getFileSystem(self.conf)
+        # Merges are written by a session of their own: a union of single partitions is to keep them apart, not to become one.
+        self.merging = spark.newSession()
+        self.merging.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     # Manifests
 
@@ -230,22 +233,22 @@ class ShardStore:
     def compact(self) -> int | None:
         """Merge until no tier is full; returns the last version committed, None if nothing was to do.
 
-        All runs of a round are one job of one scan and one shuffle: a run is one task and becomes one file.  A run whose shards
-        another writer replaced meanwhile is dropped, with its file."""
+        A run is read by one task and becomes one file, so no row is shuffled.  A job has RUNS_AT_ONCE runs at most: its plan
+        stays as small however many there are.  A run whose shards another writer replaced meanwhile is dropped, with its file."""
         version = None
         while True:
             now = self.manifest()
             runs = self.plan([Shard(**x) for x in now["shards"]])
             if not runs:
                 return version
-            # one scan, however many runs there are: each file's rows go to the task of its run
-            paths = [x.path for run in runs for x in run]
-            rows = self.spark.read.schema(self._schema_of(now)).parquet(*paths)
-            name, at = free_prefix(rows) + "file", free_prefix(rows) + "run"
-            table = self.spark.createDataFrame([(x.path.rsplit("/", 1)[1], k) for k, run in enumerate(runs) for x in run], f"{name} string, {at} int")
-            rows = rows.select("*", rows.metadataColumn("_metadata")["file_name"].alias(name)).join(F.broadcast(table) if len(paths) <= BROADCAST_FILES else table, name)
-            merged = rows.repartitionById(len(runs), F.col(at)).drop(name, at)
-            made = {int(re.search(r"/part-(\d+)-", p)[1]): (p, n) for p, n in self._write(merged)}  # an empty run leaves no file
+            schema, made = self._schema_of(now), {}
+            for at in range(0, len(runs), RUNS_AT_ONCE):
+                merged = None
+                for run in runs[at : at + RUNS_AT_ONCE]:
+                    one = self.merging.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
+                    merged = one if merged is None else merged.unionByName(one)
+                # the number of a file is that of its task, and so of its run; an empty run leaves no file
+                made |= {at + int(re.search(r"/part-(\d+)-", p)[1]): (p, n) for p, n in self._write(merged)}
             lost: list[str] = []
 
             def replaced(now: dict) -> tuple[list[Shard], T.StructType | None] | None:
