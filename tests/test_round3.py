@@ -293,3 +293,88 @@ def test_mocks_within_a_budget(spark):
     few = synth.mock(df.limit(3), 5, 1.0, 1)  # a form that few rows have isn't told
     assert few.count() == 5 and not few.where("price like '$%'").count()
     assert len(synth.TEMPLATES) >= 60
+
+
+# --- counts, workbooks, sandbox
+
+
+def test_places_within_hot_and_null_keys(spark):
+    from veilspark.operators import features
+
+    r = random.Random(5)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None, "c"]), i, 1) for i in range(500)]
+    out = features.windowed_counts(spark.createDataFrame(rows, "k string, o int, line int").repartition(5), "k", "o").collect()
+    for k in ("hot", "b", "c", None):
+        own = sorted(o for key, o, _ in rows if key == k)
+        got = {x.o: (x.line_index, x.key_count) for x in out if x.k == k}
+        assert got == {o: (i + 1, len(own)) for i, o in enumerate(own)}
+
+
+def test_folders_of_workbooks(spark, tmp_path):
+    from veilspark.sources import readers, workbook
+
+    folder = tmp_path / "books.xlsx"
+    folder.mkdir()
+    for name, first in (("b", 100), ("a", 0)):
+        workbook.write_workbook(str(folder / f"{name}.xlsx"), {"One": (["x", "y"], [(first + i, f"v{i}") for i in range(7 if name == "a" else 3)]), "Two": (["z"], [(1,)])})
+    rows = readers.read(spark, str(folder), ordered=True).orderBy("_ord").collect()
+    assert [r._ord for r in rows] == list(range(12)) and [r["0"] for r in rows] == ["x", *map(str, range(7)), "x", "100", "101", "102"]
+    one = readers.workbook(spark, str(folder / "a.xlsx"))
+    assert list(one) == ["One", "Two"] and [r["0"] for r in one["Two"].orderBy("_ord").collect()] == ["z", "1"]
+
+
+BEHIND_DOORS = (
+    "import pandas as pd\npd.io.common.os.system('id')", "from pandas.io import common\ncommon.os.system('id')", "print.__self__.eval('1')", "import re\nre.enum.sys.modules['os'].system('id')",
+    "import os\nos.execv('/bin/sh', [])", "import os\nos.rename('a', 'b')", "import asyncio", "import pandas as pd\npd.read_csv('http://x.y/z')", "import os\nd = [os]\nd[0].system('id')",
+    "import os\ndef f(o):\n    return o.system('id')\nf(os)", "import pandas as pd\nu = 'ht' + 'tp://x'\npd.read_csv(u)", "'{0.__class__}'.format(1)", "df.query('@pd.io.common')", "from os import rename",
+    "import pandas as pd\npd.read_pickle('x')", "import numpy as np\nnp.sys.modules", "import os as o\nx = o.path\no.remove('a')", "from subprocess import *",
+)
+
+
+@pytest.mark.parametrize("code", BEHIND_DOORS)
+def test_code_that_looks_for_doors(code):
+    from veilspark.plans import sandbox
+
+    assert sandbox.findings(code)
+
+
+@pytest.mark.parametrize("code", ["import polars as pl\ndf = df.with_columns(pl.col('x') * 2)", "import datetime\nd = datetime.date(2026, 1, 1)", "import re\np = re.compile(r'\\d+')", "executed = False\nif __name__ == '__main__':\n    executed = True", "df.query('a > 1')", "x = 'see https://example.com'", "df.to_csv('out.csv')", "import os\np = os.path.join('a', 'b')"])
+def test_code_that_does_no_harm(code):
+    from veilspark.plans import sandbox
+
+    assert sandbox.findings(code) == []
+
+
+def test_plain_code_runs_in_a_child(spark, monkeypatch):
+    import os
+    import time
+
+    import pandas as pd
+
+    from veilspark.plans import sandbox
+
+    frame = pd.DataFrame({"a": [1, 2, None], "b": ["x", "y", "z"]})
+    monkeypatch.setenv("SECRET_OF_PARENT", "s")
+    out = sandbox.execute(spark, "def clean_it(d):\n    return d.dropna()\nn = len(df)\ns = [1, {'k': 2.5}]\nm = bool(re.search('y', df['b'][1]))\nc = copy.deepcopy([1])", {"df": frame})
+    assert out["result"]["b"].tolist() == ["x", "y"] and (out["n"], out["s"], out["m"], out["c"]) == (3, [1, {"k": 2.5}], True, [1]) and frame["a"].isna().sum() == 1
+    assert sandbox.harvest(spark, out, {"df": frame}).count() == 2
+    with pytest.raises(KeyError, match="amout"):
+        sandbox.execute(spark, "df['amout']", {"df": frame})
+    with pytest.raises((MemoryError, RuntimeError)):
+        sandbox.execute(spark, "x = 'a' * (1 << 33)", {})
+    began, before = time.time(), set(os.listdir("/proc"))
+    with pytest.raises(TimeoutError):
+        sandbox.execute(spark, "while True:\n    pass", {}, timeout=0.5)
+    assert time.time() - began < 30 and before
+    with pytest.raises(TimeoutError):  # code on frames of Spark: its thread ends, too
+        sandbox.execute(spark, "i = 0\nwhile True:\n    i += 1", {"df": spark.range(1)}, timeout=0.5)
+    time.sleep(0.5)
+    import threading
+
+    assert not [t for t in threading.enumerate() if t.daemon and t.name.endswith("(run)") and t.is_alive()]
+
+
+def test_firewall_over_a_table(spark):
+    rows = spark.createDataFrame([("import socket",), ("x = 1",), (None,), ("  ",), ("eval('1')",)], "code string")
+    assert audit.firewall(spark, rows).first().value == pytest.approx(200 / 3, abs=1e-5) and audit.firewall(spark).first().passed
+    assert audit.firewall(spark, rows.limit(0)).first().passed

@@ -32,9 +32,13 @@ def luhn_valid(c: Column) -> Column:
     return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
 
 
+#: Marks of direction, of joining and of byte order.
+MARKS = "[​-‏‪-‮⁦-⁩﻿؜]"
+
+
 def normalise_bilingual(c: Column) -> Column:
     """Latin digits for Arabic ones, without marks of direction, byte order and thousands."""
-    plain = strip(F.regexp_replace(c, "[​-‏‪-‮⁦-⁩﻿؜]", ""))
+    plain = strip(F.regexp_replace(c, MARKS, ""))
     return F.translate(F.replace(plain, F.lit("٬"), F.lit("")), ARABIC_DIGITS, LATIN_DIGITS)
 
 
@@ -188,7 +192,7 @@ def register(spark: SparkSession) -> None:
         "veil_shape(x STRING) RETURNS STRING": shaped,
         "veil_redact(x STRING) RETURNS STRING": redacted,
         "veil_age_band(x DOUBLE) RETURNS STRING": f"CASE WHEN x IS NULL OR isnan(x) THEN 'Unknown' WHEN x < 18 THEN '<18' WHEN x >= 75 THEN '75+' ELSE concat({low}, '-', {low} + 9) END",
-        "veil_normalise(x STRING) RETURNS STRING": f"translate(replace(trim(x), '\u066c', ''), '{ARABIC_DIGITS}', '{LATIN_DIGITS}')",
+        "veil_normalise(x STRING) RETURNS STRING": f"translate(replace(btrim(regexp_replace(x, '{MARKS}', ''), '{WHITE}'), '\u066c', ''), '{ARABIC_DIGITS}', '{LATIN_DIGITS}')",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -276,12 +276,15 @@ def reconciliation(df: DataFrame, key: str) -> DataFrame:
     return metric(row, "reconciliation", value, F.lit(100), value == 100.0)
 
 
-def firewall(spark) -> DataFrame:
-    """Hostile snippets that the code audit turns away, in percent."""
-    from ..plans.sandbox import HOSTILE, findings
-
-    caught = sum(bool(findings(code)) for code in HOSTILE)
-    return spark.createDataFrame([("firewall", 100.0 * caught / len(HOSTILE), 100.0, caught == len(HOSTILE), "")], METRIC)
+def firewall(spark, snippets: DataFrame | None = None, column: str = "code") -> DataFrame:
+    """Hostile snippets that the code audit turns away, in percent: those of a table, or six known ones.  Null and empty code isn't
+    hostile; a table without code passes."""
+    from ..plans.sandbox import HOSTILE, audit_table
+
+    rows = spark.createDataFrame([(x,) for x in HOSTILE], "code string") if snippets is None else snippets.select(F.col(f"`{column}`").alias("code"))
+    row = audit_table(rows.where(F.trim("code") != ""), "code").agg(F.count("*").alias("n"), F.count_if(F.size("violations") > 0).alias("caught"))
+    value = F.when(F.col("n") > 0, F.col("caught") * 100.0 / F.col("n")).otherwise(100.0)
+    return metric(row, "firewall", F.round(value, 6), F.lit(100.0), value == 100.0)
 
 
 def suite(df: DataFrame, mock: DataFrame, key: str, qis: Sequence[str], sensitive: str | None, numeric: Sequence[str], categorical: Sequence[str], auxiliary: int | None = None) -> DataFrame:

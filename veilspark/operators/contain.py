@@ -7,15 +7,19 @@ value, and what meets is verified.  Both ways find the same.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .running import settled
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Characters of all values that an automaton takes; beyond them the join is used.
 AUTOMATON_CHARS = 2_000_000
 #: Characters of a piece; values must be at least as long.

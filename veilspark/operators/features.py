@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import free_prefix
 from . import policy
 from .keys import distinct_counts
 from .profile import is_numeric, tall
+from .running import running_total
 
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
 
@@ -143,6 +144,10 @@ def domain_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def windowed_counts(df: DataFrame, key: str, order: str) -> DataFrame:
-    """df with line_index (place within key) and key_count."""
-    by = Window.partitionBy(key)
-    return df.withColumns({"line_index": F.row_number().over(by.orderBy(order)), "key_count": F.count("*").over(by)})
+    """df with line_index (place within key, from 1) and key_count.  Places come from ranges of rows, so a key that holds many rows is
+    no single task; null keys are one key, ties of ``order`` are in any order."""
+    own = free_prefix(df)
+    run = running_total(df, [F.col(f"`{key}`"), F.col(f"`{order}`")], F.lit(1), own + "upto")
+    sizes = run.groupBy(F.col(f"`{key}`").alias(own + "key")).agg(F.count("*").alias("key_count"), (F.min(own + "upto") - 1).alias(own + "before"))
+    both = run.join(sizes, F.col(f"`{key}`").eqNullSafe(F.col(own + "key")))
+    return both.withColumn("line_index", (F.col(own + "upto") - F.col(own + "before")).cast("int")).select(*[F.col(f"`{c}`") for c in df.columns], "line_index", "key_count")

@@ -10,18 +10,22 @@ from __future__ import annotations
 
 import heapq
 import math
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .risk import as_text
 from .running import settled
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Leaves of a tree, sampled rows a leaf (for its shape), and sampled rows that bound distances, at most.
 LEAVES, LEAF_SAMPLE, BOUND_SAMPLE = 8192, 16, 4096
 #: Values of a category on one side of a split, at most.
@@ -199,16 +203,17 @@ def closest(rows: DataFrame, key: str, others: DataFrame, numeric: Sequence[str]
     tree = Tree.grown(x, t, spans, leaves)
     twice = np.flatnonzero(batch.column(batch.schema.get_field_index("_m")).to_numpy(zero_copy_only=False)[:BOUND_SAMPLE] > 1)
     bound_x, bound_t = (np.concatenate([a[:BOUND_SAMPLE], a[twice]]) for a in (x, t))
-    sent = rows.sparkSession.sparkContext.broadcast((tree, bound_x, bound_t))
+    # pickled here with its classes, so that executors need no copy of the package
+    sent = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps((tree, bound_x, bound_t)))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = sent.value[0]
+        tree = cloudpickle.loads(sent.value)[0]
         for batch in batches:
             leaf = tree.assign(*_matrices(batch, n, m))
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["_leaf", *batch.schema.names])
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, bound_x, bound_t = sent.value
+        tree, bound_x, bound_t = cloudpickle.loads(sent.value)
         for batch in batches:
             x, t = _matrices(batch, n, m)
             far = np.full(len(x), np.inf)

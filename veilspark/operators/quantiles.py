@@ -17,12 +17,12 @@ ACCURACY = 10_000
 
 def quantiles(rows: DataFrame, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """by, n, q: the quantiles of the column v in each group, interpolated between neighbours; null values and NaN don't
-    count.  Without ``by`` one row, with null quantiles if there are no values.  There are few groups: their brackets
-    are broadcast."""
+    count.  Without ``by`` one row, with null quantiles if there are no values.  Brackets of groups are joined: Spark
+    broadcasts them if they are few."""
     rows = rows.where(F.col("v").isNotNull() & ~F.isnan("v")).select(*by, F.col("v").cast("double").alias("v"))
     near = [min(1.0, max(0.0, p + d / ACCURACY)) for p in shares for d in (-3, 3)]
     sketch = rows.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("v", near, F.lit(ACCURACY)).alias("b"))
-    held = rows.join(F.broadcast(sketch), [*by]) if by else rows.crossJoin(F.broadcast(sketch))  # a row for each group
+    held = rows.join(sketch, [*by]) if by else rows.crossJoin(F.broadcast(sketch))  # one row
     # beyond ACCURACY rows the neighbours of a quantile are nearer than a step of the sketch; fewer are gathered whole
     few = F.col("n") <= ACCURACY
     low = lambda i: F.when(few, float("-inf")).otherwise(F.col("b")[2 * i])

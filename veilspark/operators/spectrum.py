@@ -7,14 +7,18 @@ a time and the data is shuffled three times.  Places in a series come from range
 
 from __future__ import annotations
 
+import sys
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantiles
 from .running import running_total, settled
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: A series of up to so many values is transformed in one piece.
 SHORT = 4096
 #: A series with fewer values has no cycle that means anything; a peak stands out beyond so many medians.

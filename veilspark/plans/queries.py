@@ -501,7 +501,9 @@ def behaviour_flags(spark, sf):
     return insight.behaviour(table(spark, sf, "events"), ["event_type"])
 
 
-@query()
+@query("""
+SELECT 'c_name' AS "column", bool_or(c_name IS NOT NULL) AS masked FROM customer
+UNION ALL SELECT 'c_mktsegment', bool_or(regexp_matches(c_mktsegment, '<[A-Z_]+_[0-9]+>|XXX|[*][*][*]|^(9,999[.]00|999+|123456789|000+)$')) FROM customer""")
 def surrogate_columns(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return insight.surrogates(Vault.build([df]).tokenise(df))
@@ -826,7 +828,22 @@ def named_links(spark, sf):
     return links.graph_links(rows, ["recipient", "sender_id"])
 
 
-@query()
+#: The first 100 rows of the report, counted column by column.
+RAGGED_SQL = """
+WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem),
+r AS (SELECT o_orderkey * 1000 AS pos, 'INV-' || lpad(o_orderkey::VARCHAR, 6, '0') AS a, strftime(o_orderdate, '%Y-%m-%d') AS b, 'K' || lpad(o_custkey::VARCHAR, 5, '0') AS c, 'Buyer' AS d, NULL AS e, NULL AS f, round(o_totalprice, 2)::DECIMAL(18, 2)::VARCHAR AS g FROM orders
+ UNION ALL SELECT l_orderkey * 1000 + k * 4 + 1, l_linenumber::VARCHAR, NULL, NULL, 'widget ' || l_linenumber, round(l_quantity, 2)::DECIMAL(18, 2)::VARCHAR, round(l_tax, 2)::DECIMAL(18, 2)::VARCHAR, round(l_extendedprice, 2)::DECIMAL(18, 2)::VARCHAR FROM li
+ UNION ALL SELECT l_orderkey * 1000 + k * 4 + 2, NULL, NULL, NULL, 'in blue', NULL, NULL, NULL FROM li WHERE l_linenumber % 2 = 0
+ UNION ALL SELECT l_orderkey * 1000 + k * 4 + 3, 'Page 1', NULL, NULL, NULL, NULL, NULL, NULL FROM li WHERE l_linenumber % 3 = 0),
+h AS (SELECT * FROM r ORDER BY pos LIMIT 100), n AS (SELECT count(*) AS n FROM h),
+u AS (SELECT 0 AS i, a AS v FROM h UNION ALL SELECT 1, b FROM h UNION ALL SELECT 2, c FROM h UNION ALL SELECT 3, d FROM h UNION ALL SELECT 4, e FROM h UNION ALL SELECT 5, f FROM h UNION ALL SELECT 6, g FROM h),
+s AS (SELECT i, count(*) FILTER (v IS NULL) AS e, count(*) FILTER (regexp_matches(v, '^(INV-?[0-9]+|[A-Za-z]{1,6}[-_/ ][0-9]{3,12})')) AS d,
+ count(*) FILTER (try_cast(v AS DOUBLE) >= 1000 OR (try_cast(v AS DOUBLE) = floor(try_cast(v AS DOUBLE)) AND try_cast(v AS DOUBLE) BETWEEN 1 AND 100)) AS x FROM u GROUP BY i),
+o AS (SELECT max(d) FILTER (i < 5) AS documents, count(*) FILTER (e > 0.35 * n) AS sparse_columns, bool_or(d > 0 AND x > 0 AND i < 5) AS interleaved FROM s, n)
+SELECT documents, sparse_columns::INTEGER AS sparse_columns, interleaved, interleaved OR (documents >= 2 AND sparse_columns >= 2) OR sparse_columns >= 3.5 AS ragged FROM o"""
+
+
+@query(RAGGED_SQL)
 def ragged_check(spark, sf):
     return ledger.is_ragged(ragged_report(spark, sf))
 
@@ -942,13 +959,22 @@ def membership(spark, sf):
     return audit.membership(table(spark, sf, "customer"), whole_mock(spark, sf), "c_custkey", ["c_acctbal"], ["c_mktsegment"])
 
 
-@query()
+@query("""
+WITH h AS (SELECT *, substr(md5('42:' || c_custkey), 32, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') AS member FROM customer),
+a AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM h WHERE member), b AS (SELECT DISTINCT c_nationkey, c_mktsegment FROM h WHERE NOT member),
+v AS (SELECT round(greatest(0.0::DOUBLE, (SELECT count(*) FROM customer SEMI JOIN a USING (c_nationkey, c_mktsegment)) / count(*)::DOUBLE - (SELECT count(*) FROM customer SEMI JOIN b USING (c_nationkey, c_mktsegment)) / count(*)::DOUBLE), 3) AS value FROM customer)
+SELECT 'linkability' AS test, value, 0.05::DOUBLE AS target, value < 0.05 AS passed, '' AS note FROM v""")
 def linkability(spark, sf):
     c = table(spark, sf, "customer")
     return audit.linkability(c, c.select("c_nationkey", "c_mktsegment"), "c_custkey", ["c_nationkey", "c_mktsegment"])
 
 
-@query()
+@query("""
+WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS n FROM (SELECT c_name AS value FROM customer UNION SELECT c_mktsegment FROM customer)),
+t AS (SELECT c_custkey, a.n AS a, b.n AS b FROM customer JOIN v a ON a.value = c_name JOIN v b ON b.value = c_mktsegment),
+r AS (SELECT c_custkey, a.value AS c_name, b.value AS c_mktsegment FROM t JOIN v a ON a.n = t.a JOIN v b ON b.n = t.b),
+s AS (SELECT 100.0::DOUBLE * sum((r.c_name IS NOT DISTINCT FROM c.c_name)::INT + (r.c_mktsegment IS NOT DISTINCT FROM c.c_mktsegment)::INT) / (2 * count(*)) AS value FROM customer c LEFT JOIN r USING (c_custkey))
+SELECT 'reconciliation' AS test, value, 100.0::DOUBLE AS target, value = 100 AS passed, '' AS note FROM s""")
 def reconciliation(spark, sf):
     return audit.reconciliation(table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
 
@@ -969,14 +995,28 @@ SNIPPETS = (
 _values = ", ".join(f"({i}, '" + s.replace("'", "''").replace("\n", "~") + "')" for i, s in enumerate(SNIPPETS))
 
 
-@query(f"""
+AUDIT_SQL = f"""
 WITH c AS (SELECT n_nationkey::BIGINT AS nation, i::BIGINT AS snippet, replace(t, '{{n}}', n_nationkey::VARCHAR) AS code FROM nation CROSS JOIN (VALUES {_values}) v(i, t))
 SELECT nation, snippet, regexp_matches(code, '(import|from) (socket|subprocess|importlib|builtins|ctypes|os as|os import)') OR regexp_matches(code, '__[a-z]+__|_jvm|io\\.open')
-  OR regexp_matches(code, '(^|[^a-z])(eval|exec|open)([^a-z]|$)') OR regexp_matches(code, 'nap\\([1-9][0-9]+\\)') AS rejected FROM c""")
-def code_audit(spark, sf):
+  OR regexp_matches(code, '(^|[^a-z])(eval|exec|open)([^a-z]|$)') OR regexp_matches(code, 'nap\\([1-9][0-9]+\\)') AS rejected FROM c"""
+
+
+def snippets(spark, sf):
     code = F.explode(F.transform(F.array(*[F.lit(s) for s in SNIPPETS]), lambda s, i: F.struct(i.cast("long").alias("snippet"), F.replace(s, F.lit("{n}"), F.col("n_nationkey").cast("string")).alias("code"))))
-    df = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), code.alias("x")).select("nation", "x.*")
-    return sandbox.audit_table(df, "code").select("nation", "snippet", (F.size("violations") > 0).alias("rejected"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("nation"), code.alias("x")).select("nation", "x.*")
+
+
+@query(AUDIT_SQL)
+def code_audit(spark, sf):
+    return sandbox.audit_table(snippets(spark, sf), "code").select("nation", "snippet", (F.size("violations") > 0).alias("rejected"))
+
+
+@query(f"""
+WITH x AS ({AUDIT_SQL})
+SELECT 'firewall' AS test, round(100.0::DOUBLE * count(*) FILTER (rejected) / count(*), 6) AS value, 100.0::DOUBLE AS target, bool_and(rejected) AS passed, '' AS note FROM x""")
+def firewall_snippets(spark, sf):
+    """How many of the snippets, harmless ones among them, the audit turns away."""
+    return audit.firewall(spark, snippets(spark, sf))
 
 
 @query()

@@ -8,15 +8,19 @@ span lines meet in a shuffle.
 
 from __future__ import annotations
 
+import sys
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PLACE = "_ord"
 #: What stands between quotes.
 INNER = re.compile('[^"]*+(?:""[^"]*+)*+')

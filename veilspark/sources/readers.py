@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,29 +114,48 @@ def _orc(spark: SparkSession, path: str, _header: bool, _sheet) -> DataFrame:
 
 
 def _xlsx(spark: SparkSession, path: str, header: bool, sheet: str | int) -> DataFrame:
-    from .workbook import XlsxSource
+    """A sheet by name or number of one workbook or of a folder of them: _ord, then "0", "1", ... as text.  A workbook is opened by
+    the task that has read it; none goes through the driver."""
+    from . import workbook as book
 
-    spark.dataSource.register(XlsxSource)
-    data = workbook_bytes(spark, path)
-    return spark.read.format("veil_xlsx").options(data=data, sheet=str(sheet)).load()
+    number = str(sheet)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = enumerate(book.rows_of(data.as_py(), number))
+                while some := list(itertools.islice(found, 5000)):
+                    at, cells = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array([place] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["path", "at", "cells"])
 
-def workbook_bytes(spark: SparkSession, path: str) -> str:
-    """The file in base 64: it is read by Spark, so any store will do.  A workbook is one file of bounded size."""
-    import base64
+    grid = books(spark, path).mapInArrow(rows, "path string, at long, cells array<string>")
+    files = grid.groupBy("path").agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("width"))
+    cells = [F.get("cells", F.lit(i)).alias(str(i)) for i in range(files.agg(F.max("width")).first()[0] or 0)]
+    if len(books(spark, path).inputFiles()) < 2:
+        return grid.select(F.col("at").alias(ORDER), *cells)
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    starts = files.select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return grid.join(starts, "path").select((F.col("start") + F.col("at")).alias(ORDER), *cells)
 
-    return base64.b64encode(spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
+
+def books(spark: SparkSession, path: str) -> DataFrame:
+    """path, content: read by Spark, so any store will do."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
 def workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All sheets of a workbook, headerless, by name; a file of another type is one sheet."""
     if not path.lower().endswith((".xlsx", ".xlsm")):
         return {os.path.splitext(os.path.basename(path))[0]: read(spark, path)}
-    from .workbook import XlsxSource, sheet_names
+    from . import workbook as book
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [n for data in batch.column(1) for n in book.sheet_names(data.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=["at", "name"])
 
-    spark.dataSource.register(XlsxSource)
-    data = workbook_bytes(spark, path)
-    return {name: spark.read.format("veil_xlsx").options(data=data, sheet=name).load() for name in sheet_names(data)}
+    sheets = [r["name"] for r in books(spark, path).mapInArrow(names, "at int, name string").orderBy("at").collect()]
+    return {name: _xlsx(spark, path, False, name) for name in dict.fromkeys(sheets)}
 
 
 READERS = {".csv": _csv, ".tsv": _csv, ".txt": _csv, ".json": _json, ".parquet": _parquet, ".orc": _orc, ".xlsx": _xlsx, ".xlsm": _xlsx}

@@ -1,25 +1,25 @@
-"""Workbooks (.xlsx): a Python data source over zip and XML, and a writer; no other library is needed."""
+"""Workbooks (.xlsx): their rows from zip and XML, and a writer; no other library is needed."""
 
 from __future__ import annotations
 
-import base64
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def _open(data: str) -> zipfile.ZipFile:
-    return zipfile.ZipFile(io.BytesIO(base64.b64decode(data)))
+def _open(data: bytes) -> zipfile.ZipFile:
+    return zipfile.ZipFile(io.BytesIO(data))
 
 
 def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
@@ -29,7 +29,7 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return [(s.get("name"), "xl/" + links[s.get(LINK)].lstrip("/").removeprefix("xl/")) for s in names]
 
 
-def sheet_names(data: str) -> list[str]:
+def sheet_names(data: bytes) -> list[str]:
     with _open(data) as book:
         return [n for n, _ in _sheets(book)]
 
@@ -41,7 +41,7 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
-def rows_of(data: str, sheet: str) -> Iterator[list[str | None]]:
+def rows_of(data: bytes, sheet: str) -> Iterator[list[str | None]]:
     """The rows of a sheet (by name or number), gaps as None; values as they are stored, numbers without a trailing .0."""
     with _open(data) as book:
         sheets = _sheets(book)
@@ -77,30 +77,6 @@ def rows_of(data: str, sheet: str) -> Iterator[list[str | None]]:
             row.clear()
 
 
-class XlsxReader(DataSourceReader):
-    def __init__(self, options, width: int):
-        self.options, self.width = dict(options), width
-
-    def read(self, partition) -> Iterator[tuple]:
-        for i, row in enumerate(rows_of(self.options["data"], self.options.get("sheet", "0"))):
-            yield (i, *[row[k] if k < len(row) else None for k in range(self.width)])
-
-
-class XlsxSource(DataSource):
-    """Options: data (the file in base 64), sheet (name or number).  Columns: _ord, then "0", "1", ... as text."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "veil_xlsx"
-
-    def schema(self) -> StructType:
-        width = max(map(len, rows_of(self.options["data"], self.options.get("sheet", "0"))), default=0)
-        return StructType([StructField("_ord", LongType())] + [StructField(str(i), StringType()) for i in range(width)])
-
-    def reader(self, schema: StructType) -> XlsxReader:
-        return XlsxReader(self.options, len(schema.fields) - 1)
-
-
 def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[tuple]]]) -> None:
     """A workbook of (names, rows) by sheet name; numbers as numbers, all else as text.  For results of a size that one
     file can hold."""
@@ -131,6 +107,3 @@ def write_workbook(path: str, sheets: dict[str, tuple[list[str], list[tuple]]])
                         cells.append(f'<c r="{at}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>')
                 lines.append(f'<row r="{r}">{"".join(cells)}</row>')
             book.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{MAIN[1:-1]}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
-
-
-cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
