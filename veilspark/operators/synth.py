@@ -178,23 +178,27 @@ def mock(df: DataFrame, n: int = 5, epsilon: float = 1.0, seed: int = 0, delta:
     columns = []
     for i, (c, t) in enumerate(df.dtypes):
         asked = 5 if c in numbers else 7 if c in texts else 1
+        part = epsilon / max(1, len(df.columns)) / asked  # what a count's noise can make is told from what is there: by eight times its width
         noisy = lambda count: count + laplace(rng, 1 / budget.share(c, asked))  # noqa: B023, E731
         rows = s["rows"]
-        missing = min(1.0, max(0.0, 1 - noisy(s[f"n{i}"]) / rows))
+        nulls = noisy(rows - s[f"n{i}"])
+        missing = min(1.0, nulls / rows) if nulls > max(0.05 * rows, 8 / part) else 0.0
         made = None
         if c in numbers or c in texts:
             held = counted.get(c, {})
             cells = [held.get(k, 0) for k in range(len(CANDIDATES))]
-            q = [CANDIDATES[quantile(cells, p, budget.share(c, asked), rng)] for p in (0.25, 0.5, 0.75)]
-            negative = noisy(sum(cells[: len(CANDIDATES) // 2])) > 0.005 * rows
+            middle = len(CANDIDATES) // 2
+            negative = noisy(sum(cells[:middle])) > max(0.005 * rows, 8 / part)
+            first = 0 if negative else middle
+            q = [CANDIDATES[first + quantile(cells[first:], p, budget.share(c, asked), rng)] for p in (0.25, 0.5, 0.75)]
             if c in numbers:
                 made = _number(c, t, q, negative, seed)
             else:
-                flags = noisy(s[f"y{i}"]) > 0.95 * rows * (1 - missing)
+                flags = noisy(s[f"y{i}"]) > max(0.95 * rows * (1 - missing), 8 / part)
                 budget.share(c, asked)  # of the commonest form
                 made = _text(c, q, negative, flags, forms.get(c), seed)
         made = _other(t) if made is None else made
-        gone = uniform(seed, f"{c} null") < (missing if missing > 0.05 else 0.0)
+        gone = uniform(seed, f"{c} null") < missing
         columns.append(F.when(~gone, made).cast(t).alias(c))
     return spark.range(n).select(*columns)
 
