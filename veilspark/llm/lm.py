@@ -363,9 +363,9 @@ def _scored(batch: pa.RecordBatch, model: Model, levels: Callable, keys: pa.Arra
     known = np.array([model.frequent.get(w, -1) for w in tokens.words], np.int64)
     log = np.log10((np.maximum(known, 0) + 1) / (model.tokens + model.vocabulary + 1))
     often = known[tokens.word] > 0
-    base = np.bincount(tokens.doc[often], weights=log[tokens.word[often]], minlength=n)
+    base = np.bincount(tokens.doc[often], weights=log[tokens.word[often]], minlength=n).astype(float)  # of nothing it gives whole numbers
     n_known = np.bincount(tokens.doc[often], minlength=n)
-    score = np.bincount(tokens.doc, weights=model.log_probabilities(tokens, levels), minlength=n)
+    score = np.bincount(tokens.doc, weights=model.log_probabilities(tokens, levels), minlength=n).astype(float)
     ids = batch.column(batch.schema.names.index("id"))
     nulls = lambda kind, size: pa.nulls(size, kind)
     names = ["key", "word", "n", "id", "n_tokens", "n_known", "base_score", "score"]
