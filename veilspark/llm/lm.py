@@ -3,8 +3,9 @@
 A count is quantised to the number of thresholds that it reaches (1, 2, 3, 4, 6, 8 ... growing by a quarter);
 an n-gram enters the filter once for each of them, so frequent ones cost more and are found by repeated
 probes.  A slice of the filter is built where its n-grams meet, sized by what it has to hold: 14 bits an entry, whatever
-the corpus.  A filter of up to BROADCAST_BYTES is broadcast; a larger one stays dealt out, and blocks of documents ask its
-slices.  Both ways give the same scores.
+the corpus.  A small filter is broadcast.  Otherwise it stays dealt out, and n-grams travel once: a block of documents
+sends each slice its distinct n-grams with their counts, the slice sums them, fills its part of the filter, asks it and
+answers with a byte for each n-gram, in the order in which they came.  Both ways give the same scores.
 
 Probabilities: P1(w) = (c(w) + 1) / (N + V + 1), with one share for words never seen; for longer n-grams
 P(w | h) = (c(hw) + m P(w | shorter h)) / (c(h) + m).  Counts of hw are rounded down and those of h up, so that a history
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,14 @@ ship(__name__)
 FOLDS, HELD_OUT = 7, 2
 #: Bits of the filter for an entry, and bits set for one, all in a word of 64.
 ENTRY_BITS, PROBES = 14, 5
-#: A filter of this size at most is broadcast.
-BROADCAST_BYTES = 400 << 20
+#: A filter of this size at most is broadcast: each Python worker of an executor holds it.
+BROADCAST_BYTES = 32 << 20
+#: Text of a unit, whose distinct n-grams travel together, and text for each slice of a filter that isn't broadcast.
+UNIT_BYTES, SLICE_BYTES = 6 << 20, 16 << 20
+#: What a document counts for besides its text.
+ROW_BYTES = 16
+#: An n-gram is named by a number of so many bytes: a clash is far less likely than a false find.
+KEY_BYTES = 6
 #: Words that are at least one in FREQUENT of all tokens have their exact counts broadcast: no more than FREQUENT words, of
 #: FREQUENT times the mean length of a token together.
 FREQUENT = 200_000
@@ -42,8 +50,11 @@ FREQUENT = 200_000
 GATHERED = 4_000_000
 #: The end of a text, as a word that no text holds.
 END = "\n"
+#: What stands before a text, likewise.
+START = "\n\n"
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
 def thresholds() -> np.ndarray:
@@ -98,25 +109,55 @@ def probe(keys: np.ndarray, table: np.ndarray, starts: np.ndarray, words: np.nda
     return found
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+def word_hashes(words: pa.LargeStringArray) -> np.ndarray:
+    """64 bits for each word: mixed from its length and its pieces of eight bytes with their places."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    size = np.diff(offsets)
+    pieces = np.maximum(1, -(-size // 8))
+    first = np.cumsum(pieces) - pieces
+    nth = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    kept = np.minimum(np.repeat(size, pieces) - 8 * nth, 8)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    piece = eight[np.repeat(offsets[:-1] - offsets[0], pieces) + 8 * nth] & masks[kept]
+    return mixed(np.add.reduceat(mixed(piece + _ODD * (nth + 1).astype(np.uint64)), first) + size.astype(np.uint64))
 
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+
+@dataclass
+class Grams:
+    """The distinct n-grams of one length in a batch of texts: their keys, and which of them ends at each token.  Of
+    longer ones also the n-gram before the last word (the number behind the last one: a start) and that without the first."""
+
+    keys: np.ndarray
+    of: np.ndarray
+    history: np.ndarray | None = None
+    shorter: np.ndarray | None = None
+    #: Tokens in the order of their n-grams, and where each n-gram begins there.
+    order: np.ndarray | None = None
+    begins: np.ndarray | None = None
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of a whole number for each token, the sum for each n-gram."""
+        if self.order is None:
+            return np.bincount(self.of, weights=x, minlength=len(self.keys)).astype(np.int64)
+        return np.add.reduceat(x[self.order], self.begins)
 
 
 @dataclass
 class Tokens:
     """The tokens of a batch of texts: distinct words, and for each token its document and its word."""
 
-    words: list[str]
+    vocabulary: pa.LargeStringArray
     word: np.ndarray
     doc: np.ndarray
     n_docs: int
 
+    @cached_property
+    def words(self) -> list[str]:
+        return self.vocabulary.to_pylist()
+
     @classmethod
     def of(cls, texts: pa.Array) -> Tokens:
         """Words between ASCII blanks, A-Z lower-cased, then an end for each text; a null text is empty."""
@@ -125,38 +166,50 @@ class Tokens:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         flat, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
         coded = flat.dictionary_encode()
-        words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if "" in words:  # blanks at an end of a text
-            kept = word != words.index("")
+        words, word = coded.dictionary, coded.indices.to_numpy()
+        if (blank := words.index("").as_py()) >= 0:  # blanks at an end of a text
+            kept = word != blank
             word, doc = word[kept], doc[kept]
         n = len(lists)
-        order = np.argsort(np.concatenate([doc, np.arange(n)]), kind="stable")
-        word = np.concatenate([word, np.full(n, len(words))])[order].astype(np.int64)
-        doc = np.concatenate([doc, np.arange(n)])[order].astype(np.int64)
-        return cls([*words, END], word, doc, n)
-
-    def grams(self, order: int) -> list[np.ndarray]:
-        """For each length the n-gram that ends at each token; before a text stand starts."""
-        hashes = process_cache("lm hashes", _Hashes)
-        one = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))[self.word]
-        first = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(one) else np.zeros(0, bool)
-        out = [mixed(one)]
+        ends = np.cumsum(np.bincount(doc, minlength=n) + 1) - 1
+        out, own = np.full(len(word) + n, len(words), np.int64), np.repeat(np.arange(n), np.diff(ends, prepend=-1))
+        out[np.arange(len(word)) + doc] = word
+        return cls(pa.concat_arrays([words, pa.array([END], pa.large_string())]), out, own, n)
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.zeros(0, bool)
+
+    def distinct(self, order: int) -> list[Grams]:
+        """For each length the n-grams, in an order that follows from the texts."""
+        one = word_hashes(self.vocabulary)
+        out = [Grams(mixed(one) & _KEY, self.word)]
         for length in range(2, order + 1):
-            out.append(_longer(self.before(out[-1], first, length - 1), one))
+            last = out[-1]
+            n = len(last.keys)
+            before = np.where(self.first, n, np.concatenate([[n], last.of[:-1]])) if len(last.of) else last.of
+            code = before * len(one) + self.word
+            by = np.argsort(code)
+            code = code[by]
+            new = np.concatenate([[True], code[1:] != code[:-1]]) if len(code) else np.zeros(0, bool)
+            of = np.empty(len(by), np.int64)
+            of[by] = np.cumsum(new) - 1
+            some = by[new]  # a token of each
+            keys = _longer(np.append(last.keys, start(length - 1))[before[some]], one[self.word[some]])
+            out.append(Grams(keys, of, before[some], last.of[some], by, np.flatnonzero(new)))
         return out
 
-    def before(self, grams: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-        """The n-gram of this length before each token."""
-        return np.where(first, start(length), np.concatenate([[start(length)], grams[:-1]])) if len(grams) else grams
-
+    def grams(self, order: int) -> list[np.ndarray]:
+        """For each length the n-gram that ends at each token; before a text stand starts."""
+        return [g.keys[g.of] for g in self.distinct(order)]
 
 def _longer(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mixed(history * _ODD + word)
+    return mixed(history * _ODD + word) & _KEY
 
 
 def start(length: int) -> np.uint64:
     """The history before a text, as an n-gram of starts."""
-    return mixed(np.array([length], np.uint64) + np.uint64(0x53544152545F))[0]
+    return mixed(np.array([length], np.uint64) + np.uint64(0x53544152545F))[0] & _KEY
 
 
 def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
@@ -336,22 +389,26 @@ def _mass(histogram: np.ndarray, singles: int) -> float:
     return low
 
 
-def fit(docs: DataFrame, order: int = 2, text_col: str = "text", counts: DataFrame | None = None) -> tuple[Model, DataFrame, DataFrame]:
+def _masses(slices: DataFrame, order: int) -> tuple[float, ...]:
+    """m for each length, of slices with singles and histogram."""
+    # a line for each length and quantised count: some 200 at most
+    singles = {r["length"]: r["singles"] for r in slices.groupBy("length").agg(F.sum("singles").alias("singles")).collect()}
+    cells = slices.select("length", F.posexplode("histogram").alias("level", "n")).groupBy("length", "level").agg(F.sum("n").alias("n")).collect()
+    histograms = {k: np.zeros(len(STEPS) + 1) for k in range(1, order + 1)}
+    for r in cells:
+        histograms[r["length"]][r["level"]] = r["n"]
+    return (1.0, *(_mass(histograms[k - 1], singles.get(k, 0)) for k in range(2, order + 1)))
+
+
+def fit(docs: DataFrame, order: int = 2, text_col: str = "text", counts: DataFrame | None = None, slices: int | None = None) -> tuple[Model, DataFrame, DataFrame]:
     """The model of all rows of docs, its slices (a written table), and the exact counts of words (a written table)."""
     spark = docs.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = counts if counts is not None else write_once(word_counts(docs, text_col), "words")
     slices_table = write_once(filter_slices(docs, order, slices, text_col), "filter")
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, vocabulary = whole["n"] or 0, whole["v"]
-    # a line for each length and quantised count: some 200 at most
-    lines = slices_table.groupBy("length").agg(F.sum("singles").alias("singles")).collect()
-    singles = {r["length"]: r["singles"] for r in lines}
-    cells = slices_table.select("length", F.posexplode("histogram").alias("level", "n")).groupBy("length", "level").agg(F.sum("n").alias("n")).collect()
-    histograms = {k: np.zeros(len(STEPS) + 1) for k in range(1, order + 1)}
-    for r in cells:
-        histograms[r["length"]][r["level"]] = r["n"]
-    m = (1.0, *(_mass(histograms[k - 1], singles.get(k, 0)) for k in range(2, order + 1)))
+    m = _masses(slices_table, order)
     frequent = {r["word"]: r["n"] for r in counts.where(F.col("n") * FREQUENT >= tokens).collect()} if tokens else {}
     return Model(order, slices, tokens, vocabulary, m, frequent), slices_table, counts
 
@@ -406,85 +463,222 @@ def _by_broadcast(docs: DataFrame, model: Model, slices: DataFrame, size: int, s
     return docs.mapInArrow(tidied(score, True), schema)
 
 
-def _by_slices(docs: DataFrame, model: Model, slices: DataFrame, size: int, schema: str) -> DataFrame:
-    """Each batch of documents is a block: it asks each slice for its distinct n-grams, and is scored where it meets the answers."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded: numbers and frequent words
-    id_type = docs.schema["id"].dataType.simpleString()
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs; that number comes first."""
+    top = int(x.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
 
-    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch, keys in _numbered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(keys), pa.int64()), keys, *batch.columns], names=["block", "key", *batch.schema.names])
 
-    blocks = write_once(docs.mapInArrow(tidied(block), f"block long, key long, id {id_type}, text string"), "blocks")
+def _widened(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """Keys as rows of KEY_BYTES bytes."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+
+
+def _long(keys: bytes) -> np.ndarray:
+    out = np.zeros((len(keys) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            number = batch.column(0).to_numpy()
-            for own in np.unique(number):
-                tokens = Tokens.of(batch.column(3).filter(pa.array(number == own)))
-                for length, grams in enumerate(tokens.grams(model.order), 1):
-                    extra = [start(length)] if length < model.order else []
-                    keys = np.unique(np.concatenate([grams, np.array(extra, np.uint64)]))
-                    at = slice_of(keys, model.slices)
-                    parts = [(k, keys[at == k]) for k in np.unique(at)]
-                    size = len(parts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([length] * size, pa.int32()), pa.array([int(k) for k, _ in parts], pa.int32()), pa.array([own] * size, pa.int64()), pa.array([k.tobytes() for _, k in parts], pa.binary())],
-                        names=["length", "slice", "block", "keys"],
-                    )
+
+def _dealt(keys: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in the order of their slices, and where slices begin and end there."""
+    own = slice_of(keys, slices)
+    return np.argsort(own.astype(np.uint16) if slices < 1 << 16 else own, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(own, minlength=slices))])
+
+
+def _units(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Runs of rows of one block: the place of the first, texts, and which of them are learned from."""
+    held, size, last = [], 0, None
+
+    def out():
+        places, texts, train = zip(*held)
+        return places[0], pa.concat_arrays(texts), np.concatenate(train)
+
+    for batch in batches:
+        places, texts, train = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        sizes, begin = pc.fill_null(pc.binary_length(texts), 0).to_pylist(), 0
+        for i, place in enumerate(places):
+            if last is not None and (place != last + 1 or place // rows != last // rows or size >= UNIT_BYTES):
+                if i > begin:
+                    held.append((places[begin], texts[begin:i], train[begin:i]))
+                yield out()
+                held, size, begin = [], 0, i
+            last, size = place, size + sizes[i] + ROW_BYTES
+        if places:
+            held.append((places[begin], texts[begin:], train[begin:]))
+    if held:
+        yield out()
+
+
+def _packets(texts: DataFrame, order: int, slices: int, rows: int) -> DataFrame:
+    """Of each unit (its first place) and for each length a packet for each slice: its distinct n-grams and how often
+    those occur in rows that are learned from.  Words travel as they are, longer n-grams as keys."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, own, train in _units(batches, rows):
+            tokens = Tokens.of(own)
+            learned = train[tokens.doc].astype(np.int64)
+            for length, grams in enumerate(tokens.distinct(order), 1):
+                keys, counts = grams.keys, grams.sums(learned)
+                if length < order:  # starts are histories, too
+                    keys, counts = np.append(keys, start(length)), np.append(counts, train.sum())
+                by, cuts = _dealt(keys, slices)
+                counts, filled = counts[by], np.flatnonzero(np.diff(cuts)).tolist()
+                if length == 1:
+                    words = pa.concat_arrays([tokens.vocabulary, pa.array([START] if order > 1 else [], pa.large_string())]).take(pa.array(by))
+                    ends = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+                    text = memoryview(words.buffers()[2])
+                    held = [bytes(text[ends[cuts[k]] : ends[cuts[k + 1]]]) for k in filled]
+                    sizes = [_narrow(np.diff(ends[cuts[k] : cuts[k + 1] + 1])) for k in filled]
+                else:
+                    short = _short(keys[by])
+                    held, sizes = [short[cuts[k] : cuts[k + 1]].tobytes() for k in filled], [None] * len(filled)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([length] * len(filled), pa.int32()), pa.array(filled, pa.int32()), pa.array([place] * len(filled), pa.int64()), pa.array(held, pa.binary()), pa.array(sizes, pa.binary()),
+                        pa.array([_narrow(counts[cuts[k] : cuts[k + 1]]) for k in filled], pa.binary()),
+                    ],
+                    names=["length", "slice", "place", "keys", "sizes", "counts"],
+                )
+
+    return texts.select("place", "text", "train").mapInArrow(tidied(gather), "length int, slice int, place long, keys binary, sizes binary, counts binary")
+
+
+def _answers(packets: DataFrame, slices: int) -> DataFrame:
+    """For each packet the level of each n-gram in the filter, and for words their exact counts; for each slice a row
+    without a place: tokens, words (different ones), singles, histogram."""
+
+    def whole(length: int, own: int, held: list) -> Iterator[pa.RecordBatch]:
+        places, packed, sizes, counts = zip(*held)
+        counts = [_widened(c) for c in counts]
+        cuts, tokens, words, exact = np.cumsum([0, *map(len, counts)]), 0, 0, None
+        n = np.concatenate(counts)
+        if length == 1:
+            ends = np.concatenate([[0], np.cumsum(np.concatenate([_widened(x) for x in sizes]))])
+            coded = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(b"".join(packed))).dictionary_encode()
+            of, keys = coded.indices.to_numpy(), mixed(word_hashes(coded.dictionary)) & _KEY
+            total = np.bincount(of, weights=n, minlength=len(keys)).astype(np.int64)  # whole numbers below 2^53
+            begun = coded.dictionary.index(START).as_py()
+            if begun >= 0:
+                keys[begun] = start(1)
+            true = np.delete(total, begun) if begun >= 0 else total
+            tokens, words, exact = int(true.sum()), int((true > 0).sum()), total[of]
+        else:
+            keys = _long(b"".join(packed))
+            by = np.argsort(keys)
+            keys = keys[by]
+            new = np.concatenate([[True], keys[1:] != keys[:-1]])
+            of = np.empty(len(by), np.int64)
+            of[by] = np.cumsum(new) - 1
+            begins = np.flatnonzero(new)
+            keys, total = keys[begins], np.add.reduceat(n[by], begins)
+        there = total > 0
+        bits = build(keys[there], total[there])
+        levels = Filter.of(1, 1, [(1, 0, bits)], bits.nbytes).levels(keys, 1).astype(np.uint8)[of]
+        size = len(held)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([length] * (size + 1), pa.int32()), pa.array([own] * (size + 1), pa.int32()), pa.array([*places, None], pa.int64()),
+                pa.array([*(levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])), None], pa.binary()),
+                pa.array([*(None if exact is None else _narrow(exact[a:b]) for a, b in zip(cuts, cuts[1:])), None], pa.binary()),
+                pa.array([None] * size + [tokens], pa.int64()), pa.array([None] * size + [words], pa.int64()), pa.array([None] * size + [int((total == 1).sum())], pa.int64()),
+                pa.array([None] * size + [np.bincount(np.searchsorted(STEPS, total[there], side="right")).tolist()], pa.list_(pa.int64())),
+            ],
+            names=["length", "slice", "place", "levels", "counts", "tokens", "words", "singles", "histogram"],
+        )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table, now = sent.value, None, None
+        now, held = None, []
         for batch in batches:
-            out = []
-            for length, own, number, keys in zip(*(c.to_pylist() for c in batch.columns)):
-                if now != (length, own):  # the slice itself stands first; one that holds nothing has none
-                    now, table = (length, own), Filter.of(model.order, model.slices, [], 0)
-                if number is None:
-                    table = Filter.of(model.order, model.slices, [(length, own, keys)], len(keys))
-                else:
-                    out.append((number, length, keys, table.levels(np.frombuffer(keys, np.uint64), length).astype("<u1").tobytes()))
-            numbers, lengths, asked, levels = zip(*out) if out else ([], [], [], [])
-            size = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers, pa.int64()), pa.array(lengths, pa.int32()), pa.array(asked, pa.binary()), pa.array(levels, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, batch_id), pa.nulls(size, pa.string())],
-                names=["block", "length", "keys", "levels", "key", "id", "text"],
-            )
-
-    batch_id = docs.limit(0).select("id").toArrow().schema.field(0).type
-    shape = f"block long, length int, keys binary, levels binary, key long, id {id_type}, text string"
-    asks = blocks.mapInArrow(tidied(ask), "length int, slice int, block long, keys binary")
-    asks = slices.select("length", "slice", F.lit(None).cast("long").alias("block"), F.col("bits").alias("keys")).unionByName(asks)
-    answers = asks.repartition("length", "slice").sortWithinPartitions("length", "slice", F.asc_nulls_first("block")).mapInArrow(tidied(answer), shape)
-    own = blocks.select("block", F.lit(99).alias("length"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("levels"), "key", "id", "text")
-    met = answers.unionByName(own).repartition("block").sortWithinPartitions("block", "length", "key")
+            for length, own, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if (length, own) != now and held:
+                    yield from whole(*now, held)
+                    held = []
+                now = (length, own)
+                held.append(rest)
+        if held:
+            yield from whole(*now, held)
+
+    met = packets.repartition(slices, "length", "slice").sortWithinPartitions("length", "slice")
+    return met.mapInArrow(tidied(answer), "length int, slice int, place long, levels binary, counts binary, tokens long, words long, singles long, histogram array<long>")
+
+
+def _scores(tokens: Tokens, model: Model, answers: dict[int, list]) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of each text, of the answers (levels, counts) of slices in their order."""
+    low = np.concatenate([[0], STEPS])
+    high = np.concatenate([[0], STEPS[1:] - 1, STEPS[-1:]])
+    last = p = known = None
+    for length, grams in enumerate(tokens.distinct(model.order), 1):
+        keys = np.append(grams.keys, start(length)) if length < model.order else grams.keys
+        by, _ = _dealt(keys, model.slices)
+        level = np.empty(len(keys), np.int64)
+        levels = np.frombuffer(b"".join(x for x, _ in answers[length]), np.uint8)
+        if len(levels) != len(by):
+            raise RuntimeError("answers don't fit their texts")
+        level[by] = levels
+        if length == 1:
+            known = np.empty(len(keys), np.int64)
+            known[by] = np.concatenate([_widened(c) for _, c in answers[1]])
+            p = (low[level] + 1.0) / (model.tokens + model.vocabulary + 1.0)
+        else:
+            own, history, m = slice(len(grams.keys)), last[grams.history], model.m[length - 1]
+            level[own] = np.minimum(np.minimum(level[own], last[grams.shorter]), history)  # no n-gram is more frequent than its parts
+            p = (np.minimum(low[level[own]], high[history]) + m * p[grams.shorter]) / (high[history] + m)
+        last, of = level, grams.of
+    n, base = tokens.n_docs, np.log10((known + 1) / (model.tokens + model.vocabulary + 1))
+    added = lambda x: np.bincount(tokens.doc, weights=x, minlength=n).astype(float)
+    return [np.bincount(tokens.doc, minlength=n), added(known[tokens.word] > 0).astype(np.int64), added(base[tokens.word]), added(np.log10(p)[of])]
+
+
+def _by_slices(texts: DataFrame, order: int, slices: int, rows: int, id_col: str) -> DataFrame:
+    """Texts are written once with a place each, in blocks of rows.  Units of a block, as they are read, send packets;
+    answers meet the texts of their block in the order of places, so that a unit's come before its first row."""
+    train = F.coalesce(_fold() != HELD_OUT, F.lit(True)).alias("train")
+    blocks = write_once(texts.select(F.monotonically_increasing_id().alias("place"), "id", "text", train), "blocks")
+    answers = write_once(_answers(_packets(blocks, order, slices, rows), slices), "answers")
+    stats = answers.where(F.col("place").isNull())
+    whole = stats.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    model = Model(order, slices, whole["n"] or 0, whole["v"] or 0, _masses(stats, order))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kind = texts.schema["id"].dataType.simpleString()
+    asked = answers.where(F.col("place").isNotNull()).select("place", "length", "slice", "levels", "counts", none(kind, "id"), none("string", "text"))
+    own = blocks.select("place", F.lit(order + 1).alias("length"), F.lit(0).alias("slice"), none("binary", "levels"), none("binary", "counts"), "id", "text")
+    met = asked.unionByName(own).withColumn("block", F.expr(f"place div {rows}")).repartition(slices, "block")
+    met = met.sortWithinPartitions("block", "place", "length", "slice").drop("block")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, now, answers = sent.value, None, {}
+        answers, held, now = {}, [], None
+
+        def out():
+            ids, own = (pa.concat_arrays(x) for x in zip(*held))
+            n, known, base, score = _scores(Tokens.of(own), model, answers)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(known), pa.array(base), pa.array(score)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
         for batch in batches:
-            number = batch.column(0).to_numpy()
-            for own in np.unique(number):
-                part = batch.filter(pa.array(number == own))
-                if own != now:
-                    now, answers = own, {}
-                asked = part.filter(pc.is_null(part.column(4)))
-                for length, keys, levels in zip(*(asked.column(i).to_pylist() for i in (1, 2, 3))):
-                    answers.setdefault(length, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(levels, np.uint8)))
-                rows = part.filter(pc.is_valid(part.column(4)))
-                if rows.num_rows:
-                    known = {}
-                    for length, parts in answers.items():
-                        keys, levels = (np.concatenate(x) for x in zip(*parts))
-                        by = np.argsort(keys)
-                        known[length] = keys[by], levels[by].astype(np.int32)
-
-                    def lookup(keys: np.ndarray, length: int) -> np.ndarray:
-                        return known[length][1][np.searchsorted(known[length][0], keys)]
-
-                    yield from _scored(rows, model, lookup, rows.column(4))
-
-    return met.mapInArrow(tidied(score), schema)
+            lengths, begin = batch.column(1).to_numpy(), 0
+            for i in [*np.flatnonzero(lengths <= order).tolist(), len(lengths)]:
+                if i > begin:  # texts before the next answer
+                    held.append((batch.column(5)[begin:i], batch.column(6)[begin:i]))
+                begin = i + 1
+                if i < len(lengths):
+                    place = batch.column(0)[i].as_py()
+                    if place != now:
+                        if held:
+                            yield from out()
+                        answers, held, now = {}, [], place
+                    answers.setdefault(int(lengths[i]), []).append((batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))
+        if held:
+            yield from out()
+
+    scored = met.mapInArrow(tidied(score), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        F.col("id").alias(id_col), (_fold() == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -493,16 +687,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     The model learns from the rows whose crc32(id as text) mod 7 isn't 2 (a null id is learned from, held_out is null
     then).  A null text is empty: its only token is the end.  Repeated rows count, and come back, as often as they occur;
     without any training row all words are unknown; an empty table gives an empty result; further columns are left out.
-    base_score is exact: counts of frequent words are at hand everywhere, those of others are joined by word, of which
-    none has more than one in FREQUENT of the tokens.
+    base_score is exact: words travel as they are.  With a broadcast filter, counts of frequent words are at hand
+    everywhere, those of others are joined by word, of which none has more than one in FREQUENT of the tokens.
     """
     texts = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    model, slices, counts = fit(_training(texts), order)
+    n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a token has a byte and a blank at least, or ends a text; each enters the filter once for each length, starts besides
+    most = order * (size // 2 + 3 * n + 1) * ENTRY_BITS // 8
+    size += ROW_BYTES * n
+    slices = max(1, -(-size // SLICE_BYTES))
+    if most > broadcast_bytes:
+        return _by_slices(texts, order, slices, max(1, UNIT_BYTES * n // max(1, size)), id_col)
+    model, slices, counts = fit(_training(texts), order, slices=slices)
     schema = f"key long, word string, n long, id {kind}, n_tokens long, n_known long, base_score double, score double"
     size = slices.agg(F.sum(F.length("bits"))).first()[0] or 0
-    way = _by_broadcast if size <= broadcast_bytes else _by_slices
-    scored = write_once(way(texts, model, slices, size, schema), "scored")
+    scored = write_once(_by_broadcast(texts, model, slices, size, schema), "scored")
     drop_table(slices)
     rest = scored.where(F.col("word").isNotNull()).select("key", "word", F.col("n").alias("times")).join(counts, "word", "left")
     log = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.vocabulary + 1)))
